@@ -1,9 +1,9 @@
 """Removal of repeated byte strings with a sampled suffix array.
 
 A byte is removed if a string of `length` bytes that covers it also starts earlier in the corpus. Places are grouped
-into suffixes that begin at the same content-defined token: the token of a place is the least hash of the
-TOKEN-byte tokens inside its window, so equal windows have equal tokens, and neighbouring places mostly share one.
-A suffix row is a maximal run of places with one token: its leading key is the token, the next key a hash of all
+into suffixes that begin at the same content-defined token: the token of a place is the TOKEN-byte token of least hash
+inside its window (the leftmost of equals), so equal windows have equal tokens at equal distances, and neighbouring
+places mostly share one. A suffix row is the run of places that share one token at one place: its leading key is the token, the next key a hash of all
 windows of the run. Sampled splitters (of both keys) range-partition the rows; each bucket sorts its rows by
 multikey quicksort. Of rows with equal keys all but the first are repeats. Rows that share only the token, or
 whose token is a splitter's, so that its rows may continue across a bucket's boundary, are compared window by
@@ -78,19 +78,21 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int):
     if len(data) < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     token, window = string_hashes(data, length)
-    least = sliding_min(token, length - TOKEN + 1)
+    # The upper half of a token's hash decides, then the leftmost place: both follow from the window alone.
+    spot = (token >> np.uint64(32) << np.uint64(32)) | np.arange(len(token), dtype=np.uint64)
+    anchor = (sliding_min(spot, length - TOKEN + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.maximum(np.diff(starts) - length + 1, 0)
     place = ragged(starts[:-1], sizes)
     if not len(place):
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    key = least[place]
+    chosen = anchor[place]
     new = np.ones(len(place), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(place)))
     whole = np.add.reduceat(mix64(window[place]), first) + window[place[first]] * np.uint64(3) + n.astype(np.uint64)
-    return key[first], mix64(whole), doc[first], place[first] - starts[doc[first]], n
+    return token[chosen[first]], mix64(whole), doc[first], place[first] - starts[doc[first]], n
 
 
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
