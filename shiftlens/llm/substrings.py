@@ -57,7 +57,7 @@ def string_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
                 n = max(0, len(data) - done - size + 1)
                 out = out[:n] * _power(size) + x[done : done + n]
             done += size
-    return mix64(have[TOKEN]), mix64(out)
+    return mix64(have[TOKEN]), out
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +91,8 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int):
     new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(place)))
-    whole = np.add.reduceat(mix64(window[place]), first) + window[place[first]] * np.uint64(3) + n.astype(np.uint64)
+    value = window[place]
+    whole = np.add.reduceat(value * (value >> np.uint64(31) | np.uint64(1)), first) + value[first] * np.uint64(3) + n.astype(np.uint64)
     return token[chosen[first]], mix64(whole), doc[first], place[first] - starts[doc[first]], n
 
 
