@@ -8,7 +8,8 @@ the chosen miss probability are dropped. Survivors are verified exactly on their
 
 Not all pairs of a band's bucket are made. Two rounds link members to one head of their bucket, and
 links merge into components; the last round compares only members of different components (those outside the
-bucket's largest component with all others). Every pair of one bucket is therefore either compared or
+bucket's largest component with all others). Of those, pairs are left out only if their differences from a common
+pivot prove that they differ too much. Every other pair of one bucket is therefore either compared or
 already connected, and no link between different components is lost.
 
 The chance that a pair at the threshold shares no band is (1 - t^rows)^bands: 2.5e-7 at 0.8 with 50 bands of 6.
@@ -33,6 +34,7 @@ HASHES = BANDS * ROWS
 BATCH = 30
 MISS = 1e-9
 BROADCAST_ROWS = 1_000_000
+DELTA_LONGS = 24
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256).astype(np.uint64)
@@ -200,6 +202,35 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
+def differences(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each document of the buckets: d, the size of its difference (either way) from a pivot that all documents of its
+    buckets share; the difference as a bitmap of 64 * DELTA_LONGS bits; and excess, how many elements fell on taken bits."""
+    head = buckets.groupBy("key").agg(F.min("doc_id").alias("a"))
+    star = buckets.join(head, "key").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+    pairs = written(components(star).select(F.col("component").alias("a"), F.col("node").alias("b")), "pivots")
+
+    def made(batches):
+        for batch in chunks(batches, "y", 4 << 20):
+            rows = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                delta = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
+                bit = np.unique((delta >> np.uint64(20)) % np.uint64(64 * DELTA_LONGS))
+                flags = np.zeros(64 * DELTA_LONGS, np.uint8)
+                flags[bit.astype(np.int64)] = 1
+                rows.append((len(delta), len(delta) - len(bit), *np.packbits(flags).view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("b"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "d", "excess", *(f"bits{k}" for k in range(DELTA_LONGS))])
+
+    kinds = ", ".join(f"bits{k} long" for k in range(DELTA_LONGS))
+    return written(_attach(pairs, sets, "shingles").mapInArrow(made, f"doc_id long, d long, excess long, {kinds}"), "differences")
+
+
+def _near_enough(percent: int):
+    """Two sets of one pivot differ by d_a + d_b - 2 c, c the elements that both differences hold, and c is at most the bits that
+    both bitmaps have plus the lesser excess. Pairs that even so differ too much can't be similar: none other is dropped."""
+    common = sum((F.bit_count(F.col(f"a_bits{k}").bitwiseAND(F.col(f"b_bits{k}"))) for k in range(DELTA_LONGS)), F.least("a_excess", "b_excess"))
+    return (100 + percent) * (F.col("a_d") + F.col("b_d") - 2 * common) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     threshold = percent / 100
@@ -235,9 +266,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = pairs.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
         else:
             most = at.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most")).select("key", F.col("most.label").alias("major"))
-            right = at.join(most, "key").select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "major")
-            left = at.join(most, "key").where("label <> major").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            pairs = left.join(right, "key").where("la <> lb and (lb = major or a < b)").where(_sizes("na", "nb", percent))
+            full = at.join(differences(at, sets), "doc_id").join(most, "key")
+            names = ["doc_id", "n", "label", "d", "excess", *(f"bits{k}" for k in range(DELTA_LONGS))]
+            right = full.select("key", "major", *(F.col(c).alias(f"b_{c}") for c in names))
+            left = full.where("label <> major").select("key", *(F.col(c).alias(f"a_{c}") for c in names))
+            pairs = left.join(right, "key").where("a_label <> b_label and (b_label = major or a_doc_id < b_doc_id)")
+            pairs = pairs.where(_sizes("a_n", "b_n", percent)).where(_near_enough(percent)).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         pairs = written(pairs.select("a", "b"), "pairs")
