@@ -219,4 +219,4 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     out = coded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
-    return out.withColumn("ids", F.split("ids", ",").cast("array<int>")) if with_ids else out.drop("ids")
+    return out.withColumn("ids", F.filter(F.split("ids", ","), lambda x: x != "").cast("array<int>")) if with_ids else out.drop("ids")

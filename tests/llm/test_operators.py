@@ -1,0 +1,295 @@
+"""Small cases of every operator against brute force; nulls, empty texts, repeated rows, extra columns, empty tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from shiftlens.llm import bpe, chat, decontam, media, neardup, quality, secrets, substrings, tokens, urls
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+SCHEMA = "doc_id long, text string, lang string, __score double, label int, bucket int"
+
+
+def prose(seed, n=80):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS, n)) + "."
+
+
+def corpus():
+    base = prose(1, 120)
+    near = base.split()
+    near[60] = "changed"
+    rows = [(1, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, "  \n\t "), (7, "one two"), (8, "ONE two"), (9, prose(2)), (10, "x" * 3000), (11, "naïve café ’s \U0001f600 ¼ 12 " + prose(3, 10)), (12, prose(4) + "\n" + base[100:400]), (12, prose(4) + "\n" + base[100:400]), (None, "no id")]
+    return [(i, t, "en", 0.5, 1, 3) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain():
+    return {r[0]: r[1] or "" for r in corpus() if r[0] is not None}
+
+
+def test_quality(spark, docs, empty):
+    rows = [(100 + i, prose(i) if i % 2 else "\n".join(["BUY!! NOW!! ### $$$ %%%"] * 5), "en", 0.0, 0, 0) for i in range(80)]
+    both = docs.unionAll(spark.createDataFrame(rows, SCHEMA))
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(80)] + [(None, 1), (101, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(both, labels).collect()}
+    assert set(got) == set(plain()) | {100 + i for i in range(80)}
+    held = [r for i, r in got.items() if i >= 100 and r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert quality.quality_scores(empty, labels).count() == 0
+    assert quality.quality_scores(docs, labels.limit(0)).first().score == 0.5
+
+
+def test_forward_backward_brute_force():
+    rng = np.random.default_rng(0)
+    emit, move = rng.normal(size=4), rng.normal(size=(2, 2))
+    z, alpha, beta = quality.forward_backward(emit, np.array([0]), np.array([4]), move)
+    paths = [[(k >> t) & 1 for t in range(4)] for k in range(16)]
+    weight = np.array([np.exp(sum(emit[t] * p[t] for t in range(4)) + sum(move[p[t], p[t + 1]] for t in range(3))) for p in paths])
+    assert np.isclose(z[0], np.log(weight.sum()))
+    for t in range(4):
+        assert np.isclose(np.exp(alpha[t, 1] + beta[t, 1] - z[0]), weight[[p[t] == 1 for p in paths]].sum() / weight.sum())
+
+
+def test_substrings(docs, empty):
+    seen, want = set(), {}
+    for i, text in sorted(plain().items()):
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            w = raw[k : k + 100]
+            if w in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        want[i] = (len(raw), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest())
+    rows = substrings.remove_repeats(docs).collect()
+    assert len(rows) == 13 and {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    assert sum(w[1] for w in want.values()) > 500
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(3)
+    a, b, c = rng.integers(0, 4, (3, 200))
+    order = substrings.multikey_order(a, b, c)
+    assert sorted(zip(a, b, c)) == list(zip(a[order], b[order], c[order]))
+
+
+def test_chat(spark):
+    turns = [(1, 0, "user", "hi <|end|> \x1a </s>"), (1, 1, "assistant", "[INST] ok"), (2, 1, "assistant", "b"), (2, 0, None, None), (2, None, "user", "x"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (None, 0, "user", "gone")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha("user\nhi <|end|> \x1a </s>\nassistant\n[INST] ok\n") and got[1].valid
+    assert (got[1].loss_chars, got[1].loss_sha256) == (9, sha("[INST] ok"))
+    assert got[2].turns_sha256 == sha("user\nx\n\n\nassistant\nb\n") and not got[2].valid
+    assert got[3].n_turns == 2 and set(got) == {1, 2, 3}
+    text = {r.conv_id: r.formatted for r in chat.format_conversations(df).collect()}
+    assert len(text[1]) == got[1].formatted_chars and text[1].count("<|end|>") == 2
+    assert chat.read_back(chat.segments(df.limit(0))).count() == 0
+
+
+def brute_components(words):
+    sets = {}
+    for i, text in plain().items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates(docs, empty):
+    want = brute_components(4)
+    rows = neardup.near_duplicates(docs, 4, 80).collect()
+    assert len(rows) == 13
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    assert want[3][1] == 1 and want[8][1] == 7
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.component for r in neardup.components(links).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_byte_bpe(docs, empty):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = plain()
+    rows = bpe.encode_documents(docs, ranks, P.PATTERN, with_ids=True).collect()
+    assert len(rows) == 13
+    for r in rows:
+        ids = coder.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert bpe.encode_documents(empty, ranks, P.PATTERN).count() == 0
+
+
+def test_url_filter(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.example.com/x", 5), (2, "http://u:p@A.b.example.com:80/", 15), (3, "https://other.org", 5), (4, None, 5), (5, "not a url", 5), (6, "http://a.b.example.com", None), (7, "http://a.b.example.com/x", 25)], "page_id long, url string, day int")
+    entries = spark.createDataFrame([("b.example.com", "add", 10), ("b.example.com", "remove", 20), ("other.org", "add", 5), ("other.org", "remove", 5), (None, "add", 1)], "pattern string, action string, day int")
+    got = {r.page_id: (r.blocked, r.blocked_by) for r in urls.filter_captures(pages, entries).collect()}
+    assert got == {1: (False, None), 2: (True, "b.example.com"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None)}
+    assert not any(r.blocked for r in urls.filter_captures(pages, entries.limit(0)).collect())
+
+
+def test_secrets(spark, docs, empty):
+    rows = [(200 + i, f"intro {prose(i, 8)} password=ab{i:04d}cdef99 and AKIA{'ABCD1234EFGH56'}{i:02d} tail", "en", 0.0, 0, 0) for i in range(30)]
+    both = docs.unionAll(spark.createDataFrame(rows, SCHEMA))
+    net = secrets.fit(both)
+    got = {r.doc_id: r for r in secrets.find_secrets(both, net).collect()}
+    assert all((got[200 + i].n_assign, got[200 + i].n_access) == (1, 1) for i in range(30)) and got[4].spans == ""
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(both, net).collect()}
+    assert all("password" not in clean[200 + i] and "AKIA" not in clean[200 + i] and clean[200 + i].endswith("tail") for i in range(30))
+    assert clean[4] is None and secrets.find_secrets(empty, net).count() == 0
+    assert [s[1] for s in secrets.base_spans("token=abcdefgh secret:token: abcdefgh ſecret=abcdefgh " + "0f" * 16)] == [0, 2]
+
+
+def test_token_files(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    coder.encode_special_tokens = True
+    rows = sorted(tokens.read_tokens(tokens.write_tokens(docs, path, P.PATTERN)).collect(), key=lambda r: r.start)
+    texts, at = plain(), 0
+    assert [r.doc_id for r in rows] == sorted([*texts, 12])
+    for r in rows:
+        ids = np.array(coder.encode(texts[r.doc_id], add_special_tokens=False).ids + [2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert tokens.read_tokens(tokens.write_tokens(empty, path, P.PATTERN)).count() == 0
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(7)
+    for ids in (np.zeros(0, np.uint64), np.zeros(1000, np.uint64), rng.integers(0, 2, 500).astype(np.uint64), rng.integers(0, 50_000, 20_000).astype(np.uint64), np.array([1, 1 << 63, 5, (1 << 60) - 1, 1 << 60], np.uint64), (2.0 ** rng.integers(0, 40, 9000)).astype(np.uint64)):
+        data, offsets, escapes = tokens.pack(ids)
+        assert (tokens.unpack(data, offsets, escapes, len(ids)) == ids).all()
+
+
+def lzw_reference(samples, code_size=8):
+    """A plain LZW encoder that fills the table and clears it when it is full."""
+    clear, bits = 1 << code_size, []
+    table, width = {bytes([i]): i for i in range(clear)}, code_size + 1
+    emit = lambda code: bits.extend((code >> k) & 1 for k in range(width))
+    emit(clear)
+    size, held = clear + 2, b""
+    for value in samples:
+        more = held + bytes([value])
+        if more in table:
+            held = more
+            continue
+        emit(table[held])
+        if size < 4096:
+            table[more] = size
+            size += 1
+            if size > (1 << width) and width < 12:
+                width += 1
+        else:
+            emit(clear)
+            table, width, size = {bytes([i]): i for i in range(clear)}, code_size + 1, clear + 2
+        held = bytes([value])
+    if held:
+        emit(table[held])
+    size += 1
+    if size > (1 << width) and width < 12:
+        width += 1
+    emit(clear + 1)
+    return np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+
+
+def test_lzw():
+    rng = np.random.default_rng(2)
+    for samples in (b"a" * 1000, rng.integers(0, 4, 30_000).astype(np.uint8).tobytes(), rng.integers(0, 256, 9000).astype(np.uint8).tobytes()):
+        assert media.lzw_decode(lzw_reference(samples), 8, len(samples)).tobytes() == samples
+        assert media.lzw_decode(media.lzw_literals(np.frombuffer(samples, np.uint8)), 8, len(samples)).tobytes() == samples
+
+
+def test_gif(spark, docs, empty):
+    texts = plain()
+    for r in media.store_texts(docs).collect():
+        payload, n = media.payload(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert media.store_texts(empty).count() == 0
+    frames = media.gif_frames(media.encode_texts(docs)).collect()
+    assert all(f.error is None and sum(f.histogram) == 3 * f.width * f.height for f in frames)
+    bad = spark.createDataFrame([(1, b"GIF89a\x01"), (2, None)], "doc_id long, media binary")
+    assert {r.doc_id for r in media.gif_frames(bad).where("error is not null").collect()} == {1, 2}
+
+
+def test_gif_disposal_and_transparency():
+    head = b"GIF89a\x02\x00\x01\x00\x80\x00\x00" + bytes([0, 0, 0, 255, 255, 255])
+    frame = lambda flags, clear, pixels: b"\x21\xf9\x04" + bytes([flags, 10, 0, clear, 0]) + b"\x2c\x00\x00\x00\x00\x02\x00\x01\x00\x00\x02" + media._blocks(small(pixels))
+
+    def small(pixels):
+        bits = [(c >> k) & 1 for c in (4, *pixels, 5) for k in range(3)]
+        return np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+
+    frames = media.decode(head + frame(1 << 2, 0, (1, 0)) + frame(3 << 2 | 1, 0, (0, 1)) + frame(2 << 2 | 1, 1, (1, 0)) + b"\x3b")
+    grey = [f["screen"][0, :, 0].tolist() for f in frames]
+    assert grey == [[255, 0], [255, 255], [255, 0]] and [f["start_ms"] for f in frames] == [0, 100, 200]
+
+
+def edit_distance_inside(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, prose(50, 30)), (2, prose(51, 30)), (3, "short"), (4, None), (5, prose(52, 9)), (5, prose(52, 9))]
+    text = dict(items)
+    one = text[1].replace("alpha", "alpah").upper()
+    rows = [(300, "before " + one + " after"), (301, prose(60) + " " + text[2][20:140] + " " + prose(61)), (302, text[2][:45] + prose(62)), (303, prose(63) + text[5])]
+    both = docs.unionAll(spark.createDataFrame([(i, t, "en", 0.0, 0, 0) for i, t in rows], SCHEMA))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.items for r in decontam.contamination(both, bench).collect()}
+    all_texts = plain() | dict(rows)
+    for i, t in all_texts.items():
+        want = set()
+        for item, pattern in items:
+            raw = decontam.normal(pattern or "")
+            size = min(96, len(raw))
+            if len(raw) >= 40 and any(edit_distance_inside(raw[k : k + size], decontam.normal(t)) <= size // 10 for k in {*range(0, len(raw) - size + 1, 48), len(raw) - size}):
+                want.add(item)
+        assert got[i] == ",".join(map(str, sorted(want))), i
+    assert got[300] == "1" and got[301] == "2" and got[302] == "" and got[303] == "5"
+    assert {r.doc_id: r.items for r in decontam.contamination(both, bench, block_bytes=200).collect()} == got
+    kept = {r.doc_id for r in decontam.decontaminate(both, bench).collect()}
+    assert kept == {i for i, x in got.items() if not x}
+    assert decontam.contamination(empty, bench).count() == 0 and not decontam.contamination(docs, bench.limit(0)).where("contaminated").count()
