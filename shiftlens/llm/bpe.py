@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, small_batches, texts, with_id
+from shiftlens.llm.common import Numbers, chunks, small_batches, texts, with_id
 from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
@@ -136,7 +136,7 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame
 
     def split(batches):
         splitter = Splitter(pattern)
-        seen: dict[str, int] = {}
+        seen = Numbers()
         ids, counts, numbers, size = [], [], [], 0
 
         def row():
@@ -158,7 +158,7 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame
         for batch in chunks(batches, "text", 1 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 words = splitter(text)
-                numbers.extend([seen.setdefault(w, len(seen)) for w in words])
+                numbers.extend(map(seen.__getitem__, words))
                 ids.append(doc_id), counts.append(len(words))
                 size += len(text)
             if size >= chunk:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, ragged, small_batches, texts, with_id, written
+from shiftlens.llm.common import Numbers, chunks, ragged, small_batches, texts, with_id, written
 from shiftlens.llm.pieces import Splitter
 
 #: Ids in a word and their width, by selector; selector 0 is the escape.
@@ -126,7 +126,7 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = Numbers()
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -135,7 +135,7 @@ class WordCache:
         if len(self.slots) > CACHE:
             self.clear()
         known, slots = len(self.slots), self.slots
-        numbers = [np.array([slots.setdefault(w, len(slots)) for w in self.splitter(t)], np.int64) for t in text_list]
+        numbers = [np.array(list(map(slots.__getitem__, self.splitter(t))), np.int64) for t in text_list]
         if len(slots) > known:
             fresh = [e.ids for e in self.tokenizer.encode_batch_fast(list(slots)[known:], add_special_tokens=False)]
             sizes = np.array([len(x) for x in fresh], np.int64)
