@@ -31,7 +31,7 @@ from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
 LONG = 200
-CHUNK = 24 << 20
+CHUNK = 6 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
