@@ -37,12 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver find that shuffles behind a written table are no longer needed, so that executors delete their files."""
+    """Let the driver find that shuffles behind a written table are no longer needed, so that executors delete their files.
+    To be called where no variable holds the DataFrame that was written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, small_batches, utf8, with_id, written
+from shiftlens.llm.common import chunks, fits_broadcast, mix64, release, small_batches, utf8, with_id, written
 
 BANDS, ROWS = 50, 6
 HASHES = BANDS * ROWS
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands = sigs.select("doc_id", "n", F.explode(keys).alias("key"))
     heads = bands.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     buckets = written(bands.join(heads, "key", "left_semi"), "buckets")
+    release(docs.sparkSession)
     nodes = buckets.select("doc_id").distinct()
     few = fits_broadcast(nodes, BROADCAST_ROWS)
     nodes = F.broadcast(nodes) if few else nodes
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         found = written(exact_links(written(likely_pairs(pairs, sigs, threshold), "likely"), sets, percent), "links")
         links = found if links is None else links.union(found)
         labels = written(components(links), "components")
+        release(docs.sparkSession)
     out = members.join(labels, members.rep == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, ragged, small_batches, utf8, with_id, written
+from shiftlens.llm.common import chunks, fits_broadcast, mix64, ragged, release, small_batches, utf8, with_id, written
 
 TOKEN = 32
 SAMPLE_DOCS, SAMPLE_ROWS = 2000, 100_000
@@ -239,13 +239,15 @@ def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, bucket
             order, head, later = _repeats((value,), doc, offset)
             order, kind = order[head | later], np.where(head, 0, 1)[head | later]
             value = value[order]
-            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(40)).astype(np.int32)), pa.array(kind, pa.int32()), pa.array(value.view(np.int64)), pa.array(doc[order], pa.int64()), pa.array(offset[order].astype(np.int32))], names=["bucket", "kind", "value", "doc_id", "at"])
+            place = np.where(kind == 1, -1 - offset[order], offset[order])  # a repeat known already is negative
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(doc[order], pa.int64()), pa.array(place.astype(np.int32))], names=["value", "doc_id", "at"])
 
     def local(batches):
-        kind, value, doc, at = _gather(batches, ["kind", "value", "doc_id", "at"])
-        if not len(kind):
+        value, doc, at = _gather(batches, ["value", "doc_id", "at"])
+        if not len(value):
             return
-        known = kind == 1
+        known = at < 0
+        at = np.where(known, -1 - at, at)
         order, head, later = _repeats((value[~known],), doc[~known], at[~known])
         repeat = order[later & ~head]
         doc, at = np.concatenate([doc[known], doc[~known][repeat]]), np.concatenate([at[known], at[~known][repeat]]).astype(np.int64)
@@ -259,8 +261,8 @@ def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, bucket
             last = np.append(first[1:], len(doc)) - 1
             yield _found(np.ones(len(first), np.int32), doc[first], at[first], at[last] - at[first] + 1)
 
-    rows = _with_lists(docs, lists, "inner").select("doc_id", "text", "runs").mapInArrow(made, "bucket int, kind int, value long, doc_id long, at int")
-    return rows.repartition(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
+    rows = _with_lists(docs, lists, "inner").select("doc_id", "text", "runs").mapInArrow(made, "value long, doc_id long, at int")
+    return rows.repartition(buckets, F.shiftrightunsigned("value", 40)).mapInArrow(local, FOUND)
 
 
 def repeated_places(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -271,7 +273,9 @@ def repeated_places(docs: DataFrame, length: int = 100) -> DataFrame:
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = sample_splitters(docs, length, buckets)
     found = written(sorted_buckets(suffix_rows(docs, length, splitters), splitters, buckets), "suffixes")
+    release(spark)
     windows = written(window_rows(docs, found.where("kind = 2"), length, buckets), "windows")
+    release(spark)
     return found.where("kind = 1").union(windows).select("doc_id", "at", "n")
 
 
