@@ -1,9 +1,9 @@
 """Byte-level BPE by Spark's higher-order functions.
 
-Texts are split into words in bulk; each chunk of documents keeps its distinct words once, as an array
-of byte strings, and refers to them by number. A higher-order fold then merges each distinct word by
+Texts are split into words in bulk; each chunk of documents keeps its distinct words once, in short
+rows, and refers to them by number. A character of U+0000 to U+00FF stands for a byte. A higher-order fold then merges each distinct word by
 rank: the state is the array of pieces and the ranks of neighbouring pairs, the rank map is a literal
-of the plan (an array of small maps, addressed by CRC-32). Decoding concatenates the binary pieces of
+of the plan (small buckets of tokens and ranks, addressed by CRC-32). Decoding concatenates the binary pieces of
 the ids. No row is shuffled.
 
 Words over LONG bytes, where a fold over arrays would take quadratic time, are merged with a heap in Python
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
 LONG = 200
-CHUNK = 6 << 20
+#: Characters of a chunk, distinct words of a row and words of the documents of a row.
+CHUNK = 64 << 20
+ROW_WORDS, ROW_TOKENS = 256, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,61 +42,64 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _json(value) -> Column:
+    # Without a lambda inside, the optimizer folds this into one literal; JSON strings read as binary are base64.
+    return F.lit(json.dumps(value, separators=(",", ":")))
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<binary, int>>: entry crc32(token) mod BUCKETS holds the tokens of that bucket."""
+    """Entry crc32(token) mod BUCKETS maps the tokens of that bucket to their ranks; a character stands for a byte."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        buckets[zlib.crc32(token) % BUCKETS][token.hex()] = rank
-    return F.transform(F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), lambda m: F.transform_keys(m, lambda k, _: F.unhex(k)))
+        text = token.decode("latin-1")
+        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
+    return F.from_json(_json(buckets), "array<map<string,int>>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
     """array<binary>: the bytes of each id."""
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return F.transform(F.split(F.lit(",".join(pieces)), ","), lambda x: F.unhex(x))
+        pieces[rank] = base64.b64encode(token).decode()
+    return F.from_json(_json(pieces), "array<binary>")
 
 
 def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with value evaluated once and nothing copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """Ids of one word of at least one byte: the whole word if it has a rank, or else a fold of merges."""
+    """Ids of one word of 1 to LONG bytes (as characters): the whole word if it has a rank, or else a fold of merges.
+
+    The state is where pieces start, and rank * 256 + start of each neighbouring pair that has a rank: the least of these
+    is the next merge, the leftmost among equal ranks."""
 
     def rank(token: Column) -> Column:
         return F.element_at(F.get(table, (F.crc32(token) % BUCKETS).cast("int")), token)
 
-    def merge(state: Column, p: Column) -> Column:
-        pieces, ranks = state["pieces"], state["ranks"]
-        size = F.size(pieces)
-        none = F.array().cast("array<int>")
-
-        def replaced(merged: Column) -> Column:
-            before = F.when(p > 1, F.array(rank(F.concat(F.get(pieces, p - 2), merged)))).otherwise(none)
-            after = F.when(p + 1 < size, F.array(rank(F.concat(merged, F.get(pieces, p + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(pieces, 1, p - 1), F.array(merged), F.slice(pieces, p + 2, size)).alias("pieces"),
-                F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, size)).alias("ranks"),
-            )
+    def pair(start: Column, end: Column) -> Column:
+        return rank(F.substring(word, start + 1, end - start)) * 256 + start
 
-        return _let(F.concat(F.get(pieces, p - 1), F.get(pieces, p)), replaced)
+    def merge(state: Column, at: Column, later: Column) -> Column:
+        starts = state["starts"]
+        gone, end, after = (F.get(later, F.lit(k)) for k in range(3))
+        before = F.get(starts, F.size(starts) - F.size(later) - 2)
+        others = F.filter(state["pairs"], lambda x: ~(x % 256).isin(at, gone, F.coalesce(before, at)))
+        return F.struct(F.array_remove(starts, gone).alias("starts"), F.array_append(F.array_append(others, pair(before, end)), pair(at, after)).alias("pairs"))
 
     def step(state: Column, _: Column) -> Column:
-        best = F.array_min(state["ranks"])
-        return F.when(best.isNull(), state).otherwise(merge_at(state, best))
-
-    def merge_at(state: Column, best: Column) -> Column:
-        return _let(F.array_position(state["ranks"], best).cast("int"), lambda p: merge(state, p))
+        best = F.array_min(state["pairs"])
+        return F.when(best.isNull(), state).otherwise(_let(best % 256, lambda at: _let(F.filter(state["starts"], lambda x: x > at), lambda later: merge(state, at, later))))
 
     n = F.length(word)
-    zero = F.struct(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))).alias("pieces"),
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2)))).alias("ranks"),
-    )
-    fold = F.aggregate(F.sequence(F.lit(2), n), zero, step, lambda s: F.transform(s["pieces"], rank))
+    zero = F.struct(F.sequence(F.lit(0), n).alias("starts"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 2)).alias("pairs"))
+
+    def ids(state: Column) -> Column:
+        starts = state["starts"]
+        return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda start, i: rank(F.substring(word, start + 1, F.get(starts, i + 1) - start)))
+
+    fold = F.aggregate(F.sequence(F.lit(2), n), zero, step, ids)
     return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold))
 
 
@@ -131,27 +137,31 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """A row for each chunk of documents: ids, words of each document as numbers, and the distinct words."""
+    """For each chunk of documents first its distinct words, in rows of ROW_WORDS, then its documents with words by number.
+
+    A long word is null among the words of its row and listed beside them."""
     small_batches(docs.sparkSession)
 
     def split(batches):
         splitter = Splitter(pattern)
         seen = Numbers()
-        ids, counts, numbers, size = [], [], [], 0
-
-        def row():
-            short, far, place = [], [], np.empty(len(seen), np.int32)
-            for word, i in seen.items():
-                raw = word.encode()
-                if len(raw) <= LONG:
-                    place[i] = len(short)
-                    short.append(raw)
-                else:
-                    place[i] = -1 - len(far)
-                    far.append(raw)
-            index = place[np.array(numbers, np.int64)] if numbers else np.zeros(0, np.int32)
+        ids, counts, numbers, size = [], [], array("i"), 0
+
+        def rows():
+            raw = [word.encode() for word in seen]
+            for lo in range(0, len(raw), ROW_WORDS):
+                part = raw[lo : lo + ROW_WORDS]
+                yield row([], [], [], [w.decode("latin-1") if len(w) <= LONG else None for w in part], [w for w in part if len(w) > LONG])
+            index, done, first = np.frombuffer(numbers, np.int32), 0, 0
+            ends = np.cumsum(counts)
+            while first < len(ids):
+                to = max(first + 1, int(np.searchsorted(ends, done + ROW_TOKENS, "right")))
+                yield row(ids[first:to], counts[first:to], index[done : ends[to - 1]], [], [])
+                first, done = to, int(ends[to - 1])
+
+        def row(ids, counts, index, words, far):
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()), pa.array([index.astype(np.int32).tobytes()], pa.binary()), pa.array([short], pa.list_(pa.binary())), pa.array([far], pa.list_(pa.binary()))],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()), pa.array([np.array(index, np.int32).tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string())), pa.array([far], pa.list_(pa.binary()))],
                 names=["ids", "counts", "numbers", "words", "long_words"],
             )
 
@@ -162,13 +172,13 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame
                 ids.append(doc_id), counts.append(len(words))
                 size += len(text)
             if size >= chunk:
-                yield row()
+                yield from rows()
                 seen.clear()
-                ids, counts, numbers, size = [], [], [], 0
+                ids, counts, numbers, size = [], [], array("i"), 0
         if ids:
-            yield row()
+            yield from rows()
 
-    return with_id(docs, "doc_id", "text").mapInArrow(split, "ids array<long>, counts binary, numbers binary, words array<binary>, long_words array<binary>")
+    return with_id(docs, "doc_id", "text").mapInArrow(split, "ids array<long>, counts binary, numbers binary, words array<string>, long_words array<binary>")
 
 
 def encode_chunks(split: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -177,10 +187,10 @@ def encode_chunks(split: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def all_words(table: Column, pieces: Column) -> Column:
         return F.transform(
             "words",
-            lambda w: _let(encode_word(w, table), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), decode_ids(ids, pieces).alias("bytes"))),
+            lambda w: F.when(w.isNotNull(), _let(encode_word(w, table), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), decode_ids(ids, pieces).alias("bytes")))),
         )
 
-    # Both literals are bound once for each row, that is for each chunk of documents.
+    # Both literals are bound once for each row.
     coded = _let(F.struct(rank_literal(ranks).alias("table"), piece_literal(ranks).alias("pieces")), lambda t: all_words(t["table"], t["pieces"]))
     return split.select("ids", "counts", "numbers", "long_words", coded.alias("coded"))
 
@@ -192,22 +202,30 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
 
     def assemble(batches):
         back = {rank: token for token, rank in ranks.items()}
+        # Rows arrive in the order in which the splitting wrote them: a chunk's words, then its documents.
+        said, raw, n, complete = [], [], [], False
         for batch in batches:
             for at in range(batch.num_rows):
+                words = batch.column("coded")[at].values
+                if len(words):
+                    if complete:
+                        said, raw, n, complete = [], [], [], False
+                    far = (merge_long(w, ranks) for w in batch.column("long_words")[at].as_py())
+                    parts = [words.field(name).to_pylist() for name in ("n", "ids", "bytes")]
+                    for known, count, text, data in zip(words.is_valid().to_pylist(), *parts):
+                        if not known:
+                            ids = next(far)
+                            count, text, data = len(ids), ",".join(map(str, ids)), b"".join(back[i] for i in ids)
+                        n.append(count), said.append(text), raw.append(data)
+                    continue
+                complete = True
+                each = np.array(n, np.int64)
                 ids = batch.column("ids")[at].values.to_numpy()
                 counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int32)
                 numbers = np.frombuffer(batch.column("numbers")[at].as_py(), np.int32)
-                words = batch.column("coded")[at].values
-                n = words.field("n").to_numpy().astype(np.int64)
-                said, raw = words.field("ids").to_pylist(), words.field("bytes").to_pylist()
-                far = [merge_long(w, ranks) for w in batch.column("long_words")[at].as_py()]
-                # Long words are numbered from the end of the lists.
-                n = np.concatenate([n, [len(x) for x in far[::-1]]]).astype(np.int64)
-                said += [",".join(map(str, x)) for x in far[::-1]]
-                raw += [b"".join(back[i] for i in x) for x in far[::-1]]
                 ends = np.cumsum(counts)
-                tokens, sums = n[numbers] if len(numbers) else n[:0], np.zeros(len(numbers) + 1, np.int64)
-                np.cumsum(tokens, out=sums[1:])
+                sums = np.zeros(len(numbers) + 1, np.int64)
+                np.cumsum(each[numbers], out=sums[1:])
                 totals = sums[ends] - sums[ends - counts]
                 for lo in range(0, len(ids), 500):
                     rows = []
