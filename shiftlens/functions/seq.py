@@ -47,8 +47,12 @@ def orf_slice(seq: Column, start: Column, stop: Column, inclusive: bool = False)
 
 def codons(seq: Column, frame: int = 0) -> Column:
     """Whole codons from a 0-based offset; empty where there is none."""
-    n = F.length(seq)
-    return F.when(n >= frame + 3, F.transform(F.sequence(F.lit(frame + 1), n - 2, F.lit(3)), lambda i: F.substring(seq, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(seq, frame + 1, 1 << 30), F.lit("(?s).{3}"), F.lit(0))
+
+
+def until_stop(seq: Column) -> Column:
+    """Codons before the first stop codon of frame 0."""
+    return F.regexp_extract(seq, "^(?:(?!TAA|TAG|TGA)[ACGTN]{3})*+", 0)
 
 
 def translate(seq: Column, frame: int = 0) -> Column:

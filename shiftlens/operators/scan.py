@@ -45,7 +45,7 @@ def alternative_orfs(sites: DataFrame) -> DataFrame:
     out = sites
     for name, offset in (("plus", 5), ("minus", 6)):
         tail = F.expr(f"substring(mrna_seq, start + {offset})")
-        peptide = S.upto_stop(S.translate(tail))
+        peptide = S.translate(S.until_stop(tail))
         peptide = F.when(tail.rlike("^A+$"), None).otherwise(peptide)
         out = out.withColumn(f"{name}_orf", peptide).withColumn(f"{name}_length", F.length(peptide))
     return out
@@ -53,15 +53,13 @@ def alternative_orfs(sites: DataFrame) -> DataFrame:
 
 def minus_stop_distance(sites: DataFrame) -> DataFrame:
     """Bases from the site to the first stop of the -1 frame; to the last whole codon where there is none."""
-    found = S.codons(F.expr("substring(mrna_seq, start + 6)"))
-    stops = F.filter(F.transform(found, lambda c, i: F.when(c.isin("TAA", "TAG", "TGA"), i)), lambda i: i.isNotNull())
-    return sites.withColumn("bp_mstop", 3 * F.coalesce(F.array_min(stops), F.size(found)))
+    return sites.withColumn("bp_mstop", F.length(S.until_stop(F.expr("substring(mrna_seq, start + 6)"))))
 
 
 def frameshift_protein(sites: DataFrame) -> DataFrame:
     """Zero-frame protein up to the site in lower case, then the -1 frame up to its stop."""
     head = F.lower(S.translate(F.expr("substring(mrna_seq, orf_start, start - orf_start + 1 - pmod(start - orf_start + 1, 3))")))
-    return sites.withColumn("fusion", F.concat(head, S.upto_stop(S.translate(F.expr("substring(mrna_seq, start + 6)")))))
+    return sites.withColumn("fusion", F.concat(head, S.translate(S.until_stop(F.expr("substring(mrna_seq, start + 6)")))))
 
 
 def codon_rank(genome: DataFrame) -> DataFrame:

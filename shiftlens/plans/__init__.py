@@ -1,0 +1 @@
+from shiftlens.plans import registry, signals  # noqa: F401

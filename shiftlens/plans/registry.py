@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions import seq as S
-from shiftlens.operators import scan, stats, structure
+from shiftlens.operators import nulls, scan, stats, structure
 from shiftlens.sources.fixtures import GENOME_SQL, MFE_SQL, POINTS_SQL, SITES_SQL, genome, mfe, points, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,26 +67,35 @@ def _(spark, d):
     return scan.window_at(genome(spark, d), 11, 100)
 
 
-_TRANSLATE = f"""codon_table(codon, aa) AS (VALUES {CODON_VALUES})"""
+#: Codons before a stop, without lookahead.
+_OPEN = "^(?:[ACG][ACGT]{2}|T(?:[CT][ACGT]|A[CT]|G[CGT]))*"
+_CODON_MAP = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in zip(S.CODONS, S.AMINO)) + "}"
 
 
-@query("q8_minus_stop", _g("""SELECT id, start, CAST(3 * coalesce(min(CASE WHEN substr(tail, k * 3 + 1, 3) IN ('TAA', 'TAG', 'TGA') THEN k END), floor(length(any_value(tail)) / 3)) AS INTEGER) AS bp_mstop
-FROM (SELECT id, start, substr(mrna_seq, start + 6) AS tail FROM sites) LEFT JOIN generate_series(0, 1000) AS t(k) ON k * 3 + 3 <= length(tail) GROUP BY id, start""", SITES_SQL))
+def _protein_sql(seq: str) -> str:
+    return f"coalesce(array_to_string(list_transform(regexp_extract_all({seq}, '[ACGT]{{3}}'), lambda c: element_at({_CODON_MAP}, c)[1]), ''), '')"
+
+
+@query("q8_minus_stop", _g(f"SELECT id, start, CAST(length(regexp_extract(substr(mrna_seq, start + 6), '{_OPEN}')) AS INTEGER) AS bp_mstop FROM sites", SITES_SQL))
 def _(spark, d):
     return scan.minus_stop_distance(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "bp_mstop")
 
 
 def _orf_sql(name: str, offset: int) -> str:
-    return f"""{name} AS (SELECT id, start, CASE WHEN regexp_matches(any_value(tail), '^A+$') THEN NULL ELSE split_part(coalesce(string_agg(coalesce(aa, '?'), '' ORDER BY k) FILTER (WHERE k IS NOT NULL), ''), '*', 1) END AS peptide
-FROM (SELECT id, start, tail, k, aa FROM (SELECT id, start, substr(mrna_seq, start + {offset}) AS tail FROM sites) LEFT JOIN generate_series(0, 1000) AS t(k) ON k * 3 + 3 <= length(tail) LEFT JOIN codon_table ON codon = substr(tail, k * 3 + 1, 3)) GROUP BY id, start)"""
+    tail = f"substr(mrna_seq, start + {offset})"
+    return f"""{name} AS (SELECT id, start, CASE WHEN regexp_matches({tail}, '^A+$') THEN NULL ELSE {_protein_sql(f"regexp_extract({tail}, '{_OPEN}')")} END AS peptide FROM sites)"""
 
 
-@query("q6_alternative_orfs", _g("SELECT id, start, p.peptide AS plus_orf, CAST(length(p.peptide) AS INTEGER) AS plus_length, m.peptide AS minus_orf, CAST(length(m.peptide) AS INTEGER) AS minus_length FROM plus p JOIN minus m USING (id, start)", SITES_SQL, _TRANSLATE, _orf_sql("plus", 5), _orf_sql("minus", 6)))
+@query("q6_alternative_orfs", _g("SELECT id, start, p.peptide AS plus_orf, CAST(length(p.peptide) AS INTEGER) AS plus_length, m.peptide AS minus_orf, CAST(length(m.peptide) AS INTEGER) AS minus_length FROM plus p JOIN minus m USING (id, start)", SITES_SQL, _orf_sql("plus", 5), _orf_sql("minus", 6)))
 def _(spark, d):
     return scan.alternative_orfs(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "plus_orf", "plus_length", "minus_orf", "minus_length")
 
 
-@query("q7_frameshift_protein")
+_HEAD = _protein_sql("substr(mrna_seq, 1, start - start % 3)")
+_SHIFTED = _protein_sql(f"regexp_extract(substr(mrna_seq, start + 6), '{_OPEN}')")
+
+
+@query("q7_frameshift_protein", _g(f"SELECT id, start, lower({_HEAD}) || {_SHIFTED} AS fusion FROM sites", SITES_SQL))
 def _(spark, d):
     return scan.frameshift_protein(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "fusion")
 
@@ -98,7 +107,7 @@ def _(spark, d):
     return genome(spark, d).select("id", S.to_rna(s).alias("rna"), S.reverse_complement(s).alias("revcomp"), S.orf_slice(s, F.col("orf_start"), F.col("orf_stop")).alias("orf"), S.orf_slice(s, F.col("orf_start"), F.col("orf_stop"), True).alias("orf_inclusive"), F.length(F.regexp_replace(s, "[^GC]", "")).cast("long").alias("gc"))
 
 
-@query("p5_translate", _g("SELECT id, coalesce(string_agg(coalesce(aa, '?'), '' ORDER BY k) FILTER (WHERE k IS NOT NULL), '') AS protein FROM genome LEFT JOIN generate_series(0, 1000) AS t(k) ON k * 3 + 3 <= length(mrna_seq) LEFT JOIN codon_table ON codon = substr(mrna_seq, k * 3 + 1, 3) GROUP BY id", _TRANSLATE))
+@query("p5_translate", _g(f"SELECT id, {_protein_sql('mrna_seq')} AS protein FROM genome"))
 def _(spark, d):
     return genome(spark, d).select("id", S.translate(F.col("mrna_seq")).alias("protein"))
 
@@ -113,41 +122,47 @@ def _(spark, d):
     return genome(spark, d).select("id", S.minus_frame_track(F.col("mrna_seq")).alias("track"))
 
 
-@query("g2_stack_energy", _g(f"SELECT id, CAST(coalesce(sum(e), 0) AS INTEGER) AS energy FROM genome LEFT JOIN generate_series(1, 3000) AS t(k) ON k < length(mrna_seq) LEFT JOIN (VALUES {STACK_VALUES}) AS w(pair, e) ON pair = substr(mrna_seq, k, 2) GROUP BY id"))
+@query("g2_stack_energy", _g(f"SELECT id, CAST(coalesce(sum(e), 0) AS INTEGER) AS energy FROM (SELECT id, unnest(CASE WHEN length(mrna_seq) > 1 THEN list_transform(range(1, length(mrna_seq)), lambda k: substr(mrna_seq, k, 2)) ELSE [''] END) AS word FROM genome) LEFT JOIN (VALUES {STACK_VALUES}) AS w(pair, e) ON pair = word GROUP BY id"))
 def _(spark, d):
     return genome(spark, d).select("id", S.stack_energy(F.col("mrna_seq")).alias("energy"))
 
 
-@query("r2_shuffle", _g("""SELECT id, iteration, string_agg(substr(w, p, 1), '' ORDER BY md5('7|' || id || '|' || iteration || '|' || p), substr(w, p, 1)) AS shuffled
-FROM (SELECT id, substr(mrna_seq, 1, 60) AS w FROM genome WHERE length(mrna_seq) >= 60), (SELECT CAST(unnest(generate_series(1, 3)) AS INTEGER) AS iteration), (SELECT unnest(generate_series(1, 60)) AS p) GROUP BY id, iteration"""))
+_WINDOWS_SQL = """v AS (SELECT id, start, substr(mrna_seq, start + 7, 50) AS w FROM sites WHERE length(mrna_seq) >= start + 56),
+n AS (SELECT id, start, w, iteration, p, substr(w, p, 1) AS c, md5('7|' || id || '|' || start || '|' || iteration || '|' || p) AS k FROM v, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS iteration), (SELECT unnest(generate_series(1, 50)) AS p))"""
+
+
+def _nulls(spark, d):
+    windows = scan.keep_coding(scan.find_slipsites(genome(spark, d), (50,)), do_utr=True).select("id", "start", "sequence")
+    return nulls.fan_out(windows, 10).withColumn("shuffled", nulls.RANDOMIZERS["bases"](F.col("sequence"), F.lit(7), F.col("id"), F.col("start"), F.col("iteration")))
+
+
+@query("r2_shuffle", _g("SELECT id, start, iteration, string_agg(c, '' ORDER BY k, c) AS shuffled FROM n GROUP BY ALL", SITES_SQL, _WINDOWS_SQL))
 def _(spark, d):
-    w = genome(spark, d).where("length(mrna_seq) >= 60").select("id", F.substring("mrna_seq", 1, 60).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("iteration"))
-    return w.select("id", "iteration", S.shuffled(F.col("w"), F.lit(7), F.col("id"), F.col("iteration")).alias("shuffled"))
+    return _nulls(spark, d).select("id", "start", "iteration", "shuffled")
 
 
-@query("g4_bootstrap", _g(f"""SELECT id, round(avg(e), 2) AS mfe_mean, round(stddev_samp(e), 2) AS mfe_sd, count(*) AS iterations FROM (
-SELECT id, iteration, sum(x) AS e FROM (SELECT id, iteration, p, c || lead(c) OVER (PARTITION BY id, iteration ORDER BY k, c) AS pair FROM (
-SELECT id, iteration, p, substr(w, p, 1) AS c, md5('7|' || id || '|' || iteration || '|' || p) AS k FROM (SELECT id, substr(mrna_seq, 1, 60) AS w FROM genome WHERE length(mrna_seq) >= 60), (SELECT unnest(generate_series(1, 5)) AS iteration), (SELECT unnest(generate_series(1, 60)) AS p)))
-JOIN (VALUES {STACK_VALUES}) AS t(pair, x) USING (pair) GROUP BY id, iteration) GROUP BY id"""))
+@query("g4_bootstrap", _g(f"""SELECT id, start, round(avg(e), 2) AS mfe_mean, round(stddev_samp(e), 2) AS mfe_sd, count(*) AS iterations FROM (
+SELECT id, start, iteration, sum(x) AS e FROM (SELECT id, start, iteration, c || lead(c) OVER (PARTITION BY id, start, iteration ORDER BY k, c) AS pair FROM n)
+JOIN (VALUES {STACK_VALUES}) AS t(pair, x) USING (pair) GROUP BY id, start, iteration) GROUP BY id, start""", SITES_SQL, _WINDOWS_SQL))
 def _(spark, d):
-    w = genome(spark, d).where("length(mrna_seq) >= 60").select("id", F.substring("mrna_seq", 1, 60).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("iteration"))
-    e = w.select("id", S.stack_energy(S.shuffled(F.col("w"), F.lit(7), F.col("id"), F.col("iteration"))).alias("e"))
-    return e.groupBy("id").agg(F.round(F.avg("e"), 2).alias("mfe_mean"), F.round(F.stddev_samp("e"), 2).alias("mfe_sd"), F.count("*").alias("iterations"))
+    e = _nulls(spark, d).select("id", "start", S.stack_energy(F.col("shuffled")).alias("e"))
+    return e.groupBy("id", "start").agg(F.round(F.avg("e"), 2).alias("mfe_mean"), F.round(F.stddev_samp("e"), 2).alias("mfe_sd"), F.count("*").alias("iterations"))
+
+
+_CODONS_SQL = """cd AS (SELECT id, frame, unnest(list) AS codon, unnest(range(len(list))) AS k FROM (SELECT id, CAST(frame AS INTEGER) AS frame, regexp_extract_all(substr(s, CAST(frame AS INTEGER) + 1), '[ACGT]{3}') AS list FROM (SELECT id, %s AS s FROM genome), (VALUES (0), (1), (2)) AS f(frame)))"""
 
 
-@query("a26_codon_rank", _g("""SELECT CAST(f.frame AS INTEGER) AS frame, CAST(k AS INTEGER) AS position, substr(s, f.o + k * 3 + 1, 3) AS codon, count(*) AS n FROM (SELECT regexp_replace(mrna_seq, 'A+$', '') AS s FROM genome),
-(VALUES (0, 0), (1, 1), (-1, 2)) AS f(frame, o), generate_series(0, 1000) AS t(k) WHERE f.o + k * 3 + 3 <= length(s) GROUP BY ALL"""))
+@query("a26_codon_rank", _g("SELECT CASE frame WHEN 2 THEN -1 ELSE frame END AS frame, CAST(k AS INTEGER) AS position, codon, count(*) AS n FROM cd GROUP BY ALL", _CODONS_SQL % "regexp_replace(mrna_seq, 'A+$', '')"))
 def _(spark, d):
     return scan.codon_rank(genome(spark, d))
 
 
-@query("a33_composition", _g("SELECT CAST((p - 1) % 3 AS INTEGER) AS slot, substr(mrna_seq, p, 1) AS base, count(*) AS n FROM genome, generate_series(1, 3000) AS t(p) WHERE p <= length(mrna_seq) GROUP BY ALL"))
+@query("a33_composition", _g("SELECT CAST((p - 1) % 3 AS INTEGER) AS slot, substr(mrna_seq, p, 1) AS base, count(*) AS n FROM genome, generate_series(1, length(mrna_seq)) AS t(p) GROUP BY ALL"))
 def _(spark, d):
     return scan.composition(genome(spark, d))
 
 
-@query("a27_stop_distances", _g("""SELECT CAST(frame AS INTEGER) AS frame, CAST(distance AS INTEGER) AS distance, count(*) AS n FROM (SELECT frame, k - lag(k) OVER (PARTITION BY id, frame ORDER BY k) AS distance FROM genome, generate_series(0, 2) AS f(frame), generate_series(0, 1000) AS t(k)
-WHERE frame + k * 3 + 3 <= length(mrna_seq) AND substr(mrna_seq, frame + k * 3 + 1, 3) IN ('TAA', 'TAG', 'TGA')) WHERE distance IS NOT NULL GROUP BY ALL"""))
+@query("a27_stop_distances", _g("SELECT frame, CAST(distance AS INTEGER) AS distance, count(*) AS n FROM (SELECT frame, k - lag(k) OVER (PARTITION BY id, frame ORDER BY k) AS distance FROM cd WHERE codon IN ('TAA', 'TAG', 'TGA')) WHERE distance IS NOT NULL GROUP BY ALL", _CODONS_SQL % "mrna_seq"))
 def _(spark, d):
     return scan.stop_distances(genome(spark, d))
 
@@ -199,7 +214,7 @@ def _(spark, d):
     return stats.index_stats(genes, mfe(spark, d))
 
 
-@query("a4_site_counts", _m("SELECT accession, count(DISTINCT start) AS sites, count(*) AS structures FROM mfe GROUP BY accession"))
+@query("a4_site_counts", _m("SELECT accession, count(DISTINCT start) AS sites, count(DISTINCT id) AS structures FROM mfe GROUP BY accession"))
 def _(spark, d):
     return stats.site_counts(mfe(spark, d))
 
