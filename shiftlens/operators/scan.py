@@ -11,7 +11,7 @@ from shiftlens.functions import seq as S
 def find_slipsites(genome: DataFrame, seqlengths=(100, 75, 50), canonical_only: bool = False) -> DataFrame:
     """A row for each in-frame slippery heptamer and window length; start is 1-based in the transcript. No shuffle."""
     orf = S.orf_slice(F.col("mrna_seq"), F.col("orf_start"), F.col("orf_stop"))
-    at = F.when(F.length(orf) >= 9, F.sequence(F.lit(2), F.length(orf) - 6, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    at = F.when(F.length(orf) >= 9, F.sequence(F.lit(2), F.length(orf) - 7, F.lit(3))).otherwise(F.array().cast("array<int>"))
     sites = genome.withColumn("__c", F.explode(at)).withColumn("slipsite", F.substring("mrna_seq", F.col("__c") + F.col("orf_start"), F.lit(7)))
     sites = sites.where(F.col("slipsite").rlike(S.CANONICAL if canonical_only else S.SLIPPERY)).withColumn("start", F.col("__c") + F.col("orf_start")).drop("__c")
     sites = sites.withColumn("seqlength", F.explode(F.array(*[F.lit(n) for n in seqlengths])))
