@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from shiftlens.plans import registry, signals  # noqa: F401
+from shiftlens.plans import overlays, registry, signals  # noqa: F401
 
 HEADLINE = ["q1_slipsites_by_species", "q8_minus_stop", "q6_alternative_orfs", "g2_stack_energy", "g4_bootstrap", "a1_species_stats", "a10_cloud_density", "a14_significant_bars", "a31_facet_histogram", "w1_first_prediction", "u1_reconnect", "j2_genes_on_both_axes", "j6_snp_windows", "j8_reads_in_genes", "t12_stem_sizes"]
 
