@@ -1,18 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared in lower case with runs of white space as one space, as UTF-8 bytes. Each benchmark item is
-cut into windows of WINDOW bytes (every WINDOW / 2 bytes, and the last one); a document is contaminated by
+Texts are compared in lower case with runs of white space as one space, as UTF-8 bytes. A window of
+WINDOW bytes starts at every byte of each benchmark item (a shorter item is one window); a document is contaminated by
 an item if some window occurs in it with at most a tenth of the window's length in edits. A
 region within e edits of a window of w bytes shares at least w + 1 - q (e + 1) of its q-grams, on diagonals at most e
-apart. So shared q-grams are counted in overlapping diagonal bands, bands that meet the bound are kept,
-and a banded alignment verifies them. Q-grams that very many windows hold are not counted where the
-bound, lowered by their number, is still positive: no region is lost by that.
+apart. So shared q-grams of whole items are counted in overlapping diagonal bands, stretches of bands that meet the bound are kept,
+and a banded alignment verifies their windows. Q-grams that very many places hold are not counted where the
+bound of each window there, lowered by their number, is still positive: no region is lost by that.
 
 The benchmark is taken in blocks of bounded size, each against all documents, and each document is
 read once for each block.
 
-Defined cases: null text counts as empty and matches nothing; items shorter than SHORTEST bytes are left out, as they
-can't be told from chance; repeated items count by id; rows without doc_id are left out; repeated rows are judged each;
+Defined cases: null text counts as empty and matches nothing; items shorter than SHORTEST bytes
+contaminate where they occur byte for byte, empty ones nothing; repeated items count by id; rows without doc_id are left out; repeated rows are judged each;
 an empty benchmark contaminates nothing.
 """
 
@@ -23,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, small_batches, texts, with_id
+from shiftlens.llm.common import chunks, ragged, small_batches, texts, with_id
+from shiftlens.llm.substrings import sliding_min
 
 Q, WINDOW, SHORTEST, EDITS = 8, 96, 40, 0.1
 BAND = 16
+#: Places a window's q-grams start at; bytes between items, so that no window holds two.
+SPAN, GAP = WINDOW - Q + 1, 2 * WINDOW
 BLOCK_BYTES = 16 << 20
 COMMON = 12
+POSTINGS = 4 << 20
 BITS = 20
 
 
@@ -51,84 +55,163 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items and where each q-gram occurs in them."""
+    """The text of benchmark items, GAP apart, and where each q-gram occurs in it; a window starts at every byte of an item."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, windows = [], []
+        whole, self.short = [], {}
         for item, text in items:
             raw = normal(text)
-            if len(raw) < SHORTEST:
-                continue
-            size = min(WINDOW, len(raw))
-            for at in sorted({*range(0, len(raw) - size + 1, WINDOW // 2), len(raw) - size}):
-                self.items.append(item)
-                windows.append(np.frombuffer(raw[at : at + size], np.uint8))
-        self.items = np.array(self.items, np.int64)
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.edits = (self.lengths * EDITS).astype(np.int64)
-        self.patterns = np.zeros((len(windows), WINDOW), np.uint8)
-        for i, w in enumerate(windows):
-            self.patterns[i, : len(w)] = w
-        need = self.lengths + 1 - Q * (self.edits + 1)
-        g = np.concatenate([grams(w) for w in windows]) if windows else np.zeros(0, np.uint64)
-        n = self.lengths - Q + 1
-        owner = np.repeat(np.arange(len(windows)), n)
-        place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-        names, number, count = np.unique(g, return_inverse=True, return_counts=True)
-        common = count[number] > COMMON if len(g) else np.zeros(0, bool)
-        lost = np.bincount(owner[common], minlength=len(windows))
+            if len(raw) >= SHORTEST:
+                whole.append((item, np.frombuffer(raw, np.uint8)))
+            elif raw:
+                self.short.setdefault(len(raw), {}).setdefault(raw, []).append(item)
+        self.tails = {size: np.unique(np.concatenate([grams(np.frombuffer(raw[-Q:].ljust(Q, b"\0"), np.uint8)) for raw in own])) for size, own in self.short.items()}
+        self.heads = {size: np.unique(np.concatenate([grams(np.frombuffer(raw[:Q].ljust(Q, b"\0"), np.uint8)) for raw in own])) for size, own in self.short.items()}
+        self.items = np.array([item for item, _ in whole], np.int64)
+        lengths = np.array([len(raw) for _, raw in whole], np.int64)
+        self.starts = np.cumsum(lengths + GAP) - lengths - GAP
+        self.sizes = np.minimum(lengths, WINDOW)
+        self.edits = (self.sizes * EDITS).astype(np.int64)
+        self.lasts = self.starts + lengths - self.sizes
+        self.wide = int((lengths + GAP).sum()) + GAP
+        self.text = np.zeros(self.wide, np.uint8)
+        for at, (_, raw) in zip(self.starts.tolist(), whole):
+            self.text[at : at + len(raw)] = raw
+        place = ragged(self.starts, lengths - Q + 1)
+        g = np.concatenate([grams(raw) for _, raw in whole]) if whole else np.zeros(0, np.uint64)
+        _, number, count = np.unique(g, return_inverse=True, return_counts=True)
+        common = np.zeros(self.wide + 1, np.int64)
+        common[place + 1] = count[number] > COMMON
+        before = np.cumsum(common)
+        # Windows by the place they start at; those that can spare their common q-grams need fewer of the others.
+        first = ragged(self.starts, lengths - self.sizes + 1)
+        size = np.repeat(self.sizes, lengths - self.sizes + 1)
+        need = size + 1 - Q * (np.repeat(self.edits, lengths - self.sizes + 1) + 1)
+        lost = before[first + size - Q + 1] - before[first]
         spared = need - lost >= 1
-        kept = ~(common & spared[owner])
-        self.need = np.where(spared, need - lost, need)
-        order = np.argsort(number[kept], kind="stable")
-        self.owner, self.place = owner[kept][order], place[kept][order]
-        self.grams, self.begin = np.unique(g[kept][order], return_index=True)
-        # np.unique sorts by value, as `number` does, so postings of a gram are one run.
-        self.begin = np.append(self.begin, len(self.owner))
+        # Of the windows that hold a place, the least need, and whether one can't spare its common q-grams.
+        low = np.full(self.wide + SPAN - 1, 1 << 14, np.int16)
+        low[first + SPAN - 1] = np.where(spared, need - lost, need)
+        self.low = sliding_min(low, SPAN)
+        bound = np.zeros(self.wide + SPAN - 1, np.int8)
+        bound[first + SPAN - 1] = np.where(spared, 0, -1)
+        bound = sliding_min(bound, SPAN) < 0
+        kept = ~(common[place + 1] > 0) | bound[place]
+        g, place = g[kept], place[kept]
+        order = np.argsort(g, kind="stable")
+        self.place = place[order]
+        self.grams, self.begin = np.unique(g[order], return_index=True)
+        self.begin = np.append(self.begin, len(self.place))
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[_slot(self.grams)] = True
 
-    def regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) pairs whose shared q-grams meet the bound; band b is the diagonals from (b - 1) BAND to (b + 1) BAND."""
+    def regions(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, band) pairs from which on shared q-grams meet the bound; band b is the diagonals from (b - 1) BAND to (b + 1) BAND."""
+        n = self.begin[slot + 1] - self.begin[slot]
+        place = self.place[np.arange(int(n.sum())) + np.repeat(self.begin[slot] - (np.cumsum(n) - n), n)]
+        band = (np.repeat(at, n) - place + self.wide) // BAND
+        key = np.concatenate([band, band + 1]) * self.wide + np.concatenate([place, place])
+        key = np.unique(key)
+        count = np.searchsorted(key, key + SPAN - 1, "right") - np.arange(len(key))
+        key = key[count >= self.low[key % self.wide]]
+        return key % self.wide, key // self.wide
+
+    def shared(self, data: np.ndarray):
+        """Places of data whose q-gram is in the index, and its number there, in parts of about POSTINGS pairs; parts overlap by more than a match."""
         g = grams(data)
-        none = np.zeros(0, np.int64)
-        if not len(self.grams):
-            return none, none
+        if not len(self.grams) or not len(g):
+            return
         at = np.flatnonzero(self.filter[_slot(g)])
         slot = np.searchsorted(self.grams, g[at])
         same = self.grams[np.minimum(slot, len(self.grams) - 1)] == g[at]
         at, slot = at[same], slot[same]
-        if not len(at):
-            return none, none
-        n = self.begin[slot + 1] - self.begin[slot]
-        posting = np.arange(int(n.sum())) + np.repeat(self.begin[slot] - (np.cumsum(n) - n), n)
-        window = self.owner[posting]
-        band = (np.repeat(at, n) - self.place[posting] + WINDOW) // BAND
-        wide = len(data) // BAND + 16
-        key = np.concatenate([window * wide + band, window * wide + band + 1])
-        key, count = np.unique(key, return_counts=True)
-        key = key[count >= self.need[key // wide]]
-        return key // wide, key % wide
-
-    def verified(self, data: np.ndarray, window: np.ndarray, band: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether each region holds the window within its edit budget; the region is clipped to data[lo:hi], its document."""
+        total = np.cumsum(self.begin[slot + 1] - self.begin[slot])
+        lo = 0
+        while lo < len(at):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + POSTINGS, "right"))
+            hi = max(hi, int(np.searchsorted(at, at[lo] + 4 * WINDOW)))
+            yield at[lo:hi], slot[lo:hi]
+            if hi >= len(at):
+                return
+            lo = int(np.searchsorted(at, at[hi] - 2 * WINDOW))
+
+    def distances(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, band: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least edits of the windows that start at `first`, on the band's diagonals in data[lo:hi], a document."""
         most = int(self.edits.max())
-        first = (band - 1) * BAND - WINDOW - most
+        begin = first + (band - 1) * BAND - self.wide - most
         width = 2 * BAND + 2 * most + 1
-        at = first[:, None] + np.arange(WINDOW + width)
+        at = begin[:, None] + np.arange(WINDOW + width)
         text = np.where((at >= lo[:, None]) & (at < hi[:, None]), data[np.clip(at, 0, len(data) - 1)].astype(np.int16), -1)
-        pattern, length = self.patterns[window], self.lengths[window]
+        pattern = self.text[first[:, None] + np.arange(WINDOW)]
         shift = np.arange(width, dtype=np.int16)
-        cost = np.zeros((len(window), width), np.int16)
-        result = np.full(len(window), 1 << 14, np.int64)
+        cost = np.zeros((len(first), width), np.int16)
+        result = np.full(len(first), 1 << 14, np.int64)
         for i in range(WINDOW):
             row = cost + (text[:, i : i + width] != pattern[:, i : i + 1])
             row[:, :-1] = np.minimum(row[:, :-1], cost[:, 1:] + 1)
             cost = (np.minimum.accumulate(row - shift, axis=1) + shift).astype(np.int16)
-            done = length == i + 1
+            done = size == i + 1
             if done.any():
                 result[done] = cost[done].min(1)
-        return result <= self.edits[window]
+        return result
+
+    def stretches(self, place: np.ndarray, band: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Windows to verify: document, item, band, and the first and the last place they start at."""
+        # A band can touch several short documents: each is judged by itself.
+        low = place + (band - 1) * BAND - self.wide
+        first = np.maximum(np.searchsorted(starts, low, "right") - 1, 0)
+        last = np.searchsorted(starts, low + 2 * BAND, "right") - 1
+        n = np.maximum(last - first + 1, 0)
+        doc = ragged(first, n)
+        place, band = np.repeat(place, n), np.repeat(band, n)
+        item = np.searchsorted(self.starts, place, "right") - 1
+        enough = sizes[doc] >= self.sizes[item] - self.edits[item]
+        place, band, doc, item = place[enough], band[enough], doc[enough], item[enough]
+        order = np.lexsort((place, item, band, doc))
+        place, band, doc, item = place[order], band[order], doc[order], item[order]
+        lo, hi = np.maximum(place - SPAN + 1, self.starts[item]), np.minimum(place, self.lasts[item])
+        new = np.ones(len(place), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (band[1:] != band[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1] + 1)
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(place)) - 1
+        return doc[at], item[at], band[at], lo[at], hi[end if len(at) else at]
+
+    def verify(self, data: np.ndarray, place: np.ndarray, band: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: list[set[int]]) -> None:
+        """Add to out the items of which some window is in a document within its edit budget.
+
+        Windows k bytes apart differ by k edits at most on the same diagonals, so one with d edits too many shows that the next d - 1 don't match."""
+        doc, item, band, at, end = self.stretches(place, band, starts, sizes)
+        while len(at):
+            good = np.zeros(len(at), bool)
+            step = np.zeros(len(at), np.int64)
+            for part in np.array_split(np.arange(len(at)), -(-len(at) // 2000)):
+                d, i = doc[part], item[part]
+                over = self.distances(data, at[part], self.sizes[i], band[part], starts[d], starts[d] + sizes[d]) - self.edits[i]
+                good[part], step[part] = over <= 0, np.maximum(over, 1)
+            for d, i in zip(doc[good].tolist(), self.items[item[good]].tolist()):
+                out[d].add(i)
+            at = at + step
+            pair = doc * len(self.items) + item
+            left = (at <= end) & ~np.isin(pair, pair[good])
+            doc, item, band, at, end = doc[left], item[left], band[left], at[left], end[left]
+
+    def exact(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: list[set[int]]) -> None:
+        """Add to out the items of less than SHORTEST bytes that a document holds byte for byte."""
+        if not self.short:
+            return
+        raw = data.tobytes()
+        g = grams(np.concatenate([data, np.zeros(Q, np.uint8)]))
+        for size, own in self.short.items():
+            if size < Q:
+                at = np.flatnonzero(np.isin(g & np.uint64((1 << 8 * size) - 1), self.heads[size]))
+            else:
+                at = np.flatnonzero(np.isin(g[: len(data) - size + Q], self.heads[size]))
+                at = at[at + size <= len(data)]
+                at = at[np.isin(g[at + size - Q], self.tails[size])]
+            doc = np.searchsorted(starts, at, "right") - 1
+            inside = at + size <= starts[doc] + sizes[doc]
+            for d, p in zip(doc[inside].tolist(), at[inside].tolist()):
+                out[d].update(own.get(raw[p : p + size], ()))
 
     def matches(self, raw: list[bytes]) -> list[list[int]]:
         """For each normal text, the items that contaminate it, sorted."""
@@ -136,22 +219,11 @@ class Index:
         data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
         sizes = np.array([len(r) for r in raw], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        window, band = self.regions(data)
-        for part in np.array_split(np.arange(len(window)), -(-len(window) // 2000)) if len(window) else ():
-            w, b = window[part], band[part]
-            low, high = (b - 1) * BAND - WINDOW - int(self.edits.max()), (b + 1) * BAND + int(self.edits.max())
-            # A band can touch several short documents: each is judged by itself.
-            first = np.searchsorted(starts, np.maximum(low, 0), "right") - 1
-            last = np.searchsorted(starts, np.minimum(high, len(data) - 1), "right") - 1
-            n = np.maximum(last - first + 1, 1)
-            doc = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-            w, b = np.repeat(w, n), np.repeat(b, n)
-            enough = sizes[doc] >= self.lengths[w] - self.edits[w]
-            w, b, doc = w[enough], b[enough], doc[enough]
-            if len(w):
-                good = self.verified(data, w, b, starts[doc], starts[doc] + sizes[doc])
-                for d, item in zip(doc[good].tolist(), self.items[w[good]].tolist()):
-                    out[d].add(item)
+        for at, slot in self.shared(data):
+            place, band = self.regions(at, slot)
+            if len(place):
+                self.verify(data, place, band, starts, sizes, out)
+        self.exact(data, starts, sizes, out)
         return [sorted(x) for x in out]
 
 

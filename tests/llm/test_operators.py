@@ -293,3 +293,20 @@ def test_decontamination(spark, docs, empty):
     kept = {r.doc_id for r in decontam.decontaminate(both, bench).collect()}
     assert kept == {i for i, x in got.items() if not x}
     assert decontam.contamination(empty, bench).count() == 0 and not decontam.contamination(docs, bench.limit(0)).where("contaminated").count()
+
+
+def test_decontamination_from_every_start():
+    item = decontam.normal(prose(70, 70))[:300]
+    index = decontam.Index([(1, item.decode()), (2, "only short")])
+    rng = np.random.default_rng(4)
+    passages = [item[k : k + 96] for k in range(205)]
+    assert index.matches([b"0123456789 " + p + b" 9876543210" for p in passages]) == [[1]] * 205
+    near = []
+    for p in passages[::12]:
+        raw = bytearray(p)
+        for at in rng.choice(96, 9 + len(near) % 4, replace=False):
+            raw[at] = 48
+        near.append(bytes(raw))
+    want = [[1] if any(edit_distance_inside(item[k : k + 96], t) <= 9 for k in range(max(0, 12 * j - 12), min(205, 12 * j + 13))) else [] for j, t in enumerate(near)]
+    assert index.matches(near) == want and [1] in want and [] in want
+    assert index.matches([b"x only short y", b"only  short", b"short", b"only", b"short"]) == [[2], [], [], [], []]
