@@ -310,3 +310,35 @@ def test_decontamination_from_every_start():
     want = [[1] if any(edit_distance_inside(item[k : k + 96], t) <= 9 for k in range(max(0, 12 * j - 12), min(205, 12 * j + 13))) else [] for j, t in enumerate(near)]
     assert index.matches(near) == want and [1] in want and [] in want
     assert index.matches([b"x only short y", b"only  short", b"short", b"only", b"short"]) == [[2], [], [], [], []]
+
+
+def keys(seed, n, size, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(chars), size)) for _ in range(n)]
+
+
+def key_corpus(spark):
+    rng = np.random.default_rng(8)
+    words = ["information", "wonderful", "understand", "mountains", "government", "yesterday", "beautiful", "different", "something", "interesting", "experience", "everything"]
+    prose = lambda n: " ".join(rng.choice(WORDS + words, n))
+    rows = [(1000 + i, f"{prose(12)} api_key={k} {prose(8)}") for i, k in enumerate(keys(1, 300, 36))]
+    rows += [(3000 + i, f"{prose(12)} ghp_{k} {prose(8)}") for i, k in enumerate(keys(2, 60, 36))]
+    rows += [(5000 + i, prose(30)) for i in range(400)] + [(9000 + i, "secret=" + "a1B2" * 9) for i in range(4000)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_secrets_without_keyword(spark):
+    corpus = key_corpus(spark)
+    net = secrets.fit(corpus)
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(corpus.where("doc_id < 9000"), net).collect()}
+    assert sum("model" in found[3000 + i] for i in range(60)) >= 54
+    assert sum("model" in found[5000 + i] for i in range(400)) <= 8
+
+
+def test_secret_threshold_reaches_recall():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(1, 6, (900, secrets.WIDTH))
+    labels = (rng.random(900) < 0.3).astype(int)
+    net = secrets.train(codes, labels)
+    kept = np.random.default_rng(5).permutation(900)[2::3]
+    assert (net.probability(codes[kept][labels[kept] > 0]) >= net.threshold).mean() >= 0.95
