@@ -16,6 +16,7 @@ stored each, ordered by text.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -114,14 +115,21 @@ def unpack(data: bytes, offsets, escapes, n: int) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of whole texts by a tokenizers.Tokenizer: each distinct word is encoded once and kept while at most CACHE are."""
+    """Ids of whole texts by a tokenizers.Tokenizer as loaded: each distinct word is encoded once and kept while at most CACHE are.
+
+    Texts are first cut at the tokenizer's added tokens, each of which is a word of its own. A text that holds an added token with
+    conditions on its surroundings goes to the tokenizer as a whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.bound = [t.content for t in added if t.single_word or t.lstrip or t.rstrip]
+        self.added = [t.content for t in added]
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.splitter = Splitter(pattern)
         self.clear()
 
@@ -131,11 +139,23 @@ class WordCache:
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def words(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            return self.splitter(text)
+        out = []
+        for k, part in enumerate(self.cut.split(text)):
+            out += [part] if k % 2 else self.splitter(part)
+        return out
+
     def encode(self, text_list: list[str]) -> list[np.ndarray]:
+        whole = {i for i, t in enumerate(text_list) if any(b in t for b in self.bound)} if self.bound else ()
+        if whole:
+            rest = iter(self.encode([t for i, t in enumerate(text_list) if i not in whole]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else next(rest) for i, t in enumerate(text_list)]
         if len(self.slots) > CACHE:
             self.clear()
         known, slots = len(self.slots), self.slots
-        numbers = [np.array(list(map(slots.__getitem__, self.splitter(t))), np.int64) for t in text_list]
+        numbers = [np.array(list(map(slots.__getitem__, self.words(t))), np.int64) for t in text_list]
         if len(slots) > known:
             fresh = [e.ids for e in self.tokenizer.encode_batch_fast(list(slots)[known:], add_special_tokens=False)]
             sizes = np.array([len(x) for x in fresh], np.int64)
