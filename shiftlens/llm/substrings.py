@@ -137,6 +137,11 @@ def _bucket(splitters: tuple[np.ndarray, np.ndarray], key: np.ndarray, second: n
     return lo
 
 
+def spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of stretches of 4,096 bytes of a document: known repeats of one key are dealt evenly by it."""
+    return mix64(mix64(doc.astype(np.uint64)) + (at.astype(np.uint64) >> np.uint64(12)))
+
+
 FOUND = "kind int, doc_id long, at long, n long"
 
 
@@ -153,7 +158,7 @@ def _found(kind, doc, at, n):
 
 
 def suffix_rows(docs: DataFrame, length: int, splitters=None) -> DataFrame:
-    """Rows (bucket, kind, token, whole, doc_id, at, n); kind 1: a repeat known already, bucketed only to pass on."""
+    """Rows (bucket, kind, token, whole, doc_id, at, n); kind 1: a repeat known already, dealt by its place and not by its keys."""
 
     def made(batches):
         for batch in chunks(batches, "text", 1 << 20):
@@ -163,7 +168,7 @@ def suffix_rows(docs: DataFrame, length: int, splitters=None) -> DataFrame:
             order, head, later = _repeats((token, whole), doc, at)
             order, kind = order[head | later], np.where(head, 0, 1)[head | later]
             token, whole, doc, at, n = (x[order] for x in (token, whole, doc, at, n))
-            bucket = _bucket(splitters, token, whole) if splitters else np.zeros(len(doc), np.int64)
+            bucket = np.where(kind == 1, (spread(doc, at) % np.uint64(len(splitters[0]) + 1)).astype(np.int64), _bucket(splitters, token, whole)) if splitters else np.zeros(len(doc), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket.astype(np.int32)), pa.array(kind, pa.int32()), pa.array(token.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["bucket", "kind", "token", "whole", "doc_id", "at", "n"],
@@ -238,7 +243,7 @@ def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, bucket
             doc = ids[doc]
             order, head, later = _repeats((value,), doc, offset)
             order, kind = order[head | later], np.where(head, 0, 1)[head | later]
-            value = value[order]
+            value = np.where(kind == 1, spread(doc[order], offset[order]), value[order])
             place = np.where(kind == 1, -1 - offset[order], offset[order])  # a repeat known already is negative
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(doc[order], pa.int64()), pa.array(place.astype(np.int32))], names=["value", "doc_id", "at"])
 

@@ -373,3 +373,10 @@ def test_token_files_added_tokens(spark, tmp_path):
     coder.save(own)
     mixed = ["one <pad> two", f"<pad>x {end}", "none", end]
     assert [x.tolist() for x in tokens.WordCache(own, P.PATTERN).encode(mixed)] == [coder.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
+def test_known_repeats_are_spread(spark):
+    many = spark.createDataFrame([(i, ("ab" * 2500)) for i in range(30)], "doc_id long, text string").coalesce(1)
+    splitters = (np.arange(1, 8, dtype=np.uint64) << np.uint64(61), np.zeros(7, np.uint64))
+    sizes = [r[1] for r in substrings.suffix_rows(many, 100, splitters).where("kind = 1").groupBy("bucket").count().collect()]
+    assert sum(sizes) > 50_000 and len(sizes) == 8 and max(sizes) < sum(sizes) // 2
