@@ -1,7 +1,8 @@
 """Byte-level BPE by Spark's higher-order functions.
 
 Texts are split into words in bulk; each chunk of documents keeps its distinct words once, in short
-rows, and refers to them by number. A character of U+0000 to U+00FF stands for a byte. A higher-order fold then merges each distinct word by
+rows, and refers to them by number. Words that are frequent in a bounded sample are folded once beforehand and broadcast (at
+most DICTIONARY words of at most LONG bytes); all others are folded with their chunk. A character of U+0000 to U+00FF stands for a byte. A higher-order fold then merges each distinct word by
 rank: the state is the array of pieces and the ranks of neighbouring pairs, the rank map is a literal
 of the plan (small buckets of tokens and ranks, addressed by CRC-32). Decoding concatenates the binary pieces of
 the ids. No row is shuffled.
@@ -19,8 +20,12 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 import zlib
 from array import array
+from collections import Counter
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ LONG = 200
 #: Characters of a chunk, distinct words of a row and words of the documents of a row.
 CHUNK = 64 << 20
 ROW_WORDS, ROW_TOKENS = 256, 1 << 20
+#: Documents sampled for the dictionary of frequent words, and its most words.
+SAMPLE, DICTIONARY = 20_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,94 +143,184 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """For each chunk of documents first its distinct words, in rows of ROW_WORDS, then its documents with words by number.
+@dataclass
+class Dictionary:
+    """Frequent words and what the fold makes of them. Every worker holds it once; it changes no result."""
+
+    words: list[str]
+    n: list[int]
+    said: list[str]
+    raw: list[bytes]
+
+
+_NUMBERED: dict[int, dict[str, int]] = {}
+
+
+def _numbered(key: int, dictionary: Dictionary) -> dict[str, int]:
+    """The worker's own numbering of a dictionary; a worker is used for task after task."""
+    if key not in _NUMBERED:
+        _NUMBERED.clear()
+        _NUMBERED[key] = {word: i for i, word in enumerate(dictionary.words)}
+    return _NUMBERED[key]
+
+
+def _coded(ranks: dict[bytes, int], words: str) -> Column:
+    """For each word of the column (characters for bytes; null: null) the number of ids, the ids as text and the decoded
+    bytes, all by higher-order functions."""
+
+    def all_words(table: Column, pieces: Column) -> Column:
+        return F.transform(
+            words,
+            lambda w: F.when(w.isNotNull(), _let(encode_word(w, table), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), decode_ids(ids, pieces).alias("bytes")))),
+        )
+
+    # Both literals are bound once for each row.
+    return _let(F.struct(rank_literal(ranks).alias("table"), piece_literal(ranks).alias("pieces")), lambda t: all_words(t["table"], t["pieces"]))
+
+
+def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, sample: int = SAMPLE, size: int = DICTIONARY) -> Dictionary:
+    """The `size` most frequent words of about `sample` documents, encoded by the same fold as all others. It only saves work:
+    a word that isn't here is encoded with its chunk, so the sample has no bearing on any result."""
+    docs = with_id(docs, "doc_id", "text")
+    every = max(1, docs.count() // max(1, sample))
+
+    def count(batches):
+        splitter, found = Splitter(pattern), Counter()
+        for batch in chunks(batches, "text", 1 << 20):
+            for text in texts(batch.column("text")):
+                found.update(splitter(text))
+        words = list(found)
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[w] for w in part], pa.int64())], names=["word", "n"])
+
+    counted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(count, "word string, n long")
+    counted = counted.where(F.octet_length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "word").limit(size).select("word", F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("w"))
+    rows = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, size // ROW_WORDS))).alias("g")).agg(F.collect_list("word").alias("words"), F.collect_list("w").alias("w"))
+    got = rows.select("words", _coded(ranks, "w").alias("coded")).toArrow()
+    out = Dictionary([], [], [], [])
+    for words, coded in zip(got.column("words").chunks, got.column("coded").chunks):
+        flat = coded.flatten()
+        out.words += words.flatten().to_pylist()
+        for values, name in ((out.n, "n"), (out.said, "ids"), (out.raw, "bytes")):
+            values += flat.field(name).to_pylist()
+    return out
+
+
+SPLIT = "ids array<long>, counts binary, numbers binary, words array<string>, long_words array<binary>, sizes binary, parts binary"
+
+
+def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=None) -> DataFrame:
+    """For each chunk of documents first its distinct words beyond the dictionary's, in rows of ROW_WORDS, then its distinct pieces as
+    word numbers, then its documents as piece numbers. A piece is a stretch that no word crosses.
 
     A long word is null among the words of its row and listed beside them."""
     small_batches(docs.sparkSession)
 
     def split(batches):
         splitter = Splitter(pattern)
-        seen = Numbers()
+        base = _numbered(dictionary.id, dictionary.value) if dictionary else {}
+        seen, pieces = Numbers(base), Numbers()
         ids, counts, numbers, size = [], [], array("i"), 0
 
         def rows():
-            raw = [word.encode() for word in seen]
+            sizes, parts = array("i"), array("i")
+            for key in pieces:
+                words = splitter.words_of(key)
+                sizes.append(len(words))
+                parts.extend(map(seen.__getitem__, words))
+            raw = [word.encode() for word in islice(seen, len(base), None)]
             for lo in range(0, len(raw), ROW_WORDS):
                 part = raw[lo : lo + ROW_WORDS]
-                yield row([], [], [], [w.decode("latin-1") if len(w) <= LONG else None for w in part], [w for w in part if len(w) > LONG])
-            index, done, first = np.frombuffer(numbers, np.int32), 0, 0
-            ends = np.cumsum(counts)
-            while first < len(ids):
+                yield row(words=[w.decode("latin-1") if len(w) <= LONG else None for w in part], far=[w for w in part if len(w) > LONG])
+            yield from cut([], sizes, parts, lambda _, n, index: row(sizes=n, parts=index))
+            yield from cut(ids, counts, numbers, lambda own, n, index: row(own, n, index))
+
+        def cut(own, counts, numbers, made):
+            """Rows of about ROW_TOKENS numbers."""
+            counts, index, done, first = np.array(counts, np.int32), np.frombuffer(numbers, np.int32), 0, 0
+            ends = np.cumsum(counts, dtype=np.int64)
+            while first < len(counts):
                 to = max(first + 1, int(np.searchsorted(ends, done + ROW_TOKENS, "right")))
-                yield row(ids[first:to], counts[first:to], index[done : ends[to - 1]], [], [])
+                yield made(own[first:to], counts[first:to], index[done : ends[to - 1]])
                 first, done = to, int(ends[to - 1])
 
-        def row(ids, counts, index, words, far):
+        def row(ids=(), counts=(), index=(), words=(), far=(), sizes=(), parts=()):
+            packed = lambda values: pa.array([np.array(values, np.int32).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()), pa.array([np.array(index, np.int32).tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string())), pa.array([far], pa.list_(pa.binary()))],
-                names=["ids", "counts", "numbers", "words", "long_words"],
+                [pa.array([list(ids)], pa.list_(pa.int64())), packed(counts), packed(index), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(far)], pa.list_(pa.binary())), packed(sizes), packed(parts)],
+                names=["ids", "counts", "numbers", "words", "long_words", "sizes", "parts"],
             )
 
         for batch in chunks(batches, "text", 1 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                words = splitter(text)
-                numbers.extend(map(seen.__getitem__, words))
-                ids.append(doc_id), counts.append(len(words))
+                keys = splitter.pieces(text)
+                numbers.extend(map(pieces.__getitem__, keys))
+                ids.append(doc_id), counts.append(len(keys))
                 size += len(text)
             if size >= chunk:
                 yield from rows()
-                seen.clear()
+                seen, pieces = Numbers(base), Numbers()
                 ids, counts, numbers, size = [], [], array("i"), 0
         if ids:
             yield from rows()
 
-    return with_id(docs, "doc_id", "text").mapInArrow(split, "ids array<long>, counts binary, numbers binary, words array<string>, long_words array<binary>")
+    return with_id(docs, "doc_id", "text").mapInArrow(split, SPLIT)
 
 
 def encode_chunks(split: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds, for each distinct word, the number of ids, the ids as text and the decoded bytes, all by higher-order functions."""
-
-    def all_words(table: Column, pieces: Column) -> Column:
-        return F.transform(
-            "words",
-            lambda w: F.when(w.isNotNull(), _let(encode_word(w, table), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), decode_ids(ids, pieces).alias("bytes")))),
-        )
-
-    # Both literals are bound once for each row.
-    coded = _let(F.struct(rank_literal(ranks).alias("table"), piece_literal(ranks).alias("pieces")), lambda t: all_words(t["table"], t["pieces"]))
-    return split.select("ids", "counts", "numbers", "long_words", coded.alias("coded"))
+    """Adds, for each distinct word, the number of ids, the ids as text and the decoded bytes."""
+    return split.select("ids", "counts", "numbers", "long_words", "sizes", "parts", _coded(ranks, "words").alias("coded"))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every document."""
-    coded = encode_chunks(split_chunks(docs, pattern, chunk), ranks)
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, ranks, pattern))
+    coded = encode_chunks(split_chunks(docs, pattern, chunk, _Shared(known)), ranks)
     small_batches(docs.sparkSession)
 
     def assemble(batches):
         back = {rank: token for token, rank in ranks.items()}
-        # Rows arrive in the order in which the splitting wrote them: a chunk's words, then its documents.
-        said, raw, n, complete = [], [], [], False
+        base = known.value
+        # Rows arrive in the order in which the splitting wrote them: a chunk's words, its pieces, its documents.
+        words = pieces = None
+        complete = True
         for batch in batches:
             for at in range(batch.num_rows):
-                words = batch.column("coded")[at].values
-                if len(words):
-                    if complete:
-                        said, raw, n, complete = [], [], [], False
+                coded = batch.column("coded")[at].values
+                ids = batch.column("ids")[at].values
+                if complete and not len(ids):
+                    words, pieces, complete = (list(base.n), list(base.said), list(base.raw)), ([], [], []), False
+                if len(coded):
                     far = (merge_long(w, ranks) for w in batch.column("long_words")[at].as_py())
-                    parts = [words.field(name).to_pylist() for name in ("n", "ids", "bytes")]
-                    for known, count, text, data in zip(words.is_valid().to_pylist(), *parts):
-                        if not known:
-                            ids = next(far)
-                            count, text, data = len(ids), ",".join(map(str, ids)), b"".join(back[i] for i in ids)
-                        n.append(count), said.append(text), raw.append(data)
+                    parts = [coded.field(name).to_pylist() for name in ("n", "ids", "bytes")]
+                    for known_word, *values in zip(coded.is_valid().to_pylist(), *parts):
+                        if not known_word:
+                            own = next(far)
+                            values = len(own), ",".join(map(str, own)), b"".join(back[i] for i in own)
+                        for column, value in zip(words, values):
+                            column.append(value)
+                    continue
+                read = lambda name: np.frombuffer(batch.column(name)[at].as_py(), np.int32)
+                if not len(ids):
+                    n, said, raw = words
+                    index, end = read("parts").tolist(), 0
+                    for size in read("sizes").tolist():
+                        own = index[end : end + size]
+                        end += size
+                        if size == 1:
+                            i = own[0]
+                            pieces[0].append(n[i]), pieces[1].append(said[i]), pieces[2].append(raw[i])
+                        else:
+                            pieces[0].append(sum([n[i] for i in own]))
+                            pieces[1].append(",".join([said[i] for i in own])), pieces[2].append(b"".join([raw[i] for i in own]))
                     continue
                 complete = True
-                each = np.array(n, np.int64)
-                ids = batch.column("ids")[at].values.to_numpy()
-                counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int32)
-                numbers = np.frombuffer(batch.column("numbers")[at].as_py(), np.int32)
-                ends = np.cumsum(counts)
+                _, said, raw = pieces
+                each = np.array(pieces[0], np.int64)
+                ids, counts, numbers = ids.to_numpy(), read("counts"), read("numbers")
+                ends = np.cumsum(counts, dtype=np.int64)
                 sums = np.zeros(len(numbers) + 1, np.int64)
                 np.cumsum(each[numbers], out=sums[1:])
                 totals = sums[ends] - sums[ends - counts]
@@ -231,10 +328,21 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                     rows = []
                     for doc, end, count, total in zip(ids[lo : lo + 500].tolist(), ends[lo : lo + 500].tolist(), counts[lo : lo + 500].tolist(), totals[lo : lo + 500].tolist()):
                         own = numbers[end - count : end].tolist()
-                        text = ",".join([said[i] for i in own])
+                        text = ",".join([x for i in own if (x := said[i])])  # an empty piece has no ids
                         rows.append((doc, total, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[i] for i in own])).hexdigest(), text if with_ids else None))
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     out = coded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
     return out.withColumn("ids", F.filter(F.split("ids", ","), lambda x: x != "").cast("array<int>")) if with_ids else out.drop("ids")
+
+
+class _Shared:
+    """A broadcast dictionary and a number that tells it from others in the same worker."""
+
+    def __init__(self, held):
+        self.held, self.id = held, uuid.uuid4().int
+
+    @property
+    def value(self) -> Dictionary:
+        return self.held.value

@@ -48,7 +48,7 @@ def release(spark: SparkSession) -> None:
 
 
 class Numbers(dict):
-    """Numbers keys by first use."""
+    """Numbers keys by first use, after those that it begins with."""
 
     def __missing__(self, key):
         self[key] = number = len(self)

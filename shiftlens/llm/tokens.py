@@ -16,8 +16,8 @@ stored each, ordered by text.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.common import Numbers, chunks, ragged, small_batches, texts, with_id, written
-from shiftlens.llm.pieces import Splitter
+from shiftlens.llm.pieces import Splitter, key_text
 
 #: Ids in a word and their width, by selector; selector 0 is the escape.
 PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 BLOCK = 1 << 13
 SEGMENT = 1 << 17
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def pack_block(ids: np.ndarray) -> np.ndarray:
@@ -114,22 +114,16 @@ def unpack(data: bytes, offsets, escapes, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class WordCache:
-    """Ids of whole texts by a tokenizers.Tokenizer as loaded: each distinct word is encoded once and kept while at most CACHE are.
-
-    Texts are first cut at the tokenizer's added tokens, each of which is a word of its own. A text that holds an added token with
-    conditions on its surroundings goes to the tokenizer as a whole."""
+class PieceCache:
+    """Ids of whole texts by a tokenizers.Tokenizer as loaded: each distinct piece (a stretch that no word crosses) is encoded once and
+    kept while at most CACHE are. A text that holds one of the tokenizer's added tokens goes to the tokenizer as a whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.bound = [t.content for t in added if t.single_word or t.lstrip or t.rstrip]
-        self.added = [t.content for t in added]
-        longest = sorted(self.added, key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Splitter(pattern)
         self.clear()
 
@@ -139,40 +133,43 @@ class WordCache:
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def words(self, text: str) -> list[str]:
-        if not any(t in text for t in self.added):
-            return self.splitter(text)
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else self.splitter(part)
-        return out
+    def learn(self, known: int) -> None:
+        """Ids of all pieces from number `known` on."""
+        fresh = [key_text(key) for key in islice(self.slots, known, None)]
+        parts, sizes = [self.flat], []
+        for lo in range(0, len(fresh), 20_000):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[lo : lo + 20_000], add_special_tokens=False)]
+            sizes += map(len, coded)
+            parts.append(np.fromiter(chain.from_iterable(coded), np.uint32))
+        sizes = np.array(sizes, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate(parts)
 
     def encode(self, text_list: list[str]) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(text_list) if any(b in t for b in self.bound)} if self.bound else ()
-        if whole:
-            rest = iter(self.encode([t for i, t in enumerate(text_list) if i not in whole]))
-            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else next(rest) for i, t in enumerate(text_list)]
         if len(self.slots) > CACHE:
             self.clear()
-        known, slots = len(self.slots), self.slots
-        numbers = [np.array(list(map(slots.__getitem__, self.words(t))), np.int64) for t in text_list]
-        if len(slots) > known:
-            fresh = [e.ids for e in self.tokenizer.encode_batch_fast(list(slots)[known:], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in fresh], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.array([i for x in fresh for i in x], np.uint32)])
-        return [self.flat[ragged(self.starts[x], self.sizes[x])] for x in numbers]
+        known, number = len(self.slots), self.slots.__getitem__
+        out: list[np.ndarray] = []
+        for text in text_list:
+            if any(t in text for t in self.added):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            keys = self.splitter.pieces(text)
+            out.append(np.fromiter(map(number, keys), np.int64, len(keys)))
+        if len(self.slots) > known:
+            self.learn(known)
+        return [x if x.dtype == np.uint32 else self.flat[ragged(self.starts[x], self.sizes[x])] for x in out]
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[tuple[str, str], PieceCache] = {}
 
 
-def _cache(path: str, pattern: str) -> WordCache:
+def _cache(path: str, pattern: str) -> PieceCache:
     """The worker's cache; a worker is used for task after task."""
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path, pattern)
-    return _CACHES[path]
+    if (path, pattern) not in _CACHES:
+        _CACHES[path, pattern] = PieceCache(path, pattern)
+    return _CACHES[path, pattern]
 
 
 SEGMENTS = "shard int, seq int, first_id long, doc_ids array<long>, counts array<long>, offsets array<long>, escapes array<int>, data binary"

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 
 from shiftlens.llm import bpe, chat, decontam, media, neardup, quality, secrets, substrings, tokens, urls
 
@@ -155,6 +156,32 @@ def test_byte_bpe(docs, empty):
     assert bpe.encode_documents(empty, ranks, P.PATTERN).count() == 0
 
 
+def test_pieces_hold_whole_words():
+    """Cutting before single spaces changes no match of the pattern."""
+    import random
+
+    from shiftlens.llm.pieces import Splitter, key_text
+
+    splitter, rng = Splitter(P.PATTERN), random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "é", "ж", "7", "'s", "'", " ", " ", "\n", "\t", "\u3000", "\xa0", "\x1f", "²", ",", " b"]) for _ in range(rng.randrange(12)))
+        keys = splitter.pieces(text)
+        assert [w for k in keys for w in splitter.words_of(k)] == splitter(text)
+        assert "".join(w for k in keys for w in splitter.words_of(k)) == text
+        assert all(k.startswith("\ud800") or key_text(k)[0] == " " for k in keys)
+
+
+def test_dictionary_changes_no_result(spark, docs):
+    """Words of the sample's dictionary and words of a chunk are the same: with and without it, ids agree with the library."""
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    known = bpe.frequent_words(docs, ranks, P.PATTERN, size=20)
+    assert 0 < len(known.words) <= 20
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for word, n, said, raw in zip(known.words, known.n, known.said, known.raw):
+        ids = coder.encode_ordinary(word)
+        assert (n, said, raw) == (len(ids), ",".join(map(str, ids)), word.encode())
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame([(1, "http://a.b.example.com/x", 5), (2, "http://u:p@A.b.example.com:80/", 15), (3, "https://other.org", 5), (4, None, 5), (5, "not a url", 5), (6, "http://a.b.example.com", None), (7, "http://a.b.example.com/x", 25)], "page_id long, url string, day int")
     entries = spark.createDataFrame([("b.example.com", "add", 10), ("b.example.com", "remove", 20), ("other.org", "add", 5), ("other.org", "remove", 5), (None, "add", 1)], "pattern string, action string, day int")
@@ -180,7 +207,6 @@ def test_token_files(docs, empty):
 
     path = P.path("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
     rows = sorted(tokens.read_tokens(tokens.write_tokens(docs, path, P.PATTERN)).collect(), key=lambda r: r.start)
     texts, at = plain(), 0
     assert [r.doc_id for r in rows] == sorted([*texts, 12])
@@ -191,6 +217,18 @@ def test_token_files(docs, empty):
     assert tokens.read_tokens(tokens.write_tokens(empty, path, P.PATTERN)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    """Texts that hold the tokenizer's own added token are encoded as the library does when loaded."""
+    from tokenizers import Tokenizer
+
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    coder, texts = Tokenizer.from_file(path), [f"hello {end} world", end, f"a  {end}{end}b ", "plain words ", "", None, "tail \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tokens.read_tokens(tokens.write_tokens(docs, path, P.PATTERN)).collect():
+        ids = np.array(coder.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(7)
     for ids in (np.zeros(0, np.uint64), np.zeros(1000, np.uint64), rng.integers(0, 2, 500).astype(np.uint64), rng.integers(0, 50_000, 20_000).astype(np.uint64), np.array([1, 1 << 63, 5, (1 << 60) - 1, 1 << 60], np.uint64), (2.0 ** rng.integers(0, 40, 9000)).astype(np.uint64)):
@@ -372,7 +410,7 @@ def test_token_files_added_tokens(spark, tmp_path):
     own = str(tmp_path / "own.json")
     coder.save(own)
     mixed = ["one <pad> two", f"<pad>x {end}", "none", end]
-    assert [x.tolist() for x in tokens.WordCache(own, P.PATTERN).encode(mixed)] == [coder.encode(t, add_special_tokens=False).ids for t in mixed]
+    assert [x.tolist() for x in tokens.PieceCache(own, P.PATTERN).encode(mixed)] == [coder.encode(t, add_special_tokens=False).ids for t in mixed]
 
 
 def test_known_repeats_are_spread(spark):
