@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Numbers, chunks, small_batches, texts, with_id
+from shiftlens.llm.common import Numbers, chunks, texts, with_id
 from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
@@ -216,7 +216,6 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=N
     word numbers, then its documents as piece numbers. A piece is a stretch that no word crosses.
 
     A long word is null among the words of its row and listed beside them."""
-    small_batches(docs.sparkSession)
 
     def split(batches):
         splitter = Splitter(pattern)
@@ -278,7 +277,6 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every document."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, ranks, pattern))
     coded = encode_chunks(split_chunks(docs, pattern, chunk, _Shared(known)), ranks)
-    small_batches(docs.sparkSession)
 
     def assemble(batches):
         back = {rank: token for token, rank in ranks.items()}

@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import small_batches
 
 SENTINEL = "\x1a"
 
@@ -66,7 +65,6 @@ def _ordered(turns: DataFrame) -> DataFrame:
 
 def segments(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Three segments for each turn (prefix, text, suffix) in order; valid: the turns so far keep to the machine's order."""
-    small_batches(turns.sparkSession)
 
     def emit(batches):
         conv, state, number, valid = None, None, 0, True

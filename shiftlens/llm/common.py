@@ -55,11 +55,6 @@ class Numbers(dict):
         return number
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; reads no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -94,6 +89,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as one block: all first bytes of a column, all second bytes, and so on, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def unplaned(block: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    """The columns of a block of n rows."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    data = np.frombuffer(pa.decompress(block, n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind)[:, 0])
+        at += n * size
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, ragged, small_batches, texts, with_id
+from shiftlens.llm.common import chunks, ragged, texts, with_id
 from shiftlens.llm.substrings import sliding_min
 
 Q, WINDOW, SHORTEST, EDITS = 8, 96, 40, 0.1
@@ -239,7 +239,6 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items and items (ids, joined by commas) of every document."""
-    small_batches(docs.sparkSession)
     out = with_id(docs, "doc_id", "text").withColumn("items", F.lit("").cast("string"))
     for index in blocks(benchmark, block_bytes):
         out = out.mapInArrow(_adder(docs.sparkSession.sparkContext.broadcast(index)), "doc_id long, text string, items string")
@@ -259,7 +258,6 @@ def _adder(shared):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    small_batches(docs.sparkSession)
     out = with_id(docs)
 
     def cleaner(shared):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, small_batches, texts, with_id
+from shiftlens.llm.common import chunks, texts, with_id
 
 WIDTH, HEIGHT, DELAY = 192, 128, 4
 #: Literal codes between two clear codes, so that codes stay 9 bits wide.
@@ -208,7 +208,6 @@ FRAME_SCHEMA = "frame int, start_ms long, duration_ms long, width int, height in
 
 def gif_frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row for each frame of each GIF: time, size and the colour histogram of the screen; one row with an error for a broken stream."""
-    small_batches(media.sparkSession, 64)
 
     def rows(batches):
         for batch in batches:
@@ -233,7 +232,6 @@ def payload(text: str) -> tuple[bytes, int]:
 
 def encode_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the stored GIF of each text."""
-    small_batches(docs.sparkSession)
 
     def stored(batches):
         for batch in chunks(batches, "text", 2 << 20):

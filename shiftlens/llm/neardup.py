@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, release, small_batches, utf8, with_id, written
+from shiftlens.llm.common import chunks, fits_broadcast, mix64, release, utf8, with_id, written
 
 BANDS, ROWS = 50, 6
 HASHES = BANDS * ROWS
@@ -113,7 +113,6 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
 
 def features(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, and the signature of every document."""
-    small_batches(docs.sparkSession)
 
     def made(batches):
         for batch in chunks(batches, "text", 1 << 20):

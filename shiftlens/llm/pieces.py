@@ -38,11 +38,16 @@ class Splitter:
         return parts
 
     def words_of(self, key: str) -> list[str]:
+        if key.isalpha():  # letters, as \p{L}: one match
+            return [" " + key]
+        if key[-1:] in _STOPS and key[:-1].isalpha():
+            return [" " + key[:-1], key[-1]]
         return self(key_text(key))
 
 
 #: No text can hold it: texts are valid UTF-8.
 MARK = "\ud800"
+_STOPS = (",", ".", ";", ":", "!", "?")
 #: A space before other white space (or what some engines take for it): there a match may hold several of them.
 _AWKWARD = [" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"]
 _WIDE = re.compile(" [\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fit_logistic, sigmoid, small_batches, utf8, with_id
+from shiftlens.llm.common import chunks, fit_logistic, sigmoid, utf8, with_id
 
 SAMPLE = 3000
 TRAIN_TEXT, TRAIN_LINES = 1 << 16, 400
@@ -220,7 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def add_scores(docs: DataFrame, model: Model, column: str = "__score") -> DataFrame:
     """All columns of docs and the score of each text."""
-    small_batches(docs.sparkSession)
     docs = with_id(docs)
 
     def scored(batches):

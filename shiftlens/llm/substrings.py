@@ -1,17 +1,20 @@
 """Removal of repeated byte strings with a sampled suffix array.
 
-A byte is removed if a string of `length` bytes that covers it also starts earlier in the corpus. Places are grouped
-into suffixes that begin at the same content-defined token: the token of a place is the TOKEN-byte token of least hash
-inside its window (the leftmost of equals), so equal windows have equal tokens at equal distances, and neighbouring
-places mostly share one. A suffix row is the run of places that share one token at one place: its leading key is the token, the next key a hash of all
-windows of the run. Sampled splitters (of both keys) range-partition the rows; each bucket sorts its rows by
-multikey quicksort. Of rows with equal keys all but the first are repeats. Rows that share only the token, or
-whose token is a splitter's, so that its rows may continue across a bucket's boundary, are compared window by
-window in a second, smaller round of the same kind.
-
-Before any shuffle each chunk of documents keeps only its first row of equal keys; later ones are repeats already.
-
-Windows are compared by 64-bit hashes (and their token, 64 bits more, in the first round).
+A byte is removed if a string of `length` bytes that covers it also starts earlier in the corpus. The suffix array is sampled at
+content-defined anchors: the anchor of a place is the TOKEN-byte token of least hash inside its window (the leftmost of
+equals), so equal windows have equal tokens at equal distances, and neighbouring places mostly share one. A suffix row is
+the run of places that share one anchor: where it starts, how many places, the leading bytes of the suffix at the anchor, and
+hashes of its token, of all its windows, and of the bytes on either side of the token.
+
+Sampled splitters range-partition the rows by the leading bytes of their suffixes (then by the hashes, so that one hot token may
+take many ranges); a range is a task. Each bucket sorts by multikey quicksort. Of rows that are equal in all keys all but
+the first are repeats. Neighbours that share a token without being equal may still share windows: they are kept for a
+second round if the bytes on one side agree, too (every window reaches HALF bytes beyond its token on one of them). A token that
+a splitter cuts goes on in the next bucket, so all its rows are kept: this is the comparison across boundaries. The
+second round compares these rows window by window, by two independent 64-bit hashes, in buckets of hash ranges.
+
+Before any shuffle, each FLUSH of rows keeps only its first row of equal keys; later ones are repeats already, and are merged into
+runs of neighbouring places and dealt by place. Rows travel in blocks, one for each bucket, column by column and byte by byte.
 
 Defined cases: null text counts as empty; texts shorter than `length` keep every byte; rows without doc_id are left out; rows that
 repeat a doc_id have equal places, and equal places don't repeat each other.
@@ -26,38 +29,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, ragged, release, small_batches, utf8, with_id, written
+from shiftlens.llm.common import chunks, fits_broadcast, mix64, planes, ragged, release, unplaned, utf8, with_id, written
 
 TOKEN = 32
 SAMPLE_DOCS, SAMPLE_ROWS = 2000, 100_000
 BROADCAST_ROWS = 300_000
+#: Rows that a task holds before it sends them, and rows that a bucket is meant to hold.
+FLUSH, BUCKET_ROWS = 1 << 18, 1 << 20
+#: Bytes of a document that are looked at together.
+STEP = 1 << 21
+#: Rows up to which a segment is sorted whole.
+SEGMENT = 1 << 14
 _TABLE = np.random.default_rng(9).integers(1, 1 << 63, 256).astype(np.uint64)
-_B = 0x9E3779B97F4A7C15
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_B, n, 1 << 64))
+def _power(n: int, base: int) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
 
 
-def string_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the TOKEN-byte string and of the `length`-byte string at each place."""
-    have = {1: _TABLE[data]}
-    size = 1
-    while size * 2 <= length:
+def string_hashes(data: np.ndarray, sizes: list[int], base: int = _BASES[0]) -> list[np.ndarray]:
+    """For each size the hashes of the strings of so many bytes at each place."""
+    have, size = {1: _TABLE[data]}, 1
+    while size * 2 <= max(sizes):
         x = have[size]
-        have[size * 2] = x[:-size] * _power(size) + x[size:] if len(x) > size else x[:0]
+        have[size * 2] = x[:-size] * _power(size, base) + x[size:] if len(x) > size else x[:0]
         size *= 2
-    out, done = None, 0
-    for size in sorted(have, reverse=True):
-        if length & size:
-            x = have[size]
-            if out is None:
-                out = x
-            else:
+    out = []
+    for want in sizes:
+        whole, done = None, 0
+        for size in sorted(have, reverse=True):
+            if want & size:
+                x = have[size]
                 n = max(0, len(data) - done - size + 1)
-                out = out[:n] * _power(size) + x[done : done + n]
-            done += size
-    return mix64(have[TOKEN]), out
+                whole = x[:n] if whole is None else whole[:n] * _power(size, base) + x[done : done + n]
+                done += size
+        out.append(np.zeros(len(data) + 1, np.uint64) if whole is None else whole)
+    return out
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -72,19 +80,30 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs(data: np.ndarray, starts: np.ndarray, length: int):
-    """Suffix rows of a chunk: token, hash of the run, document (place in the chunk), offset and number of places."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    token, window = string_hashes(data, length)
-    # The upper half of a token's hash decides, then the leftmost place: both follow from the window alone.
-    spot = (token >> np.uint64(32) << np.uint64(32)) | np.arange(len(token), dtype=np.uint64)
-    anchor = (sliding_min(spot, length - TOKEN + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+#: A suffix row: leading bytes, token, all windows, sides, document, offset, number of places.
+KINDS = [np.uint64, np.uint64, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.int32]
+NONE = [np.zeros(0, k) for k in KINDS]
+
+
+def _side(hashes: np.ndarray, at: np.ndarray, reached: np.ndarray) -> np.ndarray:
+    """1 to 65535 by the string at `at` where a window reaches it, else 0."""
+    out = np.zeros(len(at), np.uint16)
+    out[reached] = mix64(hashes[at[reached]]) % np.uint64(65535) + np.uint64(1)
+    return out
+
+
+def runs(data: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Suffix rows of a chunk (KINDS); a document is its place in the chunk."""
     sizes = np.maximum(np.diff(starts) - length + 1, 0)
     place = ragged(starts[:-1], sizes)
     if not len(place):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return NONE
+    half = (length - TOKEN) // 2
+    token, beside, window = string_hashes(data, [TOKEN, half, length])
+    token = mix64(token)
+    # The upper half of a token's hash decides, then the leftmost place: both follow from the window alone.
+    spot = (token >> np.uint64(32) << np.uint64(32)) | np.arange(len(token), dtype=np.uint64)
+    anchor = (sliding_min(spot, length - TOKEN + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     chosen = anchor[place]
     new = np.ones(len(place), bool)
@@ -93,26 +112,40 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int):
     n = np.diff(np.append(first, len(place)))
     value = window[place]
     whole = np.add.reduceat(value * (value >> np.uint64(31) | np.uint64(1)), first) + value[first] * np.uint64(3) + n.astype(np.uint64)
-    return token[chosen[first]], mix64(whole), doc[first], place[first] - starts[doc[first]], n
+    at, begin, doc = chosen[first], place[first], doc[first]
+    far = at - begin  # how far the first window of the run lies ahead of its token
+    left, right = _side(beside, at - half, far >= half), _side(beside, at + TOKEN, far - n + 1 < half)
+    return [leading(data, at), token[at] & np.uint64((1 << 40) - 1), mix64(whole), left, right, doc, begin - starts[doc], n.astype(np.int32)]
+
+
+def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of the suffixes at these places, as numbers in the order of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
+    return out
 
 
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
-    """Order by the first key, then, only among rows that are equal so far, by the next ones."""
-    order = np.argsort(keys[0], kind="stable")
-    equal = np.zeros(len(order), bool)  # equal to the row before in all keys so far
-    equal[1:] = keys[0][order[1:]] == keys[0][order[:-1]]
-    for key in keys[1:]:
-        tied = equal.copy()
-        tied[:-1] |= equal[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(~equal)[at]
-        rows = order[at]
-        order[at] = rows[np.lexsort((key[rows], group))]
-        again = np.zeros(len(order), bool)
-        again[1:] = key[order[1:]] == key[order[:-1]]
-        equal &= again
+    """Multikey quicksort: rows are split by a pivot of their first key into less, equal and greater; equal ones go on with the next
+    key. Segments of at most SEGMENT rows are sorted at once by the keys that are left."""
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == len(keys):
+            continue
+        rows = order[lo:hi]
+        if hi - lo <= SEGMENT:
+            order[lo:hi] = rows[np.lexsort([k[rows] for k in keys[:depth:-1]] + [keys[depth][rows]])]
+            continue
+        key = keys[depth][rows]
+        pivot = np.sort(key[:: len(key) // 255])[127]
+        less, equal = key < pivot, key == pivot
+        parts = rows[less], rows[equal], rows[~(less | equal)]
+        order[lo:hi] = np.concatenate(parts)
+        a, b = lo + len(parts[0]), hi - len(parts[2])
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
     return order
 
 
@@ -129,12 +162,18 @@ def _repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray):
     return order, head, later
 
 
-def _bucket(splitters: tuple[np.ndarray, np.ndarray], key: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """How many splitters (pairs) are at most (key, second)."""
-    lo, hi = np.searchsorted(splitters[0], key, "left"), np.searchsorted(splitters[0], key, "right")
-    for i in np.flatnonzero(lo < hi):
-        lo[i] += np.searchsorted(splitters[1][lo[i] : hi[i]], second[i], "right")
-    return lo
+def _bucket(splitters: tuple[np.ndarray, ...], *keys: np.ndarray) -> np.ndarray:
+    """How many splitters are at most the keys of each row, in the order of the first key, then of the next ones."""
+    lo, hi = np.searchsorted(splitters[0], keys[0], "left"), np.searchsorted(splitters[0], keys[0], "right")
+    tied = np.flatnonzero(lo < hi)
+    if len(tied) and len(keys) > 1:
+        begin, end = lo[tied], hi[tied]
+        for a in np.unique(begin).tolist():  # rows whose first key is a splitter's
+            rows = tied[begin == a]
+            b = int(end[begin == a][0])
+            lo[rows] = a + _bucket(tuple(s[a:b] for s in splitters[1:]), *(k[rows] for k in keys[1:]))
+        return lo
+    return hi
 
 
 def spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -143,75 +182,145 @@ def spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 FOUND = "kind int, doc_id long, at long, n long"
+BLOCKS = "bucket int, known int, n int, block binary"
 
 
-def _gather(batches, names):
-    columns = [[] for _ in names]
-    for batch in batches:
-        for c, name in zip(columns, names):
-            c.append(batch.column(name).to_numpy())
-    return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+def _found(kind, doc, at, n):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind), pa.int32()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["kind", "doc_id", "at", "n"])
+
+
+def merged(doc: np.ndarray, at: np.ndarray, n: np.ndarray):
+    """Runs of places, with neighbouring and overlapping ones joined."""
+    if not len(doc):
+        return doc, at, n
+    order = np.lexsort((at, doc))
+    doc, at, end = doc[order], at[order], (at + n)[order]
+    # Ends grow within a document where runs don't lie inside each other; the running maximum makes sure of it.
+    shift = np.cumsum(np.append(False, doc[1:] != doc[:-1])) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.ones(len(doc), bool)
+    new[1:] = (at + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], at[first], (reach[last] - shift[last]) - at[first]
 
 
-def _found(kind, doc, at, n):
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["kind", "doc_id", "at", "n"])
+def _blocks(bucket: np.ndarray, known: int, columns: list[np.ndarray]):
+    """Batches with a block of the rows of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for at in range(0, len(first), 64):
+        lo, hi = first[at : at + 64], np.append(first, len(bucket))[at + 1 : at + 65]
+        data = [planes(*(c[a:b] for c in columns)) for a, b in zip(lo, hi)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(np.full(len(lo), known, np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "known", "n", "block"])
 
 
-def suffix_rows(docs: DataFrame, length: int, splitters=None) -> DataFrame:
-    """Rows (bucket, kind, token, whole, doc_id, at, n); kind 1: a repeat known already, dealt by its place and not by its keys."""
+def _gather(batches, kinds):
+    """All rows of a bucket: those to compare, and the runs that are repeats already."""
+    rows, known = [], []
+    for batch in batches:
+        for is_known, n, block in zip(batch.column("known").to_pylist(), batch.column("n").to_pylist(), batch.column("block")):
+            (known if is_known else rows).append(unplaned(block.as_buffer(), n, RUN if is_known else kinds))
+    join = lambda parts, kinds: [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
+    return join(rows, kinds), join(known, RUN)
+
+
+RUN = [np.int64, np.int64, np.int64]
+
+
+def _sent(keys: list[np.ndarray], more: list[np.ndarray], n: np.ndarray, bucket, buckets: int):
+    """Blocks of the first row of equal keys (more: other columns, the last two document and offset), and of the runs of the others."""
+    order, head, later = _repeats(tuple(keys), *more[-2:])
+    again = order[later & ~head]
+    order = order[head]
+    yield from _blocks(bucket(*(k[order] for k in keys)), 0, [c[order] for c in (*keys, *more, *([n] if n is not None else []))])
+    doc, at, size = merged(more[-2][again], more[-1][again], n[again].astype(np.int64) if n is not None else np.ones(len(again), np.int64))
+    yield from _blocks((spread(doc, at) % np.uint64(buckets)).astype(np.int64), 1, [doc, at, size])
+
+
+def chunk_rows(batches, length: int, rows: int = FLUSH):
+    """Suffix rows of about `rows` at a time."""
+    held, size = [], 0
+    for batch in chunks(batches, "text", 1 << 20):
+        ids = batch.column("doc_id").to_numpy().astype(np.int64)
+        data, starts = utf8(batch.column("text"))
+        # A chunk is one long document, or all of it is short. A run that is cut here is compared in the second round.
+        for lo in range(0, len(data), STEP) if len(ids) == 1 else (0,):
+            part, bounds = (data[lo : lo + STEP + length - 1], None) if len(ids) == 1 else (data, starts)
+            own = runs(part, np.array([0, len(part)]) if bounds is None else bounds, length)
+            if len(own[0]):
+                own[5], own[6] = ids[own[5]], own[6] + lo
+                held.append(own)
+                size += len(own[0])
+            if size >= rows:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def suffix_rows(docs: DataFrame, length: int, splitters, buckets: int) -> DataFrame:
+    """Blocks of suffix rows by bucket; known: runs that are repeats already, dealt by place and not by their keys."""
 
     def made(batches):
-        for batch in chunks(batches, "text", 1 << 20):
-            ids = batch.column("doc_id").to_numpy()
-            token, whole, doc, at, n = runs(*utf8(batch.column("text")), length)
-            doc = ids[doc] if len(doc) else doc
-            order, head, later = _repeats((token, whole), doc, at)
-            order, kind = order[head | later], np.where(head, 0, 1)[head | later]
-            token, whole, doc, at, n = (x[order] for x in (token, whole, doc, at, n))
-            bucket = np.where(kind == 1, (spread(doc, at) % np.uint64(len(splitters[0]) + 1)).astype(np.int64), _bucket(splitters, token, whole)) if splitters else np.zeros(len(doc), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array(kind, pa.int32()), pa.array(token.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["bucket", "kind", "token", "whole", "doc_id", "at", "n"],
-            )
-
-    return docs.mapInArrow(made, "bucket int, kind int, token long, whole long, doc_id long, at int, n int")
-
-
-def sample_splitters(docs: DataFrame, length: int, buckets: int):
-    """Splitters from the rows of about SAMPLE_DOCS documents, at most SAMPLE_ROWS rows."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
+        for lead, token, whole, left, right, doc, at, n in chunk_rows(batches, length):
+            yield from _sent([lead, token, whole], [left, right, doc, at], n, lambda *keys: _bucket(splitters, *keys), buckets)
+
+    return docs.mapInArrow(made, BLOCKS)
+
+
+def sample_splitters(docs: DataFrame, length: int, least: int):
+    """Splitters from the rows of about SAMPLE_DOCS documents, at most SAMPLE_ROWS rows, and the number of buckets: `least`,
+    or as many as the estimated number of rows asks for."""
+    total = docs.count()
+    every = max(1, total // SAMPLE_DOCS)
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = suffix_rows(part, length).select("token", "whole").orderBy(F.xxhash64("token", "whole")).limit(SAMPLE_ROWS).collect()
-    token, whole = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (0, 1))
-    order = multikey_order(token, whole)
+
+    def made(batches):
+        for lead, token, whole, *_ in chunk_rows(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (lead, token, whole)], names=["lead", "token", "whole"])
+
+    sample = written(part.mapInArrow(made, "lead long, token long, whole long").distinct(), "sample")
+    n = sample.count()
+    buckets = max(least, n * every // BUCKET_ROWS + 1)
+    got = sample.orderBy(F.xxhash64("token", "whole")).limit(SAMPLE_ROWS).toArrow()
+    keys = [got.column(c).to_numpy().view(np.uint64) for c in ("lead", "token", "whole")]
+    order = multikey_order(*keys)
     at = order[np.linspace(0, len(order) - 1, buckets + 1).astype(int)[1:-1]] if len(order) else order
-    return token[at], whole[at]
+    return tuple(k[at] for k in keys), buckets
 
 
-def sorted_buckets(rows: DataFrame, splitters, buckets: int) -> DataFrame:
+def sorted_buckets(blocks: DataFrame, splitters, buckets: int) -> DataFrame:
     """Kind 1: repeats. Kind 2: rows to compare window by window. Rows that need neither are gone."""
 
     def local(batches):
-        kind, token, whole, doc, at, n = _gather(batches, ["kind", "token", "whole", "doc_id", "at", "n"])
-        if not len(kind):
-            return
-        known = kind == 1
-        yield _found(np.ones(int(known.sum()), np.int32), doc[known], at[known], n[known])
-        token, whole, doc, at, n = (x[~known] for x in (token.view(np.uint64), whole.view(np.uint64), doc, at, n))
-        if not len(token):
-            return
-        order, head, later = _repeats((token, whole), doc, at)
+        (lead, token, whole, left, right, doc, at, n), known = _gather(batches, KINDS)
+        n = n.astype(np.int64)
+        order, head, later = _repeats((lead, token, whole), doc, at)
         repeat = order[later & ~head]
-        yield _found(np.ones(len(repeat), np.int32), doc[repeat], at[repeat], n[repeat])
+        yield _found(1, *merged(*(np.concatenate([a, b]) for a, b in zip(known, (doc[repeat], at[repeat], n[repeat])))))
         rest = order[head]
-        change = np.ones(len(rest), bool)
-        change[1:] = token[rest[1:]] != token[rest[:-1]]
-        group = np.cumsum(change) - 1
-        mixed = (np.bincount(group)[group] > 1) | np.isin(token[rest], splitters[0])
+        if not len(rest):
+            return
+        new = np.ones(len(rest), bool)
+        new[1:] = (lead[rest[1:]] != lead[rest[:-1]]) | (token[rest[1:]] != token[rest[:-1]])
+        group = np.cumsum(new) - 1
+        mixed = np.zeros(len(rest), bool)
+        for side in (left, right):
+            own = np.flatnonzero(side[rest] > 0)
+            key = group[own] * 65536 + side[rest[own]]
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            mixed[own] |= count[back] > 1
+        # A token that a splitter cuts has rows in the next bucket, too.
+        for k in range(len(splitters[0])):
+            a, b = np.searchsorted(lead[rest], splitters[0][k], "left"), np.searchsorted(lead[rest], splitters[0][k], "right")
+            mixed[a:b] |= token[rest[a:b]] == splitters[1][k]
         rest = rest[mixed]
-        yield _found(np.full(len(rest), 2, np.int32), doc[rest], at[rest], n[rest])
+        yield _found(2, doc[rest], at[rest], n[rest])
 
-    return rows.repartition(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
+    return blocks.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -223,61 +332,57 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, buckets: int) -> DataFrame:
     """Repeats among the windows of the given runs."""
     lists = runs_to_compare.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    # Ranges of this hash are of equal weight, so buckets are its upper bits.
+    kinds = [np.uint64, np.uint64, np.int64, np.int64]
 
-    def made(batches):
+    def windows(batches):
         for batch in chunks(batches, "text", 1 << 20):
             data, starts = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id").to_numpy().astype(np.int64)
             lists = batch.column("runs")
             flat = lists.flatten()
-            count = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(ids)), count)
+            owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
             at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
-            if not len(at):
-                continue
-            _, window = string_hashes(data, length)
-            doc = np.repeat(owner, n)
-            offset = ragged(at, n)
-            value = window[starts[doc] + offset]
-            doc = ids[doc]
-            order, head, later = _repeats((value,), doc, offset)
-            order, kind = order[head | later], np.where(head, 0, 1)[head | later]
-            value = np.where(kind == 1, spread(doc[order], offset[order]), value[order])
-            place = np.where(kind == 1, -1 - offset[order], offset[order])  # a repeat known already is negative
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(doc[order], pa.int64()), pa.array(place.astype(np.int32))], names=["value", "doc_id", "at"])
+            # The bytes of the runs, one after the other, are hashed; a window never leaves its run's bytes.
+            size = n.astype(np.int64) + length - 1
+            group = np.cumsum(size) // STEP
+            for g in np.unique(group).tolist():
+                own = slice(*np.searchsorted(group, [g, g + 1]))
+                part = data[ragged(starts[owner[own]] + at[own], size[own])]
+                place = ragged(np.cumsum(size[own]) - size[own], n[own])
+                one, two = (mix64(string_hashes(part, [length], base)[0][place]) for base in _BASES)
+                yield one, two, np.repeat(ids[owner[own]], n[own]), ragged(at[own], n[own])
+
+    def made(batches):
+        held, size = [], 0
+        bucket = lambda one, two: (one >> np.uint64(40)).astype(np.int64) * buckets >> 24
+        send = lambda: _sent(*(lambda one, two, doc, at: ([one, two], [doc, at]))(*(np.concatenate(c) for c in zip(*held))), None, bucket, buckets)
+        for rows in windows(batches):
+            held.append(rows)
+            size += len(rows[0])
+            if size >= 2 * FLUSH:
+                yield from send()
+                held, size = [], 0
+        if held:
+            yield from send()
 
     def local(batches):
-        value, doc, at = _gather(batches, ["value", "doc_id", "at"])
-        if not len(value):
-            return
-        known = at < 0
-        at = np.where(known, -1 - at, at)
-        order, head, later = _repeats((value[~known],), doc[~known], at[~known])
+        (one, two, doc, at), known = _gather(batches, kinds)
+        order, head, later = _repeats((one, two), doc, at)
         repeat = order[later & ~head]
-        doc, at = np.concatenate([doc[known], doc[~known][repeat]]), np.concatenate([at[known], at[~known][repeat]]).astype(np.int64)
-        # Places that follow one another are one row.
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        if len(doc):
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
-            yield _found(np.ones(len(first), np.int32), doc[first], at[first], at[last] - at[first] + 1)
+        found = doc[repeat], at[repeat], np.ones(len(repeat), np.int64)
+        yield _found(1, *merged(*(np.concatenate([a, b]) for a, b in zip(known, found))))
 
-    rows = _with_lists(docs, lists, "inner").select("doc_id", "text", "runs").mapInArrow(made, "value long, doc_id long, at int")
-    return rows.repartition(buckets, F.shiftrightunsigned("value", 40)).mapInArrow(local, FOUND)
+    rows = _with_lists(docs, lists, "inner").select("doc_id", "text", "runs").mapInArrow(made, BLOCKS)
+    return rows.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
 
 
 def repeated_places(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, at, n): places at .. at + n - 1 of a document start a string that also starts earlier. Written."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = with_id(docs, "doc_id", "text")
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    splitters = sample_splitters(docs, length, buckets)
-    found = written(sorted_buckets(suffix_rows(docs, length, splitters), splitters, buckets), "suffixes")
+    least = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    splitters, buckets = sample_splitters(docs, length, least)
+    found = written(sorted_buckets(suffix_rows(docs, length, splitters, buckets), splitters, buckets), "suffixes")
     release(spark)
     windows = written(window_rows(docs, found.where("kind = 2"), length, buckets), "windows")
     release(spark)
@@ -298,13 +403,14 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 if not places.is_valid or not len(places.values):
                     rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                     continue
-                at, n = places.values.field("at").to_numpy(), places.values.field("n").to_numpy()
-                change = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + n + length - 1, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone]).hexdigest()))
+                at, n = (places.values.field(name).to_numpy() for name in ("at", "n"))
+                _, at, n = merged(np.zeros(len(at), np.int64), at, n + length - 1)
+                digest, kept = hashlib.sha256(), 0
+                for begin, end in zip(at.tolist(), (at + n).tolist()):
+                    digest.update(raw[kept:begin])
+                    kept = end
+                digest.update(raw[kept:])
+                rows.append((len(raw), int(n.sum()), len(at), digest.hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

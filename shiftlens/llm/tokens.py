@@ -25,51 +25,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Numbers, chunks, ragged, small_batches, texts, with_id, written
-from shiftlens.llm.pieces import Splitter, key_text
+from shiftlens.llm.common import Numbers, chunks, ragged, texts, with_id, written
+from shiftlens.llm.pieces import Splitter
 
 #: Ids in a word and their width, by selector; selector 0 is the escape.
 PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 BLOCK = 1 << 13
 SEGMENT = 1 << 17
-CACHE = 1_000_000
+PIECES, WORDS = 500_000, 1_000_000
+
+
+#: Widths from narrow to wide, and by number of ids in a word the selector and how many widths are wide enough for it.
+_WIDTHS = [width for _, width in PACKINGS.values()]
+_BY_COUNT = {count: s for s, (count, _) in PACKINGS.items()}
 
 
 def pack_block(ids: np.ndarray) -> np.ndarray:
     """Words of one block, then its escapes."""
     n = len(ids)
-    ids = ids.astype(np.uint64)
-    best, selector = np.ones(n, np.int64), np.full(n, 14, np.uint8)
-    escaped = ids >= np.uint64(1 << 60)
-    selector[escaped] = 0
-    for s in range(13, 0, -1):  # more ids in a word, each narrower: what fails here fails further on
-        count, width = PACKINGS[s]
-        narrow = np.concatenate([ids < np.uint64(1 << width), np.ones(count, bool)])
-        fits = narrow[:n].copy()
-        for k in range(1, count):
-            fits &= narrow[k : k + n]
-            if not fits.any():
+    if not n:
+        return np.zeros(0, np.uint64)
+    # How many of the widths are too narrow for each id; beyond the block everything fits.
+    need = np.zeros(n + 60, np.uint8)
+    small = ids.astype(np.uint32) if ids.dtype.itemsize <= 4 or not (ids >> np.uint64(32)).any() else ids.astype(np.uint64)
+    for width in _WIDTHS:
+        if width < 8 * small.itemsize:
+            need[:n] += small >= small.dtype.type(1 << width)
+    selector, widest = np.full(n, 14, np.uint8), need[:n].copy()
+    selector[widest == len(_WIDTHS)] = 0
+    for count in range(2, 61):  # widest: over the next `count` ids
+        np.maximum(widest, need[count - 1 : count - 1 + n], out=widest)
+        if count in _BY_COUNT:
+            s = _BY_COUNT[count]
+            fits = widest < s
+            if not fits.any():  # more ids in a word, each narrower, can't fit either
                 break
-        if not fits.any():
-            break
-        best[fits], selector[fits] = count, s
-    at, heads, jump = 0, [], best.tolist()
+            np.putmask(selector, fits, s)
+    at, heads, jump = 0, [], _COUNT[selector].tolist()
     while at < n:
         heads.append(at)
         at += jump[at]
     heads = np.array(heads, np.int64)
-    chosen = selector[heads] if n else np.zeros(0, np.uint8)
+    chosen = selector[heads]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
-    for s in np.unique(chosen):
+    padded = np.zeros(n + 60, np.uint64)
+    padded[:n] = ids
+    for s in np.unique(chosen).tolist():
         rows = np.flatnonzero(chosen == s)
         if s == 0:
             words[rows] |= np.arange(len(rows), dtype=np.uint64)
             continue
-        count, width = PACKINGS[int(s)]
+        count, width = PACKINGS[s]
+        first, packed = heads[rows], words[rows]
         for k in range(count):
-            words[rows] |= padded[heads[rows] + k] << np.uint64(k * width)
-    return np.concatenate([words, ids[heads[chosen == 0]]])
+            packed |= padded[first + k] << np.uint64(k * width)
+        words[rows] = packed
+    return np.concatenate([words, padded[heads[chosen == 0]]])
 
 
 _COUNT = np.array([1] + [PACKINGS[s][0] for s in range(1, 15)] + [0], np.int64)
@@ -114,9 +125,25 @@ def unpack(data: bytes, offsets, escapes, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+class Ragged:
+    """Sequences of ids by number, in one flat array."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def append(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.starts[numbers], self.sizes[numbers])]
+
+
 class PieceCache:
-    """Ids of whole texts by a tokenizers.Tokenizer as loaded: each distinct piece (a stretch that no word crosses) is encoded once and
-    kept while at most CACHE are. A text that holds one of the tokenizer's added tokens goes to the tokenizer as a whole."""
+    """Ids of whole texts by a tokenizers.Tokenizer as loaded. Texts are cut into pieces that no word crosses, and those into words;
+    each distinct word is encoded once. At most about PIECES pieces and WORDS words are kept. A text that holds one of the
+    tokenizer's added tokens goes to the tokenizer as a whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,31 +152,29 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Splitter(pattern)
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots = Numbers()
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.pieces, self.piece_ids = Numbers(), Ragged()
+        self.words, self.word_ids = Numbers(), Ragged()
 
     def learn(self, known: int) -> None:
         """Ids of all pieces from number `known` on."""
-        fresh = [key_text(key) for key in islice(self.slots, known, None)]
-        parts, sizes = [self.flat], []
-        for lo in range(0, len(fresh), 20_000):
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[lo : lo + 20_000], add_special_tokens=False)]
-            sizes += map(len, coded)
-            parts.append(np.fromiter(chain.from_iterable(coded), np.uint32))
-        sizes = np.array(sizes, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate(parts)
+        if len(self.words) > WORDS:
+            self.words, self.word_ids = Numbers(), Ragged()
+        known_words = len(self.words)
+        parts = [self.splitter.words_of(key) for key in islice(self.pieces, known, None)]
+        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
+        own = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(n_words.sum()))
+        if len(self.words) > known_words:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(list(islice(self.words, known_words, None)), add_special_tokens=False)]
+            self.word_ids.append(np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(chain.from_iterable(coded), np.uint32))
+        sums = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(self.word_ids.sizes[own], out=sums[1:])
+        ends = np.cumsum(n_words)
+        self.piece_ids.append(sums[ends] - sums[ends - n_words], self.word_ids[own])
 
     def encode(self, text_list: list[str]) -> list[np.ndarray]:
-        if len(self.slots) > CACHE:
-            self.clear()
-        known, number = len(self.slots), self.slots.__getitem__
+        if len(self.pieces) > PIECES:
+            self.pieces, self.piece_ids = Numbers(), Ragged()
+        known, number = len(self.pieces), self.pieces.__getitem__
         out: list[np.ndarray] = []
         for text in text_list:
             if any(t in text for t in self.added):
@@ -157,9 +182,9 @@ class PieceCache:
                 continue
             keys = self.splitter.pieces(text)
             out.append(np.fromiter(map(number, keys), np.int64, len(keys)))
-        if len(self.slots) > known:
+        if len(self.pieces) > known:
             self.learn(known)
-        return [x if x.dtype == np.uint32 else self.flat[ragged(self.starts[x], self.sizes[x])] for x in out]
+        return [x if x.dtype == np.uint32 else self.piece_ids[x] for x in out]
 
 
 _CACHES: dict[tuple[str, str], PieceCache] = {}
@@ -177,7 +202,6 @@ SEGMENTS = "shard int, seq int, first_id long, doc_ids array<long>, counts array
 
 def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2) -> DataFrame:
     """Encode every text, append end_id, and write segments in ascending doc_id order; returns the stored table."""
-    small_batches(docs.sparkSession)
     ordered = with_id(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def segments(batches):
@@ -211,7 +235,6 @@ def read_tokens(stored: DataFrame) -> DataFrame:
     for row in totals:  # one small row for each shard, that is for each task of the writer
         base[row.shard] = at
         at += row.n
-    small_batches(stored.sparkSession, 16)
 
     def read(batches):
         for batch in batches:

@@ -413,8 +413,51 @@ def test_token_files_added_tokens(spark, tmp_path):
     assert [x.tolist() for x in tokens.PieceCache(own, P.PATTERN).encode(mixed)] == [coder.encode(t, add_special_tokens=False).ids for t in mixed]
 
 
-def test_known_repeats_are_spread(spark):
+def test_known_repeats_are_merged_and_spread(spark):
     many = spark.createDataFrame([(i, ("ab" * 2500)) for i in range(30)], "doc_id long, text string").coalesce(1)
-    splitters = (np.arange(1, 8, dtype=np.uint64) << np.uint64(61), np.zeros(7, np.uint64))
-    sizes = [r[1] for r in substrings.suffix_rows(many, 100, splitters).where("kind = 1").groupBy("bucket").count().collect()]
-    assert sum(sizes) > 50_000 and len(sizes) == 8 and max(sizes) < sum(sizes) // 2
+    splitters = np.arange(1, 8, dtype=np.uint64) << np.uint64(61), np.zeros(7, np.uint64), np.zeros(7, np.uint64)
+    rows = substrings.suffix_rows(many, 100, splitters, 8).collect()
+    known = [r for r in rows if r.known]
+    assert sum(r.n for r in rows if not r.known) < 2000 and 30 <= sum(r.n for r in known) < 400 and len({r.bucket for r in known}) > 4
+
+
+def test_a_long_text_is_cut_in_steps(spark, monkeypatch):
+    """Runs that a step cuts are compared window by window."""
+    rng = np.random.default_rng(4)
+    part = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    same = part(3000)
+    texts = {1: part(700) + same, 2: part(1501) + same + part(300) + same[:1200], 3: same[50:160]}
+    monkeypatch.setattr(substrings, "STEP", 1024)
+    ids, seen, want = [], set(), {}
+    for i, text in texts.items():
+        gone = set()
+        for k in range(len(text) - 99):
+            if text[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(text[k : k + 100])
+        want[i] = len(gone)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substrings)
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == want
+    finally:
+        cloudpickle.unregister_pickle_by_value(substrings)
+
+
+def test_merged_runs():
+    doc, at, n = (np.array(x) for x in zip((1, 5, 3), (1, 8, 2), (0, 0, 4), (1, 20, 1), (1, 6, 1), (2, 0, 9), (2, 3, 2)))
+    assert [x.tolist() for x in substrings.merged(doc, at, n)] == [[0, 1, 1, 2], [0, 5, 20, 0], [4, 5, 1, 9]]
+
+
+def test_one_group_of_many_equal_texts(spark):
+    """10,000 equal texts over 7 buckets: the first stays, every other one goes whole."""
+    text = "".join(chr(97 + i * i % 23) for i in range(131)) + "".join(map(chr, np.random.default_rng(2).integers(97, 123, 200)))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        docs = spark.range(10_000).selectExpr("id as doc_id", f"'{text}' as text").repartition(9)
+        got = substrings.remove_repeats(docs).groupBy("n_removed").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.n_removed, r["count"]) for r in got)[-1] == (len(text), 9_999) and len(got) == 2
