@@ -24,12 +24,17 @@ def with_id(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, the warehouse; only a local session may use a
+    temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if spark.sparkContext.master.startswith("local"):
+        return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+    return spark.conf.get("spark.sql.warehouse.dir") + "/shiftlens-work"
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader has been written itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver find that shuffles behind a written table are no longer needed, so that executors delete their files.
     To be called where no variable holds the DataFrame that was written."""

@@ -1,13 +1,15 @@
 """Media columns: GIF images as binary columns.
 
 `decode` reads a whole GIF stream: LZW code streams, global and local palettes, interlace, transparency
-and the disposal rules, giving timed frames on the logical screen. `encode` writes 8-bit indexed
-frames without loss. `gif_frames` explodes a binary column into a row per frame with its time and
-a colour histogram; `store_texts` is the payload round trip over documents.
+and the disposal rules, giving timed frames on the logical screen. `encode` writes 8-bit grey samples
+without loss: LZW with its string table, a palette of each frame's own colours (so that codes are as narrow as these allow),
+transparent pixels where a frame mostly shows what was there before, and the disposal that this asks for. `gif_frames`
+explodes a binary column into a row per frame with its time and a colour histogram; `store_texts` is the payload round trip over
+documents.
 
 Defined cases: null text or null media counts as empty; an empty text is one row of spaces; a stream that
-is not a whole GIF gives no frames (its error is in the row); rows without doc_id are left out;
-repeated rows are handled each; equal texts give equal values.
+is not a whole GIF, has no colour table or a screen of more than MOST_PIXELS gives no frames (its error is in the row); rows
+without doc_id are left out; repeated rows are handled each; equal texts give equal values.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from shiftlens.llm.common import chunks, texts, with_id
 
 WIDTH, HEIGHT, DELAY = 192, 128, 4
-#: Literal codes between two clear codes, so that codes stay 9 bits wide.
-RUN = 253
+#: Pixels of a screen or frame that decode accepts, and the limit of a table of codes (fixed by the format).
+MOST_PIXELS, CODES = 1 << 26, 4096
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -40,97 +42,139 @@ def _blocks(stream: bytes) -> bytes:
     return bytes(out) + b"\0"
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit samples: a clear code before each run of literals, an end code at last."""
-    runs = -(-len(samples) // RUN)
-    padded = np.zeros((runs, RUN + 1), np.uint16)
-    padded[:, 0] = 256
-    padded[:, 1:].flat[: len(samples)] = samples
-    codes = np.append(padded.ravel()[: len(samples) + runs], np.uint16(257))
-    bits = ((codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def _codes(bits: np.ndarray, at: int, n: int, width: int) -> np.ndarray:
-    """Up to n codes of `width` bits from bit `at`."""
-    n = max(0, min(n, (len(bits) - at) // width))
-    return (bits[at : at + n * width].reshape(n, width) << np.arange(width)).sum(1)
+def lzw_encode(samples: bytes, code_size: int) -> bytes:
+    """The LZW stream of samples under 1 << code_size. The table is cleared when it is full."""
+    clear = 1 << code_size
+    codes, lives, table, free = [clear], [], {}, clear + 2
+    last = None
+    for value in samples:
+        if last is None:
+            last = value
+            continue
+        key = last << 8 | value
+        more = table.get(key)
+        if more is not None:
+            last = more
+            continue
+        codes.append(last)
+        if free < CODES:
+            table[key] = free
+            free += 1
+        else:
+            codes.append(clear)
+            lives.append(codes)
+            codes, table, free = [], {}, clear + 2
+        last = value
+    if last is not None:
+        codes.append(last)
+    codes.append(clear + 1)
+    lives.append(codes)
+    # A code is as wide as the table asks for that the decoder has by then; that follows from its place in the table's life.
+    widths = [np.array([code_size + 1])] + [_widths(len(life) - (k == 0), code_size) for k, life in enumerate(lives)]
+    return _packed(np.concatenate([np.array(life, np.uint32) for life in lives]), np.concatenate(widths))
+
+
+def _widths(n: int, code_size: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: the first adds no entry, each later one adds one."""
+    entries = (1 << code_size) + 2 + np.maximum(np.arange(n) - 1, 0)
+    return np.minimum(np.maximum(code_size + 1, np.ceil(np.log2(entries + 1)).astype(np.int64)), 12)
+
+
+def _packed(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Values of the given widths, least bit first."""
+    end = np.cumsum(widths)
+    at = end - widths
+    out = np.zeros((int(end[-1]) >> 3) + 4, np.uint8)
+    shifted = values.astype(np.uint32) << (at & 7).astype(np.uint32)
+    for k in range(3):  # values of 12 bits touch at most three bytes; bits of different values never meet
+        np.bitwise_or.at(out, (at >> 3) + k, (shifted >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8))
+    return out[: (int(end[-1]) + 7) >> 3].tobytes()
 
 
 def lzw_decode(stream: bytes, code_size: int, expected: int) -> np.ndarray:
-    """Samples of an LZW code stream. Code widths follow from the number of codes since the last clear
-    code, so the codes of a table's life are read in bulk; strings are copied from the output."""
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little").astype(np.int64)
-    clear, end = 1 << code_size, (1 << code_size) + 1
-    out, filled, at, done = np.zeros(expected, np.uint8), 0, 0, False
-    while not done and filled < expected and at + code_size + 1 <= len(bits):
-        # The first code of a life adds no entry; the i-th code is read when clear + 2 + (i - 1) entries exist.
-        codes, i, width, cut = [], 0, code_size + 1, None
+    """Samples of an LZW code stream. Code widths follow from the number of codes since the last clear code, so codes are read
+    in bulk up to the next clear or end code; then the table is built and its strings are joined."""
+    if not 1 <= code_size <= 11:
+        raise ValueError("code size")
+    data = np.append(np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)).astype(np.uint32)
+    clear, end, bits = 1 << code_size, (1 << code_size) + 1, 8 * len(stream)
+    plan = np.append(0, np.cumsum(_widths(2 * CODES, code_size)))
+    parts, filled, at, done = [], 0, 0, False
+    while not done and filled < expected and at + code_size + 1 <= bits:
+        blocks, cut, steps = [], None, plan
         while cut is None:
-            first_wider = (1 << width) - clear - 1  # index of the first code that needs one more bit
-            n = max(0, first_wider - i) if width < 12 else 4096
-            got = _codes(bits, at, n, width)
-            stop = np.flatnonzero((got == clear) | (got == end))
-            if len(stop):
-                cut = int(stop[0])
-                done = got[cut] == end
-                at += (cut + 1) * width
-                codes.append(got[:cut])
-                break
-            codes.append(got)
-            at += len(got) * width
-            i += len(got)
-            if len(got) < n:
-                done = True
-                break
-            if width < 12:
-                width += 1
-        life = np.concatenate(codes)
-        if not len(life):
-            continue
-        if (life < clear).all():
-            n = min(len(life), expected - filled)
-            out[filled : filled + n] = life[:n]
-            filled += n
+            n = min(int(np.searchsorted(steps, bits - at, "right")) - 1, len(steps) - 1)
+            place = at + steps[:n]
+            byte = place >> 3
+            codes = (data[byte] | data[byte + 1] << np.uint32(8) | data[byte + 2] << np.uint32(16)) >> (place & 7).astype(np.uint32)
+            codes &= (np.uint32(1) << np.diff(steps[: n + 1]).astype(np.uint32)) - np.uint32(1)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            cut = int(stop[0]) if len(stop) else None
+            blocks.append(codes[:cut])
+            if cut is not None:
+                done = codes[cut] == end
+                at += int(steps[cut + 1])
+            elif n < len(steps) - 1:
+                cut, done = n, True
+            else:  # the table is full, and stays so until a clear code
+                at += int(steps[-1])
+                steps = np.arange(0, 12 * (1 << 16) + 1, 12)
+        codes = np.concatenate(blocks)
+        if not len(codes):
             continue
-        starts, sizes = [], []
-        for k, code in enumerate(life.tolist()):
-            if filled >= expected:
-                break
-            if code < clear:
-                size = 1
-                out[filled] = code
+        table = [bytes([k]) for k in range(min(clear, 256))] + [b""] * (max(0, clear - 256) + 2)
+        life = codes.tolist()
+        if life[0] >= clear:
+            raise ValueError("code beyond the table")
+        held = table[life[0]]
+        out = [held]
+        for code in life[1:]:
+            if code < len(table):
+                said = table[code]
+            elif code == len(table) < CODES:
+                said = held + held[:1]
             else:
-                j = code - clear - 2  # the entry made from code j and the sample after it
-                if j >= k:
-                    raise ValueError("code beyond the table")
-                begin, size = starts[j], sizes[j] + 1
-                room = min(size, expected - filled)
-                if begin + room <= filled:
-                    out[filled : filled + room] = out[begin : begin + room]
-                else:  # the string reaches into itself by one sample
-                    known = filled - begin
-                    out[filled : filled + min(known, room)] = out[begin : begin + min(known, room)]
-                    if room > known:
-                        out[filled + known] = out[begin]
-            starts.append(filled), sizes.append(size)
-            filled = min(expected, filled + size)
+                raise ValueError("code beyond the table")
+            if len(table) < CODES:
+                table.append(held + said[:1])
+            out.append(said)
+            held = said
+        parts.append(b"".join(out))
+        filled += len(parts[-1])
     if filled < expected:
         raise ValueError("stream ends early")
-    return out
+    return np.frombuffer(b"".join(parts)[:expected], np.uint8)
+
+
+def _palette(frame: np.ndarray, before: np.ndarray | None):
+    """The frame's colours in order, whether it leaves out what stays (more than half of it), and the bits of its index."""
+    stays = before is not None and 2 * int((frame == before).sum()) > frame.size
+    colours = np.unique(frame[frame != before]) if stays else np.unique(frame)
+    if len(colours) + stays > 256:
+        stays, colours = False, np.unique(frame)
+    return colours, stays, max(1, int(len(colours) + stays - 1).bit_length())
 
 
 def encode(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int = DELAY) -> bytes:
     """A GIF of grey 8-bit samples: frames of width x height (the last may be lower), each shown for delay/100 s."""
-    pixels = np.frombuffer(samples, np.uint8)
-    rows = len(pixels) // width
-    palette = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, height), 0xF7, 0, 0), palette]
-    for at in range(0, rows, height):
-        n = min(height, rows - at)
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, delay, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, n, 0) + b"\x08")
-        out.append(_blocks(lzw_literals(pixels[at * width : (at + n) * width])))
+    pixels = np.frombuffer(samples, np.uint8).reshape(-1, width)
+    frames = [pixels[at : at + height] for at in range(0, len(pixels), height)]
+    plans = [_palette(f, frames[k - 1][: len(f)] if k else None) for k, f in enumerate(frames)]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(len(pixels), height), 0x70, 0, 0)]
+    for k, (frame, (colours, stays, bits)) in enumerate(zip(frames, plans)):
+        # A frame stays (1) under one that leaves pixels out; else the screen is cleared (2).
+        disposal = 1 if k + 1 < len(frames) and plans[k + 1][1] else 2
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | stays, delay, len(colours) if stays else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(frame), 0x80 | (bits - 1)))
+        table = np.zeros((1 << bits, 3), np.uint8)
+        table[: len(colours)] = colours[:, None]
+        index = np.zeros(256, np.uint8)
+        index[colours] = np.arange(len(colours))
+        shown = index[frame]
+        if stays:
+            shown = np.where(frame == frames[k - 1][: len(frame)], np.uint8(len(colours)), shown)
+        code_size = max(2, bits)
+        out += [table.tobytes(), bytes([code_size]), _blocks(lzw_encode(shown.tobytes(), code_size))]
     return b"".join(out) + b"\x3b"
 
 
@@ -148,6 +192,8 @@ def decode(data: bytes) -> list[dict]:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
     at, table = 13, None
+    if width * height > MOST_PIXELS:
+        raise ValueError("screen too large")
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
         table = np.frombuffer(data[at : at + size], np.uint8).reshape(-1, 3)
@@ -175,6 +221,10 @@ def decode(data: bytes) -> list[dict]:
             size = 3 << ((flags & 7) + 1)
             palette = np.frombuffer(data[at : at + size], np.uint8).reshape(-1, 3)
             at += size
+        if palette is None:
+            raise ValueError("no colour table")
+        if w * h > MOST_PIXELS:
+            raise ValueError("frame too large")
         code_size = data[at]
         stream, at = _sub_blocks(data, at + 1)
         samples = lzw_decode(stream, code_size, w * h).reshape(h, w)
@@ -186,9 +236,9 @@ def decode(data: bytes) -> list[dict]:
         box = (slice(y, min(y + h, height)), slice(x, min(x + w, width)))
         inside = samples[: box[0].stop - y, : box[1].stop - x]
         before = screen[box].copy()
-        colours = palette[inside]
+        colours = palette[np.minimum(inside, len(palette) - 1)]
         screen[box] = colours if clear_index is None else np.where((inside == clear_index)[..., None], before, colours)
-        frames.append({"start_ms": clock, "duration_ms": delay * 10, "box": (x, y, w, h), "samples": samples, "screen": screen.copy()})
+        frames.append({"start_ms": clock, "duration_ms": delay * 10, "box": (x, y, w, h), "samples": samples, "screen": screen.copy(), "transparent": clear_index is not None})
         clock += delay * 10
         if disposal == 2:
             screen[box] = blank[box]
@@ -198,9 +248,9 @@ def decode(data: bytes) -> list[dict]:
     return frames
 
 
-def histogram(pixels: np.ndarray, bins: int = 8) -> np.ndarray:
+def histogram(pixels: np.ndarray, bins: int = 8, channels: int = 3) -> np.ndarray:
     """Counts of each channel in `bins` equal ranges."""
-    return np.concatenate([np.bincount(pixels[..., c].ravel() // (256 // bins), minlength=bins) for c in range(3)])
+    return np.concatenate([np.bincount(pixels[..., c].ravel() // (256 // bins), minlength=bins) for c in range(channels)])
 
 
 FRAME_SCHEMA = "frame int, start_ms long, duration_ms long, width int, height int, histogram array<long>, error string"
@@ -214,7 +264,7 @@ def gif_frames(media: DataFrame, key: str = "doc_id", column: str = "media") ->
             for name, data in zip(batch.column(key).to_pylist(), batch.column(column).to_pylist()):
                 try:
                     out = [(name, i, f["start_ms"], f["duration_ms"], f["screen"].shape[1], f["screen"].shape[0], histogram(f["screen"]).tolist(), None) for i, f in enumerate(decode(data or b""))]
-                except (ValueError, IndexError, struct.error) as error:
+                except (ValueError, IndexError, TypeError, MemoryError, struct.error) as error:
                     out = [(name, None, None, None, None, None, None, str(error))]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
@@ -241,22 +291,30 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return with_id(docs, "doc_id", "text").mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, shown_ms long, kept_frames int, histogram array<long>"
+
+
 def media_features(stored: DataFrame) -> DataFrame:
-    """Read the stored GIFs back: digests of the samples and of the stored form, and a colour-histogram feature."""
+    """Read the stored GIFs back from what their screens show: digests of payload and stored form, number and time of the frames, how
+    many of them lie on the one before, and a colour histogram over all frames."""
 
     def read(batches):
         for batch in chunks(batches, "media", 4 << 20):
             rows = []
             for data in batch.column("media").to_pylist():
                 frames = decode(data)
-                back = b"".join(f["samples"].tobytes() for f in frames)
-                grey = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=8)
-                shown = frames[-1]["start_ms"] + frames[-1]["duration_ms"]
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(frames)}x{shown}ms:" + ",".join(map(str, grey))))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                shown = [f["screen"][: f["box"][3], :, 0] for f in frames]
+                back = b"".join(s.tobytes() for s in shown)
+                colours = sum(histogram(s[..., None], channels=1) for s in shown)
+                time = frames[-1]["start_ms"] + frames[-1]["duration_ms"]
+                kept = sum(f["transparent"] for f in frames)
+                feature = f"{len(frames)}x{time}ms:" + ",".join(map(str, colours))
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), time, kept, colours.tolist()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            names = [part.split()[0] for part in FEATURES.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+
+    return stored.mapInArrow(read, FEATURES)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, release, utf8, with_id, written
+from shiftlens.llm.common import chunks, dropped, fits_broadcast, mix64, release, utf8, with_id, written
 
 BANDS, ROWS = 50, 6
 HASHES = BANDS * ROWS
@@ -246,8 +246,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = buckets.select("doc_id").distinct()
     few = fits_broadcast(nodes, BROADCAST_ROWS)
     nodes = F.broadcast(nodes) if few else nodes
-    sigs = written(base.join(nodes, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "signatures")
-    sets = written(full_sets(with_id(docs, "doc_id", "text").join(nodes, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    # A doc_id with several rows has a signature and a set of each; links of any of them are its links.
+    sigs = written(base.join(nodes, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+    sets = written(full_sets(with_id(docs, "doc_id", "text").join(nodes, "doc_id", "left_semi"), words), "sets")
+    del bands, heads, reps, classes
+    dropped(base)
 
     tested = links = labels = None
     for step in ("star", "star", "rest"):
@@ -291,7 +294,5 @@ def _sizes(a: str, b: str, percent: int):
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "gone")
-    docs = with_id(docs)
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone, docs.doc_id == F.col("__gone"), "left_anti")
+    gone = written(near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return with_id(docs).join(F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -271,7 +271,7 @@ def test_lzw():
     rng = np.random.default_rng(2)
     for samples in (b"a" * 1000, rng.integers(0, 4, 30_000).astype(np.uint8).tobytes(), rng.integers(0, 256, 9000).astype(np.uint8).tobytes()):
         assert media.lzw_decode(lzw_reference(samples), 8, len(samples)).tobytes() == samples
-        assert media.lzw_decode(media.lzw_literals(np.frombuffer(samples, np.uint8)), 8, len(samples)).tobytes() == samples
+        assert media.lzw_decode(media.lzw_encode(samples, 8), 8, len(samples)).tobytes() == samples
 
 
 def test_gif(spark, docs, empty):
@@ -286,6 +286,49 @@ def test_gif(spark, docs, empty):
     assert {r.doc_id for r in media.gif_frames(bad).where("error is not null").collect()} == {1, 2}
 
 
+def test_lzw_codes_of_every_width():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 5000, 70_000):
+        for most in (1, 2, 3, 5, 40, 256):
+            samples, size = rng.integers(0, most, n).astype(np.uint8).tobytes(), max(2, (most - 1).bit_length())
+            assert media.lzw_decode(media.lzw_encode(samples, size), size, n).tobytes() == samples
+    # Some writers leave a full table as it is; codes then stay 12 bits wide.
+    samples = rng.integers(0, 256, 60_000).astype(np.uint8)
+    table, codes, held = {}, [256], None
+    for value in samples.tolist():
+        if held is not None and (held, value) in table:
+            held = table[held, value]
+            continue
+        if held is not None:
+            codes.append(held)
+            if 258 + len(table) < 4096:
+                table[held, value] = 258 + len(table)
+        held = value
+    codes += [held, 257]
+    widths = np.append(9, media._widths(len(codes) - 1, 8))
+    assert media.lzw_decode(media._packed(np.array(codes, np.uint32), widths), 8, len(samples)).tobytes() == samples.tobytes()
+    with pytest.raises(ValueError):
+        media.lzw_decode(b"\xff" * 40, 8, 100)
+
+
+def test_gif_frames_of_a_repetitive_text(spark):
+    """Stored form under the payload; frames that show what was there before are laid over it."""
+    texts = {1: "abc def " * 12_000, 2: "".join(chr(33 + i * i % 90) for i in range(60_000)), 3: "é" * 40_000, 4: "x"}
+    rows = {r.doc_id: r for r in media.store_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in texts.items():
+        raw, n = media.payload(text)
+        assert rows[i].payload_sha256 == hashlib.sha256(raw).hexdigest() and rows[i].n_bytes == n and sum(rows[i].histogram) == len(raw)
+        assert rows[i].media_bytes < len(raw) and rows[i].n_frames == -(-len(raw) // (192 * 128)) and rows[i].shown_ms == 40 * rows[i].n_frames
+    assert rows[1].kept_frames == rows[1].n_frames - 1 and rows[1].media_bytes * 20 < len(texts[1]) and rows[4].kept_frames == 0
+
+
+def test_broken_gifs_are_rows_with_an_error(spark):
+    no_table = b"GIF89a\x02\x00\x01\x00\x00\x00\x00\x2c\x00\x00\x00\x00\x02\x00\x01\x00\x00\x02\x02\x44\x01\x00\x3b"
+    vast = b"GIF89a\xff\xff\xff\xff\x00\x00\x00\x3b"
+    rows = spark.createDataFrame([(1, no_table), (2, vast), (3, b"")], "doc_id long, media binary")
+    assert {r.doc_id: r.error for r in media.gif_frames(rows).collect()} == {1: "no colour table", 2: "screen too large", 3: "not a GIF"}
+
+
 def test_gif_disposal_and_transparency():
     head = b"GIF89a\x02\x00\x01\x00\x80\x00\x00" + bytes([0, 0, 0, 255, 255, 255])
     frame = lambda flags, clear, pixels: b"\x21\xf9\x04" + bytes([flags, 10, 0, clear, 0]) + b"\x2c\x00\x00\x00\x00\x02\x00\x01\x00\x00\x02" + media._blocks(small(pixels))
