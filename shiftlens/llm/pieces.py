@@ -31,7 +31,7 @@ class Splitter:
     def pieces(self, text: str) -> list[str]:
         """Keys of parts of the text that no match crosses: it is cut before each space that something else than white space
         follows. A key stands for a space and itself, or, after MARK, for the rest of itself; words_of gives its matches."""
-        if text.endswith(" ") or any(pair in text for pair in _AWKWARD) or (not text.isascii() and _WIDE.search(text)):
+        if text.endswith(" ") or _AWKWARD.search(text):
             return [MARK + word for word in self(text)]
         parts = text.split(" ")
         parts[0] = MARK + parts[0]
@@ -49,9 +49,13 @@ class Splitter:
 MARK = "\ud800"
 _STOPS = (",", ".", ";", ":", "!", "?")
 #: A space before other white space (or what some engines take for it): there a match may hold several of them.
-_AWKWARD = [" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"]
-_WIDE = re.compile(" [\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_AWKWARD = re.compile(" [\t-\r\x1c- \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def key_text(key: str) -> str:
     return key[1:] if key.startswith(MARK) else " " + key
+
+
+def word_key(word: str) -> str:
+    """The key of a piece that is one word."""
+    return word[1:] if word.startswith(" ") else MARK + word

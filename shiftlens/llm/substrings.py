@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, fits_broadcast, mix64, planes, ragged, release, unplaned, utf8, with_id, written
+from shiftlens.llm.common import chunks, mix64, planes, ragged, release, unplaned, utf8, with_id, written
 
 TOKEN = 32
 SAMPLE_DOCS, SAMPLE_ROWS = 2000, 100_000
-BROADCAST_ROWS = 300_000
 #: Rows that a task holds before it sends them, and rows that a bucket is meant to hold.
 FLUSH, BUCKET_ROWS = 1 << 18, 1 << 20
 #: Bytes of a document that are looked at together.
@@ -323,12 +322,6 @@ def sorted_buckets(blocks: DataFrame, splitters, buckets: int) -> DataFrame:
     return blocks.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined with per-document lists: by broadcast if those are few, else by a shuffle of both."""
-    small = fits_broadcast(lists, BROADCAST_ROWS // 10)
-    return docs.join(F.broadcast(lists) if small else lists, "doc_id", how)
-
-
 def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, buckets: int) -> DataFrame:
     """Repeats among the windows of the given runs."""
     lists = runs_to_compare.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
@@ -372,7 +365,7 @@ def window_rows(docs: DataFrame, runs_to_compare: DataFrame, length: int, bucket
         found = doc[repeat], at[repeat], np.ones(len(repeat), np.int64)
         yield _found(1, *merged(*(np.concatenate([a, b]) for a, b in zip(known, found))))
 
-    rows = _with_lists(docs, lists, "inner").select("doc_id", "text", "runs").mapInArrow(made, BLOCKS)
+    rows = docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(made, BLOCKS)
     return rows.repartitionById(buckets, "bucket").drop("bucket").mapInArrow(local, FOUND)
 
 
@@ -414,4 +407,4 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_lists(docs, lists, "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

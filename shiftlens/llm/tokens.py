@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import chain, islice
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.common import Numbers, chunks, ragged, texts, with_id, written
-from shiftlens.llm.pieces import Splitter
+from shiftlens.llm.pieces import Splitter, key_text, word_key
 
 #: Ids in a word and their width, by selector; selector 0 is the escape.
 PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 BLOCK = 1 << 13
 SEGMENT = 1 << 17
-PIECES, WORDS = 500_000, 1_000_000
+PIECES = 1_200_000
 
 
 #: Widths from narrow to wide, and by number of ids in a word the selector and how many widths are wide enough for it.
@@ -125,25 +126,10 @@ def unpack(data: bytes, offsets, escapes, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class Ragged:
-    """Sequences of ids by number, in one flat array."""
-
-    def __init__(self):
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def append(self, sizes: np.ndarray, flat: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
-        return self.flat[ragged(self.starts[numbers], self.sizes[numbers])]
-
-
 class PieceCache:
-    """Ids of whole texts by a tokenizers.Tokenizer as loaded. Texts are cut into pieces that no word crosses, and those into words;
-    each distinct word is encoded once. At most about PIECES pieces and WORDS words are kept. A text that holds one of the
-    tokenizer's added tokens goes to the tokenizer as a whole."""
+    """Ids of whole texts by a tokenizers.Tokenizer as loaded. Texts are cut into pieces that no word crosses; a piece of one word is
+    encoded once, other pieces are put together from their words'. Beyond PIECES pieces it starts anew. A text that holds one
+    of the tokenizer's added tokens goes to the tokenizer as a whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,28 +138,47 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Splitter(pattern)
-        self.pieces, self.piece_ids = Numbers(), Ragged()
-        self.words, self.word_ids = Numbers(), Ragged()
+        self.clear()
+
+    def clear(self) -> None:
+        """Piece number k has the ids flat[starts[k] : starts[k] + sizes[k]]."""
+        self.pieces, self.starts, self.sizes, self.flat = Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, known: int) -> None:
         """Ids of all pieces from number `known` on."""
-        if len(self.words) > WORDS:
-            self.words, self.word_ids = Numbers(), Ragged()
-        known_words = len(self.words)
-        parts = [self.splitter.words_of(key) for key in islice(self.pieces, known, None)]
-        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
-        own = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(n_words.sum()))
-        if len(self.words) > known_words:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(list(islice(self.words, known_words, None)), add_special_tokens=False)]
-            self.word_ids.append(np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(chain.from_iterable(coded), np.uint32))
-        sums = np.zeros(len(own) + 1, np.int64)
-        np.cumsum(self.word_ids.sizes[own], out=sums[1:])
-        ends = np.cumsum(n_words)
-        self.piece_ids.append(sums[ends] - sums[ends - n_words], self.word_ids[own])
+        pieces, words_of = self.pieces, self.splitter.words_of
+        fresh = list(islice(pieces, known, None))
+        single, several, counts, parts = [], [], [], array("q")
+        for number, key in enumerate(fresh, known):
+            words = None if key.isalpha() else words_of(key)
+            if words is None or len(words) == 1:
+                single.append(number)
+            else:
+                several.append(number), counts.append(len(words))
+                parts.extend([pieces[word_key(w)] for w in words])
+        single += range(known + len(fresh), len(pieces))
+        fresh += islice(pieces, known + len(fresh), None)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([key_text(fresh[k - known]) for k in single], add_special_tokens=False)]
+        starts, sizes = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+
+        def put(numbers, own_sizes, ids):
+            at = np.array(numbers, np.int64) - known
+            sizes[at], starts[at] = own_sizes, len(self.flat) + np.cumsum(own_sizes) - own_sizes
+            self.flat = np.concatenate([self.flat, ids])
+
+        put(single, np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(chain.from_iterable(coded), np.uint32))
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        own, ends = np.array(parts, np.int64), np.cumsum(counts, dtype=np.int64)
+        sums = np.append(0, np.cumsum(self.sizes[own]))
+        put(several, sums[ends] - sums[ends - np.array(counts, np.int64)], self.ids(own))
+        self.starts[known:], self.sizes[known:] = starts, sizes
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.starts[numbers], self.sizes[numbers])]
 
     def encode(self, text_list: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > PIECES:
-            self.pieces, self.piece_ids = Numbers(), Ragged()
+            self.clear()
         known, number = len(self.pieces), self.pieces.__getitem__
         out: list[np.ndarray] = []
         for text in text_list:
@@ -184,7 +189,7 @@ class PieceCache:
             out.append(np.fromiter(map(number, keys), np.int64, len(keys)))
         if len(self.pieces) > known:
             self.learn(known)
-        return [x if x.dtype == np.uint32 else self.piece_ids[x] for x in out]
+        return [x if x.dtype == np.uint32 else self.ids(x) for x in out]
 
 
 _CACHES: dict[tuple[str, str], PieceCache] = {}
