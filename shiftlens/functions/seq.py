@@ -18,6 +18,15 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: the optimizer never copies it into a lambda."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 def to_rna(seq: Column) -> Column:
     return F.translate(F.upper(seq), "T", "U")
 
@@ -57,13 +66,19 @@ def until_stop(seq: Column) -> Column:
 
 def translate(seq: Column, frame: int = 0) -> Column:
     """Amino acids by the place of each base in TCAG; codons with another letter give '?'."""
+    return F.array_join(amino_letters(codons(seq, frame)), "")
+
+
+def amino_letters(codons: Column, ends: bool = False) -> Column:
+    """Amino acid of each codon; with `ends`, codons of other letters than ACGTN count as stops, too."""
 
     def amino(codon: Column) -> Column:
         digits = [F.position(F.substring(codon, F.lit(k), F.lit(1)), F.lit("TCAG")) for k in (1, 2, 3)]
         place = 16 * digits[0] + 4 * digits[1] + digits[2] - 20
-        return F.when((digits[0] > 0) & (digits[1] > 0) & (digits[2] > 0), F.substring(F.lit(AMINO), place, F.lit(1))).otherwise("?")
+        known = F.when((digits[0] > 0) & (digits[1] > 0) & (digits[2] > 0), F.substring(F.lit(AMINO), place, F.lit(1)))
+        return known.when(codon.rlike("^[ACGTN]{3}$"), "?").otherwise("*") if ends else known.otherwise("?")
 
-    return F.array_join(F.transform(codons(seq, frame), amino), "")
+    return F.transform(codons, amino)
 
 
 def upto_stop(protein: Column) -> Column:
@@ -76,21 +91,34 @@ def minus_frame_track(seq: Column) -> Column:
     return F.rpad(track, F.length(seq), ".")
 
 
+def letters(seq: Column) -> Column:
+    """The bases as an array, so that places are found without walking the string."""
+    return F.filter(F.split(seq, ""), lambda c: c != "")
+
+
 def word_positions(seq: Column, word: str) -> Column:
     """1-based places of a word, overlapping ones too."""
-    n = F.length(seq)
-    return F.when(n >= len(word), F.filter(F.sequence(F.lit(1), n - len(word) + 1), lambda i: F.substring(seq, i, F.lit(len(word))) == word)).otherwise(F.array().cast("array<int>"))
+
+    def places(bases: Column) -> Column:
+        here = lambda i: F.array_join(F.slice(bases, i, len(word)), "") == word
+        return F.filter(F.sequence(F.lit(1), F.size(bases) - len(word) + 1), lambda i: (F.get(bases, i - 1) == word[0]) & here(i))
+
+    return F.when(F.length(seq) >= len(word), let(letters(seq), places)).otherwise(none_of("int"))
 
 
 def kmers(seq: Column, k: int) -> Column:
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    def words(bases: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(bases) - k + 1), lambda i: F.array_join(F.slice(bases, i, k), ""))
+
+    return F.when(F.length(seq) >= k, let(letters(seq), words)).otherwise(none_of("string"))
 
 
 def stack_energy(seq: Column) -> Column:
     """Sum of neighbour stacking weights in hundredths: an energy proxy, not a folding energy."""
-    table = literal_map({k: round(v * 100) for k, v in STACK.items()})
-    return F.aggregate(kmers(seq, 2), F.lit(0), lambda total, pair: total + F.coalesce(F.element_at(table, pair), F.lit(0)))
+    total = F.lit(0)
+    for pair, weight in STACK.items():
+        total = total + F.regexp_count(seq, F.lit(f"{pair[0]}(?={pair[1]})")) * round(weight * 100)
+    return total
 
 
 def species_key(name: Column) -> Column:
@@ -106,7 +134,8 @@ def clean_accession(accession: Column) -> Column:
 
 def shuffled(seq: Column, *seed: Column) -> Column:
     """Bases in the order of md5(seed|place): the composition is kept."""
-    keyed = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.struct(F.md5(F.concat_ws("|", *[s.cast("string") for s in seed], i.cast("string"))).alias("k"), F.substring(seq, i, F.lit(1)).alias("b")))
+    text = F.concat_ws("|", *[s.cast("string") for s in seed])
+    keyed = F.transform(letters(seq), lambda b, i: F.struct(F.md5(F.concat_ws("|", text, (i + 1).cast("string"))).alias("k"), b.alias("b")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["b"]), "")
 
 

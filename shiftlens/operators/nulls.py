@@ -70,8 +70,11 @@ def bootstrap_summary(energies: DataFrame, keys: list[str], energy: str = "e") -
 
 
 def bulk_fold(windows: DataFrame, fold, existing: DataFrame | None = None) -> DataFrame:
-    """fold(sequence column) on each distinct sequence that isn't among the existing ones, joined back to all windows that share it."""
+    """fold(sequence column) on each distinct sequence, joined back to all windows that share it; sequences among the existing
+    ones (sequence, mfe) keep the energy they have there and are not folded again."""
     todo = windows.select("sequence").distinct()
-    if existing is not None:
-        todo = todo.join(existing.select("sequence"), "sequence", "left_anti")
-    return windows.join(todo.withColumn("mfe", fold(F.col("sequence"))), "sequence")
+    if existing is None:
+        return windows.join(todo.withColumn("mfe", fold(F.col("sequence"))), "sequence")
+    known = existing.groupBy("sequence").agg(F.min("mfe").alias("mfe"))
+    fresh = todo.join(known, "sequence", "left_anti").withColumn("mfe", fold(F.col("sequence")))
+    return windows.join(known.unionByName(fresh), "sequence")

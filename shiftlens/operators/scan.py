@@ -2,20 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions import seq as S
 
 
+def _sites(canonical_only: bool, width: int, more=None) -> Column:
+    """Structs of the in-frame slippery heptamers of a transcript: start (1-based), slipsite, `width` bases behind it, and the columns
+    that `more` makes of the start. The transcript is cut into codons once; no place is found by walking the string."""
+    first, second = ("AAA", "CCC", "GGG", "TTT"), ("AAA", "TTT")
+    last = list("ACT" if canonical_only else "ACGT")
+
+    def hits(codons: Column) -> Column:
+        def slippery(k: Column) -> Column:
+            seventh = F.substring(F.get(codons, k + 2), 1, 1)
+            return F.get(codons, k).isin(*first) & F.get(codons, k + 1).isin(*second) & seventh.isin(last) & (3 * k + 9 <= F.col("orf_stop") - F.col("orf_start"))
+
+        def site(k: Column) -> Column:
+            start = F.col("orf_start") + 2 + 3 * k
+            behind = F.array_join(F.slice(codons, k + 3, (width + 1) // 3 + 1), "")
+            word = F.concat(F.get(codons, k), F.get(codons, k + 1), F.substring(F.get(codons, k + 2), 1, 1))
+            return F.struct(start.alias("start"), word.alias("slipsite"), F.substring(behind, 2, width).alias("behind"), *(c.alias(n) for n, c in (more(start) if more else {}).items()))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(codons) - 3), slippery), site)
+
+    # The last piece may be a part of a codon.
+    tail = F.expr("substring(mrna_seq, orf_start + 2)")
+    return F.when(F.length(tail) >= 7, S.let(F.regexp_extract_all(tail, F.lit("(?s).{1,3}"), F.lit(0)), hits))
+
+
 def find_slipsites(genome: DataFrame, seqlengths=(100, 75, 50), canonical_only: bool = False) -> DataFrame:
-    """A row for each in-frame slippery heptamer and window length; start is 1-based in the transcript. No shuffle."""
-    orf = S.orf_slice(F.col("mrna_seq"), F.col("orf_start"), F.col("orf_stop"))
-    at = F.when(F.length(orf) >= 9, F.sequence(F.lit(2), F.length(orf) - 7, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    sites = genome.withColumn("__c", F.explode(at)).withColumn("slipsite", F.substring("mrna_seq", F.col("__c") + F.col("orf_start"), F.lit(7)))
-    sites = sites.where(F.col("slipsite").rlike(S.CANONICAL if canonical_only else S.SLIPPERY)).withColumn("start", F.col("__c") + F.col("orf_start")).drop("__c")
-    sites = sites.withColumn("seqlength", F.explode(F.array(*[F.lit(n) for n in seqlengths])))
-    return sites.withColumn("sequence", F.substring("mrna_seq", F.col("start") + 7, F.col("seqlength")))
+    """A row for each in-frame slippery heptamer and window length; start is 1-based in the transcript. No shuffle, and time in
+    proportion to the length of the transcript."""
+    sites = genome.withColumn("__site", F.explode(_sites(canonical_only, max(seqlengths))))
+    sites = sites.withColumn("start", F.col("__site.start")).withColumn("slipsite", F.col("__site.slipsite")).withColumn("seqlength", F.explode(F.array(*[F.lit(n) for n in seqlengths])))
+    return sites.withColumn("sequence", F.substring(F.col("__site.behind"), F.lit(1), F.col("seqlength"))).drop("__site")
+
+
+def _shifted(genome: DataFrame, make) -> DataFrame:
+    """Columns id (and others of genome) with a row for each site and the columns that make(start, frame) gives; frame(offset) is the
+    number of amino acids up to the first stop from start + offset on, and a slice of them. Each frame is translated once."""
+    frames = [S.amino_letters(S.codons(F.col("mrna_seq"), k), ends=True) for k in range(3)]
+    plain = S.amino_letters(F.regexp_extract_all(F.expr("substring(mrna_seq, orf_start)"), F.lit("(?s).{3}"), F.lit(0)))
+    body = F.length(F.regexp_replace("mrna_seq", "A+$", ""))
+
+    def rows(held: Column) -> Column:
+        def frame(start: Column, offset: int) -> tuple[Column, Column]:
+            at = start + (offset - 1)  # 0-based
+            letters, k = F.get(held["frames"], F.pmod(at, F.lit(3))), F.floor(at / 3).cast("int")
+            stop = lambda n: F.array_position(F.slice(letters, k + 1, n), "*")
+            left = F.greatest(F.size(letters) - k, F.lit(0))
+            near = stop(F.lit(64))
+            n = F.when(near > 0, near - 1).otherwise(F.when(stop(left) > 0, stop(left) - 1).otherwise(left)).cast("int")
+            return n, F.when(n > 0, F.array_join(F.slice(letters, k + 1, n), "")).otherwise("")
+
+        return _sites(False, 1, lambda start: make(start, lambda offset: frame(start, offset), held))
+
+    held = F.struct(F.array(*frames).alias("frames"), plain.alias("plain"), body.alias("body"))
+    out = genome.withColumn("__site", F.explode(S.let(held, rows)))
+    names = [f.name for f in out.schema["__site"].dataType.fields if f.name != "behind"]
+    return out.select(*[c for c in genome.columns if c != "mrna_seq"], *[F.col(f"__site.{n}").alias(n) for n in names])
 
 
 def keep_coding(windows: DataFrame, do_utr: bool = False) -> DataFrame:
@@ -31,35 +78,48 @@ def num_slipsites(genome: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def landscape_windows(genome: DataFrame, length: int = 105, step: int = 15) -> DataFrame:
-    n = F.length("mrna_seq")
-    at = F.when(n >= length, F.sequence(F.lit(0), n - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return genome.withColumn("start", F.explode(at)).withColumn("sequence", F.substring("mrna_seq", F.col("start") + 1, F.lit(length)))
+    """Windows of `length` bases, one each `step`: put together from pieces of `step` bases."""
+
+    def cut(pieces: Column) -> Column:
+        piece = lambda k: F.substring(F.array_join(F.slice(pieces, k + 1, -(-length // step)), ""), 1, length)
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length("mrna_seq") - length) / step).cast("int")), lambda k: F.struct((k * step).alias("start"), piece(k).alias("sequence")))
+
+    pieces = F.regexp_extract_all("mrna_seq", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    found = F.explode(F.when(F.length("mrna_seq") >= length, S.let(pieces, cut)))
+    return genome.withColumn("__w", found).withColumn("start", F.col("__w.start")).withColumn("sequence", F.col("__w.sequence")).drop("__w")
 
 
 def window_at(genome: DataFrame, startpos: int, length: int) -> DataFrame:
     return genome.select("id", "accession", F.lit(startpos).alias("start"), S.resolve_iupac(F.substring("mrna_seq", startpos, length)).alias("sequence"))
 
 
-def alternative_orfs(sites: DataFrame) -> DataFrame:
+def alternative_orfs(genome: DataFrame) -> DataFrame:
     """Peptides after a +1 and a -1 shift at each site, up to the first stop; all-A tails give null."""
-    out = sites
-    for name, offset in (("plus", 5), ("minus", 6)):
-        tail = F.expr(f"substring(mrna_seq, start + {offset})")
-        peptide = S.translate(S.until_stop(tail))
-        peptide = F.when(tail.rlike("^A+$"), None).otherwise(peptide)
-        out = out.withColumn(f"{name}_orf", peptide).withColumn(f"{name}_length", F.length(peptide))
-    return out
+
+    def make(start, frame, held):
+        out = {}
+        for name, offset in (("plus", 5), ("minus", 6)):
+            n, peptide = frame(offset)
+            tail_of_a = (start + (offset - 1) >= held["body"]) & (start + (offset - 1) < F.length("mrna_seq"))
+            out |= {f"{name}_orf": F.when(~tail_of_a, peptide), f"{name}_length": F.when(~tail_of_a, n)}
+        return out
+
+    return _shifted(genome, make)
+
+
+def minus_stop_distance(genome: DataFrame) -> DataFrame:
+    """Bases from each site to the first stop of the -1 frame; to the last whole codon where there is none."""
+    return _shifted(genome, lambda start, frame, held: {"bp_mstop": 3 * frame(6)[0]})
 
 
-def minus_stop_distance(sites: DataFrame) -> DataFrame:
-    """Bases from the site to the first stop of the -1 frame; to the last whole codon where there is none."""
-    return sites.withColumn("bp_mstop", F.length(S.until_stop(F.expr("substring(mrna_seq, start + 6)"))))
+def frameshift_protein(genome: DataFrame) -> DataFrame:
+    """Zero-frame protein up to each site in lower case, then the -1 frame up to its stop."""
 
+    def make(start, frame, held):
+        head = F.slice(held["plain"], 1, F.floor((start - F.col("orf_start") + 1) / 3).cast("int"))
+        return {"fusion": F.concat(F.lower(F.array_join(head, "")), frame(6)[1])}
 
-def frameshift_protein(sites: DataFrame) -> DataFrame:
-    """Zero-frame protein up to the site in lower case, then the -1 frame up to its stop."""
-    head = F.lower(S.translate(F.expr("substring(mrna_seq, orf_start, start - orf_start + 1 - pmod(start - orf_start + 1, 3))")))
-    return sites.withColumn("fusion", F.concat(head, S.translate(S.until_stop(F.expr("substring(mrna_seq, start + 6)")))))
+    return _shifted(genome, make)
 
 
 def codon_rank(genome: DataFrame) -> DataFrame:

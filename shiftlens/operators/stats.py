@@ -34,11 +34,14 @@ def species_stats(points: DataFrame) -> DataFrame:
     low = lambda c, k: F.col(c) < F.col(f"avg_{c}") - k * F.col(f"sd_{c}")
     limits = first.select(*keys, F.col("avg_mfe_all").alias("avg_mfe"), F.col("stddev_mfe_all").alias("sd_mfe"), F.col("avg_zscore"), F.col("stddev_zscore").alias("sd_zscore"))
     marked = points.select(*keys, "accession", "mfe", "zscore", "knotp").join(limits, keys)
-    genes = [F.countDistinct("accession").alias("genes_hits")]
+    flags = {}
     for k in (1, 2):
         for name, cond in (("mfe", low("mfe", k)), ("z", low("zscore", k)), ("both", low("mfe", k) & low("zscore", k))):
-            genes += [F.countDistinct(F.when(cond, F.col("accession"))).alias(f"genes_{k}{name}"), F.countDistinct(F.when(cond & F.col("knotp"), F.col("accession"))).alias(f"genes_{k}{name}_knotted")]
-    return first.join(marked.groupBy(*keys).agg(*genes), keys)
+            flags |= {f"genes_{k}{name}": cond, f"genes_{k}{name}_knotted": cond & F.col("knotp")}
+    # One row for each gene first: its flags are then summed, and no row is multiplied for distinct counts.
+    per_gene = marked.groupBy(*keys, "accession").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
+    genes = per_gene.groupBy(*keys).agg(F.count("accession").alias("genes_hits"), *[F.count_if(F.col(n)).alias(n) for n in flags])
+    return first.join(genes, keys)
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:

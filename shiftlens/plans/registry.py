@@ -20,6 +20,7 @@ STACK_VALUES = ", ".join(f"('{k}', {round(v * 100)})" for k, v in S.STACK.items(
 
 def query(name: str, sql: str | None = None):
     def keep(f):
+        f.__name__ = f.__qualname__ = name
         QUERIES[name] = f
         if sql:
             ORACLES[name] = sql
@@ -78,7 +79,7 @@ def _protein_sql(seq: str) -> str:
 
 @query("q8_minus_stop", _g(f"SELECT id, start, CAST(length(regexp_extract(substr(mrna_seq, start + 6), '{_OPEN}')) AS INTEGER) AS bp_mstop FROM sites", SITES_SQL))
 def _(spark, d):
-    return scan.minus_stop_distance(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "bp_mstop")
+    return scan.minus_stop_distance(genome(spark, d)).select("id", "start", "bp_mstop")
 
 
 def _orf_sql(name: str, offset: int) -> str:
@@ -88,7 +89,7 @@ def _orf_sql(name: str, offset: int) -> str:
 
 @query("q6_alternative_orfs", _g("SELECT id, start, p.peptide AS plus_orf, CAST(length(p.peptide) AS INTEGER) AS plus_length, m.peptide AS minus_orf, CAST(length(m.peptide) AS INTEGER) AS minus_length FROM plus p JOIN minus m USING (id, start)", SITES_SQL, _orf_sql("plus", 5), _orf_sql("minus", 6)))
 def _(spark, d):
-    return scan.alternative_orfs(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "plus_orf", "plus_length", "minus_orf", "minus_length")
+    return scan.alternative_orfs(genome(spark, d)).select("id", "start", "plus_orf", "plus_length", "minus_orf", "minus_length")
 
 
 _HEAD = _protein_sql("substr(mrna_seq, 1, start - start % 3)")
@@ -97,7 +98,7 @@ _SHIFTED = _protein_sql(f"regexp_extract(substr(mrna_seq, start + 6), '{_OPEN}')
 
 @query("q7_frameshift_protein", _g(f"SELECT id, start, lower({_HEAD}) || {_SHIFTED} AS fusion FROM sites", SITES_SQL))
 def _(spark, d):
-    return scan.frameshift_protein(scan.find_slipsites(genome(spark, d), (100,))).select("id", "start", "fusion")
+    return scan.frameshift_protein(genome(spark, d)).select("id", "start", "fusion")
 
 
 @query("p_sequence_columns", _g("""SELECT id, translate(upper(mrna_seq), 'T', 'U') AS rna, reverse(translate(mrna_seq, 'ACGT', 'TGCA')) AS revcomp,
