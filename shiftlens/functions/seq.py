@@ -69,18 +69,20 @@ def translate(seq: Column, frame: int = 0) -> Column:
     return F.array_join(amino_letters(codons(seq, frame)), "")
 
 
-def amino_letters(codons: Column, ends: bool = False) -> Column:
-    """Amino acid of each codon; with `ends`, codons of other letters than ACGTN count as stops, too."""
-
+def amino_letters(codons: Column) -> Column:
     def amino(codon: Column) -> Column:
         digits = [F.position(F.substring(codon, F.lit(k), F.lit(1)), F.lit("TCAG")) for k in (1, 2, 3)]
         place = 16 * digits[0] + 4 * digits[1] + digits[2] - 20
-        known = F.when((digits[0] > 0) & (digits[1] > 0) & (digits[2] > 0), F.substring(F.lit(AMINO), place, F.lit(1)))
-        return known.when(codon.rlike("^[ACGTN]{3}$"), "?").otherwise("*") if ends else known.otherwise("?")
+        return F.when((digits[0] > 0) & (digits[1] > 0) & (digits[2] > 0), F.substring(F.lit(AMINO), place, F.lit(1))).otherwise("?")
 
     return F.transform(codons, amino)
 
 
+def stop_marks(codons: Column) -> Column:
+    """'*' for each codon that ends a frame: a stop, or one with a letter that isn't a base."""
+    return F.transform(codons, lambda c: F.when(c.isin("TAA", "TAG", "TGA") | (F.translate(c, "ACGTN", "") != ""), "*").otherwise("."))
+
+
 def upto_stop(protein: Column) -> Column:
     return F.substring_index(protein, "*", 1)
 
@@ -115,10 +117,14 @@ def kmers(seq: Column, k: int) -> Column:
 
 def stack_energy(seq: Column) -> Column:
     """Sum of neighbour stacking weights in hundredths: an energy proxy, not a folding energy."""
-    total = F.lit(0)
-    for pair, weight in STACK.items():
-        total = total + F.regexp_count(seq, F.lit(f"{pair[0]}(?={pair[1]})")) * round(weight * 100)
-    return total
+
+    def total(text: Column) -> Column:
+        out = F.lit(0)
+        for pair, weight in STACK.items():
+            out = out + F.regexp_count(text, F.lit(f"{pair[0]}(?={pair[1]})")) * round(weight * 100)
+        return out
+
+    return let(seq, total)
 
 
 def species_key(name: Column) -> Column:
@@ -135,8 +141,13 @@ def clean_accession(accession: Column) -> Column:
 def shuffled(seq: Column, *seed: Column) -> Column:
     """Bases in the order of md5(seed|place): the composition is kept."""
     text = F.concat_ws("|", *[s.cast("string") for s in seed])
-    keyed = F.transform(letters(seq), lambda b, i: F.struct(F.md5(F.concat_ws("|", text, (i + 1).cast("string"))).alias("k"), b.alias("b")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["b"]), "")
+
+    def ordered(prefix: Column) -> Column:
+        # A digest has 32 characters, the base is the last one.
+        keyed = F.transform(letters(seq), lambda b, i: F.concat(F.md5(F.concat(prefix, (i + 1).cast("string"))), b))
+        return F.array_join(F.transform(F.sort_array(keyed), lambda x: F.right(x, F.lit(1))), "")
+
+    return let(F.concat(text, F.lit("|")), ordered)
 
 
 def normal_cdf(x: Column) -> Column:

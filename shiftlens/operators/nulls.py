@@ -28,7 +28,7 @@ def draw(n: Column, *seed: Column) -> Column:
 def shuffled_codons(seq: Column, *seed: Column) -> Column:
     """The same codons in another order; bases beyond the last whole codon are dropped."""
     keyed = F.transform(S.codons(seq), lambda c, i: F.struct(F.md5(F.concat_ws("|", *[s.cast("string") for s in seed], i.cast("string"))).alias("k"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+    return F.array_join(F.transform(F.sort_array(keyed), lambda x: x["c"]), "")
 
 
 def random_sense(seq: Column, *seed: Column) -> Column:

@@ -40,27 +40,32 @@ def find_slipsites(genome: DataFrame, seqlengths=(100, 75, 50), canonical_only:
     return sites.withColumn("sequence", F.substring(F.col("__site.behind"), F.lit(1), F.col("seqlength"))).drop("__site")
 
 
-def _shifted(genome: DataFrame, make) -> DataFrame:
-    """Columns id (and others of genome) with a row for each site and the columns that make(start, frame) gives; frame(offset) is the
-    number of amino acids up to the first stop from start + offset on, and a slice of them. Each frame is translated once."""
-    frames = [S.amino_letters(S.codons(F.col("mrna_seq"), k), ends=True) for k in range(3)]
-    plain = S.amino_letters(F.regexp_extract_all(F.expr("substring(mrna_seq, orf_start)"), F.lit("(?s).{3}"), F.lit(0)))
-    body = F.length(F.regexp_replace("mrna_seq", "A+$", ""))
-
-    def rows(held: Column) -> Column:
+def _shifted(genome: DataFrame, offsets: tuple[int, ...], make) -> DataFrame:
+    """A row for each site with the columns that make(start, frame) gives; frame(offset) is the number of codons up to the first stop
+    from start + offset on, and their amino acids. Sites lie in one frame, so each offset has one frame of the transcript."""
+    cut = {}
+    for offset in offsets:
+        begin = F.pmod(F.col("orf_start") + 1 + offset, F.lit(3))
+        codons = F.regexp_extract_all(F.substring("mrna_seq", begin + 1, F.length("mrna_seq")), F.lit("(?s).{3}"), F.lit(0))
+        cut |= {f"codons{offset}": codons, f"begin{offset}": begin}
+
+    def with_marks(held: Column) -> Column:
+        marks = [S.stop_marks(held[f"codons{offset}"]).alias(f"marks{offset}") for offset in offsets]
+        return S.let(F.struct(*marks) if marks else F.struct(F.lit(0)), lambda ends: rows(held, ends))
+
+    def rows(held: Column, ends: Column) -> Column:
         def frame(start: Column, offset: int) -> tuple[Column, Column]:
-            at = start + (offset - 1)  # 0-based
-            letters, k = F.get(held["frames"], F.pmod(at, F.lit(3))), F.floor(at / 3).cast("int")
-            stop = lambda n: F.array_position(F.slice(letters, k + 1, n), "*")
-            left = F.greatest(F.size(letters) - k, F.lit(0))
+            codons, marks = held[f"codons{offset}"], ends[f"marks{offset}"]
+            k = F.floor((start + offset - 1 - held[f"begin{offset}"]) / 3).cast("int")
+            stop = lambda n: F.array_position(F.slice(marks, k + 1, n), "*")
+            left = F.greatest(F.size(codons) - k, F.lit(0))
             near = stop(F.lit(64))
             n = F.when(near > 0, near - 1).otherwise(F.when(stop(left) > 0, stop(left) - 1).otherwise(left)).cast("int")
-            return n, F.when(n > 0, F.array_join(F.slice(letters, k + 1, n), "")).otherwise("")
+            return n, F.when(n > 0, F.array_join(S.amino_letters(F.slice(codons, k + 1, n)), "")).otherwise("")
 
-        return _sites(False, 1, lambda start: make(start, lambda offset: frame(start, offset), held))
+        return _sites(False, 1, lambda start: make(start, lambda offset: frame(start, offset)))
 
-    held = F.struct(F.array(*frames).alias("frames"), plain.alias("plain"), body.alias("body"))
-    out = genome.withColumn("__site", F.explode(S.let(held, rows)))
+    out = genome.withColumn("__site", F.explode(S.let(F.struct(*[c.alias(n) for n, c in cut.items()]), with_marks)))
     names = [f.name for f in out.schema["__site"].dataType.fields if f.name != "behind"]
     return out.select(*[c for c in genome.columns if c != "mrna_seq"], *[F.col(f"__site.{n}").alias(n) for n in names])
 
@@ -95,31 +100,33 @@ def window_at(genome: DataFrame, startpos: int, length: int) -> DataFrame:
 
 def alternative_orfs(genome: DataFrame) -> DataFrame:
     """Peptides after a +1 and a -1 shift at each site, up to the first stop; all-A tails give null."""
+    body = F.length(F.regexp_replace("mrna_seq", "A+$", ""))
 
-    def make(start, frame, held):
+    def make(start, frame):
         out = {}
         for name, offset in (("plus", 5), ("minus", 6)):
             n, peptide = frame(offset)
-            tail_of_a = (start + (offset - 1) >= held["body"]) & (start + (offset - 1) < F.length("mrna_seq"))
+            tail_of_a = (start + (offset - 1) >= F.col("__body")) & (start + (offset - 1) < F.length("mrna_seq"))
             out |= {f"{name}_orf": F.when(~tail_of_a, peptide), f"{name}_length": F.when(~tail_of_a, n)}
         return out
 
-    return _shifted(genome, make)
+    return _shifted(genome.withColumn("__body", body), (5, 6), make).drop("__body")
 
 
 def minus_stop_distance(genome: DataFrame) -> DataFrame:
     """Bases from each site to the first stop of the -1 frame; to the last whole codon where there is none."""
-    return _shifted(genome, lambda start, frame, held: {"bp_mstop": 3 * frame(6)[0]})
+    return _shifted(genome, (6,), lambda start, frame: {"bp_mstop": 3 * frame(6)[0]})
 
 
 def frameshift_protein(genome: DataFrame) -> DataFrame:
     """Zero-frame protein up to each site in lower case, then the -1 frame up to its stop."""
+    protein = S.translate(F.expr("substring(mrna_seq, orf_start)"))
 
-    def make(start, frame, held):
-        head = F.slice(held["plain"], 1, F.floor((start - F.col("orf_start") + 1) / 3).cast("int"))
-        return {"fusion": F.concat(F.lower(F.array_join(head, "")), frame(6)[1])}
+    def make(start, frame):
+        head = F.substring(F.col("__protein"), F.lit(1), F.floor((start - F.col("orf_start") + 1) / 3).cast("int"))
+        return {"fusion": F.concat(F.lower(head), frame(6)[1])}
 
-    return _shifted(genome, make)
+    return _shifted(genome.withColumn("__protein", protein), (6,), make).drop("__protein")
 
 
 def codon_rank(genome: DataFrame) -> DataFrame:
