@@ -1 +1 @@
-from shiftlens.plans import overlays, registry, signals  # noqa: F401
+from shiftlens.plans import joins, overlays, registry, signals  # noqa: F401
