@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -57,8 +58,10 @@ def dropped(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let the driver find that shuffles behind a written table are no longer needed, so that executors delete their files.
     To be called where no variable holds the DataFrame that was written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold the last reference to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class Numbers(dict):
