@@ -38,10 +38,10 @@ from shiftlens.llm.pieces import Splitter
 BUCKETS = 1 << 14
 LONG = 200
 #: Characters of a chunk, distinct words of a row and words of the documents of a row.
-CHUNK = 64 << 20
+CHUNK = 28 << 20
 ROW_WORDS, ROW_TOKENS = 256, 1 << 20
 #: Documents sampled for the dictionary of frequent words, and its most words.
-SAMPLE, DICTIONARY = 20_000, 400_000
+SAMPLE, DICTIONARY = 20_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,11 +156,11 @@ class Dictionary:
 _NUMBERED: dict[int, dict[str, int]] = {}
 
 
-def _numbered(key: int, dictionary: Dictionary) -> dict[str, int]:
-    """The worker's own numbering of a dictionary; a worker is used for task after task."""
+def _numbered(key: int, held) -> dict[str, int]:
+    """The worker's own numbering of the broadcast words; a worker is used for task after task."""
     if key not in _NUMBERED:
         _NUMBERED.clear()
-        _NUMBERED[key] = {word: i for i, word in enumerate(dictionary.words)}
+        _NUMBERED[key] = {word: i for i, word in enumerate(held.value)}
     return _NUMBERED[key]
 
 
@@ -219,7 +219,7 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=N
 
     def split(batches):
         splitter = Splitter(pattern)
-        base = _numbered(dictionary.id, dictionary.value) if dictionary else {}
+        base = _numbered(dictionary.id, dictionary.held) if dictionary else {}
         seen, pieces = Numbers(base), Numbers()
         ids, counts, numbers, size = [], [], array("i"), 0
 
@@ -275,8 +275,10 @@ def encode_chunks(split: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every document."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, ranks, pattern))
-    coded = encode_chunks(split_chunks(docs, pattern, chunk, _Shared(known)), ranks)
+    frequent, share = frequent_words(docs, ranks, pattern), docs.sparkSession.sparkContext.broadcast
+    coded = encode_chunks(split_chunks(docs, pattern, chunk, _Shared(share(frequent.words))), ranks)
+    # Splitting holds the words alone, putting together what they give alone.
+    known = share((frequent.n, frequent.said, frequent.raw))
 
     def assemble(batches):
         back = {rank: token for token, rank in ranks.items()}
@@ -289,7 +291,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                 coded = batch.column("coded")[at].values
                 ids = batch.column("ids")[at].values
                 if complete and not len(ids):
-                    words, pieces, complete = (list(base.n), list(base.said), list(base.raw)), ([], [], []), False
+                    words, pieces, complete = tuple(map(list, base)), ([], [], []), False
                 if len(coded):
                     far = (merge_long(w, ranks) for w in batch.column("long_words")[at].as_py())
                     parts = [coded.field(name).to_pylist() for name in ("n", "ids", "bytes")]
@@ -336,11 +338,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
 
 
 class _Shared:
-    """A broadcast dictionary and a number that tells it from others in the same worker."""
+    """Broadcast words and a number that tells them from others in the same worker."""
 
     def __init__(self, held):
         self.held, self.id = held, uuid.uuid4().int
-
-    @property
-    def value(self) -> Dictionary:
-        return self.held.value
