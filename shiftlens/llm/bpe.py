@@ -230,6 +230,7 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=N
                 sizes.append(len(words))
                 parts.extend(map(seen.__getitem__, words))
             raw = [word.encode() for word in islice(seen, len(base), None)]
+            seen.clear(), pieces.clear()  # while the chunk's rows are put together elsewhere
             for lo in range(0, len(raw), ROW_WORDS):
                 part = raw[lo : lo + ROW_WORDS]
                 yield row(words=[w.decode("latin-1") if len(w) <= LONG else None for w in part], far=[w for w in part if len(w) > LONG])
@@ -316,7 +317,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                             pieces[0].append(sum([n[i] for i in own]))
                             pieces[1].append(",".join([said[i] for i in own])), pieces[2].append(b"".join([raw[i] for i in own]))
                     continue
-                complete = True
+                complete, words = True, None
                 _, said, raw = pieces
                 each = np.array(pieces[0], np.int64)
                 ids, counts, numbers = ids.to_numpy(), read("counts"), read("numbers")
