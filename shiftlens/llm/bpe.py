@@ -41,7 +41,7 @@ LONG = 200
 CHUNK = 28 << 20
 ROW_WORDS, ROW_TOKENS = 256, 1 << 20
 #: Documents sampled for the dictionary of frequent words, and its most words.
-SAMPLE, DICTIONARY = 20_000, 250_000
+SAMPLE, DICTIONARY = 20_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
