@@ -157,3 +157,41 @@ def normal_cdf(x: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     tail = poly * F.exp(-z * z) / 2.0
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
+
+
+def xref_ids(xrefs: Column, kind: str) -> Column:
+    """Ids of one kind (MIM, HGNC, GeneID) among cross-references like `HGNC:1234`, by a space; null where there is none."""
+    own = F.filter(xrefs, lambda x: x.startswith(kind + ":"))
+    return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda x: F.substring(x, len(kind) + 2, 1 << 30)), " "))
+
+
+#: Sentences that a curated record's comment repeats.
+BOILERPLATE = (
+    "REVIEWED REFSEQ: This record has been curated by NCBI staff.",
+    "This sequence is a reference standard in the RefSeqGene project.",
+    "VALIDATED REFSEQ: This record has undergone validation or preliminary review.",
+)
+
+
+def clean_refseq_comment(comment: Column) -> Column:
+    """The comment without the fixed sentences and without `[provided by RefSeq, ...].`"""
+    for sentence in BOILERPLATE:
+        comment = F.replace(comment, F.lit(sentence), F.lit(""))
+    return F.regexp_replace(comment, r"\[provided by RefSeq, .+\]\.", "")
+
+
+def alternates(amino: Column, spec: Column) -> Column:
+    """Codons of an amino acid that fit a spec such as `A.G`, where a dot stands for any base; empty for an unknown letter."""
+    own = literal_map_of_codons()
+    fits = lambda codon, k: (F.substring(spec, k, 1) == ".") | (F.substring(spec, k, 1) == F.substring(codon, k, 1))
+    return F.coalesce(F.filter(F.element_at(own, amino), lambda c: fits(c, 1) & fits(c, 2) & fits(c, 3)), none_of("string"))
+
+
+def literal_map_of_codons() -> Column:
+    letters_ = sorted(set(AMINO))
+    return F.create_map(*[x for a in letters_ for x in (F.lit(a), F.array(*[F.lit(c) for c, b in zip(CODONS, AMINO) if b == a]))])
+
+
+def normalise_spaces(coded: Column) -> Column:
+    """An encoded array with no space before it and single spaces inside, where it starts with a space; else as it is."""
+    return F.when(coded.rlike(r"^\s"), F.regexp_replace(F.regexp_replace(coded, r"^\s+", ""), r"\s+", " ")).otherwise(coded)

@@ -60,7 +60,19 @@ def drawn_doublets(seq: Column, *seed: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda c, i: F.get(pairs, draw(F.size(pairs), *seed, i))), "")
 
 
-RANDOMIZERS = {"bases": S.shuffled, "codons": shuffled_codons, "sense": random_sense, "protein": same_protein, "middle": random_middle, "doublets": drawn_doublets}
+def same_slot_protein(seq: Column, *seed: Column) -> Column:
+    """Each codon replaced by one with its amino acid, its last base and, but for the first codon, its first base; a codon with
+    another letter stays."""
+
+    def swap(codon: Column, i: Column) -> Column:
+        first = F.when(i == 0, ".").otherwise(F.substring(codon, 1, 1))
+        options = S.alternates(F.get(S.amino_letters(F.array(codon)), F.lit(0)), F.concat(first, F.lit("."), F.substring(codon, 3, 1)))
+        return F.coalesce(F.get(options, draw(F.greatest(F.size(options), F.lit(1)), *seed, i)), codon)
+
+    return F.array_join(F.transform(S.codons(seq), swap), "")
+
+
+RANDOMIZERS = {"bases": S.shuffled, "codons": shuffled_codons, "sense": random_sense, "protein": same_protein, "middle": random_middle, "doublets": drawn_doublets, "slots": same_slot_protein}
 
 
 def bootstrap_summary(energies: DataFrame, keys: list[str], energy: str = "e") -> DataFrame:
@@ -78,3 +90,16 @@ def bulk_fold(windows: DataFrame, fold, existing: DataFrame | None = None) -> Da
     known = existing.groupBy("sequence").agg(F.min("mfe").alias("mfe"))
     fresh = todo.join(known, "sequence", "left_anti").withColumn("mfe", fold(F.col("sequence")))
     return windows.join(known.unionByName(fresh), "sequence")
+
+
+def landscape_fold(windows: DataFrame, folds: dict, existing: DataFrame | None = None) -> DataFrame:
+    """Energies of landscape windows by each method (name: fold of a sequence column): (id, start, mfe_method, mfe); windows that
+    existing (id, start, mfe_method) has are left out."""
+    out = None
+    for name, fold in folds.items():
+        one = windows.withColumn("mfe_method", F.lit(name))
+        if existing is not None:
+            one = one.join(existing.select("id", "start", "mfe_method"), ["id", "start", "mfe_method"], "left_anti")
+        one = bulk_fold(one, fold).select("id", "start", "mfe_method", "mfe")
+        out = one if out is None else out.unionByName(one)
+    return out

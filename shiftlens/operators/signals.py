@@ -116,3 +116,19 @@ def series_json(df: DataFrame, key: str, label: str, x: str, y: str) -> DataFram
     """[{label, data: [[x, y], ...]}] for each key, by x."""
     points = df.groupBy(key, label).agg(F.transform(F.array_sort(F.collect_list(F.struct(x, y))), lambda p: F.array(p[x].cast("double"), p[y].cast("double"))).alias("data"))
     return points.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "data")))).alias("series"))
+
+
+def binned_frame_counts(hits: DataFrame, ranges: list[tuple[int, int]], keys: list[str] = (), shift: int = 15) -> DataFrame:
+    """Reads whose shifted place lies in each range (both ends inclusive), in all and by frame: 0, +1 (place + 1 divisible by 3), -1.
+
+    Places are counted before they meet the ranges, which are literals; ranges may overlap, and one without reads has no row."""
+    counted = hits.groupBy(*keys, (F.col("at") + shift).alias("__at")).agg(F.count("*").alias("__n"))
+    bins = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ranges])
+    met = counted.withColumn("__b", F.explode(F.filter(bins, lambda b: F.col("__at").between(b["lo"], b["hi"]))))
+    frame = F.pmod(F.col("__at"), F.lit(3))
+    sums = [F.sum(F.when(frame == k, F.col("__n")).otherwise(0)).alias(name) for name, k in (("zero", 0), ("plus", 2), ("minus", 1))]
+    return met.groupBy(*keys, F.col("__b.lo").alias("lo"), F.col("__b.hi").alias("hi")).agg(F.sum("__n").alias("total"), *sums)
+
+
+#: The ranges of a profile by hundreds and around a signal.
+PROFILE_RANGES = [(k, k + 99) for k in range(0, 1100, 100)] + [(390, 410), (411, 430), (431, 450)]

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def parens_to_pairs(structures: DataFrame) -> DataFrame:
-    """(id, i, j) of matching brackets, 0-based: the k-th opening and the k-th closing of a depth belong together."""
+    """(id, i, j) of matching brackets, 0-based. Openings and closings of one depth take turns, so an opening belongs to the closing
+    that comes next at its depth; brackets without a partner give no row. One shuffle by id."""
     bases = structures.select("id", F.posexplode(F.split("parens", "")).alias("p", "c")).where("c in ('(', ')')")
     run = Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     depth = F.sum(F.when(F.col("c") == "(", 1).otherwise(-1)).over(run) + F.when(F.col("c") == ")", 1).otherwise(0)
-    bases = bases.withColumn("depth", depth).withColumn("k", F.row_number().over(Window.partitionBy("id", "c", "depth").orderBy("p")))
-    opening = bases.where("c = '('").select("id", "depth", "k", F.col("p").alias("i"))
-    closing = bases.where("c = ')'").select("id", "depth", "k", F.col("p").alias("j"))
-    return opening.join(closing, ["id", "depth", "k"]).select("id", "i", "j")
+    level = Window.partitionBy("id", "depth").orderBy("p")
+    following = bases.withColumn("depth", depth).withColumn("next_c", F.lead("c").over(level)).withColumn("j", F.lead("p").over(level))
+    return following.where("c = '(' and next_c = ')'").select("id", F.col("p").alias("i"), "j")
 
 
 def pairs_to_parens(partners):
@@ -55,3 +55,60 @@ def stem_sizes(stems: DataFrame) -> DataFrame:
 
 def max_pair_span(edges: DataFrame) -> DataFrame:
     return edges.groupBy("id").agg(F.max(F.col("j") - F.col("i")).alias("span"), F.count("*").alias("pairs"))
+
+
+def stem_track(structures: DataFrame, stems: DataFrame) -> DataFrame:
+    """(id, parens, parsed): for each base of a structure (id, parens) the number of its stem, or a dot."""
+    sides = stems.select("id", F.col("stem").cast("string").alias("stem"), F.explode(F.array("i", "j")).alias("p"))
+    places = structures.where("parens <> ''").select("id", "parens", F.explode(F.sequence(F.lit(0), F.length("parens") - 1)).alias("p"))
+    numbered = places.join(sides, ["id", "p"], "left").select("id", "parens", F.struct("p", F.coalesce("stem", F.lit(".")).alias("stem")).alias("x"))
+    tracks = numbered.groupBy("id", "parens").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return tracks.select("id", "parens", F.transform("x", lambda x: x["stem"]).alias("parsed"))
+
+
+def reorder_stems(parsed):
+    """Stem numbers of an array of numbers and dots, replaced by 1, 2, ... in the order of their first places."""
+    order = F.array_distinct(F.filter(parsed, lambda x: x != "."))
+    return F.transform(parsed, lambda x: F.when(x == ".", x).otherwise(F.array_position(order, x).cast("string")))
+
+
+def stem_brackets(parens, parsed):
+    """Brackets that show their stem: kinds ( { [ < for the remainders 1, 2, 3, 0 of the stem number by four."""
+
+    def mark(c, stem):
+        kind = (stem.cast("int") % 4) + 1
+        side = F.when(c.isin("(", "{", "[", "<"), F.substring(F.lit("<({["), kind, F.lit(1))).when(c.isin(")", "}", "]", ">"), F.substring(F.lit(">)}]"), kind, F.lit(1)))
+        return F.when(stem == ".", ".").otherwise(F.coalesce(side, F.lit("?")))
+
+    return F.array_join(F.zip_with(F.filter(F.split(parens, ""), lambda c: c != ""), parsed, mark), "")
+
+
+def structure_records(structures: DataFrame, genes: DataFrame, column: str = "parens") -> DataFrame:
+    """(id, record): a comment line with accession, start and the gene's comment, then the structure (id, accession, start, column)."""
+    known = structures.join(genes.select("accession", "comment"), "accession")
+    head = F.concat(F.lit("#"), "accession", F.lit(" starting at "), "start", F.lit(": "), F.coalesce("comment", F.lit("")))
+    return known.select("id", F.concat(head, F.lit("\n"), column, F.lit("\n")).alias("record"))
+
+
+#: The counters of an agreement: every method's partner alike, no partner, one method alone, two together, and the rest.
+COUNTERS = ("all_agree", "no_agree", "n_alone", "h_alone", "p_alone", "hplusn", "nplusp", "hplusp", "hnp")
+
+
+def base_agreement(partners: DataFrame, keys: list[str], methods: tuple[str, str, str]) -> DataFrame:
+    """Nine counters of the bases of each window (keys, position, mfe_method, partner; 0 for none) that three methods have all folded.
+
+    A base that not all three methods have counts nowhere. Where n differs from both others it counts as hnp, whatever they say."""
+    said = [F.max(F.when(F.col("mfe_method") == m, F.col("partner"))).alias(x) for m, x in zip(methods, ("__n", "__h", "__p"))]
+    bases = partners.groupBy(*keys, "position").agg(*said).where("__n is not null and __h is not null and __p is not null")
+    n, h, p = F.col("__n"), F.col("__h"), F.col("__p")
+    kind = (
+        F.when((n == 0) & (h == 0) & (p == 0), "no_agree").when((n == h) & (n == p), "all_agree").when((n != h) & (n != p), "hnp")
+        .when((n == 0) & (h == 0), "p_alone").when((n == 0) & (p == 0), "h_alone").when((h == 0) & (p == 0), "n_alone")
+        .when(n == 0, "hplusp").when(h == 0, "nplusp").when(p == 0, "hplusn").otherwise("hnp")
+    )
+    return bases.withColumn("__k", kind).groupBy(*keys).agg(*[F.count(F.when(F.col("__k") == c, 1)).alias(c) for c in COUNTERS])
+
+
+def agreement_histogram(agree: DataFrame) -> DataFrame:
+    """(counter, value, n): how many windows have each value of each counter."""
+    return agree.unpivot([], list(COUNTERS), "counter", "value").groupBy("counter", "value").agg(F.count("*").alias("n"))

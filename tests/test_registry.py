@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from shiftlens.plans import overlays, registry, signals  # noqa: F401
+from shiftlens.plans import motifs, overlays, registry, signals  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
