@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlens.functions import seq as S
+
 HEADERS = {
     "sgd": {"accession": r"^(\S+)", "genename": r"^\S+\s+([^,]*)", "comment": r"^[^,]*,(.*)$"},
     "celegans": {"accession": r"^([^|]+)", "genename": r"^[^|]*\|(.*)$", "comment": r"^(.*)$"},
@@ -92,3 +94,30 @@ def read_bpseq(spark: SparkSession, path: str) -> DataFrame:
     part = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(r"trim(value) rlike '^[0-9]+\\s+[A-Za-z]\\s+[0-9]+$'")
     return rows.select(F.input_file_name().alias("file"), F.get(part, F.lit(0)).cast("int").alias("position"), F.get(part, F.lit(1)).alias("base"), F.get(part, F.lit(2)).cast("int").alias("partner"))
+
+
+def read_half_lives(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """gene, half_life, r2 of the first n - 1 lines of one tab-separated file; lines are numbered by their place in the file."""
+    part = F.split("line", "\t")
+    # The cohort file is one small table: its lines stay together, so that they keep their numbers.
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("k", "line"))
+    return lines.where(F.col("k") < n - 1).select(F.get(part, F.lit(0)).alias("gene"), F.get(part, F.lit(1)).try_cast("double").alias("half_life"), F.get(part, F.lit(2)).try_cast("double").alias("r2"))
+
+
+def write_by_species(df: DataFrame, path: str) -> None:
+    """Parquet with a folder for each species key; a species is dealt over the tasks that hold its rows, so a large one isn't one task."""
+    df.withColumn("species_key", S.species_key(F.col("species"))).write.mode("overwrite").partitionBy("species_key").parquet(path)
+
+
+def scan_species(spark: SparkSession, path: str, species: str | None = None) -> DataFrame:
+    """A table written by species: all of it, or the folder of one species (viruses share one), so that no other is read."""
+    table = spark.read.parquet(path)
+    return table if species is None else table.where(F.col("species_key") == S.species_key(F.lit(species)))
+
+
+def write_cloud(points: DataFrame, path: str, series: DataFrame | None = None) -> None:
+    """Cloud points as CSV with a header under path/points, and JSON series (key, series) as text under path/series."""
+    columns = ("mfe", "zscore", "accession", "start", "knotp", "slipsite", "id")
+    points.select(*[c for c in columns if c in points.columns]).write.mode("overwrite").option("header", True).csv(f"{path}/points")
+    if series is not None:
+        series.select("series").write.mode("overwrite").text(f"{path}/series")
