@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import bpe, chat, decontam, media, neardup, quality, secrets, substrings, tokens, urls
+from shiftlens.llm import bpe, chat, decontam, media, neardup, quality, repair, secrets, substrings, tokens, urls
 from shiftlens.llm.common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -74,7 +74,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_suffix_dedup, op3_chat_format, op4_minhash_dedup, op5_byte_bpe, op6_url_filter, op7_secret_scan, op8_token_files, op9_gif_media, op10_decontaminate)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_suffix_dedup, op3_chat_format, op4_minhash_dedup, op5_byte_bpe, op6_url_filter, op7_secret_scan, op8_token_files, op9_gif_media, op10_decontaminate, op13_conversation_repair)}
 
 
 def _escaped(column: str) -> str:
@@ -109,4 +113,45 @@ m AS (SELECT p.page_id, v.pattern, v.since, row_number() OVER (PARTITION BY p.pa
   FROM p JOIN v ON (p.host = v.pattern OR (v.pattern LIKE '%.%' AND ends_with(p.host, '.' || v.pattern))) AND v.since <= p.day AND p.day < v.until)
 SELECT p.page_id, p.host, p.day, m.pattern IS NOT NULL AS blocked, m.pattern AS blocked_by, CAST(m.since AS INTEGER) AS listed_since
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (SELECT g.*, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(list_transform(string_split(key, ''), lambda c: ord(c)) AS BIGINT[])),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM given g),
+kinds AS (SELECT conv_id, turn, role, text, xor(crc, 4294967295) % 20 AS kind FROM hashed),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) AS r(copy) WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen FROM ordered),
+turns AS (SELECT *, substr(role, 1, 1) AS said, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+nexts AS (SELECT *, lead(said) OVER (PARTITION BY conv_id ORDER BY p) AS following FROM turns),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE following IS NOT NULL AND said || following NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n FROM nexts GROUP BY conv_id),
+starts AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 2, 5, 'I', 'user:'), (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'),
+    (1, 1, 0, '', ''), (1, 2, 5, 'I', 'user:'), (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'),
+    (2, 2, 0, '', ''), (2, 3, 5, 'I', 'assistant:'), (3, 3, 0, '', ''), (3, 2, 5, 'I', 'user:')) v(before, state, price, letters, added)),
+steps AS (SELECT * FROM (VALUES (0, 's', 1, 0, 'K', ''), (0, 'u', 2, 0, 'K', ''), (1, 'u', 2, 0, 'K', ''), (3, 'u', 2, 0, 'K', ''), (2, 'a', 3, 0, 'K', ''),
+    (0, '', 2, 1, 'R', 'user'), (1, '', 2, 1, 'R', 'user'), (3, '', 2, 1, 'R', 'user'), (2, '', 3, 1, 'R', 'assistant'),
+    (0, '', 0, 2, 'D', ''), (1, '', 1, 2, 'D', ''), (2, '', 2, 2, 'D', ''), (3, '', 3, 2, 'D', '')) v(state, wanted, after, price, letter, role)),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'body': CAST([] AS VARCHAR[])} AS best FROM counts
+  UNION ALL SELECT t.conv_id, t.p, s.after, min({
+      'cost': w.best.cost + i.price + s.price + CASE WHEN s.letter <> 'D' AND t.fault = 'truncated' THEN 5 ELSE 0 END,
+      'audit': w.best.audit || i.letters || s.letter,
+      'body': w.best.body || CASE WHEN i.added = '' THEN CAST([] AS VARCHAR[]) ELSE [i.added] END ||
+        CASE s.letter WHEN 'K' THEN [t.role || ':' || t.text] WHEN 'R' THEN [s.role || ':' || t.text] ELSE CAST([] AS VARCHAR[]) END})
+    FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.p = w.p + 1 JOIN starts i ON i.before = w.state
+      JOIN steps s ON s.state = i.state AND (s.letter <> 'K' OR s.wanted = t.said) AND (s.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+    GROUP BY t.conv_id, t.p, s.after),
+ends AS (SELECT w.conv_id, min({'cost': w.best.cost + i.price, 'audit': w.best.audit || i.letters,
+    'body': w.best.body || CASE WHEN i.added = '' THEN CAST([] AS VARCHAR[]) ELSE [i.added] END}) AS best
+  FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.p JOIN starts i ON i.before = w.state AND i.state IN (0, 3) GROUP BY w.conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
