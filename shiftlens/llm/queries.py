@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import bpe, chat, decontam, media, neardup, quality, repair, secrets, substrings, tokens, urls, whitening
+from shiftlens.llm import bpe, chat, decontam, media, neardup, private, quality, repair, secrets, substrings, tokens, urls, whitening
 from shiftlens.llm.common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -74,6 +74,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +86,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_suffix_dedup, op3_chat_format, op4_minhash_dedup, op5_byte_bpe, op6_url_filter, op7_secret_scan, op8_token_files, op9_gif_media, op10_decontaminate, op12_embedding_whitening, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_suffix_dedup, op3_chat_format, op4_minhash_dedup, op5_byte_bpe, op6_url_filter, op7_secret_scan, op8_token_files, op9_gif_media, op10_decontaminate, op11_private_data, op12_embedding_whitening, op13_conversation_repair)}
 
 
 def _escaped(column: str) -> str:
