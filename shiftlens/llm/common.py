@@ -24,6 +24,14 @@ def with_id(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(columns or docs.columns)).where(F.col("doc_id").isNotNull())
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores behind it as set it apart from the columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is configured, the warehouse; only a local session may use a
     temporary folder."""

@@ -116,11 +116,35 @@ def slot_class(instance: str) -> str:
     return kind + "-" * (sum(c.isalnum() for c in instance) < 6)
 
 
-def contexts(flat: str, backwards: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of one occurrence. An end of the text counts as the word ^."""
-    before = [_word(w[::-1]) or "^" for w in TWO_WORDS.match(backwards, len(flat) - start).groups()]
-    after = [_word(w) or "^" for w in TWO_WORDS.match(flat, end).groups()]
-    slot = slot_class(flat[start:end])
+class Words:
+    """The words around places of a text, asked for in order of their starts: what touches a place belongs to it. The last word
+    looked at is kept, so many places in one long word don't read it again."""
+
+    def __init__(self, flat: str):
+        self.flat, self.backwards = flat, flat[::-1]
+        self.first = self.last = (0, 0)
+        self.before: list[str] = []
+        self.after: list[str] = []
+
+    def _bounds(self, at: int) -> tuple[int, int]:
+        end = self.flat.find(" ", at)
+        return self.flat.rfind(" ", 0, at) + 1, len(self.flat) if end < 0 else end
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """The two words before a place, the nearer one first, and the two behind it. An end of the text counts as the word ^."""
+        if not self.before or not self.first[0] <= start < self.first[1]:
+            self.first = self._bounds(start)
+            self.before = [_word(w[::-1]) or "^" for w in TWO_WORDS.match(self.backwards, len(self.flat) - self.first[0]).groups()]
+        if not self.after or not self.last[0] < end <= self.last[1]:
+            self.last = self._bounds(end - 1)
+            self.after = [_word(w) or "^" for w in TWO_WORDS.match(self.flat, self.last[1]).groups()]
+        return self.before, self.after
+
+
+def contexts(words: Words, start: int, end: int) -> list[str]:
+    """The lexical patterns of one occurrence."""
+    before, after = words.around(start, end)
+    slot = slot_class(words.flat[start:end])
     return [
         f"{before[0]} <{slot}>", f"<{slot}> {after[0]}", f"{before[0]} <{slot}> {after[0]}", f"{before[1]} {before[0]} <{slot}>", f"<{slot}> {after[0]} {after[1]}"
     ]
@@ -132,13 +156,12 @@ def instance_of(text: str) -> str:
 
 
 def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """Base spans, and the occurrences of seeds and candidates with their patterns. Words that touch a seed without belonging to
-    it (a mark glued to it) are no context of their own."""
+    """Base spans, and the occurrences of seeds and candidates with their patterns."""
     base = base_spans(text)
     if not base and not MARK.search(text):
         return base, []
     flat = text.translate(SPACES)
-    backwards = flat[::-1]
+    words = Words(flat)
     out, free = [], 0
     for start, _, end in base:
         if start >= free:  # of overlapping seeds the first one
@@ -146,7 +169,7 @@ def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
             free = end
     out += [(start, end, False) for start, end in candidates(flat, _merged(base)) if end > start]
     rows = [
-        {"start": a, "end": b, "instance": instance_of(text[a:b]), "seed": seed, "patterns": contexts(flat, backwards, a, b)} for a, b, seed in sorted(out)
+        {"start": a, "end": b, "instance": instance_of(text[a:b]), "seed": seed, "patterns": contexts(words, a, b)} for a, b, seed in sorted(out)
     ]
     return base, rows
 

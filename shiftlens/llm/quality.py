@@ -4,7 +4,8 @@ Each line is a position of the chain with label good or bad. Its features descri
 line before and the line after. Forward-backward gives each line's marginal probability of being
 good; the length-weighted mean of these, calibrated by a logistic curve, is the document's score.
 
-Training uses at most `sample` labelled documents (a documented bound), chosen by a hash of the id.
+Training uses at most `sample` labelled documents (a documented bound), chosen by a hash of the id; of these, none over 64 K
+characters or 400 lines (parameters). label_lines gives each line's label and probability.
 Scoring is one pass over the documents without a shuffle.
 
 Defined cases: null text counts as empty; an empty text is one empty line and gets a score like any
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm.common import chunks, fit_logistic, sigmoid, utf8, with_id
 
-SAMPLE = 3000
-TRAIN_TEXT, TRAIN_LINES = 1 << 16, 400
+#: Bounds of training alone: labelled documents, and the characters and lines of one.
+SAMPLE, TRAIN_TEXT, TRAIN_LINES = 3000, 1 << 16, 400
 
 
 def _classes() -> np.ndarray:
@@ -145,11 +146,14 @@ class Model:
     move: np.ndarray
     calibration: np.ndarray
 
+    def marginals(self, x, first, n_lines) -> np.ndarray:
+        """Probability of each line to be good."""
+        z, alpha, beta = forward_backward(x @ self.weights, first, n_lines, self.move)
+        return np.exp(np.minimum(alpha[:, 1] + beta[:, 1] - np.repeat(z, n_lines), 0))
+
     def raw(self, x, length, first, n_lines) -> np.ndarray:
         """Log odds of the length-weighted mean marginal of each text."""
-        emit = x @ self.weights
-        z, alpha, beta = forward_backward(emit, first, n_lines, self.move)
-        good = np.exp(np.minimum(alpha[:, 1] + beta[:, 1] - np.repeat(z, n_lines), 0))
+        good = self.marginals(x, first, n_lines)
         weight = np.maximum(length, 1)
         mean = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
         mean = np.clip(mean, 1e-4, 1 - 1e-4)
@@ -194,19 +198,20 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = TRAIN_TEXT, most_lines: int = TRAIN_LINES) -> Model:
+    """Train on at most `sample` labelled documents that are not held out; those over `longest` characters or `most_lines` lines are
+    not trained on (they are scored whole like all others)."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("__label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    picked = with_id(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_TEXT)
+    picked = with_id(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
 
     def features(batches):
         for batch in chunks(batches, "text"):
             x, length, first, n_lines = line_features(*utf8(batch.column("text")))
-            rows = [(x[a : a + n].tobytes(), length[a : a + n].tobytes()) if n <= TRAIN_LINES else (None, None) for a, n in zip(first, n_lines)]
+            rows = [(x[a : a + n].tobytes(), length[a : a + n].tobytes()) if n <= most_lines else (None, None) for a, n in zip(first, n_lines)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__label").cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "label", "x", "n"])
 
     got = picked.select("doc_id", "text", "__label").mapInArrow(features, "doc_id long, label int, x binary, n binary").where("x is not null").collect()
@@ -230,6 +235,21 @@ def add_scores(docs: DataFrame, model: Model, column: str = "__score") -> DataFr
     return docs.mapInArrow(scored, f"{kinds}, `{column}` double")
 
 
+def label_lines(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+    """doc_id, line (from 0), n_bytes, probability and good (the label) of every line of every text; an empty text is one empty line."""
+
+    def labelled(batches):
+        for batch in chunks(batches, "text"):
+            x, length, first, n_lines = line_features(*utf8(batch.column("text")))
+            good = model.marginals(x, first, n_lines) if len(first) else np.zeros(0)
+            ids = pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), n_lines), pa.int64())
+            line = np.arange(len(length)) - np.repeat(first, n_lines)
+            columns = [ids, pa.array(line, pa.int32()), pa.array(length, pa.int64()), pa.array(good, pa.float64()), pa.array(good >= cut)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "n_bytes", "probability", "good"])
+
+    return with_id(docs, "doc_id", "text").mapInArrow(labelled, "doc_id long, line int, n_bytes long, probability double, good boolean")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     scored = add_scores(with_id(docs, "doc_id", "text"), fit(docs, labels, sample))

@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.segments(turns.unionByName(probe))).drop("valid")
+    return chat.read_back(chat.segments(turns.unionByName(probe)))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +98,15 @@ def _escaped(column: str) -> str:
 
 ORACLES = {
     "op3_chat_format": f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
-  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+WITH g AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+t AS (SELECT *, lag(role, 1, '^') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || '>' || role AS step FROM g)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|turn|>') + length(role) + 1 + length({_escaped('text')}) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|turn|>') + length(role) + 1 + length({_escaped('text')}) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars,
+  bool_and(step IN ('^>system', '^>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant')) AS valid
 FROM t GROUP BY conv_id""",
     "op6_url_filter": r"""
 WITH p AS (SELECT page_id, CAST((page_id * 7919) % 1461 AS INTEGER) AS day,

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlens.llm.common import free_name
+
 PERIOD = 64
 FOREVER = 1_000_000
 
@@ -59,9 +61,14 @@ def active_patterns(captures: DataFrame, entries: DataFrame, last_day: int | Non
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """All columns of captures (page_id, url, day, ...), with host, blocked, blocked_by and listed_since at fetch time."""
+    """All columns of captures (page_id, url, day, ...), with host, blocked, blocked_by and listed_since at fetch time. A given
+    column of such a name keeps its values under the name with an underscore behind it."""
+    own = ("host", "blocked", "blocked_by", "listed_since")
+    for c in [c for c in captures.columns if c.lower() in own]:
+        captures = captures.withColumnRenamed(c, free_name([*captures.columns, *own], c))
     captures = captures.withColumn("host", host_of(F.col("url")))
+    h, d = (free_name(captures.columns, c) for c in ("__h", "__d"))
     found = active_patterns(captures, entries, last_day=None)
-    found = found.select(F.col("host").alias("__h"), F.col("day").alias("__d"), "blocked_by", "listed_since")
-    out = captures.join(found, (captures.host == found["__h"]) & (captures.day == found["__d"]), "left").drop("__h", "__d")
+    found = found.select(F.col("host").alias(h), F.col("day").alias(d), "blocked_by", "listed_since")
+    out = captures.join(found, (F.col("host") == F.col(h)) & (F.col("day") == F.col(d)), "left").drop(h, d)
     return out.withColumn("blocked", F.col("blocked_by").isNotNull())
