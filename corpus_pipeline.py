@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result into the shared folder and reads it
 again before the next stage. All stages but the last return the columns of documents.
+
+In every stage a null text counts as empty, rows without doc_id are left out, rows alike are judged alike (near-duplicate removal
+keeps one of a group, all rows of its smallest id), a text of any length is read whole, an empty table gives an empty table, and
+columns besides doc_id and text pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.llm import bpe, decontam, neardup, quality, secrets
-from shiftlens.llm.common import table, written
+from shiftlens.llm.common import free_name, table, written
 
 #: Quality score from which a document is kept, and words and similarity of near copies.
 CUT, WORDS, PERCENT = 0.7, 5, 80
@@ -21,7 +25,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.add_scores(docs, model, "__score").where(F.col("__score") >= CUT).drop("__score")
+    score = free_name(docs.columns, "__score")
+    return quality.add_scores(docs, model, score).where(F.col(score) >= CUT).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
