@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,34 +53,159 @@ def annotate_bases(genome: DataFrame, sites: DataFrame, snps: DataFrame) -> Data
     return found.select("id", F.when(F.col("__l").isNull(), F.repeat(F.lit("."), F.col("__n"))).otherwise(filled(F.col("__l"), F.col("__n"))).alias("track"))
 
 
-def stems_of(windows: DataFrame, shortest: int = 4, longest: int = 20, min_loop: int = 3) -> DataFrame:
-    """(id, i, j, n, gc): the longest runs of n nested pairs (A-T, G-C, G-T) whose outer pair is i, j, 0-based; gc counts G and C of
-    the left side. Runs over `longest` are left out. Windows (id, sequence) are short: every pair of their bases is met once."""
-    bases = windows.select("id", F.posexplode(F.split("sequence", "")).alias("p", "b")).where("b in ('A', 'C', 'G', 'T')")
-    mates = F.when(F.col("b") == "A", F.array(F.lit("T"))).when(F.col("b") == "C", F.array(F.lit("G"))).when(F.col("b") == "G", F.array(F.lit("C"), F.lit("T"))).otherwise(F.array(F.lit("A"), F.lit("G")))
-    left = bases.select("id", F.col("p").alias("i"), F.col("b").isin("G", "C").cast("int").alias("gc"), F.explode(mates).alias("b"))
-    pairs = left.join(bases.withColumnRenamed("p", "j"), ["id", "b"]).where(F.col("j") - F.col("i") > min_loop)
-    diagonal = Window.partitionBy("id", F.col("i") + F.col("j")).orderBy("i")
-    runs = pairs.withColumn("__run", F.col("i") - F.row_number().over(diagonal)).groupBy("id", (F.col("i") + F.col("j")).alias("__d"), "__run")
-    stems = runs.agg(F.min("i").alias("i"), F.max("j").alias("j"), F.count("*").cast("int").alias("n"), F.sum("gc").cast("int").alias("gc"))
-    return stems.where(F.col("n").between(shortest, longest)).select("id", "i", "j", "n", "gc")
+#: One bit for each base, and the bits of the bases that it pairs with (A-T, G-C, G-T).
+BITS = {"A": (1, 8), "C": (2, 4), "G": (4, 10), "T": (8, 5)}
+
+
+def _bits(sequence: Column, side: int) -> Column:
+    """An array with the bit (side 0) or the partners' bits (side 1) of each base; 0 for other letters. U counts as T."""
+
+    def bit(c: Column) -> Column:
+        out = F.lit(0)
+        for base, values in BITS.items():
+            out = F.when(c == base, values[side]).otherwise(out)
+        return out
+
+    return F.transform(S.letters(F.translate(sequence, "U", "T")), bit)
+
+
+def _stems(own: Column, mates: Column, shortest: int, min_loop: int) -> Column:
+    """Structs i, j, n of the longest runs of nested pairs of a window, outer pair first. Pairs i, j with the same sum lie on a
+    diagonal; its pairs as a string of 0 and 1 show the runs. Time grows with the square of the window."""
+    n = F.size(own)
+
+    def runs(d: Column) -> Column:
+        low = F.greatest(F.lit(0), d - n + 1)
+        high = F.floor((d - min_loop - 1) / 2).cast("int")
+        many = high - low + 1
+        left, right = F.slice(own, low + 1, many), F.reverse(F.slice(mates, d - high + 1, many))
+        marks = F.array_join(F.zip_with(left, right, lambda a, b: F.when(a.bitwiseAND(b) > 0, "1").otherwise("0")), "")
+        cut = F.regexp_extract_all(marks, F.lit(f"[01]*?1{{{shortest},}}"), F.lit(0))  # each piece ends with a run
+
+        def stem(piece: Column, k: Column, pieces: Column) -> Column:
+            size = F.length(F.regexp_extract(piece, "1+$", 0))
+            i = low + F.length(F.array_join(F.slice(pieces, 1, k + 1), "")) - size
+            return F.struct(i.alias("i"), (d - i).alias("j"), size.alias("n"))
+
+        listed = S.let(cut, lambda pieces: F.transform(pieces, lambda piece, k: stem(piece, k, pieces)))
+        return F.when(many >= shortest, listed).otherwise(F.array().cast("array<struct<i:int,j:int,n:int>>"))
+
+    return F.when(n > min_loop + 1, F.flatten(F.transform(F.sequence(F.lit(min_loop + 1), 2 * n - min_loop - 3), runs)))
+
+
+def stems_of(windows: DataFrame, shortest: int = 4, min_loop: int = 3) -> DataFrame:
+    """(id, i, j, n): the longest runs of n nested pairs (A-T, G-C, G-T) of each window (id, sequence), with the outer pair i, j,
+    0-based, and at least min_loop bases inside. Found in the row, without a shuffle; every part of a run is a stem too."""
+    found = S.let(_bits(F.col("sequence"), 0), lambda own: S.let(_bits(F.col("sequence"), 1), lambda mates: _stems(own, mates, shortest, min_loop)))
+    return windows.select("id", F.explode(found).alias("s")).select("id", "s.i", "s.j", "s.n")
 
 
 def motif_candidates(windows: DataFrame, spacer=(5, 9), stem1=(4, 20), stem2=(4, 20), loop1=(1, 10), loop2=(0, 5), loop3=(1, 40), min_gc: float = 0.5) -> DataFrame:
     """H-type knots in windows (id, sequence) behind a site: two stems whose sides take turns, with bounds for the spacer in front, the
-    stems and the three loops, and the least share of G and C in stem 1. The second stem joins on the window, by ranges of places."""
-    low, high = min(stem1[0], stem2[0]), max(stem1[1], stem2[1])
-    stems = stems_of(windows, low, high)
-    one = stems.where(F.col("i").between(*spacer) & F.col("n").between(*stem1) & (F.col("gc") >= min_gc * F.col("n")))
-    one = one.select("id", F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("n").alias("n1"))
-    two = stems.where(F.col("n").between(*stem2)).select("id", F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("n").alias("n2"))
-    within = lambda value, ends: value.between(*ends)
-    both = one.join(two, "id").where(
-        within(F.col("i2") - F.col("i1") - F.col("n1"), loop1)
-        & within(F.col("j1") - F.col("n1") + 1 - F.col("i2") - F.col("n2"), loop2)
-        & within(F.col("j2") - F.col("n2") - F.col("j1"), loop3)
-    )
-    return both.select("id", "i1", "j1", "n1", "i2", "j2", "n2")
+    stems and the three loops, and the least share of G and C on the left side of stem 1.
+
+    Every part of a run of nested pairs is a stem: runs stay ranges, and the bounds cut the parts out of them. All of it happens in the
+    window's row: no shuffle. Windows without a candidate, with null or other letters give no row for these."""
+    least, loop = min(stem1[0], stem2[0]), 3
+    found = S.let(_bits(F.col("sequence"), 0), lambda own: S.let(_bits(F.col("sequence"), 1), lambda mates: _stems(own, mates, least, loop)))
+    rows = windows.select("id", "sequence", found.alias("__stems")).where("__stems is not null")
+    span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(S.none_of("int"))
+
+    def parts(s: Column, first: Column, last: Column, sizes) -> Column:
+        """Parts of the run s whose left side begins between first and last: sizes(i, longest) are the lengths to take."""
+
+        def at(i: Column) -> Column:
+            k = i - s["i"]
+            return F.transform(sizes(i, s["n"] - k), lambda m: F.struct(i.alias("i"), (s["j"] - k).alias("j"), m.alias("n")))
+
+        return F.flatten(F.transform(span(F.greatest(s["i"], first), F.least(s["i"] + s["n"] - 1, last)), at))
+
+    one = F.flatten(F.transform("__stems", lambda s: parts(s, F.lit(spacer[0]), F.lit(spacer[1]), lambda i, longest: span(F.lit(stem1[0]), F.least(F.lit(stem1[1]), longest)))))
+    ones = rows.withColumn("o", F.explode(one))
+    gc = F.length(F.regexp_replace(F.substring("sequence", F.col("o.i") + 1, F.col("o.n")), "[^GC]", ""))
+    ones = ones.where(gc >= min_gc * F.col("o.n"))
+    behind, inner = F.col("o.i") + F.col("o.n"), F.col("o.j") - F.col("o.n") + 1
+
+    def second(s: Column) -> Column:
+        def sizes(i: Column, longest: Column) -> Column:
+            return span(F.greatest(F.lit(stem2[0]), inner - i - loop2[1]), F.least(F.least(F.lit(stem2[1]), longest), inner - i - loop2[0]))
+
+        return F.filter(parts(s, behind + loop1[0], behind + loop1[1], sizes), lambda t: (t["j"] - t["n"] - F.col("o.j")).between(*loop3))
+
+    close = lambda s: (s["i"] <= behind + loop1[1]) & (s["i"] + s["n"] > behind + loop1[0]) & (s["j"] > F.col("o.j"))
+    both = ones.withColumn("t", F.explode(F.flatten(F.transform(F.filter("__stems", close), second))))
+    return both.select("id", F.col("o.i").alias("i1"), F.col("o.j").alias("j1"), F.col("o.n").alias("n1"), F.col("t.i").alias("i2"), F.col("t.j").alias("j2"), F.col("t.n").alias("n2"))
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A stretch of a motif: ss (single bases), or the left (h5) or right (h3) side of a part of a stem."""
+
+    kind: str
+    stem: str
+    part: int
+    length: int
+
+
+def compile_motif(stems: str, brackets: str) -> list[Segment]:
+    """Segments of a structure: stems has each base's stem letter or a dot, brackets shows the side. A stem may have several parts;
+    right sides close the latest open part. A side without its counterpart, or of another length, raises ValueError."""
+    if len(stems) != len(brackets):
+        raise ValueError("stems and brackets differ in length")
+    kind = lambda s, b: ("ss", "") if s == "." else ("h5" if b in "([{<" else "h3", s)
+    out, open_ = [], {}
+    for (side, stem), run in groupby(zip(stems, brackets), key=lambda x: kind(*x)):
+        length = len(list(run))
+        parts = open_.setdefault(stem, [])
+        if side == "h5":
+            parts.append((sum(s.kind == "h5" and s.stem == stem for s in out) + 1, length))
+            out.append(Segment(side, stem, *parts[-1]))
+        elif side == "h3":
+            if not parts or parts[-1][1] != length:
+                raise ValueError(f"stem {stem}: a right side of {length} bases has no left side of that length")
+            out.append(Segment(side, stem, *parts.pop()))
+        else:
+            out.append(Segment(side, "", 0, length))
+    left = [stem for stem, parts in open_.items() if parts]
+    if left:
+        raise ValueError(f"stems left open: {left}")
+    return out
+
+
+def motif_pairs(segments: list[Segment]) -> list[tuple[int, int]]:
+    """The places, from the motif's start, that pair."""
+    at, opened, out = 0, {}, []
+    for s in segments:
+        if s.kind == "h5":
+            opened[s.stem, s.part] = at
+        elif s.kind == "h3":
+            a = opened.pop((s.stem, s.part))
+            out += [(a + k, at + s.length - 1 - k) for k in range(s.length)]
+        at += s.length
+    return sorted(out)
+
+
+def find_motifs(genome: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """(id, motif, start, sequence): where a structure's pairs can all form (A-T, G-C, G-T), start 0-based, overlapping places too.
+
+    wanted: name -> (stem letters, brackets). A motif has any number of stems, crossing ones too, and a fixed length, so that a place is
+    tried pair by pair until one fails; transcripts are read once for all motifs, without a shuffle."""
+    plans = {name: (len(stems), motif_pairs(compile_motif(stems, brackets))) for name, (stems, brackets) in wanted.items()}
+
+    def places(own: Column, mates: Column) -> Column:
+        def of(name: str, length: int, pairs: list[tuple[int, int]]) -> Column:
+            def fits(p: Column) -> Column:
+                return reduce(lambda x, y: x & y, [F.get(own, p + a).bitwiseAND(F.get(mates, p + b)) > 0 for a, b in pairs], F.lit(True))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(own) - length), fits)
+            rows = F.transform(starts, lambda p: F.struct(F.lit(name).alias("motif"), p.alias("start"), F.lit(length).alias("length")))
+            return F.when(F.size(own) >= length, rows).otherwise(F.array().cast("array<struct<motif:string,start:int,length:int>>"))
+
+        return F.concat(*[of(name, *plan) for name, plan in plans.items()])
+
+    found = S.let(_bits(F.col("mrna_seq"), 0), lambda own: S.let(_bits(F.col("mrna_seq"), 1), lambda mates: places(own, mates)))
+    rows = genome.where("mrna_seq is not null").withColumn("__m", F.explode(found))
+    return rows.select("id", "__m.motif", "__m.start", F.substring("mrna_seq", F.col("__m.start") + 1, F.col("__m.length")).alias("sequence"))
 
 
 def merge_mirna(hairpin: DataFrame, mature: DataFrame) -> DataFrame:

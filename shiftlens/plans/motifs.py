@@ -104,15 +104,53 @@ def _(spark, d):
 
 
 _PAIRED = "VALUES ('A', 'T'), ('C', 'G'), ('G', 'C'), ('G', 'T'), ('T', 'A'), ('T', 'G')"
+_RUNS = f"""ba AS (SELECT id, CAST(p AS INTEGER) AS p, substr(w, p + 1, 1) AS b FROM win, generate_series(0, 99) AS t(p)),
+pr AS (SELECT x.id, x.p AS i, y.p AS j FROM ba x JOIN ({_PAIRED}) AS t(a, b) ON x.b = t.a JOIN ba y ON y.id = x.id AND y.b = t.b WHERE y.p - x.p > 3),
+rn AS (SELECT *, i - row_number() OVER (PARTITION BY id, i + j ORDER BY i) AS run FROM pr),
+lf AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, i + j, run) - i + 1 AS longest FROM rn),
+part AS (SELECT l.id, i, j, CAST(n AS INTEGER) AS n, w FROM lf l JOIN win ON win.id = l.id, generate_series(4, least(20, longest)) AS t(n) WHERE longest >= 4)"""
+
+
+@query(
+    "q10_motif_candidates",
+    _g(
+        """SELECT o.id, o.i AS i1, o.j AS j1, o.n AS n1, t.i AS i2, t.j AS j2, t.n AS n2 FROM
+(SELECT *, i + n + 1 AS a, i + n + 10 AS b FROM part WHERE i BETWEEN 5 AND 9 AND length(regexp_replace(substr(w, i + 1, n), '[^GC]', '', 'g')) >= 0.5 * n) o
+JOIN part t ON o.id = t.id AND t.i BETWEEN a AND b AND o.j - o.n + 1 - t.i - t.n BETWEEN 0 AND 5 AND t.j - t.n - o.j BETWEEN 1 AND 40""",
+        SITES_SQL, _BRACKETS, _RUNS,
+    ),
+)
+def _(spark, d):
+    return motifs.motif_candidates(_behind(spark, d).select("id", "sequence"))
+
+
+#: A hairpin with a bulge, a knot of two stems, and three stems of which two cross.
+_WANTED = {
+    "bulged": ("111.11....11.111", "(((.((....)).)))"),
+    "knot": ("1111.222.1111...222", "((((.[[[.))))...]]]"),
+    "three": ("11.222..33..222..11..33", "((.[[[..<<..]]]..))..>>"),
+}
+
 
+def _motif_sql() -> str:
+    """Each place of each transcript, looked at in pieces of 256 bases that reach into the next one."""
+    out = []
+    for name, (stems, brackets) in _WANTED.items():
+        pairs = motifs.motif_pairs(motifs.compile_motif(stems, brackets))
+        fits = " AND ".join(f"substr(q, {a + 1}, 1) || substr(q, {b + 1}, 1) IN ('AT', 'TA', 'CG', 'GC', 'GT', 'TG')" for a, b in pairs)
+        n = len(stems)
+        out.append(f"""SELECT id, '{name}' AS motif, CAST(256 * k + p AS INTEGER) AS start, q AS sequence FROM
+  (SELECT id, k, p, substr(piece, p + 1, {n}) AS q FROM pieces, generate_series(0, 255) AS t(p) WHERE p + {n} <= length(piece)) WHERE {fits}""")
+    return "\nUNION ALL ".join(out)
 
-@query("q10_motif_candidates", _g("""SELECT o.id, o.i AS i1, o.j AS j1, o.n AS n1, t.i AS i2, t.j AS j2, t.n AS n2 FROM st o JOIN st t ON o.id = t.id
-WHERE o.i BETWEEN 5 AND 9 AND o.gc >= 0.5 * o.n AND t.i - o.i - o.n BETWEEN 1 AND 10 AND o.j - o.n + 1 - t.i - t.n BETWEEN 0 AND 5 AND t.j - t.n - o.j BETWEEN 1 AND 40""",
-    SITES_SQL, _BRACKETS, "ba AS (SELECT id, CAST(p AS INTEGER) AS p, substr(w, p + 1, 1) AS b FROM win, generate_series(0, 99) AS t(p))",
-    f"pr AS (SELECT x.id, x.p AS i, y.p AS j, CAST(x.b IN ('G', 'C') AS INTEGER) AS gc FROM ba x JOIN ({_PAIRED}) AS t(a, b) ON x.b = t.a JOIN ba y ON y.id = x.id AND y.b = t.b WHERE y.p - x.p > 3)",
-    "st AS (SELECT id, CAST(min(i) AS INTEGER) AS i, CAST(max(j) AS INTEGER) AS j, CAST(count(*) AS INTEGER) AS n, sum(gc) AS gc FROM (SELECT *, i - row_number() OVER (PARTITION BY id, i + j ORDER BY i) AS run FROM pr) GROUP BY id, i + j, run HAVING count(*) BETWEEN 4 AND 20)"))
+
+_PIECES = """cut AS (SELECT id, unnest(regexp_extract_all(mrna_seq, '.{1,256}')) AS part, unnest(range((length(mrna_seq) + 255) // 256)) AS k FROM genome),
+pieces AS (SELECT id, k, part || coalesce(substr(lead(part) OVER (PARTITION BY id ORDER BY k), 1, 32), '') AS piece FROM cut)"""
+
+
+@query("q11_motifs_of_structures", _g(_motif_sql(), _PIECES))
 def _(spark, d):
-    return motifs.motif_candidates(_behind(spark, d).select("id", "sequence"))
+    return motifs.find_motifs(genome(spark, d), _WANTED)
 
 
 def _short_orfs(spark, d):
