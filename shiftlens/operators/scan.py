@@ -149,10 +149,3 @@ def stop_distances(genome: DataFrame) -> DataFrame:
     stops = genome.select("id", F.explode(frames).alias("f")).select("id", "f.frame", F.posexplode("f.codons").alias("p", "codon")).where(F.col("codon").isin("TAA", "TAG", "TGA"))
     gap = F.col("p") - F.lag("p").over(Window.partitionBy("id", "frame").orderBy("p"))
     return stops.select("frame", gap.alias("distance")).where("distance is not null").groupBy("frame", "distance").agg(F.count("*").alias("n"))
-
-
-def similar_sequences(queries: DataFrame, targets: DataFrame, k: int = 12) -> DataFrame:
-    """Shared k-mers of each query and target by diagonal: equi-join on the k-mer, every k-mer counted."""
-    hits = lambda df, name: df.select(F.col("id").alias(name), F.posexplode(S.kmers(F.col("sequence"), k)).alias(f"{name}_p", "word"))
-    both = hits(queries, "q").join(hits(targets, "t"), "word")
-    return both.groupBy("q", "t", (F.col("t_p") - F.col("q_p")).alias("diagonal")).agg(F.count("*").alias("n"))

@@ -1 +1 @@
-from shiftlens.plans import joins, motifs, overlays, registry, signals  # noqa: F401
+from shiftlens.plans import joins, motifs, overlays, registry, search, signals  # noqa: F401

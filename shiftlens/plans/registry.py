@@ -168,12 +168,6 @@ def _(spark, d):
     return scan.stop_distances(genome(spark, d))
 
 
-@query("j12_similar_sequences")
-def _(spark, d):
-    w = genome(spark, d).select("id", F.col("mrna_seq").alias("sequence"))
-    return scan.similar_sequences(w.where("id % 20 = 0"), w, 24)
-
-
 @query("f5_text_search", "SELECT doc_id AS id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), 'the') AND NOT list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), 'that') AND contains(lower(text), 'of the')")
 def _(spark, d):
     return stats.text_search(genome(spark, d), '+the -that +"of the"').select("id")
