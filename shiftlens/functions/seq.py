@@ -138,16 +138,28 @@ def clean_accession(accession: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(accession, "^SGDID:", ""), r"\.[0-9]+$", "")
 
 
+#: A prime below 2^31 and two steps: keys of a shuffle are squares modulo it, which built-in functions of any engine can follow.
+PRIME, STEP, SHIFT = 2147483647, 1103515245, 741103597
+
+
+def shuffle_key(h: Column, i: Column) -> Column:
+    """A number below PRIME from a row's draw h and a place i, by two squarings of a linear step."""
+    x = (h * 7 + i * STEP) % PRIME
+    y = (x * x + i * SHIFT) % PRIME
+    return (y * y + x) % PRIME
+
+
 def shuffled(seq: Column, *seed: Column) -> Column:
-    """Bases in the order of md5(seed|place): the composition is kept."""
+    """Bases in the order of keys drawn from md5(seed) and their places: the composition is kept. One digest a sequence."""
     text = F.concat_ws("|", *[s.cast("string") for s in seed])
+    draw = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
-    def ordered(prefix: Column) -> Column:
-        # A digest has 32 characters, the base is the last one.
-        keyed = F.transform(letters(seq), lambda b, i: F.concat(F.md5(F.concat(prefix, (i + 1).cast("string"))), b))
-        return F.array_join(F.transform(F.sort_array(keyed), lambda x: F.right(x, F.lit(1))), "")
+    def ordered(bases: Column) -> Column:
+        # the place rides in the low bits, so whole numbers are sorted
+        keys = let(draw, lambda h: F.transform(bases, lambda _, i: shuffle_key(h, i.cast("long")) * (1 << 31) + i))
+        return F.array_join(F.transform(F.sort_array(keys), lambda v: F.get(bases, (v % (1 << 31)).cast("int"))), "")
 
-    return let(F.concat(text, F.lit("|")), ordered)
+    return let(letters(seq), ordered)
 
 
 def normal_cdf(x: Column) -> Column:

@@ -5,6 +5,10 @@ A randomizer takes the sequence and seed columns. Choices come from md5(seed|pla
 
 from __future__ import annotations
 
+import hashlib
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +76,117 @@ def same_slot_protein(seq: Column, *seed: Column) -> Column:
     return F.array_join(F.transform(S.codons(seq), swap), "")
 
 
-RANDOMIZERS = {"bases": S.shuffled, "codons": shuffled_codons, "sense": random_sense, "protein": same_protein, "middle": random_middle, "doublets": drawn_doublets, "slots": same_slot_protein}
-
-
-def bootstrap_summary(energies: DataFrame, keys: list[str], energy: str = "e") -> DataFrame:
-    """Iterations, mean, deviation and standard error of the null energies of each window."""
-    sd = F.stddev_samp(energy)
-    return energies.groupBy(*keys).agg(F.count("*").alias("iterations"), F.round(F.avg(energy), 2).alias("mfe_mean"), F.round(sd, 2).alias("mfe_sd"), F.round(sd / F.sqrt(F.count("*")), 2).alias("mfe_se"))
+def _draws(seed: str):
+    """Numbers 0 <= u < 1 from md5(seed|k), so that a rerun draws the same."""
+    for k in count():
+        yield int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:13], 16) / 16.0**13
+
+
+def euler_walk(text: str, seed: str) -> str:
+    """A sequence with the same first and last letter and the same count of every pair of neighbours, drawn evenly from all of these.
+
+    The letters are the nodes of a graph and each pair of neighbours an edge; the text is a walk over all edges. A random tree towards
+    the last letter gives each other letter's last edge: letters join it by a walk over random edges whose loops are cut
+    (so that a tree is drawn by the product of its edges' counts). The other edges are put in random order, and the walk follows."""
+    if len(text) < 3:
+        return text
+    draw, edges = _draws(seed), {}
+    for a, b in zip(text, text[1:]):
+        edges.setdefault(a, []).append(b)
+    last, joined = {}, {text[-1]}
+    for start in sorted(edges):
+        at = start
+        while at not in joined:
+            own = edges[at]
+            last[at] = own[int(next(draw) * len(own))]
+            at = last[at]
+        at = start
+        while at not in joined:  # what was drawn last at each letter has no loop
+            joined.add(at)
+            at = last[at]
+    for a in sorted(edges):
+        own = edges[a]
+        if a != text[-1]:
+            own.remove(last[a])
+        for k in range(len(own) - 1, 0, -1):
+            j = int(next(draw) * (k + 1))
+            own[k], own[j] = own[j], own[k]
+        if a != text[-1]:
+            own.append(last[a])
+    out, used = [text[0]], dict.fromkeys(edges, 0)
+    for _ in range(len(text) - 1):
+        at = out[-1]
+        out.append(edges[at][used[at]])
+        used[at] += 1
+    return "".join(out)
+
+
+def kept_doublets(seq: Column, *seed: Column) -> Column:
+    """A random order of the bases that keeps every count of two neighbours, and both ends; null stays null. Built-in functions can't
+    walk a graph, so this runs over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def walk(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else euler_walk(t, s) for t, s in zip(texts, seeds)], dtype=object)
+
+    return walk(seq, F.concat_ws("|", *[s.cast("string") for s in seed]))
+
+
+RANDOMIZERS = {"bases": S.shuffled, "codons": shuffled_codons, "sense": random_sense, "protein": same_protein, "middle": random_middle, "doublets": drawn_doublets, "slots": same_slot_protein, "kept_doublets": kept_doublets}
+
+
+def bootstrap_summary(nulls: DataFrame, keys: list[str], values: tuple[str, ...] = ("mfe",), listed: str | None = "mfe") -> DataFrame:
+    """For each window iterations and, of each value (mfe, pairs), mean, deviation (of a sample) and standard error; the values of
+    `listed` as one string, in rising order, joined by a space. Nulls count for no value; a single iteration has no deviation.
+
+    A window has as many null rows as iterations, which bounds the list."""
+    out = [F.count("*").alias("iterations")]
+    for v in values:
+        sd = F.stddev_samp(v)
+        out += [F.round(F.avg(v), 2).alias(f"{v}_mean"), F.round(sd, 2).alias(f"{v}_sd"), F.round(sd / F.sqrt(F.count(v)), 2).alias(f"{v}_se")]
+    if listed:
+        out.append(F.concat_ws(" ", F.sort_array(F.collect_list(listed)).cast("array<string>")).alias(f"{listed}_values"))
+    return nulls.groupBy(*keys).agg(*out)
+
+
+def bootstrap(windows: DataFrame, randomizer, fold, keys: list[str], iterations: int = 100, seed: int = 7) -> DataFrame:
+    """Null models of windows (keys, sequence): `iterations` random orders of each, folded (fold: sequence column to a struct of mfe
+    and pairs) and summed up. Seeds are the keys and the iteration, so a lost task draws the same again. All of a window's
+    iterations begin as one row, so sums are made before anything is shuffled."""
+    rows = fan_out(windows.select(*keys, "sequence"), iterations)
+    drawn = rows.withColumn("__s", randomizer(F.col("sequence"), F.lit(seed), *[F.col(k) for k in keys], F.col("iteration")))
+    return bootstrap_summary(drawn.withColumn("__f", fold(F.col("__s"))).select(*keys, "__f.mfe", "__f.pairs"), keys, ("mfe", "pairs"))
+
+
+def fold_with(windows: DataFrame, folder, existing: DataFrame | None = None, batch: int = 64) -> DataFrame:
+    """Windows with mfe, parens and error from a caller's folder: a function of one sequence that gives (mfe, parens), or raises.
+
+    Each distinct sequence is folded once and not at all where existing (sequence, mfe, parens) has it. Sequences are dealt by hash, so
+    every task gets its share of each length, and sorted by length, so that a task's batches are alike. A folder that
+    raises gives a row with a null mfe and the error's text; other sequences go on. Null sequences are left out."""
+    todo = windows.select("sequence").where("sequence is not null").distinct()
+    if existing is not None:
+        todo = todo.join(existing.select("sequence"), "sequence", "left_anti")
+
+    def folded(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                rows = []
+                for text in frame["sequence"].iloc[at : at + batch]:
+                    try:
+                        mfe, parens = folder(text)
+                        rows.append((text, float(mfe), parens, None))
+                    except Exception as why:  # a failed window is a result
+                        rows.append((text, None, None, f"{type(why).__name__}: {why}"))
+                yield pd.DataFrame(rows, columns=["sequence", "mfe", "parens", "error"]).astype({"mfe": "float64"})
+
+    dealt = todo.repartition("sequence").sortWithinPartitions(F.length("sequence"))
+    fresh = dealt.mapInPandas(folded, "sequence string, mfe double, parens string, error string")
+    fresh = fresh.withColumn("mfe", F.when(F.col("error").isNull(), F.col("mfe")))
+    if existing is not None:
+        known = existing.groupBy("sequence").agg(F.min(F.struct("mfe", "parens")).alias("x")).select("sequence", "x.mfe", "x.parens", F.lit(None).cast("string").alias("error"))
+        fresh = known.unionByName(fresh)
+    return windows.join(fresh, "sequence")
 
 
 def bulk_fold(windows: DataFrame, fold, existing: DataFrame | None = None) -> DataFrame:

@@ -58,12 +58,13 @@ def max_pair_span(edges: DataFrame) -> DataFrame:
 
 
 def stem_track(structures: DataFrame, stems: DataFrame) -> DataFrame:
-    """(id, parens, parsed): for each base of a structure (id, parens) the number of its stem, or a dot."""
+    """(id, parens, parsed): for each base of a structure (id, parens) the number of its stem, or a dot. Places with their stems are
+    collected by id (as many as a structure has pairs), joined once, and spread over the bases in the row."""
     sides = stems.select("id", F.col("stem").cast("string").alias("stem"), F.explode(F.array("i", "j")).alias("p"))
-    places = structures.where("parens <> ''").select("id", "parens", F.explode(F.sequence(F.lit(0), F.length("parens") - 1)).alias("p"))
-    numbered = places.join(sides, ["id", "p"], "left").select("id", "parens", F.struct("p", F.coalesce("stem", F.lit(".")).alias("stem")).alias("x"))
-    tracks = numbered.groupBy("id", "parens").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return tracks.select("id", "parens", F.transform("x", lambda x: x["stem"]).alias("parsed"))
+    listed = sides.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "stem"))).alias("__m"))
+    both = structures.where("parens <> ''").join(listed, "id", "left")
+    track = F.transform(F.sequence(F.lit(0), F.length("parens") - 1), lambda p: F.coalesce(F.try_element_at("__m", p), F.lit(".")))
+    return both.select("id", "parens", track.alias("parsed"))
 
 
 def reorder_stems(parsed):
@@ -94,18 +95,23 @@ def structure_records(structures: DataFrame, genes: DataFrame, column: str = "pa
 COUNTERS = ("all_agree", "no_agree", "n_alone", "h_alone", "p_alone", "hplusn", "nplusp", "hplusp", "hnp")
 
 
-def base_agreement(partners: DataFrame, keys: list[str], methods: tuple[str, str, str]) -> DataFrame:
-    """Nine counters of the bases of each window (keys, position, mfe_method, partner; 0 for none) that three methods have all folded.
+def base_agreement(partners: DataFrame, keys: list[str], methods: tuple[str, str, str], compat: bool = False) -> DataFrame:
+    """Nine counters of the bases of each window (keys, position, mfe_method, partner; 0 for none) that three methods n, h and p have
+    all folded.
 
-    A base that not all three methods have counts nowhere. Where n differs from both others it counts as hnp, whatever they say."""
+    A base without a partner counts as no_agree, one with the same partner in all as all_agree; where one method alone has a partner,
+    as that one's; where two have the same and the third none, as theirs; all else is hnp. With compat, a base where n
+    differs from both others is hnp whatever they say, so that n_alone and hplusp stay 0. A base that not all three methods have
+    counts nowhere."""
     said = [F.max(F.when(F.col("mfe_method") == m, F.col("partner"))).alias(x) for m, x in zip(methods, ("__n", "__h", "__p"))]
     bases = partners.groupBy(*keys, "position").agg(*said).where("__n is not null and __h is not null and __p is not null")
     n, h, p = F.col("__n"), F.col("__h"), F.col("__p")
-    kind = (
-        F.when((n == 0) & (h == 0) & (p == 0), "no_agree").when((n == h) & (n == p), "all_agree").when((n != h) & (n != p), "hnp")
-        .when((n == 0) & (h == 0), "p_alone").when((n == 0) & (p == 0), "h_alone").when((h == 0) & (p == 0), "n_alone")
-        .when(n == 0, "hplusp").when(h == 0, "nplusp").when(p == 0, "hplusn").otherwise("hnp")
-    )
+    alone = lambda a, b, name, out: out.when((a == 0) & (b == 0), name)
+    kind = F.when((n == 0) & (h == 0) & (p == 0), "no_agree").when((n == h) & (n == p), "all_agree")
+    if compat:
+        kind = kind.when((n != h) & (n != p), "hnp")
+    kind = alone(n, h, "p_alone", alone(n, p, "h_alone", alone(h, p, "n_alone", kind)))
+    kind = kind.when((n == 0) & (h == p), "hplusp").when((h == 0) & (n == p), "nplusp").when((p == 0) & (n == h), "hplusn").otherwise("hnp")
     return bases.withColumn("__k", kind).groupBy(*keys).agg(*[F.count(F.when(F.col("__k") == c, 1)).alias(c) for c in COUNTERS])
 
 

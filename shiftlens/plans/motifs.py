@@ -69,9 +69,9 @@ def _(spark, d):
     return _tracks(spark, d).select("id", structure.stem_brackets(F.col("parens"), F.col("parsed")).alias("brackets"))
 
 
-_KIND = """CASE WHEN n = 0 AND h = 0 AND p = 0 THEN 'no_agree' WHEN n = h AND n = p THEN 'all_agree' WHEN n <> h AND n <> p THEN 'hnp'
+_KIND = """CASE WHEN n = 0 AND h = 0 AND p = 0 THEN 'no_agree' WHEN n = h AND n = p THEN 'all_agree'
   WHEN n = 0 AND h = 0 THEN 'p_alone' WHEN n = 0 AND p = 0 THEN 'h_alone' WHEN h = 0 AND p = 0 THEN 'n_alone'
-  WHEN n = 0 THEN 'hplusp' WHEN h = 0 THEN 'nplusp' WHEN p = 0 THEN 'hplusn' ELSE 'hnp' END"""
+  WHEN n = 0 AND h = p THEN 'hplusp' WHEN h = 0 AND n = p THEN 'nplusp' WHEN p = 0 AND n = h THEN 'hplusn' ELSE 'hnp' END"""
 _AGREE = f"""mates AS (SELECT id, m, i AS spot, j + 1 AS partner FROM ed UNION ALL SELECT id, m, j, i + 1 FROM ed),
 partners AS (SELECT b.id, t.p AS spot, b.m, coalesce(x.partner, 0) AS partner FROM br b CROSS JOIN generate_series(0, 99) AS t(p) LEFT JOIN mates x ON x.id = b.id AND x.m = b.m AND x.spot = t.p),
 side AS (SELECT id, spot, max(partner) FILTER (WHERE m = 'nupack') AS n, max(partner) FILTER (WHERE m = 'hotknots') AS h, max(partner) FILTER (WHERE m = 'pknots') AS p FROM partners GROUP BY id, spot),

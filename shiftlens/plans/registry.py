@@ -128,8 +128,13 @@ def _(spark, d):
     return genome(spark, d).select("id", S.stack_energy(F.col("mrna_seq")).alias("energy"))
 
 
-_WINDOWS_SQL = """v AS (SELECT id, start, substr(mrna_seq, start + 7, 50) AS w FROM sites WHERE length(mrna_seq) >= start + 56),
-n AS (SELECT id, start, w, iteration, p, substr(w, p, 1) AS c, md5('7|' || id || '|' || start || '|' || iteration || '|' || p) AS k FROM v, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS iteration), (SELECT unnest(generate_series(1, 50)) AS p))"""
+_KEY = "CAST('0x' || substr(md5('7|' || id || '|' || start || {more} '|' || iteration), 1, 7) AS BIGINT)"
+_ORDER = f"""list_transform(list_sort(list_transform(range(n), lambda i: ((((h * 7 + i * {S.STEP}) % {S.PRIME}) * ((h * 7 + i * {S.STEP}) % {S.PRIME}) + i * {S.SHIFT}) % {S.PRIME}
+  * ((((h * 7 + i * {S.STEP}) % {S.PRIME}) * ((h * 7 + i * {S.STEP}) % {S.PRIME}) + i * {S.SHIFT}) % {S.PRIME}) + (h * 7 + i * {S.STEP}) % {S.PRIME}) % {S.PRIME} * 2147483648 + i)), lambda v: v % 2147483648)"""
+_WINDOWS_SQL = f"""v AS (SELECT id, start, substr(mrna_seq, start + 7, 50) AS w FROM sites WHERE length(mrna_seq) >= start + 56),
+h AS (SELECT id, start, w, iteration, CAST(50 AS BIGINT) AS n, {_KEY.format(more='')} AS h FROM v, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS iteration)),
+n AS (SELECT id, start, iteration, array_to_string(list_transform({_ORDER}, lambda q: substr(w, CAST(q + 1 AS INTEGER), 1)), '') AS s FROM h)"""
+_STACKED = "list_sum(list_transform(range(1, CAST(length(s) AS BIGINT)), lambda q: [" + ", ".join(str(round(S.STACK[a + b] * 100)) for a in "ACGT" for b in "ACGT") + "][4 * instr('ACGT', substr(s, CAST(q AS INTEGER), 1)) + instr('ACGT', substr(s, CAST(q + 1 AS INTEGER), 1)) - 4]))"
 
 
 def _nulls(spark, d):
@@ -137,14 +142,13 @@ def _nulls(spark, d):
     return nulls.fan_out(windows, 10).withColumn("shuffled", nulls.RANDOMIZERS["bases"](F.col("sequence"), F.lit(7), F.col("id"), F.col("start"), F.col("iteration")))
 
 
-@query("r2_shuffle", _g("SELECT id, start, iteration, string_agg(c, '' ORDER BY k, c) AS shuffled FROM n GROUP BY ALL", SITES_SQL, _WINDOWS_SQL))
+@query("r2_shuffle", _g("SELECT id, start, iteration, s AS shuffled FROM n", SITES_SQL, _WINDOWS_SQL))
 def _(spark, d):
     return _nulls(spark, d).select("id", "start", "iteration", "shuffled")
 
 
-@query("g4_bootstrap", _g(f"""SELECT id, start, round(avg(e), 2) AS mfe_mean, round(stddev_samp(e), 2) AS mfe_sd, count(*) AS iterations FROM (
-SELECT id, start, iteration, sum(x) AS e FROM (SELECT id, start, iteration, c || lead(c) OVER (PARTITION BY id, start, iteration ORDER BY k, c) AS pair FROM n)
-JOIN (VALUES {STACK_VALUES}) AS t(pair, x) USING (pair) GROUP BY id, start, iteration) GROUP BY id, start""", SITES_SQL, _WINDOWS_SQL))
+@query("g4_bootstrap", _g(f"""SELECT id, start, round(avg(e), 2) AS mfe_mean, round(stddev_samp(e), 2) AS mfe_sd, count(*) AS iterations
+FROM (SELECT id, start, {_STACKED} AS e FROM n) GROUP BY id, start""", SITES_SQL, _WINDOWS_SQL))
 def _(spark, d):
     e = _nulls(spark, d).select("id", "start", S.stack_energy(F.col("shuffled")).alias("e"))
     return e.groupBy("id", "start").agg(F.round(F.avg("e"), 2).alias("mfe_mean"), F.round(F.stddev_samp("e"), 2).alias("mfe_sd"), F.count("*").alias("iterations"))

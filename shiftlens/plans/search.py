@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftlens.operators import similar
-from shiftlens.plans.registry import _g, query
+from shiftlens.functions import seq as S
+from shiftlens.operators import nulls, scan, similar
+from shiftlens.plans.registry import _KEY, _ORDER, _STACKED, _g, query
 from shiftlens.plans.signals import _GENOME_LETTERS, _windows
 from shiftlens.sources.fixtures import SITES_SQL, genome, read
 
@@ -54,8 +55,6 @@ def _mirnas(spark, d):
 
 
 def _behind(spark, d):
-    from shiftlens.operators import scan
-
     found = scan.keep_coding(scan.find_slipsites(genome(spark, d), (100,)), do_utr=True)
     return found.select(F.concat_ws(":", "id", "start").alias("id"), "sequence")
 
@@ -69,3 +68,75 @@ def _(spark, d):
 def _(spark, d):
     hits = similar.at_most(similar.scored_targets(_mirnas(spark, d), _behind(spark, d), None), -25)
     return hits.groupBy("mirna").agg(F.count("*").alias("hits"), F.min("energy").alias("best"))
+
+
+_LENGTHS = (100, 75, 50)
+_FULL = f"""v AS (SELECT id, start, CAST(l AS INTEGER) AS seqlength, substr(mrna_seq, start + 7, l) AS w FROM sites, (VALUES (100), (75), (50)) AS t(l) WHERE length(mrna_seq) >= start + 6 + l),
+h AS (SELECT id, start, seqlength, w, iteration, CAST(seqlength AS BIGINT) AS n, {_KEY.format(more="'|' || seqlength ||")} AS h
+  FROM v, (SELECT CAST(unnest(generate_series(1, 100)) AS INTEGER) AS iteration)),
+n AS (SELECT id, start, seqlength, iteration, array_to_string(list_transform({_ORDER}, lambda q: substr(w, CAST(q + 1 AS INTEGER), 1)), '') AS s FROM h),
+e AS (SELECT id, start, seqlength, {_STACKED} AS e, (length(s) - length(replace(s, 'GC', ''))) // 2 AS pairs FROM n)"""
+
+
+def _fold(seq):
+    return F.struct(S.stack_energy(seq).alias("mfe"), F.regexp_count(seq, F.lit("GC")).alias("pairs"))
+
+
+@query(
+    "g4_bootstrap_full",
+    _g(
+        """SELECT id, start, seqlength, count(*) AS iterations, round(avg(e), 2) AS mfe_mean, round(stddev_samp(e), 2) AS mfe_sd, round(stddev_samp(e) / sqrt(count(*)), 2) AS mfe_se,
+round(avg(pairs), 2) AS pairs_mean, round(stddev_samp(pairs), 2) AS pairs_sd, round(stddev_samp(pairs) / sqrt(count(*)), 2) AS pairs_se,
+string_agg(CAST(e AS VARCHAR), ' ' ORDER BY e) AS mfe_values FROM e GROUP BY ALL""",
+        SITES_SQL, _FULL,
+    ),
+)
+def _(spark, d):
+    windows = scan.keep_coding(scan.find_slipsites(genome(spark, d), _LENGTHS), do_utr=True).select("id", "start", "seqlength", "sequence")
+    return nulls.bootstrap(windows, S.shuffled, _fold, ["id", "start", "seqlength"])
+
+
+_DOUBLETS = [a + b for a in "ACGT" for b in "ACGT"]
+
+
+@query(
+    "r8_kept_doublets",
+    _g(
+        f"""SELECT id, start, CAST(i AS INTEGER) AS iteration, substr(w, 1, 1) AS first, substr(w, 100, 1) AS last, {', '.join(
+            f"CAST(len(list_filter(range(1, 100), lambda q: substr(w, CAST(q AS INTEGER), 2) = '{x}')) AS INTEGER) AS {x.lower()}_n" for x in _DOUBLETS)}
+FROM (SELECT id, start, substr(mrna_seq, start + 7, 100) AS w FROM sites WHERE length(mrna_seq) >= start + 106), generate_series(1, 10) AS t(i)""",
+        SITES_SQL,
+    ),
+)
+def _(spark, d):
+    """Counts of the shuffled windows; the SQL counts the windows as they were."""
+    windows = scan.keep_coding(scan.find_slipsites(genome(spark, d), (100,)), do_utr=True).select("id", "start", "sequence")
+    rows = nulls.fan_out(windows, 10).withColumn("s", nulls.kept_doublets(F.col("sequence"), F.lit(7), F.col("id"), F.col("start"), F.col("iteration")))
+    counts = [F.regexp_count("s", F.lit(f"{x[0]}(?={x[1]})")).alias(f"{x.lower()}_n") for x in _DOUBLETS]
+    return rows.select("id", "start", "iteration", F.substring("s", 1, 1).alias("first"), F.right("s", F.lit(1)).alias("last"), *counts)
+
+
+def nested_pairs(seq: str) -> tuple[float, str]:
+    """A small folder: most nested pairs of a window that begins with a base other than A, with three bases inside a pair at least."""
+    if seq.startswith("A"):
+        raise ValueError("no fold")
+    runs = {"G": "CT", "C": "G", "A": "T", "T": "AG"}
+    open_, out = [], ["."] * len(seq)
+    for i, c in enumerate(seq):  # closes the latest open base that it pairs with
+        if open_ and i - open_[-1] > 3 and seq[open_[-1]] in runs[c]:
+            out[open_[-1]], out[i] = "(", ")"
+            open_.pop()
+        elif c in "GT":
+            open_.append(i)
+    pairs = out.count("(")
+    return -float(pairs), "".join(out)
+
+
+@query("g1_folder", _g("""SELECT id, start, CAST(CASE WHEN w LIKE 'A%' THEN NULL WHEN w LIKE 'C%' THEN -99 ELSE 1 END AS DOUBLE) AS known, CASE WHEN w LIKE 'A%' THEN 'ValueError: no fold' END AS error
+FROM (SELECT id, start, substr(mrna_seq, start + 7, 50) AS w FROM sites WHERE length(mrna_seq) >= start + 56)""", SITES_SQL))
+def _(spark, d):
+    windows = _windows(spark, d).select("id", "start", "sequence")
+    known = windows.where("sequence like 'C%'").select("sequence", F.lit(-99.0).alias("mfe"), F.lit("").alias("parens")).distinct()
+    done = nulls.fold_with(windows, nested_pairs, known)
+    sound = F.when(F.col("error").isNull() & (F.col("mfe") == -F.length(F.regexp_replace("parens", "[^(]", ""))), 1.0)
+    return done.select("id", "start", F.when(F.col("mfe") == -99.0, F.col("mfe")).otherwise(sound).alias("known"), "error")
