@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Numbers, chunks, texts, with_id
+from shiftlens.llm.common import Numbers, chunks, give_back, texts, with_id
 from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
 LONG = 200
 #: Characters of a chunk, distinct words of a row and words of the documents of a row.
-CHUNK = 28 << 20
+CHUNK = 18 << 20
 ROW_WORDS, ROW_TOKENS = 256, 1 << 20
 #: Documents sampled for the dictionary of frequent words, and its most words.
 SAMPLE, DICTIONARY = 20_000, 150_000
@@ -263,8 +263,11 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=N
                 yield from rows()
                 seen, pieces = Numbers(base), Numbers()
                 ids, counts, numbers, size = [], [], array("i"), 0
+                give_back()
         if ids:
             yield from rows()
+        del seen, pieces, ids, counts, numbers
+        give_back()
 
     return with_id(docs, "doc_id", "text").mapInArrow(split, SPLIT)
 
@@ -292,6 +295,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                 coded = batch.column("coded")[at].values
                 ids = batch.column("ids")[at].values
                 if complete and not len(ids):
+                    pieces = said = raw = each = sums = None
+                    give_back()
                     words, pieces, complete = tuple(map(list, base)), ([], [], []), False
                 if len(coded):
                     far = (merge_long(w, ranks) for w in batch.column("long_words")[at].as_py())
@@ -333,6 +338,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chu
                         rows.append((doc, total, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([raw[i] for i in own])).hexdigest(), text if with_ids else None))
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        words = pieces = said = raw = each = sums = None
+        give_back()
 
     out = coded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
     return out.withColumn("ids", F.filter(F.split("ids", ","), lambda x: x != "").cast("array<int>")) if with_ids else out.drop("ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -72,6 +73,20 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker lives on from task to task, and what one task freed would count beside what the
+    next stage needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:
+    _LIBC = None
+
+
 class Numbers(dict):
     """Numbers keys by first use, after those that it begins with."""
 
