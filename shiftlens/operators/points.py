@@ -153,12 +153,15 @@ def backfill(boot: DataFrame, mfe: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def relink(boot: DataFrame, mfe: DataFrame) -> DataFrame:
-    """Null models that lost mfe_id, linked again by accession, method and the energy that z, deviation and mean give back, in whole
-    tenths; the least id wins, and what matches nothing is left out."""
+    """Null models (id, accession, mfe_method, zscore, mfe_mean, mfe_sd, ...) that lost mfe_id, linked again by accession, method and
+    the energy that z, deviation and mean give back, in whole tenths; the least id wins. verdict: linked, or deleted where nothing
+    matches (then mfe_id is null); linked rows take species and seqlength from the prediction."""
     tenth = lambda c: F.round(c * 10).cast("long")
-    known = mfe.groupBy("accession", "mfe_method", tenth(F.col("mfe")).alias("__e")).agg(F.min("id").alias("mfe_id"))
-    lost = boot.drop("mfe_id").withColumn("__e", tenth(F.col("mfe_sd") * F.col("zscore") + F.col("mfe_mean")))
-    return lost.join(known, ["accession", "mfe_method", "__e"]).drop("__e")
+    known = mfe.groupBy("accession", "mfe_method", tenth(F.col("mfe")).alias("__e")).agg(F.min(F.struct("id", "species", "seqlength")).alias("__m"))
+    lost = boot.drop("mfe_id", "species", "seqlength").withColumn("__e", tenth(F.col("mfe_sd") * F.col("zscore") + F.col("mfe_mean")))
+    out = lost.join(known, ["accession", "mfe_method", "__e"], "left")
+    verdict = F.when(F.col("__m").isNull(), "deleted").otherwise("linked")
+    return out.select(*[c for c in lost.columns if c != "__e"], F.col("__m.id").alias("mfe_id"), "__m.species", "__m.seqlength", verdict.alias("verdict"))
 
 
 def repair_knots(mfe: DataFrame, knotted_ids: DataFrame) -> DataFrame:
@@ -199,11 +202,6 @@ def gene_search(genes: DataFrame, exact: str | None = None, pattern: str | None
     return genes.where(F.col("accession").rlike(pattern) | F.col("genename").rlike(pattern) | F.col("comment").rlike(pattern))
 
 
-def scan_species(df: DataFrame, species: str | None = None) -> DataFrame:
-    """Rows of one species key (all viruses share one), or all; on a table partitioned by species_key this prunes files."""
-    return df if species is None else df.where(F.col("species_key") == ("virus" if "virus" in species else species))
-
-
 def criteria_select(df: DataFrame, columns: list[str], criteria: dict | None = None, order: list[str] | None = None) -> DataFrame:
     """Columns of the rows that meet all criteria: {column: value} or {column: (operator, value)}."""
     out = df
@@ -222,7 +220,7 @@ def dump_table(df: DataFrame, path: str, separator: str = ",", species: str | No
 
 
 def replace_slice(df: DataFrame, path: str, part: str) -> None:
-    """Overwrite only the partitions of `part` that df holds."""
+    """Overwrite only the partitions of `part` that df holds; others are not touched, and a rerun writes the same."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 

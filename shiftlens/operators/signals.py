@@ -118,6 +118,18 @@ def series_json(df: DataFrame, key: str, label: str, x: str, y: str) -> DataFram
     return points.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "data")))).alias("series"))
 
 
+def series_pieces(df: DataFrame, key: str, label: str, x: str, y: str, size: int = 1000) -> DataFrame:
+    """(key, label, piece, first_x, last_x, points, data): each series by x, cut into pieces of at most `size` points, data as JSON
+    [[x, y], ...]. Points with equal x are ordered by y; nulls are left out. Places are counted as the sorted points stream by, so
+    a series of any length never is one row."""
+    order = Window.partitionBy(key, label).orderBy(x, y)
+    placed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__p", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    grouped = placed.groupBy(key, label, F.col("__p").alias("piece")).agg(F.array_sort(F.collect_list(point)).alias("__d"))
+    data = F.to_json(F.transform("__d", lambda p: F.array(p["x"], p["y"])))
+    return grouped.select(key, label, "piece", F.col("__d")[0]["x"].alias("first_x"), F.element_at("__d", -1)["x"].alias("last_x"), F.size("__d").alias("points"), data.alias("data"))
+
+
 def binned_frame_counts(hits: DataFrame, ranges: list[tuple[int, int]], keys: list[str] = (), shift: int = 15) -> DataFrame:
     """Reads whose shifted place lies in each range (both ends inclusive), in all and by frame: 0, +1 (place + 1 divisible by 3), -1.
 

@@ -95,9 +95,50 @@ def facet_histogram(points: DataFrame, facets: list[str], bins: int = 50) -> Dat
     return at.groupBy(*facets, bin_.alias("bin")).agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(w), 3))
 
 
+def facet_histograms(points: DataFrame, sets: list[list[str]], bins: int = 50) -> DataFrame:
+    """(facet, value, bin, n, percent, score) of energies for several facets at once: sets of columns, such as [species], [mfe_method],
+    [knotp] or all of them. Bins are equal between the ends of a facet's value; percent is of that value's rows; score is the share of
+    these up to the bin's end, as a rank.
+
+    Rows are spread over the facets once, and counted before they are shuffled; ends are one row for each value of a facet. Null
+    values are a value of their own (an empty string), null energies count nowhere."""
+    value = lambda cols: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    facets = F.array(*[F.struct(F.lit("|".join(cols)).alias("facet"), value(cols).alias("value")) for cols in sets])
+    rows = points.where(F.col("mfe").isNotNull()).select("mfe", F.explode(facets).alias("f")).select("f.facet", "f.value", "mfe")
+    ends = rows.groupBy("facet", "value").agg(F.min("mfe").alias("lo"), F.max("mfe").alias("hi"), F.count("*").alias("total"))
+    share = (F.col("mfe") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0).cast("int")
+    counted = rows.join(ends, ["facet", "value"]).groupBy("facet", "value", "total", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("facet", "value").orderBy("bin"))  # at most `bins` rows a value
+    return counted.select(
+        "facet", "value", "bin", "n", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("percent"), F.round(upto / F.col("total"), 4).alias("score")
+    )
+
+
+def audit_links(boot: DataFrame, mfe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What reconnecting does to each null model, and which predictions are repeats.
+
+    The first result is boot with verdict and mfe_id set: kept (mfe_id was right), relinked (another prediction of the same
+    accession, start, seqlength and method; the least id), orphan (there is none), duplicate (another null model of that key has a
+    lesser id). Rows with a null in the key are orphans. The second one is the predictions that repeat a key of a lesser id.
+    Rows to keep are those kept and relinked; the others are what is deleted. Each side is aggregated by key before it is joined."""
+    keys = ["accession", "start", "seqlength", "mfe_method"]
+    best = mfe.groupBy(*keys).agg(F.min("id").alias("__mfe"))
+    first = boot.groupBy(*keys).agg(F.min("id").alias("__first"))
+    joined = boot.join(best, keys, "left").join(first, keys, "left")
+    verdict = (
+        F.when(F.col("__mfe").isNull(), "orphan").when(F.col("id") > F.col("__first"), "duplicate")
+        .when(F.col("mfe_id").eqNullSafe(F.col("__mfe")), "kept").otherwise("relinked")
+    )
+    out = joined.withColumn("verdict", verdict).withColumn("mfe_id", F.coalesce("__mfe", "mfe_id"))
+    repeats = mfe.join(best, keys).where(F.col("id") > F.col("__mfe")).drop("__mfe")
+    return out.select(*boot.columns, "verdict"), repeats.select(*mfe.columns)
+
+
 def first_per(df: DataFrame, keys: list[str], by: str = "id") -> DataFrame:
-    """The row with the least `by` of each key."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where("__r = 1").drop("__r")
+    """The row with the least `by` of each key: a partial aggregate, no sort."""
+    best = df.groupBy(*keys).agg(F.min(F.struct(by, *[c for c in df.columns if c not in (*keys, by)])).alias("__r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
