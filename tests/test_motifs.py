@@ -30,15 +30,6 @@ def test_stem_order_and_marks(spark):
     assert [r.m for r in marks.collect()] == ["((.{{..)).}}", ".."]
 
 
-def test_nine_counters(spark):
-    said = {"n": [0, 5, 5, 5, 0, 0, 5, 5, 0, 5], "h": [0, 5, 6, 0, 5, 0, 5, 0, 5, 6], "p": [0, 5, 6, 0, 0, 5, 0, 5, 5, 7]}
-    rows = [(1, k, m, x) for m, xs in said.items() for k, x in enumerate(xs)] + [(1, 99, "n", 3), (1, 99, "h", 3)]
-    got = structure.base_agreement(spark.createDataFrame(rows, "id int, position int, mfe_method string, partner int"), ["id"], ("n", "h", "p")).first()
-    # Where n differs from both others the rule for hnp comes first, so n_alone and hplusp stay empty.
-    assert (got.no_agree, got.all_agree, got.hnp, got.n_alone, got.h_alone, got.p_alone) == (1, 1, 4, 0, 1, 1)
-    assert (got.hplusn, got.nplusp, got.hplusp) == (1, 1, 0)
-
-
 def test_track(spark):
     genome = spark.createDataFrame([(1, "a", "ATGAAATTTACCCTAGGGTAA", 1, 21), (2, "b", "", 1, 0)], "id long, accession string, mrna_seq string, orf_start int, orf_stop int")
     sites = spark.createDataFrame([(1, 4, 3)], "id long, start int, bp_mstop int")

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from shiftlens.operators import nulls, signals
 from shiftlens.sources import readers
-from shiftlens.streaming import imports
 
 
 def write(path, text):
@@ -50,19 +49,3 @@ def test_doublets_come_from_the_sequence(spark):
 def test_series(spark):
     df = spark.createDataFrame([("g", "m", 2, 1.5), ("g", "m", 1, 0.5)], "k string, l string, x int, y double")
     assert signals.series_json(df, "k", "l", "x", "y").first().series == '[{"label":"m","data":[[1.0,0.5],[2.0,1.5]]}]'
-
-
-def test_import_twice(spark, tmp_path):
-    kinds = "id long, accession string, species string, mrna_seq string, orf_start int, orf_stop int"
-    rows = [(1, "a", "s", "GGAAATTTACCCCCCCCC", 1, 18), (2, "a", "s", "C", 1, 1), (3, "b", "s", "C", 1, 1)]
-    source, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
-    spark.createDataFrame(rows, kinds).write.parquet(source)
-    for _ in range(2):
-        imports.import_batches(spark.readStream.schema(kinds).parquet(source), table, state).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 3]
-    spark.createDataFrame([(9, "b", "s", "CC", 1, 2), (10, "c", "s", "CC", 1, 2)], kinds).write.mode("append").parquet(source)
-    imports.import_batches(spark.readStream.schema(kinds).parquet(source), table, state).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.accession for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
-    q = imports.new_sites(spark.readStream.schema(kinds).parquet(source), (5,)).writeStream.format("memory").queryName("sites").option("checkpointLocation", state + "2").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("sites").count() == 1
