@@ -49,6 +49,12 @@ def gc_content(seq: Column) -> Column:
     return F.when(n > 0, F.round(100.0 * F.length(F.regexp_replace(seq, "[^GCgc]", "")) / n, 1))
 
 
+def gc_stems(seq: Column, parsed: Column) -> Column:
+    """Per cent of G and C among the paired bases, one decimal; parsed has a dot for each unpaired base. Null where none is paired."""
+    paired = F.filter(F.zip_with(letters(seq), parsed, lambda b, p: F.when((p != ".") & b.isNotNull(), F.upper(b))), lambda b: b.isNotNull())
+    return let(paired, lambda own: F.when(F.size(own) > 0, F.round(100.0 * F.size(F.filter(own, lambda b: b.isin("G", "C"))) / F.size(own), 1)))
+
+
 def orf_slice(seq: Column, start: Column, stop: Column, inclusive: bool = False) -> Column:
     """Bases from start; the last base only if inclusive, as scans never need it."""
     return F.substring(seq, start, stop - start + (1 if inclusive else 0))

@@ -233,3 +233,61 @@ def drop_accessions(tables: dict[str, DataFrame], accessions: DataFrame) -> dict
 def copy_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns under new names; all others are dropped."""
     return df.select(*[F.col(old).alias(new) for old, new in columns.items()])
+
+
+def cloud_cells(points: DataFrame) -> DataFrame:
+    """(mfe10, z100, n, knotted, genes, share, quadrant): the cells of a cloud, energies in tenths and z-scores in hundredths (rounded),
+    with the share of the fullest cell and the quadrant by the means of both axes (low or high energy, then z). The fullest
+    cell and the means are one row that is joined to all cells; genes are counted, and listed by cloud_members."""
+    at = points.select(F.round(F.col("mfe") * 10).cast("long").alias("mfe10"), F.round(F.col("zscore") * 100).cast("long").alias("z100"), "mfe", "zscore", "knotp", "accession")
+    per_gene = at.groupBy("mfe10", "z100", "accession").agg(F.count("*").alias("n"), F.count_if("knotp").alias("knotted"), F.sum("mfe").alias("m"), F.sum("zscore").alias("z"))
+    cells = per_gene.groupBy("mfe10", "z100").agg(F.sum("n").alias("n"), F.sum("knotted").alias("knotted"), F.count("accession").alias("genes"), F.sum("m").alias("m"), F.sum("z").alias("z"))
+    whole = cells.agg(F.max("n").alias("most"), (F.sum("m") / F.sum("n") * 10).alias("mid_m"), (F.sum("z") / F.sum("n") * 100).alias("mid_z"))
+    side = lambda c, mid: F.when(F.col(c) < F.col(mid), "low").otherwise("high")
+    out = cells.join(F.broadcast(whole), F.lit(True))  # one row
+    quadrant = F.concat_ws("/", side("mfe10", "mid_m"), side("z100", "mid_z"))
+    return out.select("mfe10", "z100", "n", "knotted", "genes", F.round(F.col("n") / F.col("most"), 4).alias("share"), quadrant.alias("quadrant"))
+
+
+def cloud_members(points: DataFrame) -> DataFrame:
+    """(mfe10, z100, accession, n): the genes of each cell, a row each, so that a full cell isn't one row."""
+    at = (F.round(F.col("mfe") * 10).cast("long").alias("mfe10"), F.round(F.col("zscore") * 100).cast("long").alias("z100"))
+    return points.groupBy(*at, "accession").agg(F.count("*").alias("n"))
+
+
+def lookup(df: DataFrame, table: DataFrame, on: dict[str, str], columns: dict[str, str], small: int = 100_000) -> DataFrame:
+    """df with columns of a lookup table (on: column of df -> key of the table; columns: column of the table -> new name), null where
+    the key is unknown. Of several rows of a key the least values count, so df's rows stay as many as they are. The table is
+    broadcast where it has at most `small` keys."""
+    keys = {c: f"__k{i}" for i, c in enumerate(on)}
+    side = table.groupBy(*[F.col(k).alias(keys[c]) for c, k in on.items()]).agg(F.min(F.struct(*[F.col(c).alias(n) for c, n in columns.items()])).alias("__v"))
+    if side.limit(small + 1).count() <= small:
+        side = F.broadcast(side)
+    match = F.lit(True)
+    for c, k in keys.items():
+        match = match & (F.col(c) == F.col(k))
+    out = df.drop(*columns.values()).join(side, match, "left")
+    return out.select(*[c for c in df.columns if c not in columns.values()], *[F.col(f"__v.{n}").alias(n) for n in columns.values()])
+
+
+def union_methods(mfe: DataFrame, methods: list[str], columns: list[str]) -> DataFrame:
+    """The distinct rows (columns) that any of the methods has: one filter and one aggregate instead of a union of scans."""
+    return mfe.where(F.col("mfe_method").isin(methods)).select(*columns).distinct()
+
+
+def related_rows(genes: DataFrame, mfe: DataFrame, snps: DataFrame, xrefs: DataFrame) -> DataFrame:
+    """(accession, genename, kind, item, n): what belongs to each gene, a row for each site (start and heptamer, n predictions), variant
+    (position) and cross-reference (kind:id); a gene without any has one row of kind none. Sides are counted before the join."""
+    item = lambda df, kind, what: df.groupBy("accession", what.alias("item")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    rows = (
+        item(mfe, "site", F.concat_ws(" ", "start", "slipsite")).unionByName(item(snps, "variant", F.col("position").cast("string"))).unionByName(item(xrefs, "xref", F.col("xref")))
+    )
+    out = genes.select("accession", "genename").join(rows, "accession", "left")
+    return out.select("accession", "genename", F.coalesce("kind", F.lit("none")).alias("kind"), "item", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def without_duplicates(mfe: DataFrame, boot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """mfe without the rows that repeat all keys of a row of lesser id (nulls are alike), and boot without the null models of these."""
+    first = mfe.groupBy(*keys).agg(F.min("id").alias("id")).select("id")
+    gone = mfe.join(first, "id", "left_anti").select("id").distinct()
+    return mfe.join(gone, "id", "left_anti"), boot.join(gone.withColumnRenamed("id", "mfe_id"), "mfe_id", "left_anti")

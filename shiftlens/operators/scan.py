@@ -149,3 +149,37 @@ def stop_distances(genome: DataFrame) -> DataFrame:
     stops = genome.select("id", F.explode(frames).alias("f")).select("id", "f.frame", F.posexplode("f.codons").alias("p", "codon")).where(F.col("codon").isin("TAA", "TAG", "TGA"))
     gap = F.col("p") - F.lag("p").over(Window.partitionBy("id", "frame").orderBy("p"))
     return stops.select("frame", gap.alias("distance")).where("distance is not null").groupBy("frame", "distance").agg(F.count("*").alias("n"))
+
+
+def composition_by_sequence(genome: DataFrame) -> DataFrame:
+    """(id, kind, slots, key, n): bases by their place in a codon (1, 2, 3), pairs of bases of the places 1-2, 2-3, 1-3 and of the third
+    and the next codon's first (3-1), and whole codons of each sequence. Bases beyond the last whole codon count nowhere."""
+    codons = S.codons(F.col("mrna_seq"))
+    base = lambda c, k: F.substring(c, k, 1)
+
+    def of(own):
+        def entries(c, i):
+            following = F.get(own, i + 1)
+            made = [("base", str(k), base(c, k)) for k in (1, 2, 3)] + [("pair", f"{a}-{b}", F.concat(base(c, a), base(c, b))) for a, b in ((1, 2), (2, 3), (1, 3))]
+            made += [("pair", "3-1", F.concat(base(c, 3), base(following, 1))), ("codon", "", c)]
+            return F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(slots).alias("slots"), key.alias("key")) for kind, slots, key in made])
+
+        return F.flatten(F.transform(own, entries))
+
+    rows = genome.select("id", F.explode(S.let(codons, of)).alias("e")).select("id", "e.*").where("key is not null")
+    return rows.groupBy("id", "kind", "slots", "key").agg(F.count("*").alias("n"))
+
+
+def stop_distances_by_region(genome: DataFrame) -> DataFrame:
+    """(region, frame, distance, n): how often two neighbouring in-frame stops of a region (5utr, orf, 3utr) are so many codons apart.
+    Each region is cut out first, so its frames count from its own first base. The stops of a frame stay in the row."""
+    cut = {"5utr": F.substring("mrna_seq", F.lit(1), F.col("orf_start") - 1), "orf": F.substring("mrna_seq", F.col("orf_start"), F.col("orf_stop") - F.col("orf_start") + 1)}
+    cut["3utr"] = F.substring("mrna_seq", F.col("orf_stop") + 1, F.length("mrna_seq"))
+    found = [F.struct(F.lit(r).alias("region"), F.lit(k).alias("frame"), S.codons(seq, k).alias("codons")) for r, seq in cut.items() for k in range(3)]
+
+    def gaps(codons):
+        places = F.filter(F.transform(codons, lambda c, i: F.when(c.isin("TAA", "TAG", "TGA"), i)), lambda i: i.isNotNull())
+        return S.let(places, lambda own: F.filter(F.transform(own, lambda p, j: F.when(j > 0, p - F.get(own, j - 1))), lambda d: d.isNotNull()))
+
+    rows = genome.select(F.explode(F.array(*found)).alias("f")).select("f.region", "f.frame", F.explode(gaps(F.col("f.codons"))).alias("distance"))
+    return rows.groupBy("region", "frame", "distance").agg(F.count("*").alias("n"))

@@ -63,6 +63,44 @@ def mutual_information(aligned: DataFrame) -> DataFrame:
     return n.withColumn("t", term).groupBy("c1", "c2").agg(F.round(F.sum("t"), 4).alias("bits"))
 
 
+def column_composition(aligned: DataFrame) -> DataFrame:
+    """(column, base, n, share) of aligned sequences (id, sequence); columns from 0, a gap is a letter like others."""
+    bases = aligned.select(F.posexplode(S.letters(F.col("sequence"))).alias("column", "base"))
+    n = bases.groupBy("column", "base").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("column"))  # one row for each letter
+    return n.withColumn("share", F.round(F.col("n") / total, 4))
+
+
+def column_pairs(aligned: DataFrame) -> DataFrame:
+    """(c1, c2, b1, b2, n, joint, ratio) for columns c1 < c2: how often two bases stand there together, the share of that, and its
+    ratio to what the columns' own shares would give. Pairs are made in a sequence's row and counted before they are shuffled."""
+    own = S.letters(F.col("sequence"))
+
+    def pairs(b):
+        later = lambda x, i: F.transform(F.slice(b, i + 2, F.size(b)), lambda y, k: F.struct(i.alias("c1"), (i + 1 + k).alias("c2"), x.alias("b1"), y.alias("b2")))
+        return F.flatten(F.transform(b, later))
+
+    n = aligned.select(F.explode(S.let(own, pairs)).alias("p")).select("p.*").groupBy("c1", "c2", "b1", "b2").agg(F.count("*").alias("n"))
+    over = lambda *c: F.sum("n").over(Window.partitionBy("c1", "c2", *c))
+    return n.withColumn("joint", F.round(F.col("n") / over(), 4)).withColumn("ratio", F.round(F.col("n") * over() / (over("b1") * over("b2")), 4))
+
+
+def histogram_with_normal(values: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, bin, n, share, expected, mean, variance, sd): floor(2 * n^(2/5)) equal bins between the ends of each key's values, beside the
+    mass that a normal distribution of the same mean and deviation has there. Keys whose values are all equal have no row; bins
+    without values none either. Moments are one row a key, joined back."""
+    own = values.where(F.col(value).isNotNull())
+    moments = own.groupBy(key).agg(
+        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count("*").alias("__n"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.stddev_samp(value).alias("sd")
+    ).where("__hi > __lo").withColumn("__b", F.floor(2 * F.pow("__n", F.lit(0.4))))
+    width = (F.col("__hi") - F.col("__lo")) / F.col("__b")
+    bin_ = F.least(F.col("__b") - 1, F.floor((F.col(value) - F.col("__lo")) / width)).cast("int")
+    counted = own.join(moments, key).groupBy(key, bin_.alias("bin")).agg(F.count("*").alias("n")).join(moments, key)
+    at = lambda k: S.normal_cdf((F.col("__lo") + width * (F.col("bin") + k) - F.col("mean")) / F.col("sd"))
+    figures = {"share": F.col("n") / F.col("__n"), "expected": at(1) - at(0), "mean": F.col("mean"), "variance": F.col("variance"), "sd": F.col("sd")}
+    return counted.select(key, "bin", "n", *[F.round(c, 4).alias(name) for name, c in figures.items()])
+
+
 def inverted_repeats(windows: DataFrame, k: int = 8, min_loop: int = 3, max_span: int = 90) -> DataFrame:
     """(id, i, j): a k-mer at i whose reverse complement lies at j, a loop of min_loop at least between; equi-join on (id, word)."""
     words = windows.select("id", F.posexplode(S.kmers(F.col("sequence"), k)).alias("i", "word"))
@@ -112,6 +150,18 @@ def to_bpseq(structures: DataFrame, edges: DataFrame) -> DataFrame:
     return places.join(both, ["id", "position"], "left").withColumn("partner", F.coalesce("partner", F.lit(0)))
 
 
+def to_ct(structures: DataFrame, edges: DataFrame, prefix: str = "") -> DataFrame:
+    """(id, position, base, before, after, partner): the rows of a connect table, 1-based, partner 0 where unpaired and after 0 at the
+    end, for structures (id, sequence, parens). A prefix (a slippery site) stands unpaired in front and shifts all places."""
+    shift = len(prefix)
+    whole = structures.select("id", F.concat(F.lit(prefix), "sequence").alias("__w"))
+    places = whole.select("id", F.posexplode(S.letters(F.col("__w"))).alias("k", "base"), F.length("__w").alias("n"))
+    ends = lambda a, b: F.struct((F.col(a) + 1 + shift).alias("position"), (F.col(b) + 1 + shift).alias("partner"))
+    mates = edges.select("id", F.explode(F.array(ends("i", "j"), ends("j", "i"))).alias("e")).select("id", "e.*")
+    rows = places.select("id", (F.col("k") + 1).alias("position"), "base", F.col("k").alias("before"), F.when(F.col("k") + 1 < F.col("n"), F.col("k") + 2).otherwise(0).alias("after"))
+    return rows.join(mates, ["id", "position"], "left").select("id", "position", "base", "before", "after", F.coalesce("partner", F.lit(0)).alias("partner"))
+
+
 def series_json(df: DataFrame, key: str, label: str, x: str, y: str) -> DataFrame:
     """[{label, data: [[x, y], ...]}] for each key, by x."""
     points = df.groupBy(key, label).agg(F.transform(F.array_sort(F.collect_list(F.struct(x, y))), lambda p: F.array(p[x].cast("double"), p[y].cast("double"))).alias("data"))

@@ -1 +1 @@
-from shiftlens.plans import joins, motifs, overlays, registry, search, signals, tables  # noqa: F401
+from shiftlens.plans import details, joins, motifs, overlays, registry, search, signals, tables  # noqa: F401

@@ -37,22 +37,87 @@ def write_fasta(records: DataFrame, path: str, header: Column, seq: Column) -> N
     records.select(fasta_record(header, seq)).write.option("compression", "gzip").text(path)
 
 
-def read_genbank_cds(spark: SparkSession, path: str, padding: int = 300) -> DataFrame:
-    """A row for each CDS location: the coding part with `padding` bases on both sides, read on its own strand."""
-    rec = spark.read.option("lineSep", "\n//").text(path).where("value like '%LOCUS%'")
-    seq = F.upper(F.regexp_replace(F.substring_index("value", "ORIGIN", -1), r"[^A-Za-z]", ""))
-    cds = rec.select(F.regexp_extract("value", r"ACCESSION\s+(\S+)", 1).alias("accession"), seq.alias("__s"), F.explode(F.expr(r"regexp_extract_all(value, '\n {5}CDS\\s+((?:complement\\()?<?[0-9]+\\.\\.>?[0-9]+)', 1)")).alias("loc"))
-    lo, hi = (F.regexp_extract("loc", p, 1).cast("int") for p in (r"([0-9]+)\.\.", r"\.\.>?([0-9]+)"))
-    cds = cds.withColumn("direction", F.when(F.col("loc").startswith("complement"), "reverse").otherwise("forward")).withColumn("lo", lo).withColumn("hi", hi)
-    begin = F.greatest(F.col("lo") - padding, F.lit(1))
-    piece = F.substring(F.col("__s"), begin, F.col("hi") + padding - begin + 1)
-    before = F.when(F.col("direction") == "reverse", F.least(F.lit(padding), F.length("__s") - F.col("hi"))).otherwise(F.col("lo") - begin)
-    return cds.select(
-        "accession", "direction", F.when(F.col("direction") == "reverse", F.reverse(F.translate(piece, "ACGT", "TGCA"))).otherwise(piece).alias("mrna_seq"),
-        (before + 1).cast("int").alias("orf_start"), (before + 1 + F.col("hi") - F.col("lo")).cast("int").alias("orf_stop"),
+def parse_location(location: Column) -> Column:
+    """Struct of a feature's location (a..b, join(..), order(..), complement(..), nested): whole (whether all of it is read backwards)
+    and parts, structs lo, hi and back in the order in which they are spliced. Partial ends (< and >) count as whole ones; a
+    location in another record (with a colon) or none at all gives null."""
+    text = F.regexp_replace(location, r"\s", "")
+    pieces = F.regexp_extract_all(text, F.lit(r"((?:complement\()?[<>]?[0-9]+(?:\.\.[<>]?[0-9]+)?)"), F.lit(1))
+
+    def part(piece: Column) -> Column:
+        ends = F.transform(F.regexp_extract_all(piece, F.lit(r"([0-9]+)"), F.lit(1)), lambda n: n.cast("int"))
+        return F.struct(F.get(ends, F.lit(0)).alias("lo"), F.element_at(ends, -1).alias("hi"), piece.startswith("complement").alias("back"))
+
+    whole = text.rlike(r"^complement\((join|order)\(")
+    usable = (F.size(pieces) > 0) & ~text.contains(":")
+    return F.when(usable, F.struct(whole.alias("whole"), F.transform(pieces, part).alias("parts")))
+
+
+def spliced(seq: Column, location: Column) -> Column:
+    """The bases of a parsed location (parse_location) of a sequence, exons joined, on their own strand."""
+
+    def read(p: Column) -> Column:
+        own = F.substring(seq, p["lo"], p["hi"] - p["lo"] + 1)
+        return F.when(p["back"], S.reverse_complement(own)).otherwise(own)
+
+    joined = F.array_join(F.transform(location["parts"], read), "")
+    return F.when(location["whole"], S.reverse_complement(joined)).otherwise(joined)
+
+
+def exon_frames(location: Column, first: Column) -> Column:
+    """Structs lo, hi and frame of each exon as it is read: how many bases of a codon the exons before it (and `first` bases that are
+    skipped at the start) leave open."""
+    parts = F.when(location["whole"], F.reverse(location["parts"])).otherwise(location["parts"])
+    size = lambda p: p["hi"] - p["lo"] + 1
+    before = lambda own, i: F.aggregate(F.slice(own, 1, i), F.lit(0), lambda n, p: n + size(p))
+    return S.let(parts, lambda own: F.transform(own, lambda p, i: F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), F.pmod(before(own, i) - first, F.lit(3)).alias("frame"))))
+
+
+def parse_genbank(records: DataFrame, padding: int = 300, per_orf_accession: bool = False, column: str = "value") -> DataFrame:
+    """A row for each CDS of each record: accession, gene, direction, mrna_seq, orf_start, orf_stop, exons.
+
+    mrna_seq is the spliced coding part with `padding` bases of the record on both sides (fewer at its ends), read on its own strand;
+    orf_start and orf_stop (1-based) are the coding part in it, from the base that /codon_start names. With per_orf_accession the
+    accession ends in a dash and the first base of the location. A CDS that lies in another record too is left out."""
+    text = F.col(column)
+    seq = F.upper(F.regexp_replace(F.substring_index(text, "\nORIGIN", -1), r"[^A-Za-z]", ""))
+    blocks = F.regexp_extract_all(text, F.lit(r"\n {5}CDS {2,}([^\n]*(?:\n {21}[^\n]*)*+)"), F.lit(1))
+    rows = records.where(text.contains("LOCUS") & text.contains("\nORIGIN")).select(F.regexp_extract(text, r"\nACCESSION\s+(\S+)", 1).alias("accession"), seq.alias("__s"), F.explode(blocks).alias("__b"))
+    quoted = lambda name: F.nullif(F.regexp_extract("__b", f'/{name}="([^"]*)"', 1), F.lit(""))
+    skipped = F.coalesce(F.nullif(F.regexp_extract("__b", r"/codon_start=([1-3])", 1), F.lit("")).cast("int") - 1, F.lit(0))
+    rows = rows.select("accession", "__s", quoted("gene").alias("gene"), skipped.alias("__skip"), parse_location(F.regexp_extract("__b", r"^([^/]*)", 1)).alias("__l")).where("__l is not null")
+    parts = F.col("__l.parts")
+    low, high = F.array_min(F.transform(parts, lambda p: p["lo"])), F.array_max(F.transform(parts, lambda p: p["hi"]))
+    rows = rows.withColumn("__lo", low).withColumn("__hi", high).withColumn("__c", spliced(F.col("__s"), F.col("__l")))
+    begin = F.greatest(F.col("__lo") - padding, F.lit(1))
+    left, right = F.substring("__s", begin, F.col("__lo") - begin), F.substring("__s", F.col("__hi") + 1, F.lit(padding))
+    back = F.col("__l.whole") | F.forall(parts, lambda p: p["back"])
+    head = F.when(back, S.reverse_complement(right)).otherwise(left)
+    tail = F.when(back, S.reverse_complement(left)).otherwise(right)
+    own = F.concat(F.col("accession"), F.lit("-"), F.col("__lo")) if per_orf_accession else F.col("accession")
+    return rows.select(
+        own.alias("accession"), "gene", F.when(back, "reverse").when(F.exists(parts, lambda p: p["back"]), "mixed").otherwise("forward").alias("direction"),
+        F.concat(head, F.col("__c"), tail).alias("mrna_seq"), (F.length(head) + 1 + F.col("__skip")).cast("int").alias("orf_start"),
+        (F.length(head) + F.length("__c")).cast("int").alias("orf_stop"), exon_frames(F.col("__l"), F.col("__skip")).alias("exons"),
     )
 
 
+def read_genbank_cds(spark: SparkSession, path: str, padding: int = 300, per_orf_accession: bool = False) -> DataFrame:
+    """parse_genbank of a file or folder; records are split by Spark's text source, so one may lie over two splits."""
+    return parse_genbank(spark.read.option("lineSep", "\n//").text(path), padding, per_orf_accession)
+
+
+def read_ct(spark: SparkSession, path: str) -> DataFrame:
+    """file, position, base, partner (1-based; 0: unpaired) and energy of connect tables. The first line of a file (length, name, perhaps
+    `ENERGY = x`) gives the energy; it is joined by file, so files stay splittable."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    part = F.split("v", r"\s+")
+    rows = lines.where(r"v rlike '^[0-9]+\\s+[A-Za-z]\\s+[0-9]+\\s+[0-9]+\\s+[0-9]+\\s+[0-9]+$'")
+    rows = rows.select("file", F.get(part, F.lit(0)).cast("int").alias("position"), F.get(part, F.lit(1)).alias("base"), F.get(part, F.lit(4)).cast("int").alias("partner"))
+    heads = lines.where("v like '%ENERGY%'").groupBy("file").agg(F.min(F.regexp_extract("v", r"ENERGY\s*=\s*(-?[0-9.]+)", 1)).try_cast("double").alias("energy"))
+    return rows.join(heads, "file", "left")
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments without header lines; accession is the fourth part of the reference name, without its version."""
     part = F.split("value", "\t")
