@@ -101,7 +101,9 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
 
 
 def chunks(batches, column: str, limit: int = 4 << 20):
-    """Slices of record batches whose texts hold about `limit` bytes, one row at least."""
+    """Slices of record batches whose texts hold about `limit` bytes, one row at least. What the task before and this one have
+    freed is given back to the system."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -113,6 +115,7 @@ def chunks(batches, column: str, limit: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
