@@ -12,10 +12,8 @@ CODONS = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
 STACK = {"AA": -0.93, "AT": -1.1, "TA": -1.33, "CT": -2.08, "CA": -2.11, "GT": -2.24, "GA": -2.35, "CG": -2.36, "GG": -3.26, "GC": -3.42, "TT": -0.93, "AG": -2.08, "TG": -2.11, "AC": -2.24, "TC": -2.35, "CC": -3.26}
 SLIPPERY = r"^(AAA|CCC|GGG|TTT)(AAA|TTT)[ACGT]$"
 CANONICAL = r"^(AAA|CCC|GGG|TTT)(AAA|TTT)[ACT]$"
-
-
-def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+#: Names of chromosomes 1 to 16.
+ROMAN = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI".split()
 
 
 def let(value: Column, body) -> Column:
@@ -139,9 +137,38 @@ def species_key(name: Column) -> Column:
     return F.when(clean.contains("virus"), F.lit("virus")).otherwise(F.regexp_extract(clean, r"^([^_]+(_[^_]+)?)", 1))
 
 
-def clean_accession(accession: Column) -> Column:
-    """Without the prefix SGDID: and without a version."""
-    return F.regexp_replace(F.regexp_replace(accession, "^SGDID:", ""), r"\.[0-9]+$", "")
+def species_label(key: Column) -> Column:
+    """The key for reading: words parted by spaces, the first letter in upper case."""
+    words = F.regexp_replace(F.trim(key), "_+", " ")
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 30))
+
+
+def is_slippery(heptamer: Column, canonical_only: bool = False) -> Column:
+    """Whether a heptamer is one of the 32 slippery ones; canonical_only leaves out those that end in G. U counts as T, null is null."""
+    return F.translate(F.upper(heptamer), "U", "T").rlike(CANONICAL if canonical_only else SLIPPERY)
+
+
+def heptamer_at(seq: Column, start: Column) -> Column:
+    """The seven bases from a 1-based place; null where fewer are left."""
+    return F.when((start >= 1) & (start + 6 <= F.length(seq)), F.substring(seq, start, F.lit(7)))
+
+
+def clean_accession(accession: Column, mode: str = "version") -> Column:
+    """Without the prefix SGDID: and without a version (mode version), or with underscores for dots (mode underscore)."""
+    plain = F.regexp_replace(accession, "^SGDID:", "")
+    return F.translate(plain, ".", "_") if mode == "underscore" else F.regexp_replace(plain, r"\.[0-9]+$", "")
+
+
+def chromosome_label(n: Column) -> Column:
+    """Roman numeral of a chromosome 1 to 16 (a number or its text, also behind `chr`); others stay as they are."""
+    text = F.regexp_replace(n.cast("string"), "^(?i:chr)0*", "")
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(r) for r in ROMAN]), F.nullif(text.try_cast("int"), F.lit(0))), n.cast("string"))
+
+
+def relative_position(start: Column, orf_start: Column, orf_stop: Column) -> Column:
+    """Struct of a place's distance from the ORF's start and its share of the ORF in whole per cent; null for an empty ORF."""
+    size = orf_stop - orf_start
+    return F.struct((start - orf_start).alias("distance"), F.when(size > 0, F.round(100.0 * (start - orf_start) / size).cast("int")).alias("percent"))
 
 
 #: A prime below 2^31 and two steps: keys of a shuffle are squares modulo it, which built-in functions of any engine can follow.

@@ -132,8 +132,8 @@ def gene_bundle(genes: DataFrame, mfe: DataFrame, snps: DataFrame) -> DataFrame:
 
 
 def at_coordinates(points: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Points whose energy in hundredths and z in tenths (whole numbers, rounded down) are among the wanted (mfe100, z10)."""
-    at = points.withColumn("mfe100", F.floor(F.col("mfe") * 100)).withColumn("z10", F.floor(F.col("zscore") * 10))
+    """Points whose energy in hundredths and z in tenths (whole numbers, rounded) are among the wanted (mfe100, z10)."""
+    at = points.withColumn("mfe100", F.round(F.col("mfe") * 100).cast("long")).withColumn("z10", F.round(F.col("zscore") * 10).cast("long"))
     return at.join(wanted.select("mfe100", "z10").distinct(), ["mfe100", "z10"], "left_semi")
 
 
@@ -291,3 +291,38 @@ def without_duplicates(mfe: DataFrame, boot: DataFrame, keys: list[str]) -> tupl
     first = mfe.groupBy(*keys).agg(F.min("id").alias("id")).select("id")
     gone = mfe.join(first, "id", "left_anti").select("id").distinct()
     return mfe.join(gone, "id", "left_anti"), boot.join(gone.withColumnRenamed("id", "mfe_id"), "mfe_id", "left_anti")
+
+
+def missing_randomizations(mfe: DataFrame, boot: DataFrame, randomizers: list[str], methods: list[str]) -> DataFrame:
+    """(mfe_id, rand_method, mfe_method): the pairs of a randomizer and a method that each prediction has no null model (mfe_id,
+    rand_method, mfe_method) of. The pairs that are there come as one set of few entries a prediction, so no grid is shuffled."""
+    pair = lambda r, m: F.concat_ws("|", r, m)
+    had = boot.groupBy("mfe_id").agg(F.collect_set(pair(F.col("rand_method"), F.col("mfe_method"))).alias("__had"))
+    grid = F.array(*[F.struct(F.lit(r).alias("rand_method"), F.lit(m).alias("mfe_method")) for r in randomizers for m in methods])
+    both = mfe.select(F.col("id").alias("mfe_id")).distinct().join(had, "mfe_id", "left").withColumn("__had", F.coalesce("__had", F.array().cast("array<string>")))
+    lacking = F.filter(grid, lambda g: ~F.array_contains(F.col("__had"), pair(g["rand_method"], g["mfe_method"])))
+    return both.select("mfe_id", F.explode(lacking).alias("g")).select("mfe_id", "g.*")
+
+
+def species_by_method(points: DataFrame, methods: list[str]) -> DataFrame:
+    """A row a species: for each method the folds, knotted ones and those a deviation below the mean on both axes (of that method),
+    0 where there are none."""
+    marked = beyond(points.where(F.col("mfe_method").isin(methods)), 1, ("species", "mfe_method"))
+    own = lambda m, c=F.lit(True): F.count_if((F.col("mfe_method") == m) & c)
+    figures = [x for m in methods for x in (own(m).alias(f"{m}_folds"), own(m, F.col("knotp")).alias(f"{m}_knotted"), own(m, F.col("both")).alias(f"{m}_significant"))]
+    return marked.groupBy("species").agg(*figures)
+
+
+def expression_stats(pairs: DataFrame, key: str = "gene") -> DataFrame:
+    """Of each gene's pairs (healthy, cancer): mean, deviation and variance of exp(cancer - healthy), covariance and correlation of the
+    two. Pairs with a null count nowhere; the correlation of a constant is null."""
+    own = pairs.where(F.col("healthy").isNotNull() & F.col("cancer").isNotNull()).withColumn("__e", F.exp(F.col("cancer") - F.col("healthy")))
+    flat = F.nullif(F.stddev_pop("healthy") * F.stddev_pop("cancer"), F.lit(0.0)).isNull()
+    figures = {"mean": F.avg("__e"), "sd": F.stddev_pop("__e"), "variance": F.var_pop("__e"), "covariance": F.covar_pop("healthy", "cancer")}
+    return own.groupBy(key).agg(F.count("*").alias("n"), *[F.round(c, 4).alias(n) for n, c in figures.items()], F.when(~flat, F.round(F.corr("healthy", "cancer"), 4)).alias("correlation"))
+
+
+def long_extensions(sites: DataFrame, peptide: int = 30, bases: int = 150) -> DataFrame:
+    """Sites whose frame goes on: a peptide (column minus_orf) of more than `peptide` amino acids, and more than `bases` bases to the
+    -1 frame's stop (bp_mstop). Nulls don't qualify."""
+    return sites.where((F.length("minus_orf") > peptide) & (F.col("bp_mstop") > bases))

@@ -98,7 +98,7 @@ def facet_histogram(points: DataFrame, facets: list[str], bins: int = 50) -> Dat
 def facet_histograms(points: DataFrame, sets: list[list[str]], bins: int = 50) -> DataFrame:
     """(facet, value, bin, n, percent, score) of energies for several facets at once: sets of columns, such as [species], [mfe_method],
     [knotp] or all of them. Bins are equal between the ends of a facet's value; percent is of that value's rows; score is the share of
-    these up to the bin's end, as a rank.
+    these up to the bin's end, as a rank, cut after four places.
 
     Rows are spread over the facets once, and counted before they are shuffled; ends are one row for each value of a facet. Null
     values are a value of their own (an empty string), null energies count nowhere."""
@@ -111,7 +111,7 @@ def facet_histograms(points: DataFrame, sets: list[list[str]], bins: int = 50) -
     counted = rows.join(ends, ["facet", "value"]).groupBy("facet", "value", "total", bin_.alias("bin")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("facet", "value").orderBy("bin"))  # at most `bins` rows a value
     return counted.select(
-        "facet", "value", "bin", "n", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("percent"), F.round(upto / F.col("total"), 4).alias("score")
+        "facet", "value", "bin", "n", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("percent"), (F.floor(upto * 10000 / F.col("total")) / 10000).alias("score")
     )
 
 
@@ -180,10 +180,13 @@ def binned_range_join(points: DataFrame, spans: DataFrame, key: str, bin_size: i
     return points.withColumn("__bin", F.floor(F.col("at") / bin_size)).join(bins, [key, "__bin"]).where("lo < at and at_end < hi").drop("__bin")
 
 
-def text_search(df: DataFrame, query: str, column: str = "comment") -> DataFrame:
-    """Boolean search: +must, -not, word, prefix*, "phrase"; with no + term some plain term has to match."""
+def text_search(df: DataFrame, query: str, column: str = "comment", species: str | None = None) -> DataFrame:
+    """Boolean search: +must, -not, word, prefix*, "phrase"; with no + term some plain term has to match. Of one species where it is
+    given."""
     import re
 
+    df = df if species is None else df.where(F.col("species") == species)
+
     words = F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}_]+")
 
     def term(t: str) -> Column:

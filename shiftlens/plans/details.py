@@ -9,7 +9,7 @@ from shiftlens.operators import points as P
 from shiftlens.operators import scan, signals, structure
 from shiftlens.plans.joins import _GENES, _PREDICTIONS, _genes, _predictions
 from shiftlens.plans.motifs import _BRACKETS, _EDGES, _STEMS, _behind, _structures, _tracks
-from shiftlens.plans.registry import _g, _m, query
+from shiftlens.plans.registry import _CODON_MAP, _OPEN, _g, _m, query
 from shiftlens.sources import readers
 from shiftlens.sources.fixtures import SITES_SQL, genome, points, read
 from shiftlens.sources.work import work_dir
@@ -235,3 +235,106 @@ def _(spark, d):
     kept, models = P.without_duplicates(m, boot, ["accession", "seqlength", "mfe_method", "pairs"])
     return kept.select("id", F.lit("mfe").alias("kind")).unionByName(models.select(F.col("mfe_id").alias("id"), F.lit("boot").alias("kind")))
 
+
+
+_PEPTIDE = f"array_to_string(list_transform(regexp_extract_all(mrna_seq, '[ACGT]{{3}}'), lambda c: {_CODON_MAP}[c]), '')"
+
+
+@query(
+    "p6_up_to_the_stop",
+    _g(f"""SELECT id, regexp_extract(mrna_seq, '{_OPEN}') AS open_bases, split_part({_PEPTIDE}, '*', 1) AS peptide FROM genome"""),
+)
+def _(spark, d):
+    seq = F.col("mrna_seq")
+    return genome(spark, d).select("id", S.until_stop(seq).alias("open_bases"), S.upto_stop(S.translate(seq)).alias("peptide"))
+
+
+@query(
+    "p7_heptamers",
+    _g(
+        """SELECT id, h AS heptamer, regexp_full_match(h, '(AAA|CCC|GGG|TTT)(AAA|TTT)[ACGT]') AS slippery, regexp_full_match(h, '(AAA|CCC|GGG|TTT)(AAA|TTT)[ACT]') AS canonical
+FROM (SELECT id, CASE WHEN id % 30 + 7 <= length(mrna_seq) THEN substr(mrna_seq, CAST(id % 30 + 1 AS INTEGER), 7) END AS h FROM genome
+  UNION ALL SELECT id, CASE WHEN start + 6 <= length(mrna_seq) THEN slipsite END FROM sites)""",
+        SITES_SQL,
+    ),
+)
+def _(spark, d):
+    g = genome(spark, d)
+    places = g.select("id", "mrna_seq", (F.col("id") % 30 + 1).cast("int").alias("at")).unionByName(scan.find_slipsites(g, (50,)).select("id", "mrna_seq", F.col("start").alias("at")))
+    rows = places.select("id", S.heptamer_at(F.col("mrna_seq"), F.col("at")).alias("heptamer"))
+    return rows.select("id", "heptamer", S.is_slippery(F.col("heptamer")).alias("slippery"), S.is_slippery(F.col("heptamer"), True).alias("canonical"))
+
+
+@query(
+    "p8_p9_labels",
+    """SELECT n_nationkey AS id, upper(n_name[1]) || replace(lower(n_name[2:]), '_', ' ') || ' sp' AS label, 'X_' || n_nationkey || '_2' AS dotless, 'X.' || n_nationkey AS plain,
+CASE WHEN n_nationkey BETWEEN 1 AND 16 THEN (string_split('I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI', ' '))[n_nationkey] ELSE 'chr' || n_nationkey END AS chromosome FROM nation""",
+)
+def _(spark, d):
+    key, accession = F.concat(F.lower("n_name"), F.lit("__sp")), F.concat(F.lit("SGDID:X."), "n_nationkey", F.lit(".2"))
+    return read(spark, d, "nation").select(
+        F.col("n_nationkey").alias("id"), S.species_label(key).alias("label"), S.clean_accession(accession, "underscore").alias("dotless"),
+        S.clean_accession(accession).alias("plain"), S.chromosome_label(F.concat(F.lit("chr"), "n_nationkey")).alias("chromosome"),
+    )
+
+
+@query("p11_relative_position", _m("""SELECT id, start - 1 AS distance, CAST(round(100.0 * (start - 1) / (orf_stop - 1)) AS INTEGER) AS percent FROM mfe JOIN (SELECT accession, orf_stop FROM genes) USING (accession)""", _GENES))
+def _(spark, d):
+    both = points(spark, d).join(_genes(spark, d).select("accession", "orf_start", "orf_stop"), "accession")
+    return both.select("id", S.relative_position(F.col("start"), F.col("orf_start"), F.col("orf_stop")).alias("r")).select("id", "r.*")
+
+
+_RANDS = ["bases", "codons"]
+
+
+@query(
+    "a35_missing_randomizations",
+    _m(
+        """SELECT a.mfe_id, r AS rand_method, m AS mfe_method FROM (SELECT DISTINCT id AS mfe_id FROM mfe) a, (VALUES ('bases'), ('codons')) AS x(r), (VALUES ('method0'), ('method1')) AS y(m)
+WHERE NOT EXISTS (SELECT 1 FROM bt b WHERE b.mfe_id = a.mfe_id AND b.rand_method = r AND b.mfe_method = m)""",
+        "bt AS (SELECT id AS mfe_id, CASE WHEN pairs % 2 = 0 THEN 'bases' ELSE 'codons' END AS rand_method, mfe_method FROM mfe WHERE pairs % 5 <> 0)",
+    ),
+)
+def _(spark, d):
+    m = points(spark, d)
+    boot = m.where("pairs % 5 <> 0").select(F.col("id").alias("mfe_id"), F.when(F.col("pairs") % 2 == 0, "bases").otherwise("codons").alias("rand_method"), "mfe_method")
+    return P.missing_randomizations(m, boot, _RANDS, ["method0", "method1"])
+
+
+_METHODS = [f"method{k}" for k in range(3)]
+
+
+@query(
+    "a38_species_by_method",
+    _m(
+        f"""SELECT species, {', '.join(f"count(*) FILTER (WHERE mfe_method = '{m}') AS {m}_folds, count(*) FILTER (WHERE mfe_method = '{m}' AND knotp) AS {m}_knotted, count(*) FILTER (WHERE mfe_method = '{m}' AND low) AS {m}_significant" for m in _METHODS)}
+FROM (SELECT *, mfe < avg(mfe) OVER w - stddev_pop(mfe) OVER w AND zscore < avg(zscore) OVER w - stddev_pop(zscore) OVER w AS low FROM points WINDOW w AS (PARTITION BY species, mfe_method)) GROUP BY species"""
+    ),
+)
+def _(spark, d):
+    return P.species_by_method(points(spark, d), _METHODS)
+
+
+@query(
+    "a25_paired_expression",
+    """SELECT gene, count(*) AS n, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS sd, round(var_pop(e), 4) AS variance, round(covar_pop(healthy, cancer), 4) AS covariance,
+CASE WHEN stddev_pop(healthy) * stddev_pop(cancer) > 0 THEN round(corr(healthy, cancer), 4) END AS correlation
+FROM (SELECT *, exp(cancer - healthy) AS e FROM (SELECT l_partkey AS gene, l_discount * 10 AS healthy, l_tax * 10 AS cancer FROM lineitem)) GROUP BY gene""",
+)
+def _(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), (F.col("l_discount") * 10).alias("healthy"), (F.col("l_tax") * 10).alias("cancer"))
+    return P.expression_stats(rows)
+
+
+@query(
+    "f9_long_extensions",
+    _g(
+        f"""SELECT id, start FROM (SELECT id, start, CAST(length(regexp_extract(substr(mrna_seq, start + 6), '{_OPEN}')) AS INTEGER) AS bp,
+  length(regexp_replace(mrna_seq, 'A+$', '')) AS body, length(mrna_seq) AS n FROM sites) WHERE bp > 150 AND bp // 3 > 30 AND NOT (start + 5 >= body AND start + 5 < n)""",
+        SITES_SQL,
+    ),
+)
+def _(spark, d):
+    g = genome(spark, d)
+    both = scan.alternative_orfs(g).select("id", "start", "minus_orf").join(scan.minus_stop_distance(g).select("id", "start", "bp_mstop"), ["id", "start"])
+    return P.long_extensions(both).select("id", "start")

@@ -166,10 +166,10 @@ def _(spark, d):
     return P.of_class(_classes(spark, d), "sd").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("j11_at_coordinates", _m("""SELECT id, accession FROM cloud WHERE (floor(mfe * 100), floor(zscore * 10)) IN (SELECT (floor(mfe * 100), floor(zscore * 10)) FROM cloud WHERE knotp AND slipsite = 'AAAAAAA')""", *_ALL))
+@query("j11_at_coordinates", _m("""SELECT id, accession FROM cloud WHERE (round(mfe * 100), round(zscore * 10)) IN (SELECT (round(mfe * 100), round(zscore * 10)) FROM cloud WHERE knotp AND slipsite = 'AAAAAAA')""", *_ALL))
 def _(spark, d):
     cloud = _cloud(spark, d)
-    wanted = cloud.where("knotp and slipsite = 'AAAAAAA'").select(F.floor(F.col("mfe") * 100).alias("mfe100"), F.floor(F.col("zscore") * 10).alias("z10"))
+    wanted = cloud.where("knotp and slipsite = 'AAAAAAA'").select(F.round(F.col("mfe") * 100).cast("long").alias("mfe100"), F.round(F.col("zscore") * 10).cast("long").alias("z10"))
     return P.at_coordinates(cloud, wanted).select("id", "accession")
 
 

@@ -61,6 +61,19 @@ def _(spark, d):
     return _tracks(spark, d).select("id", F.array_join(structure.reorder_stems(F.col("parsed")), " ").alias("parsed"))
 
 
+@query(
+    "t5_window_barcodes",
+    _g(
+        """SELECT id, string_agg(CAST(stem AS VARCHAR), '' ORDER BY p) AS barcode FROM
+(SELECT *, lag(stem) OVER w AS s, lag(side) OVER w AS k FROM both_sides WINDOW w AS (PARTITION BY id ORDER BY p)) WHERE s IS NULL OR s <> stem OR k <> side GROUP BY id""",
+        SITES_SQL, _BRACKETS, _EDGES, _STEMS,
+        "both_sides AS (SELECT id, i AS p, 100 - stem AS stem, 1 AS side FROM stems UNION ALL SELECT id, j, 100 - stem, 2 FROM stems)",
+    ),
+)
+def _(spark, d):
+    return structure.barcode(structure.assign_stems(_edges(spark, d)))
+
+
 _MARK = """CASE WHEN stem IS NULL THEN '.' WHEN substr(parens, p + 1, 1) = '(' THEN substr('<({[', CAST(stem % 4 + 1 AS INTEGER), 1) ELSE substr('>)}]', CAST(stem % 4 + 1 AS INTEGER), 1) END"""
 
 
@@ -181,17 +194,16 @@ list_filter(element_at({_SYNONYMS}, c)[1], lambda x: (i = 0 OR substr(x, 1, 1) =
     lambda spark, d: nulls.fan_out(_windows(spark, d), 10).select("id", "start", "iteration", nulls.same_slot_protein(F.col("sequence"), F.lit(7), F.col("id"), F.col("start"), F.col("iteration")).alias("shuffled"))
 )
 
-_FOLDS = {"stack": 1, "double": 2}
+_FOLDS = {"stack": S.stack_energy, "gc": lambda seq: F.length(F.regexp_replace(seq, "[^GC]", ""))}
 
 
-@query("g3_landscape_fold", _g(f"""SELECT id, start, 'stack' AS mfe_method, e AS mfe FROM f UNION ALL SELECT id, start, 'double', 2 * e FROM f WHERE start % 2 = 1""",
+@query("g3_landscape_fold", _g(f"""SELECT id, start, 'stack' AS mfe_method, e AS mfe FROM f UNION ALL SELECT id, start, 'gc', CAST(length(regexp_replace(w, '[^GC]', '', 'g')) AS INTEGER) FROM lw WHERE start % 2 = 1""",
     "lw AS (SELECT id, CAST(s AS INTEGER) AS start, substr(mrna_seq, s + 1, 105) AS w FROM genome, generate_series(0, length(mrna_seq) - 105, 15) AS t(s))",
     f"f AS (SELECT id, start, CAST(coalesce((SELECT sum(v) FROM (SELECT unnest(list_transform(range(1, 105), lambda q: substr(w, q, 2))) AS pair) JOIN (VALUES {STACK_VALUES}) AS t(pair, v) USING (pair)), 0) AS INTEGER) AS e FROM lw)"))
 def _(spark, d):
     windows = scan.landscape_windows(genome(spark, d))
-    folds = {name: (lambda seq, times=times: S.stack_energy(seq) * times) for name, times in _FOLDS.items()}
-    known = windows.where("start % 2 = 0").select("id", "start", F.lit("double").alias("mfe_method"))
-    return nulls.landscape_fold(windows, folds, known)
+    known = windows.where("start % 2 = 0").select("id", "start", F.lit("gc").alias("mfe_method"))
+    return nulls.landscape_fold(windows, _FOLDS, known)
 
 
 _BIN_VALUES = ", ".join(f"({a}, {b})" for a, b in signals.PROFILE_RANGES)

@@ -78,10 +78,6 @@ n AS (SELECT id, start, seqlength, iteration, array_to_string(list_transform({_O
 e AS (SELECT id, start, seqlength, {_STACKED} AS e, (length(s) - length(replace(s, 'GC', ''))) // 2 AS pairs FROM n)"""
 
 
-def _fold(seq):
-    return F.struct(S.stack_energy(seq).alias("mfe"), F.regexp_count(seq, F.lit("GC")).alias("pairs"))
-
-
 @query(
     "g4_bootstrap_full",
     _g(
@@ -93,7 +89,7 @@ string_agg(CAST(e AS VARCHAR), ' ' ORDER BY e) AS mfe_values FROM e GROUP BY ALL
 )
 def _(spark, d):
     windows = scan.keep_coding(scan.find_slipsites(genome(spark, d), _LENGTHS), do_utr=True).select("id", "start", "seqlength", "sequence")
-    return nulls.bootstrap(windows, S.shuffled, _fold, ["id", "start", "seqlength"])
+    return nulls.bootstrap_stacks(windows, ["id", "start", "seqlength"], {pair: round(v * 100) for pair, v in S.STACK.items()})
 
 
 _DOUBLETS = [a + b for a in "ACGT" for b in "ACGT"]

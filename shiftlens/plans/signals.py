@@ -166,11 +166,23 @@ def _(spark, d):
     return signals.unlike_previous(mfe(spark, d), "accession", ["id", "mfe_method"], "mfe_method").select("accession", "id", "mfe_method")
 
 
-@query("u2_refresh_genome_id", _m("SELECT id, genome_id FROM mfe"))
+@query("u2_refresh_genome_id", _m("SELECT id, CASE WHEN genome_id % 3 <> 0 THEN genome_id + 1000000 WHEN pairs % 2 = 0 THEN -1 ELSE genome_id END AS genome_id FROM mfe"))
 def _(spark, d):
+    """The current table has new ids, and lacks a third of the accessions."""
     m = mfe(spark, d)
     stale = m.select("id", "accession", F.when(F.col("pairs") % 2 == 0, -1).otherwise(F.col("genome_id")).alias("genome_id"))
-    return signals.refresh(stale, m.select("accession", "genome_id").distinct(), "accession", "genome_id").select("id", "genome_id")
+    current = m.where("genome_id % 3 <> 0").select("accession", (F.col("genome_id") + 1000000).alias("genome_id")).distinct()
+    return signals.refresh(stale, current, "accession", "genome_id").select("id", "genome_id")
+
+
+_TAILED = "SELECT accession, id, CASE id % 3 WHEN 0 THEN mfe_method WHEN 1 THEN substr(mfe_method, 4) ELSE substr(mfe_method, 7) END AS said FROM mfe"
+
+
+@query("w5_suffixes", _m(f"SELECT accession, id, said FROM (SELECT *, lag(said) OVER (PARTITION BY accession ORDER BY id, said) AS p FROM ({_TAILED})) WHERE p IS NULL OR NOT ends_with(p, said)"))
+def _(spark, d):
+    said = F.when(F.col("id") % 3 == 0, F.col("mfe_method")).when(F.col("id") % 3 == 1, F.expr("substring(mfe_method, 4)")).otherwise(F.expr("substring(mfe_method, 7)"))
+    rows = mfe(spark, d).select("accession", "id", said.alias("said"))
+    return signals.unlike_previous(rows, "accession", ["id", "said"], "said")
 
 
 @query("k6_series_json")

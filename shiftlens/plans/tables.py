@@ -24,7 +24,7 @@ def _facets() -> str:
 @query(
     "a31_facets",
     _m(
-        """SELECT facet, value, bin, n, round(100.0 * n / total, 3) AS percent, round(sum(n) OVER (PARTITION BY facet, value ORDER BY bin) / total, 4) AS score
+        """SELECT facet, value, bin, n, round(100.0 * n / total, 3) AS percent, floor(sum(n) OVER (PARTITION BY facet, value ORDER BY bin) * 10000 / total) / 10000 AS score
 FROM (SELECT facet, value, total, CAST(CASE WHEN hi > lo THEN least(49, floor((mfe - lo) / (hi - lo) * 50)) ELSE 0 END AS INTEGER) AS bin, count(*) AS n
   FROM fr JOIN ends USING (facet, value) GROUP BY ALL)""",
         f"fr AS ({_facets()})", "ends AS (SELECT facet, value, min(mfe) AS lo, max(mfe) AS hi, count(*) AS total FROM fr GROUP BY ALL)",
