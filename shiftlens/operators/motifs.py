@@ -69,18 +69,20 @@ def _bits(sequence: Column, side: int) -> Column:
     return F.transform(S.letters(F.translate(sequence, "U", "T")), bit)
 
 
-def _stems(own: Column, mates: Column, shortest: int, min_loop: int) -> Column:
-    """Structs i, j, n of the longest runs of nested pairs of a window, outer pair first. Pairs i, j with the same sum lie on a
-    diagonal; its pairs as a string of 0 and 1 show the runs. Time grows with the square of the window."""
+def _stems(own: Column, mates: Column, shortest: int, min_loop: int, first: int = 0, last: int = 1 << 30) -> Column:
+    """Structs i, j, n of the longest runs of nested pairs of a window, outer pair first, whose left side lies between first and last.
+    Pairs i, j with the same sum lie on a diagonal; its pairs as a string of 0 and 1 show the runs. Time grows with the square of the
+    window."""
     n = F.size(own)
 
     def runs(d: Column) -> Column:
-        low = F.greatest(F.lit(0), d - n + 1)
-        high = F.floor((d - min_loop - 1) / 2).cast("int")
+        low = F.greatest(F.lit(first), d - n + 1)
+        high = F.least(F.floor((d - min_loop - 1) / 2).cast("int"), F.lit(last))
         many = high - low + 1
         left, right = F.slice(own, low + 1, many), F.reverse(F.slice(mates, d - high + 1, many))
         marks = F.array_join(F.zip_with(left, right, lambda a, b: F.when(a.bitwiseAND(b) > 0, "1").otherwise("0")), "")
-        cut = F.regexp_extract_all(marks, F.lit(f"[01]*?1{{{shortest},}}"), F.lit(0))  # each piece ends with a run
+        # Each piece ends with a run. Most diagonals have none that is long enough, which is seen without a pattern.
+        cut = S.let(marks, lambda m: F.when(m.contains("1" * shortest), F.regexp_extract_all(m, F.lit(f"[01]*?1{{{shortest},}}"), F.lit(0))).otherwise(S.none_of("string")))
 
         def stem(piece: Column, k: Column, pieces: Column) -> Column:
             size = F.length(F.regexp_extract(piece, "1+$", 0))
@@ -107,7 +109,8 @@ def motif_candidates(windows: DataFrame, spacer=(5, 9), stem1=(4, 20), stem2=(4,
     Every part of a run of nested pairs is a stem: runs stay ranges, and the bounds cut the parts out of them. All of it happens in the
     window's row: no shuffle. Windows without a candidate, with null or other letters give no row for these."""
     least, loop = min(stem1[0], stem2[0]), 3
-    found = S.let(_bits(F.col("sequence"), 0), lambda own: S.let(_bits(F.col("sequence"), 1), lambda mates: _stems(own, mates, least, loop)))
+    last = spacer[1] + stem1[1] + loop1[1] + stem2[1]  # no left side ends behind it
+    found = S.let(_bits(F.col("sequence"), 0), lambda own: S.let(_bits(F.col("sequence"), 1), lambda mates: _stems(own, mates, least, loop, spacer[0], last)))
     rows = windows.select("id", "sequence", found.alias("__stems")).where("__stems is not null")
     span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(S.none_of("int"))
 

@@ -164,13 +164,19 @@ def null_census(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column", "blank")
 
 
-def score_bands(df: DataFrame, score: str, bands: int = 10) -> DataFrame:
-    """Band floor(rank share * bands) of each row among its species, by exact counts of distinct scores (no row is ranked in one task)."""
-    counts = df.groupBy("species", score).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy("species").orderBy(score)
-    before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("__n").over(Window.partitionBy("species"))
-    ranked = counts.select("species", score, F.floor(F.coalesce(before, F.lit(0)) * bands / total).cast("int").alias("band"))
+def score_bands(df: DataFrame, score: str, bands: int = 10, buckets: int = 1024) -> DataFrame:
+    """Band floor(rank share * bands) of each row among its species: exact ranks by counts of distinct scores. Scores are dealt over equal
+    buckets between their species' ends; rows before a bucket come from the buckets' totals (at most `buckets` a species), and
+    those within it from a window over the bucket, so that no species is ranked in one task. Null scores have no band and no row."""
+    counts = df.where(F.col(score).isNotNull()).groupBy("species", score).agg(F.count("*").alias("__n"))
+    ends = counts.groupBy("species").agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"), F.sum("__n").alias("__total"))
+    share = (F.col(score) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0))
+    dealt = counts.join(ends, "species").withColumn("__b", F.coalesce(F.least(F.lit(buckets - 1), F.floor(share * buckets)), F.lit(0)))
+    whole = Window.partitionBy("species").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = dealt.groupBy("species", "__b").agg(F.sum("__n").alias("__m")).withColumn("__before", F.coalesce(F.sum("__m").over(whole), F.lit(0))).drop("__m")
+    own = Window.partitionBy("species", "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__before") + F.coalesce(F.sum("__n").over(own), F.lit(0))
+    ranked = dealt.join(earlier, ["species", "__b"]).select("species", score, F.floor(before * bands / F.col("__total")).cast("int").alias("band"))
     return df.join(ranked, ["species", score])
 
 

@@ -164,3 +164,11 @@ def test_small_statistics(spark):
     assert stats.text_search(spark.createDataFrame([("s", "a b"), ("t", "a b"), ("s", None)], "species string, comment string"), "+a", species="s").count() == 1
     ext = spark.createDataFrame([("M" * 31, 151), ("M" * 30, 151), (None, 999), ("M" * 40, None)], "minus_orf string, bp_mstop int")
     assert points.long_extensions(ext).count() == 1
+
+
+def test_score_bands_by_rank(spark):
+    rng = random.Random(8)
+    rows = [("s", float(rng.choice([1, 2, 2, 5, 9, 1e6]) * rng.random())) for _ in range(300)] + [("t", 1.0)] * 4 + [("t", None)]
+    got = stats.score_bands(spark.createDataFrame(rows, "species string, score double"), "score", 10, 16).collect()
+    own = sorted(x for s, x in rows if s == "s")
+    assert len(got) == 304 and all(r.band == (own.index(r.score) * 10 // 300 if r.species == "s" else 0) for r in got)
