@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shiftlens.llm import private, quality, queries, repair, urls, whitening
+from shiftlens.llm import neardup, private, quality, queries, repair, secrets, urls, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -296,3 +296,52 @@ def test_stages_on_hostile_rows(spark, stage):
     if "n_tokens" not in out.columns:
         assert out.columns == rows.columns
     assert stage(spark, rows.limit(0), SF).count() == 0
+
+
+def secrets_by_definition(text):
+    """Base spans of the secret scan by the plain patterns: every match is taken in turn, those too short are dropped."""
+    found = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    return sorted(found)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_secret_base_spans_by_definition(spark):
+    rng = random.Random(6)
+    parts = ["token", "PassWord", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "\n", "/", "-", "secret"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for t in made:
+        assert secrets.base_spans(t) == secrets_by_definition(t), t
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    nothing = secrets.Network(np.zeros((5 * secrets.N_CLASSES, 1)), np.zeros(1), np.zeros(3), np.zeros(2), 2.0)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.find_secrets(docs, nothing).collect():
+        own = secrets_by_definition(texts[r.doc_id])
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in own)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.spans == said
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in own) for x in range(3))
+
+
+def test_near_duplicates_lose_no_link(spark):
+    """Recall against all pairs: chains of edits around the similarity that links."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    rows, base = [], [rng.choice(words) for _ in range(120)]
+    for k in range(60):
+        own = list(base) if k % 3 else [rng.choice(words) for _ in range(rng.choice([3, 30, 120]))]
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(max(1, len(t.split()) - 3))} for i, t in rows}
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    assert len(links) > 30 and got == root
