@@ -57,7 +57,7 @@ STAGES = [
     ("byte-level encoding", tokens_stage),
 ]
 
-#: Classifier, MinHash and merges can't be said in SQL; tests hold the stages against brute force.
+#: Classifier, MinHash and merges can't be said in SQL; tests hold each stage's operator against brute force or its library.
 ORACLE_SQL = None
 
 

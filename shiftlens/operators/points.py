@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,18 @@ def cloud_points(mfe: DataFrame, boot: DataFrame, genes: DataFrame, methods: lis
 
 
 def axis_distribution(points: DataFrame, column: str, width: float, margin: float, series: Column) -> DataFrame:
-    """Counts by series in bins of `width` from the least value - margin to the greatest + margin, empty bins with zero."""
-    ends = points.agg((F.min(column) - margin).alias("lo"), (F.max(column) + margin).alias("hi")).where("lo is not null")
-    bins = ends.select("lo", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / width).cast("int"))).alias("bin"))
-    at = points.select(F.col(column).alias("x"), series.alias("series")).join(F.broadcast(ends), F.lit(True))
-    counted = at.groupBy(F.floor((F.col("x") - F.col("lo")) / width).cast("int").alias("bin"), "series").agg(F.count("*").alias("n"))
-    names = points.select(series.alias("series")).distinct()
-    grid = bins.select("bin").join(names, F.lit(True))  # as many rows as the picture has bars
-    return grid.join(counted, ["bin", "series"], "left").select("bin", "series", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts by series in bins of `width` from the least value - margin to the greatest + margin, empty bins with zero; nulls count
+    nowhere. The two ends are read first, so that bins are dealt over tasks however many an outlier asks for."""
+    own = points.where(F.col(column).isNotNull())
+    ends = own.agg((F.min(column) - margin).alias("lo"), (F.max(column) + margin).alias("hi")).first()
+    lo, hi = (float(e) if e is not None else 0.0 for e in ends)
+    at = own.select(F.floor((F.col(column) - F.lit(lo)) / width).cast("int").alias("bin"), series.alias("series"))
+    counted = at.groupBy("bin", "series").agg(F.count("*").alias("n"))
+    bins = points.sparkSession.range(floor((hi - lo) / width) + 1).select(F.col("id").cast("int").alias("bin"))
+    grid = bins.join(counted.select("series").distinct(), F.lit(True))  # as many rows as the picture has bars
+    counted = counted.select(F.col("bin").alias("__bin"), F.col("series").alias("__series"), "n")
+    both = grid.join(counted, (F.col("bin") == F.col("__bin")) & F.col("series").eqNullSafe(F.col("__series")), "left")
+    return both.select("bin", "series", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def slipsite_family(slipsite: Column) -> Column:

@@ -72,9 +72,13 @@ def cloud_averages(points: DataFrame) -> DataFrame:
 
 
 def distribution(points: DataFrame, column: str, bins_per_unit: int) -> DataFrame:
-    """Counts by bin number floor(column * bins_per_unit), knotted and not, empty bins between the ends filled with zero."""
-    binned = points.select(F.floor(F.col(column) * bins_per_unit).alias("bin"), "knotp").groupBy("bin").agg(F.sum((~F.col("knotp")).cast("long")).alias("unknotted"), F.sum(F.col("knotp").cast("long")).alias("knotted"))
-    grid = binned.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("bin"))
+    """Counts by bin number floor(column * bins_per_unit), knotted and not, empty bins between the ends filled with zero; nulls count
+    nowhere. The two ends are read first, so that bins are dealt over tasks."""
+    own = points.where(F.col(column).isNotNull())
+    binned = own.select(F.floor(F.col(column) * bins_per_unit).alias("bin"), "knotp").groupBy("bin").agg(F.count_if(~F.col("knotp")).alias("unknotted"), F.count_if("knotp").alias("knotted"))
+    ends = own.agg(F.floor(F.min(column) * bins_per_unit).alias("lo"), F.floor(F.max(column) * bins_per_unit).alias("hi")).first()
+    lo, hi = (0, -1) if ends.lo is None else (ends.lo, ends.hi)
+    grid = points.sparkSession.range(lo, hi + 1).select(F.col("id").alias("bin"))
     return grid.join(binned, "bin", "left").select("bin", F.coalesce("unknotted", F.lit(0)).alias("unknotted"), F.coalesce("knotted", F.lit(0)).alias("knotted"))
 
 

@@ -172,3 +172,14 @@ def test_score_bands_by_rank(spark):
     got = stats.score_bands(spark.createDataFrame(rows, "species string, score double"), "score", 10, 16).collect()
     own = sorted(x for s, x in rows if s == "s")
     assert len(got) == 304 and all(r.band == (own.index(r.score) * 10 // 300 if r.species == "s" else 0) for r in got)
+
+
+def test_distributions(spark):
+    df = spark.createDataFrame([(1.0, True, "a"), (1.9, False, None), (4.2, True, "a"), (None, True, "b")], "x double, knotp boolean, s string")
+    got = {r.bin: (r.unknotted, r.knotted) for r in stats.distribution(df, "x", 1).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (0, 1)}
+    got = {(r.bin, r.series): r.n for r in points.axis_distribution(df, "x", 1.0, 0.0, F.col("s")).collect()}
+    assert got == {(k, s): {(0, "a"): 1, (0, None): 1, (3, "a"): 1}.get((k, s), 0) for k in range(4) for s in ("a", None)}
+    assert stats.distribution(df.limit(0), "x", 1).count() == 0 and points.axis_distribution(df.limit(0), "x", 1.0, 0.0, F.col("s")).count() == 0
+    wide = spark.createDataFrame([(0.0, True), (3e6, False)], "x double, knotp boolean")
+    assert stats.distribution(wide, "x", 1).count() == 3_000_001

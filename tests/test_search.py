@@ -209,6 +209,10 @@ def test_bootstrap_summary(spark):
     windows = spark.createDataFrame([(1, "ACGTACGT"), (2, "AAAA")], "id int, sequence string")
     fold = lambda s: F.struct(S.stack_energy(s).alias("mfe"), F.regexp_count(s, F.lit("GC")).alias("pairs"))
     done = {r.id: r for r in nulls.bootstrap(windows, S.shuffled, fold, ["id"], 20).collect()}
+    stacks = {r.id: r for r in nulls.bootstrap_stacks(windows, ["id"], {p: round(v * 100) for p, v in S.STACK.items()}, 20).collect()}
+    for k in (1, 2):
+        assert all(stacks[k][c] == done[k][c] for c in done[k].asDict())
+    assert nulls.bootstrap_stacks(windows.limit(0), ["id"], {}).count() == 0
     assert done[1].iterations == 20 and len(done[1].mfe_values.split()) == 20 and done[2].mfe_sd == 0
 
 
