@@ -38,10 +38,10 @@ from shiftlens.llm.pieces import Splitter
 BUCKETS = 1 << 14
 LONG = 200
 #: Characters of a chunk, distinct words of a row and words of the documents of a row.
-CHUNK = 12 << 20
+CHUNK = 14 << 20
 ROW_WORDS, ROW_TOKENS = 256, 1 << 20
 #: Documents sampled for the dictionary of frequent words, and its most words.
-SAMPLE, DICTIONARY = 20_000, 150_000
+SAMPLE, DICTIONARY = 40_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
