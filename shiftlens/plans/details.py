@@ -317,12 +317,12 @@ def _(spark, d):
 
 @query(
     "a25_paired_expression",
-    """SELECT gene, count(*) AS n, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS sd, round(var_pop(e), 4) AS variance, round(covar_pop(healthy, cancer), 4) AS covariance,
-CASE WHEN stddev_pop(healthy) * stddev_pop(cancer) > 0 THEN round(corr(healthy, cancer), 4) END AS correlation
-FROM (SELECT *, exp(cancer - healthy) AS e FROM (SELECT l_partkey AS gene, l_discount * 10 AS healthy, l_tax * 10 AS cancer FROM lineitem)) GROUP BY gene""",
+    """SELECT gene, count(*) AS n, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS sd, round(var_pop(e), 4) AS variance, round(covar_pop(healthy, cancer), 4) + 0::DOUBLE AS covariance,
+CASE WHEN stddev_pop(healthy) * stddev_pop(cancer) > 0 THEN round(corr(healthy, cancer), 4) + 0::DOUBLE END AS correlation
+FROM (SELECT *, exp(cancer - healthy) AS e FROM (SELECT l_partkey AS gene, l_extendedprice / 39973.0::DOUBLE AS healthy, l_quantity / 17.3::DOUBLE AS cancer FROM lineitem)) GROUP BY gene""",
 )
 def _(spark, d):
-    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), (F.col("l_discount") * 10).alias("healthy"), (F.col("l_tax") * 10).alias("cancer"))
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), (F.col("l_extendedprice") / 39973.0).alias("healthy"), (F.col("l_quantity") / 17.3).alias("cancer"))
     return P.expression_stats(rows)
 
 
