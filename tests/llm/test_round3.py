@@ -346,3 +346,32 @@ def test_near_duplicates_lose_no_link(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
     assert len(links) > 30 and got == root
+
+
+def test_near_misses_are_no_findings():
+    """Near-misses of every kind, from any place of a text; none from texts of few words; a finding wins over an equal near-miss."""
+    text = "government mountains wonderful 12 letters é and production settings " * 3
+    kinds = {label for label, _ in secrets.near_misses(text)}
+    assert kinds == set(range(secrets.NEAR, secrets.FOUND)) and all(len(w) == secrets.WIDTH for _, w in secrets.near_misses(text))
+    assert secrets.near_misses("") == secrets.near_misses("one two 3 four5 ab") == [] and secrets.near_misses(text) == secrets.near_misses(text)
+
+
+def test_a_kind_left_out_of_training(spark):
+    """Near-misses that the network never saw stay under the threshold, keys of a kind that it never saw mostly reach it."""
+    rng = np.random.default_rng(12)
+    words = "government mountains wonderful letters production settings river stone market winter".split()
+    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rows = []
+    for i in range(600):
+        prose = " ".join(rng.choice(words, 20))
+        key = "".join(rng.choice(chars, 36))
+        upper = "".join(rng.choice(chars[:26] + chars[52:], 16))
+        rows.append((i, f"{prose} {'api_key=' + key if i % 3 else 'AKIA' + upper} {' '.join(rng.choice(words, 5))}"))
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (1000, None)], "doc_id long, text string").repartition(3)
+    codes, labels = secrets.labelled_windows(docs, most=900)
+    assert max(np.bincount(labels)[:1].sum(), np.isin(labels, range(1, 6)).sum(), (labels >= secrets.FOUND).sum()) <= 900
+    rates = {name: share for name, _, share in secrets.held_out_rates(codes, labels)}
+    assert set(rates) == set(secrets.LABELS) - {"hex"}
+    assert all(rates[name] <= 0.1 for name in ("plain", "identifier", "number", "digest")), rates
+    assert rates["access"] >= 0.5, rates
+    assert len(secrets.labelled_windows(docs.limit(0))[0]) == 0
