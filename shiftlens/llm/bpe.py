@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Numbers, chunks, give_back, texts, with_id
+from shiftlens.llm.common import KEPT, Numbers, chunks, give_back, texts, with_id
 from shiftlens.llm.pieces import Splitter
 
 BUCKETS = 1 << 14
@@ -153,15 +153,12 @@ class Dictionary:
     raw: list[bytes]
 
 
-_NUMBERED: dict[int, dict[str, int]] = {}
-
-
 def _numbered(key: int, held) -> dict[str, int]:
     """The worker's own numbering of the broadcast words; a worker is used for task after task."""
-    if key not in _NUMBERED:
-        _NUMBERED.clear()
-        _NUMBERED[key] = {word: i for i, word in enumerate(held.value)}
-    return _NUMBERED[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = {word: i for i, word in enumerate(held.value)}
+    return KEPT[key]
 
 
 def _coded(ranks: dict[bytes, int], words: str) -> Column:
@@ -253,7 +250,7 @@ def split_chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK, dictionary=N
                 names=["ids", "counts", "numbers", "words", "long_words", "sizes", "parts"],
             )
 
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 20, keep=True):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 keys = splitter.pieces(text)
                 numbers.extend(map(pieces.__getitem__, keys))

@@ -100,9 +100,15 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def chunks(batches, column: str, limit: int = 4 << 20):
+#: What a worker keeps from task to task; tasks of other work drop it.
+KEPT: dict = {}
+
+
+def chunks(batches, column: str, limit: int = 4 << 20, keep: bool = False):
     """Slices of record batches whose texts hold about `limit` bytes, one row at least. What the task before and this one have
-    freed is given back to the system."""
+    freed is given back to the system, and unless `keep`, what the worker kept for other tasks is freed too."""
+    if not keep:
+        KEPT.clear()
     give_back()
     for batch in batches:
         if not batch.num_rows:
