@@ -8,8 +8,8 @@ apart. So shared q-grams of whole items are counted in overlapping diagonal band
 and a banded alignment verifies their windows. Q-grams that very many places hold are not counted where the
 bound of each window there, lowered by their number, is still positive: no region is lost by that.
 
-The benchmark is taken in blocks of bounded size, each against all documents, and each document is
-read once for each block.
+The benchmark is taken in blocks of bounded size, each against all documents. Between blocks the documents and what was found
+are written, so that a task holds one index at a time, however many blocks there are.
 
 Defined cases: null text counts as empty and matches nothing; items shorter than SHORTEST bytes
 contaminate where they occur byte for byte, empty ones nothing; repeated items count by id; rows without doc_id are left out; repeated rows are judged each;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, ragged, texts, with_id
+from shiftlens.llm.common import chunks, dropped, ragged, texts, with_id, written
 from shiftlens.llm.substrings import sliding_min
 
 Q, WINDOW, SHORTEST, EDITS = 8, 96, 40, 0.1
@@ -237,11 +237,26 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield Index(sorted((r.item_id, r.text) for r in rows))
 
 
+def _by_block(docs: DataFrame, benchmark: DataFrame, block_bytes: int, made, schema) -> DataFrame:
+    """docs after made(index) of every block as a stage of Arrow batches. A block's result is written before the next block's
+    index is made, and the written table before it goes once it has been read."""
+    last = shared = None
+    for index in blocks(benchmark, block_bytes):
+        if shared is not None:
+            done = written(docs, "block")
+            shared.unpersist()
+            if last is not None:
+                dropped(last)
+            docs = last = done
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(made(shared), schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items and items (ids, joined by commas) of every document."""
     out = with_id(docs, "doc_id", "text").withColumn("items", F.lit("").cast("string"))
-    for index in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_adder(docs.sparkSession.sparkContext.broadcast(index)), "doc_id long, text string, items string")
+    out = _by_block(out, benchmark, block_bytes, _adder, "doc_id long, text string, items string")
     listed = F.array_sort(F.array_distinct(F.filter(F.split("items", ","), lambda x: x != "").cast("array<long>")))
     return out.select("doc_id", listed.alias("__items")).select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.size("__items").alias("n_items"), F.concat_ws(",", F.col("__items").cast("array<string>")).alias("items"))
 
@@ -258,7 +273,6 @@ def _adder(shared):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    out = with_id(docs)
 
     def cleaner(shared):
         def clean(batches):
@@ -268,6 +282,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
         return clean
 
-    for index in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return out
+    return _by_block(with_id(docs), benchmark, block_bytes, cleaner, docs.schema)
