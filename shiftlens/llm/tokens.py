@@ -15,6 +15,7 @@ stored each, ordered by text.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Numbers, chunks, ragged, texts, with_id, written
+from shiftlens.llm.common import Numbers, chunks, no_cycles, ragged, texts, with_id, written
 from shiftlens.llm.pieces import Splitter, key_text, word_key
 
 #: Ids in a word and their width, by selector; selector 0 is the escape.
@@ -126,6 +127,20 @@ def unpack(data: bytes, offsets, escapes, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+#: The character by which byte-level tokenizers write each byte: itself if it is printable, or else one from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _spells(tokenizer) -> bool:
+    """Whether the tokenizer only splits texts into words and writes their bytes as characters before its model sees them."""
+    before = tokenizer.pre_tokenizer and json.loads(tokenizer.pre_tokenizer.__getstate__())
+    steps = before["pretokenizers"] if before and before["type"] == "Sequence" else [before]
+    plain = all(step and step["type"] in ("Split", "ByteLevel") and not step.get("add_prefix_space") for step in steps)
+    spelled = plain and [step["type"] for step in steps].count("ByteLevel") == 1 and steps[-1]["type"] == "ByteLevel"
+    return bool(spelled and tokenizer.normalizer is None and tokenizer.truncation is None and tokenizer.padding is None)
+
+
 class PieceCache:
     """Ids of whole texts by a tokenizers.Tokenizer as loaded. Texts are cut into pieces that no word crosses; a piece of one word is
     encoded once, other pieces are put together from their words'. Beyond PIECES pieces it starts anew. A text that holds one
@@ -138,6 +153,7 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Splitter(pattern)
+        self.spells = _spells(self.tokenizer)
         self.clear()
 
     def clear(self) -> None:
@@ -158,7 +174,7 @@ class PieceCache:
                 parts.extend([pieces[word_key(w)] for w in words])
         single += range(known + len(fresh), len(pieces))
         fresh += islice(pieces, known + len(fresh), None)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([key_text(fresh[k - known]) for k in single], add_special_tokens=False)]
+        coded = self.words([key_text(fresh[k - known]) for k in single])
         starts, sizes = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
 
         def put(numbers, own_sizes, ids):
@@ -173,10 +189,21 @@ class PieceCache:
         put(several, sums[ends] - sums[ends - np.array(counts, np.int64)], self.ids(own))
         self.starts[known:], self.sizes[known:] = starts, sizes
 
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Where the tokenizer does nothing to a word but spell its bytes, its model is asked at once."""
+        if not self.spells:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w.encode().decode("latin-1").translate(SPELLING))] for w in words]
+
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.starts[numbers], self.sizes[numbers])]
 
     def encode(self, text_list: list[str]) -> list[np.ndarray]:
+        with no_cycles():
+            return self._encode(text_list)
+
+    def _encode(self, text_list: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > PIECES:
             self.clear()
         known, number = len(self.pieces), self.pieces.__getitem__

@@ -1,8 +1,11 @@
+import gc
+
 import numpy as np
+import public_tokenizers as P
 from pyspark.sql import functions as F
 from test_operators import key_corpus
 
-from shiftlens.llm import secrets
+from shiftlens.llm import secrets, tokens
 
 
 def test_secret_network_learns_from_all_documents(spark):
@@ -38,3 +41,22 @@ def test_secret_refinement_changes_what_the_sample_lacks(spark):
     own.add("government mountains wonderful yesterday")
     own.row()
     assert own.adam.step == 0
+
+
+def test_words_by_the_model_alone(tmp_path):
+    """The model is asked directly only where the tokenizer does no more than spell bytes, and then gives the same ids."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    path = P.path("byte_bpe_50k.json")
+    cache, coder = tokens.PieceCache(path, P.PATTERN), Tokenizer.from_file(path)
+    words = [" government", "x", " \u00e9t\u00e9", " \u043c\u0438\u0440", "\n\n", "\x00\x7f\x80\xa0\xad\xff", " 12345", "\U0001f600\U0001f601", " ...!?", " " * 7, "'s", "\u4e2d\u6587" * 40]
+    assert cache.spells and cache.words(words) == [coder.encode(w, add_special_tokens=False).ids for w in words]
+    for change in (lambda t: setattr(t, "normalizer", normalizers.Lowercase()), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.Whitespace()), lambda t: t.enable_truncation(3)):
+        other = Tokenizer.from_file(path)
+        change(other)
+        other.save(own := str(tmp_path / "own.json"))
+        texts = ["Government Mountains and WONDERFUL letters", "", "One"]
+        plain = tokens.PieceCache(own, P.PATTERN)
+        assert not plain.spells
+        assert plain.words(texts) == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+    assert cache.encode(["government"])[0].tolist() == coder.encode("government", add_special_tokens=False).ids and gc.isenabled()
