@@ -19,6 +19,8 @@ from shiftlens.llm.common import free_name, table, written
 
 #: Quality score from which a document is kept, and words and similarity of near copies.
 CUT, WORDS, PERCENT = 0.7, 5, 80
+#: Characters of the encoder's chunks and words of its dictionary: few, as executors come to it with a heap that earlier stages grew.
+CHUNK, DICTIONARY = 4 << 20, 60_000
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -46,7 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
-    return bpe.encode_documents(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN, chunk=CHUNK, dictionary=DICTIONARY)
 
 
 STAGES = [

@@ -274,9 +274,10 @@ def encode_chunks(split: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return split.select("ids", "counts", "numbers", "long_words", "sizes", "parts", _coded(ranks, "words").alias("coded"))
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every document."""
-    frequent, share = frequent_words(docs, ranks, pattern), docs.sparkSession.sparkContext.broadcast
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, with_ids: bool = False, dictionary: int = DICTIONARY) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every document. Smaller chunks and fewer words in the
+    dictionary take less memory and more time, and give the same result."""
+    frequent, share = frequent_words(docs, ranks, pattern, size=dictionary), docs.sparkSession.sparkContext.broadcast
     coded = encode_chunks(split_chunks(docs, pattern, chunk, _Shared(share(frequent.words))), ranks)
     # Splitting holds the words alone, putting together what they give alone.
     known = share((frequent.n, frequent.said, frequent.raw))

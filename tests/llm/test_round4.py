@@ -5,7 +5,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from test_operators import key_corpus
 
-from shiftlens.llm import secrets, tokens
+from shiftlens.llm import bpe, secrets, tokens
 
 
 def test_secret_network_learns_from_all_documents(spark):
@@ -60,3 +60,12 @@ def test_words_by_the_model_alone(tmp_path):
         assert not plain.spells
         assert plain.words(texts) == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
     assert cache.encode(["government"])[0].tolist() == coder.encode("government", add_special_tokens=False).ids and gc.isenabled()
+
+
+def test_encoder_sizes_change_no_result(spark):
+    """Neither chunks nor the dictionary's size change a row."""
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    rows = [(i, f"government mountains {i} wonderful letters {i % 7}\u00e9 {chr(0x430 + i % 30) * 5}" * (1 + i % 3)) for i in range(200)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(bpe.encode_documents(docs, ranks, P.PATTERN).collect())
+    assert len(one) == 202 and one == sorted(bpe.encode_documents(docs, ranks, P.PATTERN, chunk=1000, dictionary=3).collect())
