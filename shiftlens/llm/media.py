@@ -9,7 +9,8 @@ documents.
 
 Defined cases: null text or null media counts as empty; an empty text is one row of spaces; a stream that
 is not a whole GIF, has no colour table or a screen of more than MOST_PIXELS gives no frames (its error is in the row); rows
-without doc_id are left out; repeated rows are handled each; equal texts give equal values.
+without doc_id are left out; repeated rows are handled each; equal texts give equal values. Samples over the last colour
+(with code sizes over 8 also over a byte) show the last colour.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import chunks, texts, with_id
+from shiftlens.llm.common import chunks, ragged, texts, with_id
 
 WIDTH, HEIGHT, DELAY = 192, 128, 4
 #: Pixels of a screen or frame that decode accepts, and the limit of a table of codes (fixed by the format).
 MOST_PIXELS, CODES = 1 << 26, 4096
+#: Samples whose places the decoder looks up at a time, and codes that are packed at a time.
+STEP = 1 << 18
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -44,34 +48,37 @@ def _blocks(stream: bytes) -> bytes:
 
 def lzw_encode(samples: bytes, code_size: int) -> bytes:
     """The LZW stream of samples under 1 << code_size. The table is cleared when it is full."""
-    clear = 1 << code_size
-    codes, lives, table, free = [clear], [], {}, clear + 2
-    last = None
-    for value in samples:
-        if last is None:
-            last = value
+    # The loop runs once a sample. Codes in it are shifted by code_size, so that code + sample is the key of an entry, and the key of
+    # the entry that a code makes holds that code: one list has both.
+    size = 1 << code_size
+    first, full = size + 2 << code_size, CODES << code_size
+    keys, cuts, table, free = [], [0], {}, first
+    keep = keys.append
+    rest = iter(samples)
+    last = next(rest, -1) << code_size
+    for value in rest:
+        key = last + value
+        if key in table:
+            last = table[key]
             continue
-        key = last << 8 | value
-        more = table.get(key)
-        if more is not None:
-            last = more
-            continue
-        codes.append(last)
-        if free < CODES:
+        keep(key)
+        if free < full:
             table[key] = free
-            free += 1
+            free += size
         else:
-            codes.append(clear)
-            lives.append(codes)
-            codes, table, free = [], {}, clear + 2
-        last = value
-    if last is not None:
-        codes.append(last)
-    codes.append(clear + 1)
-    lives.append(codes)
+            cuts.append(len(keys))
+            table, free = {}, first
+        last = value * size
+    if last >= 0:
+        keep(last)
+    codes = np.array(keys, np.uint32) >> np.uint32(code_size)
+    lives = [codes[at:to] for at, to in zip(cuts, [*cuts[1:], len(codes)])]
     # A code is as wide as the table asks for that the decoder has by then; that follows from its place in the table's life.
-    widths = [np.array([code_size + 1])] + [_widths(len(life) - (k == 0), code_size) for k, life in enumerate(lives)]
-    return _packed(np.concatenate([np.array(life, np.uint32) for life in lives]), np.concatenate(widths))
+    width = _plan(code_size)[0]
+    widths = [width[:1], *(width[: len(life) + 1] for life in lives)]
+    clear, end = np.array([size], np.uint32), np.array([size + 1], np.uint32)
+    ends = [clear] * (len(lives) - 1) + [end]
+    return _packed(np.concatenate([clear, *(part for pair in zip(lives, ends) for part in pair)]), np.concatenate(widths))
 
 
 def _widths(n: int, code_size: int) -> np.ndarray:
@@ -80,35 +87,78 @@ def _widths(n: int, code_size: int) -> np.ndarray:
     return np.minimum(np.maximum(code_size + 1, np.ceil(np.log2(entries + 1)).astype(np.int64)), 12)
 
 
+@cache
+def _plan(code_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the codes after a clear code until the table is full, and where each begins, the end included."""
+    widths = _widths(CODES, code_size)
+    return widths, np.append(0, np.cumsum(widths))
+
+
 def _packed(values: np.ndarray, widths: np.ndarray) -> bytes:
     """Values of the given widths, least bit first."""
     end = np.cumsum(widths)
-    at = end - widths
     out = np.zeros((int(end[-1]) >> 3) + 4, np.uint8)
-    shifted = values.astype(np.uint32) << (at & 7).astype(np.uint32)
-    for k in range(3):  # values of 12 bits touch at most three bytes; bits of different values never meet
-        np.bitwise_or.at(out, (at >> 3) + k, (shifted >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8))
+    for at in range(0, len(values), STEP):
+        place = end[at : at + STEP] - widths[at : at + STEP]
+        low = int(place[0]) >> 3
+        byte, shifted = (place >> 3) - low, values[at : at + STEP].astype(np.int64) << (place & 7)
+        for k in range(3):  # values of 12 bits touch at most three bytes; bits of different values never meet, so sums are unions
+            part = np.bincount(byte + k, shifted >> 8 * k & 255).astype(np.uint8)
+            out[low : low + len(part)] += part
     return out[: (int(end[-1]) + 7) >> 3].tobytes()
 
 
+def _strings(codes: np.ndarray, code_size: int, most: int) -> np.ndarray:
+    """Samples that the codes of a table's life stand for, `most` of them at most. An entry is the string of an earlier code and the
+    first sample behind it: the last sample of a string is known by its code, all others are where that earlier code wrote them.
+    Links are followed by doubling, so that a string of n samples takes as many steps as n has binary digits."""
+    place = np.arange(len(codes))
+    entry = codes - ((1 << code_size) + 2)
+    if (entry >= place).any():
+        raise ValueError("code beyond the table")
+    plain = entry < 0
+    parent, links = np.where(plain, place, entry), np.where(plain, 0, 1)
+    link = parent
+    while (more := links[link]).any():
+        links, link = links + more, link[link]
+    length = links + 1
+    end = np.cumsum(length)
+    start = end - length
+    n = min(len(codes), int(np.searchsorted(end, most)) + 1)
+    first = codes[link]
+    last = np.where(plain, codes, first[np.where(plain, 0, entry + 1)])
+    origin = start[parent]
+    out = np.zeros(int(end[n - 1]), np.uint8 if code_size <= 8 else np.uint16)
+    out[end[:n] - 1] = last[:n]
+    at = 0
+    while at < n:  # by places of about STEP samples
+        to = min(n, max(at + 1, int(np.searchsorted(end, start[at] + STEP, "right"))))
+        low, ends, lengths = int(start[at]), end[at:to] - 1, length[at:to]
+        source = ragged(origin[at:to], lengths)
+        source[ends - low] = ends
+        for _ in range(int(lengths.max() - 1).bit_length()):
+            source = np.where(source < low, source, source.take(source - low, mode="clip")) if low else source[source]
+        out[low : end[to - 1]] = out[source]
+        at = to
+    return out[:most]
+
+
 def lzw_decode(stream: bytes, code_size: int, expected: int) -> np.ndarray:
     """Samples of an LZW code stream. Code widths follow from the number of codes since the last clear code, so codes are read
-    in bulk up to the next clear or end code; then the table is built and its strings are joined."""
+    in bulk up to the next clear or end code, and so are the strings that they stand for."""
     if not 1 <= code_size <= 11:
         raise ValueError("code size")
-    data = np.append(np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)).astype(np.uint32)
+    data = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int32)
+    data = data[:-2] | data[1:-1] << 8 | data[2:] << 16
     clear, end, bits = 1 << code_size, (1 << code_size) + 1, 8 * len(stream)
-    plan = np.append(0, np.cumsum(_widths(2 * CODES, code_size)))
-    parts, filled, at, done = [], 0, 0, False
+    parts, filled, at, done = [np.zeros(0, np.uint8)], 0, 0, False
     while not done and filled < expected and at + code_size + 1 <= bits:
-        blocks, cut, steps = [], None, plan
+        blocks, cut, (widths, steps) = [], None, _plan(code_size)
         while cut is None:
             n = min(int(np.searchsorted(steps, bits - at, "right")) - 1, len(steps) - 1)
             place = at + steps[:n]
-            byte = place >> 3
-            codes = (data[byte] | data[byte + 1] << np.uint32(8) | data[byte + 2] << np.uint32(16)) >> (place & 7).astype(np.uint32)
-            codes &= (np.uint32(1) << np.diff(steps[: n + 1]).astype(np.uint32)) - np.uint32(1)
-            stop = np.flatnonzero((codes == clear) | (codes == end))
+            codes = data[place >> 3] >> (place & 7) & (1 << widths[:n]) - 1
+            stop = np.flatnonzero(codes >> 1 == clear >> 1)
             cut = int(stop[0]) if len(stop) else None
             blocks.append(codes[:cut])
             if cut is not None:
@@ -118,40 +168,29 @@ def lzw_decode(stream: bytes, code_size: int, expected: int) -> np.ndarray:
                 cut, done = n, True
             else:  # the table is full, and stays so until a clear code
                 at += int(steps[-1])
-                steps = np.arange(0, 12 * (1 << 16) + 1, 12)
+                widths, steps = np.full(1 << 16, 12), np.arange(0, 12 * (1 << 16) + 1, 12)
         codes = np.concatenate(blocks)
         if not len(codes):
             continue
-        table = [bytes([k]) for k in range(min(clear, 256))] + [b""] * (max(0, clear - 256) + 2)
-        life = codes.tolist()
-        if life[0] >= clear:
-            raise ValueError("code beyond the table")
-        held = table[life[0]]
-        out = [held]
-        for code in life[1:]:
-            if code < len(table):
-                said = table[code]
-            elif code == len(table) < CODES:
-                said = held + held[:1]
-            else:
-                raise ValueError("code beyond the table")
-            if len(table) < CODES:
-                table.append(held + said[:1])
-            out.append(said)
-            held = said
-        parts.append(b"".join(out))
+        parts.append(_strings(codes, code_size, expected - filled))
         filled += len(parts[-1])
     if filled < expected:
         raise ValueError("stream ends early")
-    return np.frombuffer(b"".join(parts)[:expected], np.uint8)
+    return np.concatenate(parts)
+
+
+def _colours(pixels: np.ndarray) -> np.ndarray:
+    seen = np.zeros(256, bool)
+    seen[pixels] = True
+    return np.flatnonzero(seen)
 
 
 def _palette(frame: np.ndarray, before: np.ndarray | None):
     """The frame's colours in order, whether it leaves out what stays (more than half of it), and the bits of its index."""
     stays = before is not None and 2 * int((frame == before).sum()) > frame.size
-    colours = np.unique(frame[frame != before]) if stays else np.unique(frame)
+    colours = _colours(frame[frame != before] if stays else frame)
     if len(colours) + stays > 256:
-        stays, colours = False, np.unique(frame)
+        stays, colours = False, _colours(frame)
     return colours, stays, max(1, int(len(colours) + stays - 1).bit_length())
 
 
@@ -236,7 +275,7 @@ def decode(data: bytes) -> list[dict]:
         box = (slice(y, min(y + h, height)), slice(x, min(x + w, width)))
         inside = samples[: box[0].stop - y, : box[1].stop - x]
         before = screen[box].copy()
-        colours = palette[np.minimum(inside, len(palette) - 1)]
+        colours = palette.take(inside, axis=0, mode="clip")
         screen[box] = colours if clear_index is None else np.where((inside == clear_index)[..., None], before, colours)
         frames.append({"start_ms": clock, "duration_ms": delay * 10, "box": (x, y, w, h), "samples": samples, "screen": screen.copy(), "transparent": clear_index is not None})
         clock += delay * 10
