@@ -38,3 +38,7 @@ def test_window_agreement_against_rows_of_bases(spark):
 def test_agreement_histogram_shuffles_counts_only(spark):
     """One exchange, of the counted values; rows of bases are never dealt."""
     assert plan(registry.QUERIES["t10_agreement_histogram"](spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_nine_counters_are_not_shuffled(spark):
+    assert "Exchange" not in plan(registry.QUERIES["t9_nine_counters"](spark, SF))
