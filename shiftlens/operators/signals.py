@@ -162,6 +162,22 @@ def to_ct(structures: DataFrame, edges: DataFrame, prefix: str = "") -> DataFram
     return rows.join(mates, ["id", "position"], "left").select("id", "position", "base", "before", "after", F.coalesce("partner", F.lit(0)).alias("partner"))
 
 
+def connect_table(structures: DataFrame, prefix: str = "") -> DataFrame:
+    """The rows of to_ct for structures (id, sequence, partners) that have each base's partner in an array, 1-based, 0 for none
+    (structure.with_partners). Rows are made from the structure's own: no shuffle."""
+    shift = len(prefix)
+    letters = S.letters(F.concat(F.lit(prefix), "sequence"))
+
+    def rows(own):
+        mate = lambda k: F.coalesce(F.get("partners", k - shift), F.lit(0))
+        return F.transform(own, lambda base, k: F.struct(
+            (k + 1).alias("position"), base.alias("base"), k.alias("before"), F.when(k + 1 < F.size(own), k + 2).otherwise(0).alias("after"),
+            F.when(mate(k) > 0, mate(k) + shift).otherwise(0).alias("partner"),
+        ))
+
+    return structures.select("id", F.explode(S.let(letters, rows)).alias("r")).select("id", "r.*")
+
+
 def series_json(df: DataFrame, key: str, label: str, x: str, y: str) -> DataFrame:
     """[{label, data: [[x, y], ...]}] for each key, by x."""
     points = df.groupBy(key, label).agg(F.transform(F.array_sort(F.collect_list(F.struct(x, y))), lambda p: F.array(p[x].cast("double"), p[y].cast("double"))).alias("data"))

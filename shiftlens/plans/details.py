@@ -8,7 +8,7 @@ from shiftlens.functions import seq as S
 from shiftlens.operators import points as P
 from shiftlens.operators import scan, signals, structure
 from shiftlens.plans.joins import _GENES, _PREDICTIONS, _genes, _predictions
-from shiftlens.plans.motifs import _BRACKETS, _EDGES, _STEMS, _behind, _structures, _tracks
+from shiftlens.plans.motifs import _BRACKETS, _EDGES, _STEMS, METHODS, _behind, _tracks
 from shiftlens.plans.registry import _CODON_MAP, _OPEN, _g, _m, query
 from shiftlens.sources import readers
 from shiftlens.sources.fixtures import SITES_SQL, genome, points, read
@@ -67,8 +67,8 @@ def _(spark, d):
 
 
 def _ct(spark, d):
-    s = _structures(spark, d).join(_behind(spark, d).select("id", "sequence"), "id")
-    return signals.to_ct(s.select("id", "sequence", "parens"), structure.parens_to_pairs(s), "AAATTTA")
+    windows = _behind(spark, d).select("id", "sequence", F.translate("sequence", "ACGT", METHODS["nupack"]).alias("parens"))
+    return signals.connect_table(structure.with_partners(windows), "AAATTTA")
 
 
 @query(

@@ -42,3 +42,15 @@ def test_agreement_histogram_shuffles_counts_only(spark):
 
 def test_nine_counters_are_not_shuffled(spark):
     assert "Exchange" not in plan(registry.QUERIES["t9_nine_counters"](spark, SF))
+
+
+def test_connect_table_against_edges(spark):
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice("ACGT") for _ in range(k % 25)), brackets(rng, k % 25)) for k in range(60)] + [(90, "ACG", None), (91, None, "()"), (92, "AC", "(()))"), (93, "ACGTA", "()")]
+    s = spark.createDataFrame(rows, "id int, sequence string, parens string")
+    for prefix in ("", "AAATTTA"):
+        want = signals.to_ct(s, structure.parens_to_pairs(s), prefix)
+        got = signals.connect_table(structure.with_partners(s), prefix)
+        assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "Exchange" not in plan(registry.QUERIES["k5_connect_tables"](spark, SF))
