@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from shiftlens.operators import signals, structure
+from shiftlens.operators import seeds, signals, similar, structure
 from shiftlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,34 @@ def test_connect_table_against_edges(spark):
         assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert "Exchange" not in plan(registry.QUERIES["k5_connect_tables"](spark, SF))
+
+
+def test_seed_words_and_members(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(40))) for _ in range(80)] + ["", None, "éACGTACGé", "ACGTAC"]
+    windows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, w string").repartition(3)
+    words = sorted({t[p : p + 7] for t in texts if t for p in range(0, len(t) - 6, 3)} | {"CGTACGé"})[::2] + ["ACG", None]
+    wanted = spark.createDataFrame([(w,) for w in words * 2], "word string")
+    want = sorted((k, p, t[p : p + 7]) for k, t in enumerate(texts) if t for p in range(len(t) - 6) if t[p : p + 7] in words)
+    read = lambda: sorted((r.id, r.at, r.word) for r in seeds.word_places(windows, wanted).collect())
+    assert read() == want and len(want) > 100
+    members = spark.createDataFrame([(w, k) for k, w in enumerate(words * 5)] + [(words[0], None)], "word string, mirna int")
+    pairs = sorted(str((*x, k)) for x in want for k in [*(k for k, w in enumerate(words * 5) if w == x[2]), *([None] if x[2] == words[0] else [])])
+    for many in (1_000_000, 3):
+        met = seeds.for_each_member(seeds.word_places(windows, wanted), members, "word", "mirna", "id", many)
+        assert sorted(str((r.id, r.at, r.word, r.mirna)) for r in met.collect()) == pairs
+    monkeypatch.setattr(seeds, "SMALL", 3)
+    assert read() == want
+
+
+def test_reported_targets_count_hits_by_sequence(spark):
+    """Equal microRNAs are extended once: the plan joins hits by sequence, and counts are those of all scored hits."""
+    rng = random.Random(7)
+    sequences = ["".join(rng.choice("GC") for _ in range(9)) for _ in range(6)]
+    rna = spark.createDataFrame([(k, sequences[k % 6]) for k in range(50)] + [(90, None), (91, "ACG")], "mirna int, sequence string")
+    back = str.maketrans("ACGT", "TGCA")
+    windows = spark.createDataFrame([(k, "ACCA" + sequences[k % 6][::-1].translate(back) * 2 + "TTG") for k in range(20)], "id int, sequence string")
+    hits = [r for r in similar.scored_targets(rna, windows, None).collect() if r.energy <= -25]
+    want = {m: (sum(r.mirna == m for r in hits), min(r.energy for r in hits if r.mirna == m)) for m in {r.mirna for r in hits}}
+    got = {r.mirna: (r.hits, r.best) for r in similar.reported_targets(rna, windows, -25).collect()}
+    assert got == want and len(want) == 50
