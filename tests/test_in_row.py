@@ -85,3 +85,9 @@ def test_reported_targets_count_hits_by_sequence(spark):
     want = {m: (sum(r.mirna == m for r in hits), min(r.energy for r in hits if r.mirna == m)) for m in {r.mirna for r in hits}}
     got = {r.mirna: (r.hits, r.best) for r in similar.reported_targets(rna, windows, -25).collect()}
     assert got == want and len(want) == 50
+
+
+def test_scored_targets_stay_where_they_are(spark):
+    """Neither windows nor hits are dealt by word: no sorted join, and nothing but the lists of microRNAs is shuffled."""
+    text = plan(registry.QUERIES["j14_scored_targets"](spark, SF))
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") <= 2 and "collect_list" in text
