@@ -91,3 +91,8 @@ def test_scored_targets_stay_where_they_are(spark):
     """Neither windows nor hits are dealt by word: no sorted join, and nothing but the lists of microRNAs is shuffled."""
     text = plan(registry.QUERIES["j14_scored_targets"](spark, SF))
     assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") <= 2 and "collect_list" in text
+
+
+def test_mirna_places_are_not_dealt_by_word(spark):
+    text = plan(registry.QUERIES["j14_mirna_targets"](spark, SF))
+    assert "SortMergeJoin" not in text and "collect_list" in text
