@@ -219,3 +219,27 @@ def text_search(df: DataFrame, query: str, column: str = "comment", species: str
             any_ = any_ | c
         keep = keep & any_
     return df.where(F.coalesce(keep, F.lit(False)))
+
+
+def contained_counts(spots: DataFrame, spans: DataFrame, key: str, value: str, length: int, scale: int = 4096) -> DataFrame:
+    """(value, n): how many spots (key, at), each of at and the `length` places behind it, lie within each span (value, key, lo, hi), both
+    its ends left out. Spans that hold none have no row; nulls meet nothing; a value with several spans has their sum.
+
+    No spot meets a span. Spots are counted by place; a running sum over a key's places and the spans' ends gives each end what lies
+    before it, and a span has the difference of its two. The sum runs within stretches of `scale` places, and over
+    the stretches' totals, so a key is dealt over as many tasks as it has stretches."""
+    counted = spots.where("at is not null").groupBy(key, F.col("at").cast("long").alias("at")).agg(F.count("*").alias("n"))
+    inside = spans.select(value, key, (F.col("lo") + 1).cast("long").alias("first"), (F.col("hi") - length).cast("long").alias("stop")).where("first < stop")
+    end = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign"))
+    ends = inside.select(value, key, F.explode(F.array(end("first", -1), end("stop", 1))).alias("e")).select(key, "e.at", F.lit(0).cast("long").alias("n"), value, "e.sign")
+    places = counted.select(key, "at", "n", F.lit(None).cast(dict(spans.dtypes)[value]).alias(value), F.lit(None).cast("int").alias("sign"))
+    both = places.unionByName(ends).where(F.col(key).isNotNull()).withColumn("__s", F.floor(F.col("at") / scale))
+    # What lies before an end: an end at a place does not count the spots there.
+    near = F.sum("n").over(Window.partitionBy(key, "__s").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    here = both.withColumn("__near", F.coalesce(near, F.lit(0))).where("sign is not null")
+    totals = counted.groupBy(key, F.floor(F.col("at") / scale).alias("__s")).agg(F.sum("n").alias("n"))
+    stretches = both.select(key, "__s").distinct().join(totals, [key, "__s"], "left")
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    base = stretches.select(key, "__s", F.coalesce(upto, F.lit(0)).alias("__base"))
+    summed = here.join(base, [key, "__s"]).groupBy(value).agg(F.sum(F.col("sign") * (F.col("__near") + F.col("__base"))).alias("n"))
+    return summed.where("n > 0")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from shiftlens.operators import seeds, signals, similar, structure
+from shiftlens.operators import seeds, signals, similar, stats, structure
 from shiftlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +96,19 @@ def test_scored_targets_stay_where_they_are(spark):
 def test_mirna_places_are_not_dealt_by_word(spark):
     text = plan(registry.QUERIES["j14_mirna_targets"](spark, SF))
     assert "SortMergeJoin" not in text and "collect_list" in text
+
+
+def test_contained_counts_against_all_pairs(spark):
+    """Reads are never joined with the genes that hold them."""
+    rng = random.Random(8)
+    spots = [(rng.choice((0, 1, 2, None)), rng.choice((None, *range(-40, 60)))) for _ in range(400)]
+    spans = [(k % 70, rng.choice((0, 1, 3, None)), lo, lo + rng.randrange(-3, 40)) for k, lo in enumerate(rng.randrange(-50, 50) for _ in range(90))] + [(80, 1, None, 9), (81, 1, 3, None)]
+    want = {}
+    for value, key, lo, hi in spans:
+        n = sum(key is not None and key == c and None not in (at, lo, hi) and lo < at and at + 5 < hi for c, at in spots)
+        want[value] = want.get(value, 0) + n
+    a, b = spark.createDataFrame(spots, "key int, at long"), spark.createDataFrame(spans, "value int, key int, lo long, hi long")
+    for scale in (7, 4096):
+        got = {r.value: r.n for r in stats.contained_counts(a, b, "key", "value", 5, scale).collect()}
+        assert got == {k: n for k, n in want.items() if n} and len(got) > 20
+    assert "Generate explode(array" in (text := plan(registry.QUERIES["j8_reads_in_genes"](spark, SF))) and "sequence(" not in text
