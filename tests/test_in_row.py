@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from shiftlens.operators import seeds, signals, similar, stats, structure
+from shiftlens.functions import seq as S
+from shiftlens.operators import nulls, seeds, signals, similar, stats, structure
 from shiftlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,25 @@ def test_contained_counts_against_all_pairs(spark):
         got = {r.value: r.n for r in stats.contained_counts(a, b, "key", "value", 5, scale).collect()}
         assert got == {k: n for k, n in want.items() if n} and len(got) > 20
     assert "Generate explode(array" in (text := plan(registry.QUERIES["j8_reads_in_genes"](spark, SF))) and "sequence(" not in text
+
+
+def test_landscape_windows_are_folded_before_they_are_dealt(spark):
+    windows = spark.createDataFrame([(k, 15 * s, "ACGT"[k % 4 :] * s or None) for k in range(12) for s in range(5)], "id int, start int, sequence string")
+    folds = {"n": F.length, "gc": lambda s: F.regexp_count(s, F.lit("[GC]"))}
+    done = windows.where("(id + start) % 2 = 0").select("id", "start", F.lit("gc").alias("mfe_method")).union(windows.where("id = 3").selectExpr("id", "start", "'other'"))
+    done = done.union(spark.createDataFrame([(None, 15, "n"), (2, 15, "n"), (2, 15, "n")], "id int, start int, m string"))
+    want = {(r.id, r.start, m): len(r.sequence) if m == "n" else sum(c in "GC" for c in r.sequence) for r in windows.collect() if r.sequence is not None for m in folds}
+    assert {(r.id, r.start, r.mfe_method): r.mfe for r in nulls.landscape_fold(windows, folds).collect()} == want
+    for r in done.collect():
+        want.pop((r.id, r.start, r.mfe_method), None)
+    got = nulls.landscape_fold(windows, folds, done)
+    assert {(r.id, r.start, r.mfe_method): r.mfe for r in got.collect()} == want and got.count() == len(want)
+    join = plan(registry.QUERIES["g3_landscape_fold"](spark, SF)).split("Join")[1].split("Exchange")
+    assert not any("sequence" in x.split("arguments", 1)[0][:200] for x in join[1:])
+
+
+def test_stack_sums(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGTNé") for _ in range(rng.randrange(12))) for _ in range(200)] + ["", None, "A", "GC"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3)
+    assert all(r.a == r.b for r in rows.select(S.stack_energy(F.col("s")).alias("a"), nulls.stack_sums(F.col("s")).alias("b")).collect())
