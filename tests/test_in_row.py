@@ -135,3 +135,34 @@ def test_stack_sums(spark):
     texts = ["".join(rng.choice("ACGTNé") for _ in range(rng.randrange(12))) for _ in range(200)] + ["", None, "A", "GC"]
     rows = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3)
     assert all(r.a == r.b for r in rows.select(S.stack_energy(F.col("s")).alias("a"), nulls.stack_sums(F.col("s")).alias("b")).collect())
+
+
+def test_best_of_blocks_against_shared_words(spark, monkeypatch):
+    """Blocks and parts of any size give what rows of words give; equal words in many texts, ties and odd letters among them."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("ACGT") for _ in range(7)) for _ in range(12)]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["A" * 40, "A" * 25, "AT" * 15, "TA" * 12, "NNNNNNNNé", "xNNNNNNNNé", "ACG", "", None]
+    df = spark.createDataFrame([(k * 5 % 41, x) for k, x in enumerate(texts)], "id int, sequence string").repartition(3)
+    q = df.where("id % 3 = 0")
+    once = df.dropDuplicates(["id"]).cache()
+    for block, heavy in ((10**9, 10_000), (60, 3)):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        monkeypatch.setattr(similar, "PART", block)
+        want = similar.best_targets(similar.shared_words(q, df, 5), 4).select("q", "t", "score", "rank")
+        assert sorted(map(tuple, similar.best_of_blocks(q, df, 5, 4, rows=heavy).collect())) == sorted(map(tuple, want.collect()))
+        own = once.where("id % 3 = 0")
+        want = similar.longest_runs(similar.best_targets(similar.shared_words(own, once, 5), 4), own, once, 5)
+        got = similar.similar_sequences(own, once, 5, 4, heavy=heavy)
+        assert set(got.columns) == set(want.columns)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_longest_stretch_both_ways():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("AC") for _ in range(rng.randrange(3, 40))) for _ in range(2))
+        assert similar._stretch(a, b, 3) == similar._stretch(a, b, 3, most=0)
+    names, parts = [f"w{k}" for k in range(5)], "ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy"  # words too long for one number
+    long_ = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(5)]
+    got = similar._block_best(["q"], [long_[2] + long_[3]], names, long_, 20, 3, {"A": 1})
+    assert {(q, t) for q, t, _ in got} == {("q", "w2"), ("q", "w3")}
