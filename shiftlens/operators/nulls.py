@@ -244,6 +244,103 @@ def bulk_fold(windows: DataFrame, fold, existing: DataFrame | None = None) -> Da
     return windows.join(known.unionByName(fresh), "sequence")
 
 
+#: Steps and shifts of md5.
+_SINES = [int(abs(np.sin(k + 1)) * 2**32) for k in range(64)]
+_TURNS = [(7, 12, 17, 22)[k % 4] if k < 16 else (5, 9, 14, 20)[k % 4] if k < 32 else (4, 11, 16, 23)[k % 4] if k < 48 else (6, 10, 15, 21)[k % 4] for k in range(64)]
+
+
+def _md5(words: list[np.ndarray | int], two: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The first (with `two`, first and second) four bytes of the md5 of blocks of 16 words, as numbers with the first byte on top."""
+    start = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, c, d = (np.uint32(x) for x in start)
+    with np.errstate(over="ignore"):
+        for k in range(64 if two else 61):
+            if k < 16:
+                f, g = d ^ (b & (c ^ d)), k
+            elif k < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * k + 1) % 16
+            elif k < 48:
+                f, g = b ^ c ^ d, (3 * k + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * k % 16
+            x = a + f + (words[g] + np.uint32(_SINES[k]))
+            x = (x << np.uint32(_TURNS[k])) | (x >> np.uint32(32 - _TURNS[k]))
+            a, d, c, b = d, c, b, b + x
+        # after 61 steps the newest value is the one that becomes a
+        first = (a if two else b) + np.uint32(start[0])
+        return first.byteswap(), (b + np.uint32(start[1])).byteswap() if two else None
+
+
+def md5_heads(heads: list[str], tails: list[str], two: bool = False, chunk: int = 1 << 15) -> np.ndarray:
+    """(heads x tails) first 28 bits, or with `two` 52 bits, of md5 of head + tail, all of them at once; a text over 55 bytes goes
+    through hashlib."""
+    out = np.zeros((len(heads), len(tails)), np.int64)
+    raw, ends_ = [h.encode() for h in heads], [x.encode() for x in tails]
+    sizes = np.array([len(h) for h in raw])
+    most = max(map(len, ends_), default=0)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        if size + most > 55:
+            for r in rows:
+                out[r] = [int(hashlib.md5(raw[r] + x).hexdigest()[: 13 if two else 7], 16) for x in ends_]
+            continue
+        whole = b"".join(raw[r].ljust(64, b"\0") for r in rows)
+        front = np.frombuffer(whole, "<u4").reshape(len(rows), 16)
+        back = b"".join((b"\0" * int(size) + x + b"\x80").ljust(56, b"\0") + (8 * (int(size) + len(x))).to_bytes(8, "little") for x in ends_)
+        back = np.frombuffer(back, "<u4").reshape(len(ends_), 16)
+        step = max(1, chunk // max(len(ends_), 1))
+        for lo in range(0, len(rows), step):
+            own = front[lo : lo + step]
+            words = []
+            for k in range(16):  # words that only one side fills stay small
+                f, b = own[:, k, None], back[None, :, k]
+                words.append(f + b if f.any() and b.any() else f if f.any() else b if b.any() else np.uint32(0))
+            first, second = _md5(words, two)
+            value = (first.astype(np.int64) << 20) | (second >> np.uint32(12)) if two else first >> np.uint32(4)
+            out[rows[lo : lo + step]] = np.broadcast_to(value, (len(own), len(ends_)))
+    return out
+
+
+def _drawn(windows: DataFrame, keys: list[str], iterations: int, places, options, seed: int) -> DataFrame:
+    """(keys, iteration, shuffled): for each window (keys, sequence) and iteration, one of the options of each place, picked by the
+    numbers of draw(). places(text) cuts a text, options(list) gives a list of options for each of its places. A window's row goes
+    to Python once for all iterations."""
+    schema = windows.select(*keys).schema
+
+    def run(batches):
+        for batch in batches:
+            names, texts = batch.column("__seed").to_pylist(), batch.column("sequence").to_pylist()
+            cut = [places(t) for t in texts]
+            most = max(map(len, cut), default=0)
+            bits = md5_heads([n + "|" for n in names], [f"{k}|{i}" for k in range(1, iterations + 1) for i in range(most)]).reshape(len(texts), iterations, most)
+            out = []
+            for own, drawn in zip(map(options, cut), bits):
+                sizes = np.array([len(o) for o in own], np.int64)
+                for picks in (drawn[:, : len(own)] % sizes).tolist():
+                    out.append("".join([o[k] for o, k in zip(own, picks)]))
+            row = pa.array(np.repeat(np.arange(len(texts)), iterations))
+            which = pa.array(np.tile(np.arange(1, iterations + 1), len(texts)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), which, pa.array(out, pa.string())], names=[*keys, "iteration", "shuffled"])
+
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    rows = windows.where("sequence is not null").select(*keys, "sequence", name.alias("__seed"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return rows.mapInArrow(run, f"{kinds}, iteration int, shuffled string")
+
+
+def doublet_iterations(windows: DataFrame, keys: list[str], iterations: int = 100, seed: int = 7) -> DataFrame:
+    """drawn_doublets of fan_out(windows) with seeds of seed, keys and iteration, in Arrow batches; null sequences give no row."""
+    return _drawn(windows, keys, iterations, lambda t: [t[k : k + 2] for k in range(0, len(t) - 1, 2)], lambda own: [own] * len(own), seed)
+
+
+def same_slot_iterations(windows: DataFrame, keys: list[str], iterations: int = 100, seed: int = 7) -> DataFrame:
+    """same_slot_protein of fan_out(windows) with seeds of seed, keys and iteration, in Arrow batches; null sequences give no row."""
+    inner = {c: [d for d in own if d[0] == c[0] and d[2] == c[2]] for c, own in SYNONYMS.items()}
+    front = {c: [d for d in own if d[2] == c[2]] for c, own in SYNONYMS.items()}
+    options = lambda own: [front.get(c, [c]) if i == 0 else inner.get(c, [c]) for i, c in enumerate(own)]
+    return _drawn(windows, keys, iterations, lambda t: [t[k : k + 3] for k in range(0, len(t) - 2, 3)], options, seed)
+
+
 def stack_sums(seq: Column) -> Column:
     """S.stack_energy in Arrow batches: weights of all neighbours are looked up at once, and a sequence has the difference of two running
     sums. Null stays null; letters beyond ACGT weigh nothing."""

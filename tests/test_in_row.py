@@ -1,5 +1,6 @@
 """Work done in a window's row against the same work on rows of bases."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -166,3 +167,22 @@ def test_longest_stretch_both_ways():
     long_ = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(5)]
     got = similar._block_best(["q"], [long_[2] + long_[3]], names, long_, 20, 3, {"A": 1})
     assert {(q, t) for q, t, _ in got} == {("q", "w2"), ("q", "w3")}
+
+
+def test_md5_heads():
+    heads, tails = ["", "7|1|2|", "7|123456789|30000|", "é|", "x" * 53, "x" * 60], ["", "1|0", "10|15"]
+    for two, n in ((False, 7), (True, 13)):
+        want = [[int(hashlib.md5((h + x).encode()).hexdigest()[:n], 16) for x in tails] for h in heads]
+        assert nulls.md5_heads(heads, tails, two, 4).tolist() == want
+
+
+def test_iterations_drawn_at_once(spark):
+    rng = random.Random(12)
+    rows = [(k, 3 * k, "".join(rng.choice("ACGT") for _ in range(rng.randrange(60)))) for k in range(40)] + [(90, 1, ""), (91, 1, None), (92, 1, "ACNTGATAéAC")]
+    windows = spark.createDataFrame(rows, "id long, start int, sequence string").repartition(3)
+    fanned = nulls.fan_out(windows.where("sequence is not null"), 7)
+    seeds_ = (F.lit(7), F.col("id"), F.col("start"), F.col("iteration"))
+    for made, one in ((nulls.doublet_iterations, nulls.drawn_doublets), (nulls.same_slot_iterations, nulls.same_slot_protein)):
+        want = fanned.select("id", "start", "iteration", one(F.col("sequence"), *seeds_).alias("shuffled"))
+        got = made(windows, ["id", "start"], 7)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
