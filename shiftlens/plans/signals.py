@@ -55,7 +55,7 @@ query("r3_codon_shuffle", _g("SELECT id, start, iteration, string_agg(c, '' ORDE
 query("r4_random_sense", _g(f"SELECT id, start, iteration, string_agg(([{_LITERALS}])[{_DRAWN} % 61 + 1], '' ORDER BY i) AS shuffled FROM c GROUP BY ALL", SITES_SQL, _SEEDED))(_random("sense"))
 query("r5_same_protein", _g(f"SELECT id, start, iteration, string_agg(o[{_DRAWN} % len(o) + 1], '' ORDER BY i) AS shuffled FROM (SELECT *, element_at({_SYNONYMS}, c)[1] AS o FROM c) GROUP BY ALL", SITES_SQL, _SEEDED))(_random("protein"))
 query("r6_random_middle", _g(f"SELECT id, start, iteration, string_agg(substr(c, 1, 1) || substr('ACGT', {_DRAWN} % 4 + 1, 1) || substr(c, 3, 1), '' ORDER BY i) AS shuffled FROM c GROUP BY ALL", SITES_SQL, _SEEDED))(_random("middle"))
-query("r8_drawn_doublets")(_random("doublets"))
+query("r8_drawn_doublets")(lambda spark, d: nulls.doublet_iterations(_windows(spark, d), ["id", "start"], 10))
 
 
 @query("g1_bulk_fold", _g(f"SELECT id, start, CAST(coalesce((SELECT sum(e) FROM (SELECT unnest(list_transform(range(1, 50), lambda k: substr(w, k, 2))) AS pair) JOIN (VALUES {', '.join(f'''('{k}', {round(x * 100)})''' for k, x in S.STACK.items())}) AS t(pair, e) USING (pair)), 0) AS INTEGER) AS mfe FROM v", SITES_SQL, _W50))

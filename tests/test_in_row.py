@@ -186,3 +186,8 @@ def test_iterations_drawn_at_once(spark):
         want = fanned.select("id", "start", "iteration", one(F.col("sequence"), *seeds_).alias("shuffled"))
         got = made(windows, ["id", "start"], 7)
         assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_doublets_are_drawn_without_copies_of_windows(spark):
+    text = plan(registry.QUERIES["r8_drawn_doublets"](spark, SF))
+    assert "MapInArrow" in text and "md5(" not in text
