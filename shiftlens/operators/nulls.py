@@ -125,11 +125,11 @@ def euler_walk(text: str, seed: str) -> str:
 
 def kept_doublets(seq: Column, *seed: Column) -> Column:
     """A random order of the bases that keeps every count of two neighbours, and both ends; null stays null. Built-in functions can't
-    walk a graph, so this runs over Arrow batches."""
+    walk a graph, so this runs over Arrow batches, all of a batch's walks step by step (euler_walks)."""
 
     @F.pandas_udf("string")
     def walk(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else euler_walk(t, s) for t, s in zip(texts, seeds)], dtype=object)
+        return pd.Series(euler_walks(texts.tolist(), seeds.tolist()), dtype=object)
 
     return walk(seq, F.concat_ws("|", *[s.cast("string") for s in seed]))
 
@@ -301,6 +301,102 @@ def md5_heads(heads: list[str], tails: list[str], two: bool = False, chunk: int
     return out
 
 
+def euler_walks(texts: list[str | None], seeds: list[str], group: int = 4096) -> list[str | None]:
+    """euler_walk of each text with its seed, walks of texts of ACGT of one length taken step by step together. Other texts, and
+    walks whose tree takes over 16 draws more than the text has letters, go one by one."""
+    out: list[str | None] = [None] * len(texts)
+    by_size: dict[int, list[int]] = {}
+    for r, text in enumerate(texts):
+        if text is not None and (len(text) < 3 or text.strip("ACGT")):
+            out[r] = euler_walk(text, seeds[r])
+        elif text is not None:
+            by_size.setdefault(len(text), []).append(r)
+    for size, rows in by_size.items():
+        at_once = max(1, min(group, 2_000_000 // size))
+        for lo in range(0, len(rows), at_once):
+            part = rows[lo : lo + at_once]
+            for r, walk in zip(part, _walks([texts[r] for r in part], [seeds[r] for r in part], size)):
+                out[r] = walk
+    return out
+
+
+def _walks(texts: list[str], seeds: list[str], size: int) -> list[str]:
+    code = np.zeros(256, np.int64)
+    code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+    own = code[np.frombuffer("".join(texts).encode(), np.uint8)].reshape(-1, size)
+    n, most = len(texts), size + 16
+    draws = md5_heads([s + "|" for s in seeds], [str(k) for k in range(most)], two=True) / 16.0**13
+    every, places = np.arange(n), np.arange(size)
+    edges, sizes = np.zeros((n, 4, size), np.int8), np.zeros((n, 4), np.int64)
+    for k in range(size - 1):
+        edges[every, own[:, k], sizes[every, own[:, k]]] = own[:, k + 1]
+        sizes[every, own[:, k]] += 1
+    used, late = np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def draw(rows: np.ndarray, below) -> np.ndarray:
+        late[rows] |= used[rows] >= most
+        got = (draws[rows, np.minimum(used[rows], most - 1)] * below).astype(np.int64)
+        used[rows] += 1
+        return got
+
+    last, joined = np.zeros((n, 4), np.int64), np.zeros((n, 4), bool)
+    joined[every, own[:, -1]] = True
+    for start in range(4):
+        rows = np.flatnonzero((sizes[:, start] > 0) & ~joined[:, start])
+        first, at = rows, np.full(len(rows), start)
+        while len(rows):
+            last[rows, at] = edges[rows, at, draw(rows, sizes[rows, at])]
+            at = last[rows, at]
+            on = ~joined[rows, at] & ~late[rows]
+            rows, at = rows[on], at[on]
+        rows, at = first, np.full(len(first), start)
+        for _ in range(4):
+            on = ~joined[rows, at]
+            rows, at = rows[on], at[on]
+            joined[rows, at] = True
+            at = last[rows, at]
+    for a in range(4):
+        tree = (own[:, -1] != a) & (sizes[:, a] > 0)
+        rows = np.flatnonzero(tree)  # without the first edge to last[a], which comes last
+        gap = (edges[rows, a] == last[rows, a, None]).argmax(1)
+        edges[rows, a] = np.take_along_axis(edges[rows, a], np.minimum(places + (places >= gap[:, None]), size - 1), 1)
+        left = sizes[:, a] - tree
+        for k in range(int(left.max(initial=0)) - 1, 0, -1):
+            rows = np.flatnonzero(left > k)
+            j = draw(rows, k + 1)
+            held = edges[rows, a, k]
+            edges[rows, a, k] = edges[rows, a, j]
+            edges[rows, a, j] = held
+        rows = np.flatnonzero(tree)
+        edges[rows, a, left[rows]] = last[rows, a]
+    walk, taken = np.empty((n, size), np.int64), np.zeros((n, 4), np.int64)
+    walk[:, 0] = own[:, 0]
+    for k in range(1, size):
+        at = walk[:, k - 1]
+        walk[:, k] = edges[every, at, np.minimum(taken[every, at], size - 1)]
+        taken[every, at] += 1
+    whole = np.frombuffer(b"ACGT", np.uint8)[walk].tobytes().decode()
+    return [euler_walk(texts[r], seeds[r]) if late[r] else whole[r * size : (r + 1) * size] for r in range(n)]
+
+
+def doublet_counts(seq: Column) -> Column:
+    """How often each two of ACGT are neighbours, overlapping ones too: an array of 16 in the order AA, AC, ... TT; null for null."""
+
+    @F.arrow_udf("array<int>")
+    def counted(texts: pa.Array) -> pa.Array:
+        code = np.full(256, 4, np.int64)
+        code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+        own = pa.concat_arrays([texts.cast("string").fill_null("")])
+        ends = np.frombuffer(own.buffers()[1], np.int32)[: len(own) + 1].astype(np.int64)
+        raw = code[np.frombuffer(own.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+        row = np.repeat(np.arange(len(own)), np.diff(ends))
+        both = (row[1:] == row[:-1]) & (raw[1:] < 4) & (raw[:-1] < 4)
+        n = np.bincount((row[1:] * 16 + raw[:-1] * 4 + raw[1:])[both], minlength=16 * len(own))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * len(own) + 1, 16), pa.int32()), pa.array(n, pa.int32()), mask=texts.is_null())
+
+    return counted(seq)
+
+
 def _drawn(windows: DataFrame, keys: list[str], iterations: int, places, options, seed: int) -> DataFrame:
     """(keys, iteration, shuffled): for each window (keys, sequence) and iteration, one of the options of each place, picked by the
     numbers of draw(). places(text) cuts a text, options(list) gives a list of options for each of its places. A window's row goes

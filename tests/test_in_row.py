@@ -191,3 +191,15 @@ def test_iterations_drawn_at_once(spark):
 def test_doublets_are_drawn_without_copies_of_windows(spark):
     text = plan(registry.QUERIES["r8_drawn_doublets"](spark, SF))
     assert "MapInArrow" in text and "md5(" not in text
+
+
+def test_walks_taken_together(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ACGT"[: 1 + k % 4]) for _ in range(rng.choice((3, 4, 9, 30)))) for k in range(400)]
+    texts += ["A" * 30 + "C", "C" + "A" * 300 + "CG" + "T" * 9, "", "A", "AC", None, "ACNNA", "ACGéGCA", "GTGTGTGTGT"]
+    seeds_ = [f"7|{k}" for k in range(len(texts))]
+    want = [None if t is None else nulls.euler_walk(t, s) for t, s in zip(texts, seeds_)]
+    assert nulls.euler_walks(texts, seeds_) == want and nulls.euler_walks(texts, seeds_, 7) == want
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3).select("s", nulls.doublet_counts(F.col("s")).alias("n")).collect()
+    pairs = [a + b for a in "ACGT" for b in "ACGT"]
+    assert all(r.n is None if r.s is None else r.n == [sum(r.s[k : k + 2] == p for k in range(len(r.s))) for p in pairs] for r in rows)
