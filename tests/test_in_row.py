@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from shiftlens.functions import seq as S
-from shiftlens.operators import nulls, seeds, signals, similar, stats, structure
+from shiftlens.operators import motifs, nulls, seeds, signals, similar, stats, structure
 from shiftlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,14 @@ def test_walks_taken_together(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3).select("s", nulls.doublet_counts(F.col("s")).alias("n")).collect()
     pairs = [a + b for a in "ACGT" for b in "ACGT"]
     assert all(r.n is None if r.s is None else r.n == [sum(r.s[k : k + 2] == p for k in range(len(r.s))) for p in pairs] for r in rows)
+
+
+def test_stems_of_a_batch_against_columns(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("ACGTU" if k % 3 else "GCN") for _ in range(rng.choice((0, 3, 9, 30, 31)))) for k in range(80)] + [None, "G" * 8 + "AAAA" + "C" * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, sequence string").repartition(3)
+    for first, last in ((0, 1 << 30), (2, 9)):
+        own, mates = (motifs._bits(F.col("sequence"), side) for side in (0, 1))
+        want = df.select("id", F.explode(motifs._stems(own, mates, 3, 3, first, last)).alias("s")).select("id", "s.*").collect()
+        got = motifs._with_stems(df, 3, 3, first, last).select("id", F.explode("__stems").alias("s")).select("id", "s.*").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
